@@ -8,16 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sigtables.llm._tables import table
+from sigtables.llm.html_text import extract_pages
 from sigtables.llm.media import describe, store_texts
 from sigtables.llm.packing import pack_documents
 from sigtables.llm.sharding import shard_documents
 from sigtables.llm.token_counts import count_tokens
+from sigtables.llm.toxicity import score_documents
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(store_texts(table(spark, sf_dir, "documents")))
 
@@ -31,7 +41,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_counts, op8_media_columns, op9_best_fit_packing, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op5_token_counts, op7_html_extraction, op8_media_columns, op9_best_fit_packing, op10_sharding)
 }
 
 ORACLES: dict[str, str] = {}
