@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sigtables.llm import repeated_bytes, repeated_words
 from sigtables.llm._tables import table
 from sigtables.llm.html_text import extract_pages
 from sigtables.llm.media import describe, store_texts
@@ -20,10 +21,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -41,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op5_token_counts, op7_html_extraction, op8_media_columns, op9_best_fit_packing, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op4_substring_dedup, op5_token_counts, op6_suffix_array_dedup, op7_html_extraction, op8_media_columns, op9_best_fit_packing, op10_sharding)
 }
 
 ORACLES: dict[str, str] = {}
