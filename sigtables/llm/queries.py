@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sigtables.llm import repeated_bytes, repeated_words
+from sigtables.llm import decontamination, near_copies, repeated_bytes, repeated_words
 from sigtables.llm._tables import table
 from sigtables.llm.html_text import extract_pages
 from sigtables.llm.media import describe, store_texts
@@ -21,6 +21,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words.digest(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op4_substring_dedup, op5_token_counts, op6_suffix_array_dedup, op7_html_extraction, op8_media_columns, op9_best_fit_packing, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_substring_dedup, op5_token_counts, op6_suffix_array_dedup, op7_html_extraction, op8_media_columns, op9_best_fit_packing, op10_sharding)
 }
 
 ORACLES: dict[str, str] = {}

@@ -97,10 +97,10 @@ def fit(rows: Sequence[Sequence[int]], toxic: Sequence[int], names: Sequence[str
 
     To the loss comes `strength` times the mean squared change of the score (before the logistic function) when a
     sentence's identity term is swapped, and `ridge` times the squared weights. Without rows or with one label only,
-    every text gets the smoothed share of label 1.
+    every text gets the smoothed share of label 1, a quarter without rows.
     """
     n, k = len(rows), len(names)
-    prior = (sum(toxic) + 1) / (n + 2)
+    prior = (sum(toxic) + 0.5) / (n + 2)
     bias = float(np.log(prior / (1 - prior)))
     if n == 0 or k == 0 or len(set(toxic)) < 2:
         return Model({}, bias)
