@@ -91,7 +91,7 @@ LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links between rows of side 0 and side 1, or among rows of side 2, that are in different components."""
+    """Links between rows of side 0 and side 1, or among rows of side 2, that join different components."""
     nodes, parts = table.column("node").to_pylist(), table.column("component").to_pylist()
     if len(set(parts)) < 2:
         return LINKS.empty_table()
@@ -113,10 +113,19 @@ def _compare(table: pa.Table) -> pa.Table:
         has[who[a:b], number[a:b] - lo] = 1
         common += has[left] @ has[right].T
     total = sizes[left][:, None] + sizes[right][None, :]
+    # links that join nothing more in this block are left out
+    owner = {p: p for p in parts}
+
+    def root(p: bytes) -> bytes:
+        while owner[p] != p:
+            owner[p] = p = owner[owner[p]]
+        return p
+
     found = []
     for i, j in zip(*np.nonzero(common >= SIMILAR * (total - common) - 1e-6), strict=True):
         a, b = int(left[i]), int(right[j])
-        if a != b and parts[a] != parts[b] and (sides[0] != 2 or a < b) and alike(aligned(x[a], x[b]), len(x[a]), len(x[b])):
+        if a != b and (ra := root(parts[a])) != (rb := root(parts[b])) and alike(aligned(x[a], x[b]), len(x[a]), len(x[b])):
+            owner[max(ra, rb)] = min(ra, rb)
             found.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
     return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=LINKS)
 
