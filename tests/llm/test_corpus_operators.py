@@ -177,7 +177,7 @@ def test_parse_and_decode():
     assert [t for _, t, _ in p.text] == ["a b c", "d", "e", "f", "g", "<h"]
     q = html_text.parse("<div><p>x</p><div><p>y</p></div></div>")
     assert html_text.decode(q, np.array([0, 1, 2, -3, 5.0])) == [False, True, True, True, True]
-    assert html_text.decode(q, np.array([0, 1, 2, 0, -5.0]))[2:] == [True, False, False]
+    assert html_text.decode(q, np.array([0, 1, 2, 0, -5.0])) == [False, True, True, True, False]
     assert html_text.decode(q, np.array([0, 1, -2, 0, 5.0]))[2:] == [False, True, True]
     assert html_text.parse("<" * 50 + "a href='x").tag == ["#root"]
 
