@@ -73,25 +73,41 @@ def same_before(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.n
 
 
 KEYS = pa.schema([("_part", pa.int32()), ("_chunk", pa.int32()), ("keys", pa.binary()), ("often", pa.binary())])
-REPEATED = pa.schema([("_chunk", pa.int32()), ("keys", pa.binary())])
+REPEATED = pa.schema([("_chunk", pa.int32()), ("_part", pa.int32()), ("keys", pa.binary())])
+LOW = np.uint64((1 << 32) - 1)
+
+
+def coded(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key above the 32 bits that are sent of it.
+
+    Parts are as many as the input is large, so the few keys of a part that these bits confuse don't become more; they
+    are only looked at in vain.
+    """
+    return ((keys % np.uint64(parts)) << np.uint64(32)) | ((keys // np.uint64(parts)) & LOW)
 
 
 def send_keys(chunk: int, found: np.ndarray, parts: int) -> pa.Table:
     """The distinct keys of a chunk, and those of them that it has more than once."""
-    keys, times = np.unique(found, return_counts=True)
-    return table_of(KEYS, ((part, chunk, k.tobytes(), k[t > 1].tobytes()) for part, (k, t) in dealt(keys, parts, [keys, times])))
+    keys, times = np.unique(coded(found, parts), return_counts=True)
+    return table_of(KEYS, ((part, chunk, k.tobytes(), k[t > 1].tobytes()) for part, (k, t) in dealt(keys >> np.uint64(32), parts, [keys.astype(np.uint32), times])))
+
+
+def known(answers: pa.Table) -> np.ndarray:
+    """The codes of the keys in answers of repeated(), sorted."""
+    rows = zip(answers.column("_part").to_pylist(), answers.column("keys").to_pylist(), strict=True)
+    return np.sort(np.concatenate([numbers(k, "<u4").astype(np.uint64) | (np.uint64(part) << np.uint64(32)) for part, k in rows]))
 
 
 def repeated(sent: DataFrame) -> DataFrame:
-    """_chunk and keys: of the keys that each chunk sent, those that stand at more than one place in all chunks."""
+    """_chunk, _part and keys: of the keys that each chunk sent, those that stand at more than one place in all chunks."""
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, times = np.unique(np.concatenate([joined(table, "keys"), joined(table, "often")]), return_counts=True)
+        keys, times = np.unique(np.concatenate([joined(table, "keys", "<u4"), joined(table, "often", "<u4")]), return_counts=True)
         keys = keys[times > 1]
-        rows = ((c, (x := numbers(k))[among(x, keys)].tobytes()) for c, k in zip(table.column("_chunk").to_pylist(), table.column("keys").to_pylist(), strict=True))
-        return table_of(REPEATED, (r for r in rows if r[1]))
+        rows = ((c, p, (x := numbers(k, "<u4"))[among(x, keys)].tobytes()) for c, p, k in zip(table.column("_chunk").to_pylist(), table.column("_part").to_pylist(), table.column("keys").to_pylist(), strict=True))
+        return table_of(REPEATED, (r for r in rows if r[2]))
 
-    return sent.groupBy("_part").applyInArrow(answer, "_chunk int, keys binary")
+    return sent.groupBy("_part").applyInArrow(answer, "_chunk int, _part int, keys binary")
 
 
 def with_answers(chunked: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:

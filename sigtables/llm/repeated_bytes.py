@@ -21,7 +21,8 @@ from sigtables.llm._text import BYTE_CODE, anchors, blocks, mix, powers, rolling
 
 CHUNK = 4 << 20
 GRAM = 16
-SENT = pa.schema([("_part", pa.int32()), ("_chunk", pa.int32()), ("strings", pa.binary()), ("runs", pa.binary()), ("owners", pa.binary()), ("anchors", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
+
+SENT = pa.schema([("_part", pa.int32()), ("_chunk", pa.int32()), ("strings", pa.binary()), ("runs", pa.binary()), ("owners", pa.binary()), ("anchors", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("size", pa.int64())])
 EARLIER = pa.schema([("_chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("masks", pa.binary())])
 
 
@@ -65,41 +66,44 @@ def doubled_ranks(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
     Ranks of all 8-byte prefixes come first; then pairs of ranks at a growing offset are ranked. A position whose rank is
     unique at some offset drops out.
     """
-    padded = np.concatenate([data, np.zeros(2 * length, np.uint8)])
-    whole = np.zeros(len(data) + length, np.uint64)
+    n = len(data) + 2 * length
+    padded = np.concatenate([data, np.zeros(2 * length + 8, np.uint8)])
+    whole = np.zeros(n, np.uint64)
     for k in range(8):
-        whole = (whole << np.uint64(8)) | padded[k : k + len(whole)].astype(np.uint64)
-    steps, have = [], 8
-    while have < length:
-        step = min(have, length - have)
-        steps.append(step)
-        have += step
-    # where ranks are needed at each length, from the last one back
-    needs = [at]
-    for step in reversed(steps):
-        needs.append(np.unique(np.concatenate([needs[-1], needs[-1] + step])))
-    needs.reverse()
-    ranks = np.unique(whole[needs[0]], return_inverse=True)[1]
-    have = 8
-    for step, held, then in zip(steps, needs, needs[1:], strict=False):
-        left, right = np.searchsorted(held, then), np.searchsorted(held, then + step)
-        ok = (held[np.minimum(left, len(held) - 1)] == then) & (held[np.minimum(right, len(held) - 1)] == then + step)
-        ranks = np.where(ok, np.unique((ranks[np.minimum(left, len(held) - 1)].astype(np.uint64) << np.uint64(32)) | ranks[np.minimum(right, len(held) - 1)].astype(np.uint64), return_inverse=True)[1], 0)
-        have += step
-    often = np.bincount(ranks)[ranks] > 1 if len(ranks) else np.zeros(0, bool)
-    return at[often], ranks[often]
+        whole = (whole << np.uint64(8)) | padded[k : k + n]
+    have, rank, alive = 8, np.zeros(n, np.int64), at
+    while True:
+        # positions whose ranks at this length are still asked for
+        needed, ahead = np.zeros(n, bool), {0}
+        reach = have
+        while reach < length:
+            step = min(reach, length - reach)
+            ahead |= {x + step for x in ahead}
+            reach += step
+        for x in ahead:
+            needed[alive + x] = True
+        places = np.flatnonzero(needed)
+        key = whole[places] if have == 8 else (rank[places].astype(np.uint64) << np.uint64(32)) | rank[places + last].astype(np.uint64)
+        _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+        rank = np.zeros(n, np.int64)
+        rank[places] = number
+        alive = alive[times[rank[alive]] > 1]
+        if have == length or not len(alive):
+            return alive, rank[alive]
+        last = min(have, length - have)
+        have += last
 
 
 def compare(table: pa.Table, length: int) -> pa.Table:
     """For each run of a chunk, which of its strings a smaller document of another chunk has, as the bits of a mask."""
     count = X.joined(table, "runs", "<u1").astype(np.int64)
-    owner, value = X.joined(table, "owners", "<i8"), X.joined(table, "anchors")
-    raw = b"".join(table.column("strings").to_pylist())
+    owner, value = X.joined(table, "owners", "<i8"), X.joined(table, "anchors", "<u4")
+    raw = b"".join([pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(table.column("strings").to_pylist(), table.column("size").to_pylist(), strict=True)])
     at = np.concatenate([[0], np.cumsum(count + length - 1)]).tolist()
     number: dict[bytes, int] = {}
     what = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(at, at[1:], strict=False)], np.int64)
     n = len(number)
-    own, anchor, size = np.full(n, X.LAST), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    own, anchor, size = np.full(n, X.LAST), np.zeros(n, np.uint32), np.zeros(n, np.int64)
     np.minimum.at(own, what, owner)
     anchor[what], size[what] = value, count
     # first string of each distinct run among all strings of distinct runs, and the least document that has each string
@@ -124,7 +128,7 @@ def compare(table: pa.Table, length: int) -> pa.Table:
     inner = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
     seen = least[head[what][rows] + inner] < owner[rows]
     masks = np.bincount(rows, weights=np.where(seen, np.exp2(inner), 0), minlength=len(what)).astype(np.uint64)
-    first, second = X.joined(table, "first"), X.joined(table, "second")
+    first, second = X.joined(table, "first"), X.joined(table, "second", "<u4")
     edges = np.cumsum([0, *(len(x) for x in table.column("runs").to_pylist())])
     out = []
     for c, a, b in zip(table.column("_chunk").to_pylist(), edges, edges[1:], strict=False):
@@ -147,7 +151,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length: {GRAM + 1} to {GRAM + 51}")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_chunk")
     total = text_bytes(docs)
-    key_parts, parts = pieces(total, 64 << 20, 12), pieces(total, 8 << 20, 12)
+    key_parts, parts = pieces(total, 64 << 20, 12), pieces(total, CHUNK, 12)
     chunked = X.by_chunk(docs, pieces(total, CHUNK, 12))
 
     def runs_of(table: pa.Table):
@@ -161,11 +165,11 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     def send_runs(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
             return SENT.empty_table()
-        known, held = np.unique(X.joined(answers, "keys")), []
+        known, held = X.known(answers), []
         for r, who, _ in runs_of(docs_):
-            k = np.flatnonzero(X.among(r.value, known))
+            k = np.flatnonzero(X.among(X.coded(r.value, key_parts), known))
             strings = np.array([r.raw[a:b] for a, b in zip(r.start[k].tolist(), r.end[k].tolist(), strict=True)], object)
-            held.append((strings, r.count[k].astype(np.uint8), who[r.text[k]], r.value[k], r.first[k], r.second[k]))
+            held.append((strings, r.count[k].astype(np.uint8), who[r.text[k]], r.value[k], r.first[k], r.second[k].astype(np.uint32)))
         strings, count, owner, value, first, second = (np.concatenate(c) for c in zip(*held, strict=True))
         if not len(first):
             return SENT.empty_table()
@@ -174,7 +178,13 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         edge = np.ones(len(order), bool)
         edge[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
         k, chunk = order[edge], docs_.column("_chunk")[0].as_py()
-        return X.table_of(SENT, ((part, chunk, b"".join(cut[0]), *(c.tobytes() for c in cut[1:])) for part, cut in X.dealt(value[k], parts, [c[k] for c in (strings, count, owner, value, first, second)])))
+        low = value.astype(np.uint32)  # tells anchors of a part apart well enough: runs of two that look the same are only ranked in vain
+
+        def packed(part: int, cut: list[np.ndarray]) -> tuple:
+            whole = b"".join(cut[0])
+            return (part, chunk, pa.compress(whole, codec="zstd", asbytes=True), *(c.tobytes() for c in cut[1:]), len(whole))
+
+        return X.table_of(SENT, (packed(part, cut) for part, cut in X.dealt(value[k], parts, [c[k] for c in (strings, count, owner, low, first, second)])))
 
     out = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     names = docs.columns
@@ -185,10 +195,10 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         count = np.concatenate([r.count for r, _, _ in held]) if held else np.zeros(0, np.int64)
         masks = np.zeros(len(first), np.uint64)
         if answers.num_rows:
-            a, b, m = X.joined(answers, "first"), X.joined(answers, "second"), X.joined(answers, "masks")
+            a, b, m = X.joined(answers, "first"), X.joined(answers, "second", "<u4"), X.joined(answers, "masks")
             order = np.argsort(a)
             pos = order[np.minimum(np.searchsorted(a[order], first), len(a) - 1)]
-            masks = np.where((a[pos] == first) & (b[pos] == second), m[pos], np.uint64(0))
+            masks = np.where((a[pos] == first) & (b[pos] == second.astype(np.uint32)), m[pos], np.uint64(0))
         copied = X.same_before(first, second, owner) < owner  # another document of the chunk has the whole run
         masks[copied] = (np.uint64(1) << count[copied].astype(np.uint64)) - np.uint64(1)
         columns, at = ([], [], [], []), 0
@@ -214,7 +224,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         return table
 
     anchored = X.repeated(chunked.groupBy("_chunk").applyInArrow(send_anchors, "_part int, _chunk int, keys binary, often binary"))
-    sent = X.with_answers(chunked, anchored, send_runs, "_part int, _chunk int, strings binary, runs binary, owners binary, anchors binary, first binary, second binary")
+    sent = X.with_answers(chunked, anchored, send_runs, "_part int, _chunk int, strings binary, runs binary, owners binary, anchors binary, first binary, second binary, size long")
     gone = sent.groupBy("_part").applyInArrow(lambda t: compare(t, length), "_chunk int, first binary, second binary, masks binary")
     return X.with_answers(chunked, gone, remove, out)
 

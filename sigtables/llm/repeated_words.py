@@ -89,10 +89,10 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     def send_halves(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
             return KEYS_EMPTY
-        seeds, found = np.unique(X.joined(answers, "keys")), []
+        seeds, found = X.known(answers), []
         for w, _, _ in words_of(docs_):
             _, value, place = level.seeds(w)
-            place = np.unique(place[X.among(value, seeds)])
+            place = np.unique(place[X.among(X.coded(value, parts), seeds)])
             for before in (0, back):
                 key, good = doubled(w, place, before)
                 found.append(key[good])
@@ -101,13 +101,13 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     def send_windows(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
             return SENT.empty_table()
-        halves, found = np.unique(X.joined(answers, "keys")), []
+        halves, found = X.known(answers), []
         for w, who, _ in words_of(docs_):
             at, _, place = level.seeds(w)
             late = place + level.half > at + level.window  # the run from the seed on is not inside
             key, good = doubled(w, place, 0)
             key_back, good_back = doubled(w, place, back)
-            at = at[np.where(late, good_back & X.among(key_back, halves), good & X.among(key, halves))]
+            at = at[np.where(late, good_back & X.among(X.coded(key_back, parts), halves), good & X.among(X.coded(key, parts), halves))]
             found.append((rolling(w.hash, window)[at], rolling(w.hash, window, 1)[at], who[w.text[at]]))
         first, second, owner = (np.concatenate(c) for c in zip(*found, strict=True))
         if not len(first):
