@@ -44,7 +44,9 @@ def table_of(schema: pa.Schema, rows: Iterable[tuple]) -> pa.Table:
 
 
 def dealt(route: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterable[tuple[int, list[np.ndarray]]]:
-    """(part, its rows of the columns), for the parts that get any."""
+    """(part, its rows of the columns), for the parts that get any; none if there are no rows."""
+    if not len(route):
+        return
     part = (route % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.diff(part[order], prepend=-1))
