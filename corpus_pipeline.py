@@ -32,15 +32,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that had text and is left without any goes; n_chars follows the text.
     """
-    kept = repeated_bytes.remove_repeats(docs)
-
-    @F.pandas_udf("string")
-    def decoded(raw):
-        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    text = F.when(F.col("n_removed") > 0, decoded("kept")).otherwise(F.col("text"))
-    out = kept.withColumn("text", text).where("n_removed = 0 or length(trim(text)) > 0")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    kept = repeated_bytes.remove_repeats(docs, readable=True)
+    cut = F.col("n_removed") > 0
+    out = kept.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).where(~cut | (F.length(F.trim("text")) > 0))
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,11 +138,12 @@ def compare(table: pa.Table, length: int) -> pa.Table:
     return X.table_of(EARLIER, out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay; text itself is unchanged.
 
     A byte of a text's UTF-8 goes if a string of `length` bytes covers it that also starts in a document with a smaller
-    doc_id, judged on the input. n_spans counts maximal removed runs. kept is binary, as a cut may part a character.
+    doc_id, judged on the input. n_spans counts maximal removed runs. kept is binary, as a cut may part a character; if `readable`, it is a string without the characters that
+    a cut parts.
 
     A null text counts as empty; texts under `length` bytes are untouched; a null doc_id counts as larger than any; rows
     with equal ids don't count as each other's repeats. Columns of docs of these names are replaced.
@@ -186,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
         return X.table_of(SENT, (packed(part, cut) for part, cut in X.dealt(value[k], parts, [c[k] for c in (strings, count, owner, low, first, second)])))
 
-    out = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    out = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if readable else T.BinaryType())])
     names = docs.columns
 
     def remove(docs_: pa.Table, answers: pa.Table) -> pa.Table:
@@ -217,9 +218,10 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 columns[0].append(len(t))
                 columns[1].append(removed)
                 columns[2].append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0)
-                columns[3].append(r.data[end - len(t) : end][~g].tobytes() if removed else t)
+                left = r.data[end - len(t) : end][~g].tobytes() if removed else t
+                columns[3].append(left.decode("utf-8", "ignore") if readable else left)
         table = docs_.select(names)
-        for name, values, kind in zip(("n_bytes", "n_removed", "n_spans", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True):
+        for name, values, kind in zip(("n_bytes", "n_removed", "n_spans", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string() if readable else pa.binary()), strict=True):
             table = table.append_column(name, pa.array(values, kind))
         return table
 

@@ -72,3 +72,13 @@ def test_null_ids_own_nothing(spark):
     for module in (repeated_bytes, repeated_words):
         got = {r.doc_id: r.n_removed for r in module.digest(df).collect()}
         assert got[3] == 0 and got[None] > 0
+
+
+def test_readable_leaves_out_parted_characters(spark):
+    same = "".join(chr(233 + i % 7) + str(i) for i in range(40))
+    rows = [(1, same), (2, "éè" + same.encode()[1:].decode("utf-8", "ignore") + " own"), (3, None), (4, "short é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = {r.doc_id: bytes(r.kept).decode("utf-8", "ignore") for r in repeated_bytes.remove_repeats(df).collect()}
+    got = {r.doc_id: r for r in repeated_bytes.remove_repeats(df, readable=True).collect()}
+    assert {d: r.kept for d, r in got.items()} == raw and got[2].n_removed > 0
+    assert got[3].kept == "" and got[4].kept == "short é"
