@@ -167,25 +167,29 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("node", "class_id").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     texts = docs.select("node", "text")
-    sketched = texts.mapInArrow(_sketched, "node binary, sketches array<long>").groupBy("node").agg(F.first("sketches").alias("sketches"))
-    placed = kept(sketched.select("node", F.explode("sketches").alias("bucket")))
+    sketched = kept(texts.mapInArrow(_sketched, "node binary, sketches array<long>").groupBy("node").agg(F.first("sketches").alias("sketches")))
+    placed = sketched.select("node", F.explode("sketches").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("center")).where("n > 1")
-    placed = kept(placed.join(shared, "bucket"))
-    members = placed.select("node").distinct()
-    bodies = kept(texts.join(members, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-
-    stars = placed.where("node != center").select("center", "node").distinct()
-    counted = stars.join(stars.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).alias("k")), "center").withColumn("salt", F.pmod(F.xxhash64("node"), "k"))
-    rows = counted.select("center", "salt", "node", F.lit(1).alias("side")).union(counted.select("center", "salt").distinct().select("center", "salt", "center", F.lit(0)))
-    links = kept(rows.withColumn("component", F.col("node")).join(bodies, "node").groupBy("center", "salt").applyInArrow(_compare, "a binary, b binary"))
-
-    left = placed.where("node != center and n > 2").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # a center's texts are those of its buckets, at most 2 * BLOCK to a block, fewer where its buckets overlap
+    shared = shared.join(shared.groupBy("center").agg(F.ceil(F.sum("n") / (2 * BLOCK)).alias("k")), "center")
+    places = placed.join(shared, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "center", "n", "k")).alias("places"))
+    # a row a text from here on: its places, SKETCHES at most, are taken apart only after it has met its text or component
+    bodies = kept(texts.groupBy("node").agg(F.first("text").alias("text")).join(places, "node"))
+
+    stars = bodies.select("node", "text", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["center"].alias("center"), p["k"].alias("k"))))).alias("star"))
+    stars = stars.select("star.*", "node", "text")
+    own = stars.where("center = node").select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), "node", F.lit(0).alias("side"), "text")
+    others = stars.where("center != node").select("center", F.pmod(F.xxhash64("node"), "k").alias("salt"), "node", F.lit(1).alias("side"), "text")
+    links = kept(own.union(others).withColumn("component", F.col("node")).groupBy("center", "salt").applyInArrow(_compare, "a binary, b binary"))
+
+    named = bodies.select("node", "places").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = named.select("node", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "component")
     key = F.xxhash64("node")
     several = left.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("s")).where("low != high")
     several = several.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK).alias("k"))
-    dealt = left.select("bucket", "node", "component").join(several, "bucket").withColumn("own", F.pmod(key, "k")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = left.join(several, "bucket").withColumn("own", F.pmod(key, "k")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = dealt.select("bucket", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = dealt.join(bodies, "node").groupBy("bucket", "i", "j").applyInArrow(_compare, "a binary, b binary")
+    more = dealt.join(bodies.select("node", "text"), "node").groupBy("bucket", "i", "j").applyInArrow(_compare, "a binary, b binary")
     joined = components(links.union(more))
 
     numbered = docs.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
