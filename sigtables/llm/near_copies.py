@@ -159,8 +159,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shingles that a hash puts least, in text order: a pair at 0.8 shares none with probability (1 - 0.8**3)**24 < 1e-7.
 
     Nodes with a sketch in common are compared with one of them first, in blocks if many share one. Where such a bucket is
-    still in several components, all its pairs of different components are compared, block against block. So no link
-    between components is lost, and inside a component no pairs are formed.
+    still in several components, all its pairs of different components are compared, block against block; its largest
+    component isn't paired with itself. So no link between components is lost, and inside a component no pairs are formed.
 
     A null text counts as empty; texts without words are one node each kind; a null doc_id takes part, and a class of
     null ids alone has a null class_id. Repeated rows stay. Columns of docs named node or class_id are replaced.
@@ -185,11 +185,25 @@ def classes(docs: DataFrame) -> DataFrame:
     named = bodies.select("node", "places").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     left = named.select("node", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "component")
     key = F.xxhash64("node")
-    several = left.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("s")).where("low != high")
-    several = several.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK).alias("k"))
-    dealt = left.join(several, "bucket").withColumn("own", F.pmod(key, "k")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    dealt = dealt.select("bucket", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = dealt.join(bodies.select("node", "text"), "node").groupBy("bucket", "i", "j").applyInArrow(_compare, "a binary, b binary")
+    # a bucket's largest component, all but a few texts as a rule, meets the others but never itself
+    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("s"))
+    several = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("component", F.struct("m", "component")).alias("main"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("most < m")
+    several = several.groupBy("m", "x", "s").agg(F.min_by(F.struct("bucket", "most", "main"), "bucket").alias("b"), F.first("m").alias("all"))
+    several = several.select("b.bucket", "b.main", F.ceil(F.col("b.most") / BLOCK).alias("ka"), F.ceil((F.col("all") - F.col("b.most")) / BLOCK).alias("kb"))
+
+    def cells(k: str, cell):
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), cell)
+
+    def meeting(kind: int, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    main, own = F.col("component") == F.col("main"), F.col("own")
+    with_main = cells("ka", lambda i: meeting(0, i, own, F.lit(1)))
+    with_others = cells("kb", lambda j: meeting(1, F.least(own, j), F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    dealt = left.join(several, "bucket").withColumn("own", F.pmod(key, F.when(main, F.col("ka")).otherwise(F.col("kb"))))
+    dealt = dealt.select("bucket", "node", "component", F.explode(F.when(main, cells("kb", lambda j: meeting(0, own, j, F.lit(0)))).otherwise(F.concat(with_main, with_others))).alias("c"))
+    dealt = dealt.select("bucket", "node", "component", "c.*")
+    more = dealt.join(bodies.select("node", "text"), "node").groupBy("bucket", "kind", "i", "j").applyInArrow(_compare, "a binary, b binary")
     joined = components(links.union(more))
 
     numbered = docs.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
