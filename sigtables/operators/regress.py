@@ -61,3 +61,34 @@ def residual(a: DataFrame, b: DataFrame) -> DataFrame:
     on = ["group_id", "signal_id", "idx"]
     d = a.join(b.select(*on, F.col("value").alias("_b")), on).withColumn("d", F.abs(F.col("value") - F.col("_b")))
     return d.groupBy(*on[:2]).agg(F.max("d").alias("max_abs"), F.min(F.when(F.col("d") > 0, F.col("t_s"))).alias("first_t"))
+
+
+def residual_envelope(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """low and high bounds of a less b for each pixel column of two viewports; null where one side has no column."""
+    on = [*by, "px"]
+    d = a.join(b.select(*on, F.col("low").alias("_l"), F.col("high").alias("_h")), on, "full")
+    low, high = F.col("low") - F.col("_l"), F.col("high") - F.col("_h")
+    both = low.isNotNull() & high.isNotNull()
+    return d.select(*on, F.when(both, F.least(low, high)).alias("low"), F.when(both, F.greatest(low, high)).alias("high"))
+
+
+def row_at(spans: DataFrame, t: float, *by: str) -> DataFrame:
+    """Of each key the span (start_s, end_s) that holds t, else the latest that starts by t; keys without one have no row."""
+    d = spans.where(F.col("start_s") <= t)
+    rest = [c for c in spans.columns if c not in by]
+    best = F.max_by(F.struct(*rest), F.struct((F.col("end_s") >= t).alias("holds"), "start_s"))
+    return d.groupBy(*by).agg(best.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def verdicts(diffs: DataFrame) -> DataFrame:
+    """group_id, verdict and reasons from diff_metrics: deviates if any metric isn't within its bound."""
+    beyond = F.when(~F.col("within"), F.col("metric"))
+    out = diffs.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set(beyond)), ",").alias("reasons"))
+    return out.withColumn("verdict", F.when(F.col("reasons") == "", "matches").otherwise("deviates"))
+
+
+def retained(outputs: DataFrame) -> DataFrame:
+    """outputs (group_id, policy, failed) whose samples stay: policy always, or on_failure in a group where anything failed."""
+    bad = outputs.where("failed").select("group_id").distinct().withColumn("_bad", F.lit(True))
+    d = outputs.join(bad, "group_id", "left")
+    return d.where((F.col("policy") == "always") | ((F.col("policy") == "on_failure") & F.col("_bad"))).drop("_bad")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sigtables.functions.scalars import normalise_key, r6
 from sigtables.model import RATE_HZ, pulses, samples, signals, table
-from sigtables.operators import catalog, profile, regress, stages
+from sigtables.operators import catalog, generate, profile, regress, stages
 from sigtables.plans import pipeline
 from sigtables.streaming import events as streaming
 
@@ -343,3 +343,109 @@ def stream_stats(spark, d):
 
     complete.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.read.parquet(f"{folder}/out").drop("window"), "min", "max", "mean")
+
+
+def _specs(spark, d):
+    """A spec of a source for each part: its size gives the frequency."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("signal_id"), (F.col("p_size") % 8 + 1).cast("double").alias("freq_hz"))
+
+
+def _made(spark, d, *values):
+    g = generate.grid(_specs(spark, d), RATE_HZ, 0.5)
+    return g.select("signal_id", "idx", *[r6(v).alias(n) for n, v in values])
+
+
+G = "g AS (SELECT p_partkey AS signal_id, (p_size % 8 + 1)::DOUBLE AS f, i AS idx, i / 64.0::DOUBLE AS t FROM part CROSS JOIN range(0, 32) x(i))"
+
+
+@query(f"SELECT signal_id, idx, {r('sin(2 * pi() * f * t)')} AS sine, {r('CASE WHEN f * t - floor(f * t) < 0.5 THEN 1 ELSE -1 END')} AS square, {r('asin(sin(2 * pi() * f * t)) * 2 / pi()')} AS triangle, {r('2 * (f * t - floor(f * t)) - 1')} AS sawtooth FROM g", G)
+def gen_tones(spark, d):
+    return _made(spark, d, *[(n, generate.tone(n, F.col("freq_hz"), F.col("t_s"))) for n in ("sine", "square", "triangle", "sawtooth")])
+
+
+@query(f"SELECT signal_id, idx, {r('f * (CASE WHEN q < 0.0625 THEN q / 0.0625 WHEN q < 0.125 THEN 1 WHEN q < 0.1875 THEN 1 - (q - 0.125) / 0.0625 ELSE 0 END)')} AS value FROM (SELECT *, t - floor(t / 0.25) * 0.25 AS q FROM g)", G)
+def gen_pulse(spark, d):
+    return _made(spark, d, ("value", F.col("freq_hz") * generate.trapezoid(F.col("t_s"), 0.25, 0.0625, 0.0625, 0.0625)))
+
+
+@query(f"SELECT signal_id, idx, {r('sin(2 * pi() * (f * t + f * t * t))')} AS linear, {r('sin(2 * pi() * (f * t + f * t * t * t / 0.75))')} AS quadratic, {r('sin(2 * pi() * f * 0.5 / ln(2) * (exp(ln(2) * t / 0.5) - 1))')} AS log FROM g", G)
+def gen_chirp(spark, d):
+    return _made(spark, d, *[(n, generate.chirp(F.col("t_s"), F.col("freq_hz"), 2 * F.col("freq_hz"), 0.5, n)) for n in ("linear", "quadratic", "log")])
+
+
+@query(f"SELECT signal_id, idx, {r('f')} AS dc, {r('f * t')} AS ramp, {r('CASE WHEN t < 0.25 THEN 0 ELSE f END')} AS step FROM g", G)
+def gen_basic(spark, d):
+    return _made(spark, d, *[(n, generate.basic(n, F.col("t_s"), F.col("freq_hz"), 0.25)) for n in ("dc", "ramp", "step")])
+
+
+@query(f"SELECT c_custkey AS group_id, i AS pulse_idx, {r('(i // 3) * 0.0045 + [0, 0.001, 0.0025][i % 3 + 1] + 0.00001 * i * (i - 1) / 2')} AS toa_s FROM customer CROSS JOIN range(0, 12) x(i)")
+def pulse_train(spark, d):
+    specs = table(spark, d, "customer").select(F.col("c_custkey").alias("group_id"))
+    return rounded(generate.pulse_train(specs, 12, [0.001, 0.0015, 0.002], drift_s=1e-5), "toa_s")
+
+
+@query(f"SELECT signal_id, idx, {r('sin(2 * pi() * 4 * t_s + 2 * value)')} AS value FROM s", S)
+def modulate_pm(spark, d):
+    return _stage(generate.modulate_pm(samples(spark, d), 4.0, 2.0))
+
+
+@query(f"SELECT signal_id, idx, {r('sin(2 * pi() * (8 * t_s + 3 * coalesce(sum(value) OVER (PARTITION BY signal_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 64))')} AS value FROM s", S)
+def modulate_fm(spark, d):
+    return _stage(generate.modulate_fm(samples(spark, d), 8.0, 3.0, RATE_HZ))
+
+
+@query(f"SELECT signal_id, idx, {r('least(greatest(coalesce(lag(value, 3) OVER (PARTITION BY signal_id ORDER BY idx), 0), -0.1), 0.1)')} AS value FROM s", S)
+def delay_clip(spark, d):
+    return _stage(generate.clip(generate.delay(samples(spark, d), 3), -0.1, 0.1))
+
+
+@query("SELECT signal_id, count, crossings FROM (SELECT signal_id, count(*) AS count FROM s GROUP BY ALL) JOIN (SELECT signal_id, count(*) FILTER (prev <> sg) AS crossings FROM (SELECT signal_id, sign(value) AS sg, lag(sign(value)) OVER (PARTITION BY signal_id ORDER BY idx) AS prev FROM s WHERE value <> 0) GROUP BY ALL) USING (signal_id)", S)
+def column_profile(spark, d):
+    s = samples(spark, d)
+    return profile.summarise(s, "signal_id").join(profile.zero_crossings(s, "signal_id"), "signal_id").select("signal_id", "count", "crossings")
+
+
+@query(f"SELECT group_id, count(*) AS n, {r('min(start_s)')} AS low, {r('max(start_s)')} AS high, {r('avg(start_s)')} AS mean, {r('sum(start_s)')} AS total FROM det GROUP BY group_id", S, DET)
+def artifact_agg(spark, d):
+    t = _detections(spark, d).groupBy("group_id").agg(F.count("*").alias("n"), F.min("start_s").alias("low"), F.max("start_s").alias("high"), F.avg("start_s").alias("mean"), F.sum("start_s").alias("total"))
+    return rounded(t, "low", "high", "mean", "total")
+
+
+@query(f"SELECT signal_id, {r('max(start_s)')} AS start_s, {r('max_by(end_s, start_s)')} AS end_s FROM det WHERE start_s <= 0.5 GROUP BY signal_id", S, DET)
+def row_at(spark, d):
+    return rounded(regress.row_at(_detections(spark, d), 0.5, "signal_id"), "start_s", "end_s").select("signal_id", "start_s", "end_s")
+
+
+@query(f"SELECT signal_id, px, {r('least(low - low * 1.5, high - high * 1.5)')} AS low, {r('greatest(low - low * 1.5, high - high * 1.5)')} AS high FROM (SELECT signal_id, least(floor((t_s - 0.25) / 0.5 * 10), 9)::BIGINT AS px, min(value) AS low, max(value) AS high FROM s WHERE t_s >= 0.25 AND t_s < 0.75 GROUP BY ALL)", S)
+def residual_envelope(spark, d):
+    a, b = (profile.viewport(samples(spark, d), 0.25, 0.75, 10, "signal_id", gain=g) for g in (1.0, 1.5))
+    return rounded(regress.residual_envelope(a, b, "signal_id"), "low", "high")
+
+
+@query("SELECT group_id, CASE WHEN abs(mx) * 0.01 <= 0.003 THEN 'matches' ELSE 'deviates' END AS verdict, CASE WHEN abs(mx) * 0.01 <= 0.003 THEN '' ELSE 'max' END AS reasons FROM (SELECT group_id, max(value) AS mx FROM s GROUP BY group_id)", S)
+def baseline_verdicts(spark, d):
+    base = samples(spark, d)
+    diffs = regress.diff_metrics(_metrics(base), _metrics(stages.gain(base, 1.01)), 3e-3, 0.0)
+    return regress.verdicts(diffs.where("metric = 'max'")).select("group_id", "verdict", "reasons")
+
+
+@query("SELECT ordinal, count(*) FILTER (verdict = 'fail') AS failures, count(*) AS groups FROM (SELECT ordinal, CASE WHEN ordinal = 2 THEN 'not_applicable' WHEN ordinal = 0 AND v >= 0.4 THEN 'pass' WHEN ordinal = 1 AND q < 0.12 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT group_id, max(value) AS v, sqrt(avg(value * value)) AS q FROM s GROUP BY group_id) CROSS JOIN range(3) a(ordinal)) GROUP BY ordinal", S)
+def failed_assertions(spark, d):
+    return assertions(spark, d).groupBy(F.col("ordinal").cast("long").alias("ordinal")).agg(F.count_if(F.col("verdict") == "fail").alias("failures"), F.count("*").alias("groups"))
+
+
+@query("SELECT o_orderkey AS output_id FROM orders WHERE o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))")
+def retention(spark, d):
+    policy = F.when(F.col("o_orderkey") % 3 == 0, "always").when(F.col("o_orderkey") % 3 == 1, "on_failure").otherwise("never")
+    outputs = table(spark, d, "orders").select(F.col("o_orderkey").alias("output_id"), F.col("o_custkey").alias("group_id"), policy.alias("policy"), (F.col("o_orderstatus") == "F").alias("failed"))
+    return regress.retained(outputs).select("output_id")
+
+
+@query("SELECT event_type AS train, count(DISTINCT user_id) AS groups, count(*) AS pulses FROM events GROUP BY ALL")
+def train_extent(spark, d):
+    return pulses(spark, d).groupBy(F.col("event_type").alias("train")).agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("pulses"))
+
+
+@query("SELECT group_id, event_type AS kind, max(pulse_id) AS latest FROM p GROUP BY group_id, event_type", P)
+def nearest_artifact(spark, d):
+    return pulses(spark, d).groupBy("group_id", F.col("event_type").alias("kind")).agg(F.max_by("pulse_id", "pulse_id").alias("latest"))
