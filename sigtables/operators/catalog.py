@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtables.functions.scalars import finite
@@ -71,3 +72,57 @@ def content_classes(signals: DataFrame) -> DataFrame:
     """digest, copies and first signal of each distinct content; digests are of values as text at 9 significant digits."""
     text = F.array_join(F.transform("values", lambda v: F.format_string("%.9e", v)), ",")
     return signals.withColumn("digest", F.sha2(text, 256)).groupBy("digest").agg(F.count("*").alias("copies"), F.min("signal_id").alias("signal_id"))
+
+
+@dataclass(frozen=True)
+class Property:
+    """A property's definition. kind: number, integer, frequency, duration, bool, text or one of `options`."""
+
+    key: str
+    kind: str
+    low: float | None = None
+    high: float | None = None
+    max_length: int | None = None
+    options: tuple[str, ...] = ()
+    required: bool = False
+    default: str | None = None
+
+
+#: Words of a boolean property.
+TRUE, FALSE = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
+
+
+def property_errors(value: Column, p: Property) -> Column:
+    """What is wrong with a property's text, or null. A missing value counts only where it is required and has no default.
+
+    Frequencies and durations aren't negative unless the definition says so.
+    """
+    t = F.trim(value)
+    missing = t.isNull() | (t == "")
+    number = t.try_cast("double")
+    low = 0.0 if p.low is None and p.kind in ("frequency", "duration") else p.low
+    if p.kind in ("number", "integer", "frequency", "duration"):
+        wrong = F.when(~F.coalesce(finite(number), F.lit(False)), "type")
+        wrong = wrong.when(number != F.floor(number), "type") if p.kind == "integer" else wrong
+        wrong = wrong.when(number < low, "too_low") if low is not None else wrong
+        wrong = wrong.when(number > p.high, "too_high") if p.high is not None else wrong
+    elif p.kind == "bool":
+        wrong = F.when(~F.lower(t).isin(*TRUE, *FALSE), "type")
+    elif p.kind == "enum":
+        wrong = F.when(~t.isin(*p.options), "option")
+    elif p.kind == "text":
+        wrong = F.when(F.length(t) > p.max_length, "too_long") if p.max_length is not None else F.lit(None).cast("string")
+    else:
+        raise ValueError(f"{p.key}: no kind {p.kind}")
+    return F.when(missing, "missing" if p.required and p.default is None else None).otherwise(wrong)
+
+
+def validate_properties(rows: DataFrame, id_column: str, attributes: str, definitions: Sequence[Property]) -> DataFrame:
+    """id, key and error of every fault in a column of map<string,string>; a key without a definition is `unknown`."""
+    if len({p.key for p in definitions}) < len(definitions):
+        raise ValueError("definitions: a key stands twice")
+    a = F.coalesce(F.col(attributes), F.create_map().cast("map<string,string>"))
+    known = [F.struct(F.lit(p.key).alias("key"), property_errors(F.try_element_at(a, F.lit(p.key)), p).alias("error")) for p in definitions]
+    others = F.transform(F.filter(F.map_keys(a), lambda k: ~k.isin([p.key for p in definitions])), lambda k: F.struct(k.alias("key"), F.lit("unknown").alias("error")))
+    found = F.filter(F.concat(F.array(*known), others) if known else others, lambda x: x["error"].isNotNull())
+    return rows.select(F.col(id_column).alias("id"), F.explode(found).alias("e")).select("id", "e.*")

@@ -92,3 +92,18 @@ def retained(outputs: DataFrame) -> DataFrame:
     bad = outputs.where("failed").select("group_id").distinct().withColumn("_bad", F.lit(True))
     d = outputs.join(bad, "group_id", "left")
     return d.where((F.col("policy") == "always") | ((F.col("policy") == "on_failure") & F.col("_bad"))).drop("_bad")
+
+
+def diff_artifacts(base: DataFrame, candidate: DataFrame, fields: list[str], abs_tol: float, *by: str) -> DataFrame:
+    """Per key and field: rows that differ beyond abs_tol or stand on one side only, and the first such row.
+
+    Both tables have `row`, a number of each key's rows; null on both sides agrees.
+    """
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias(name)) for f in fields])
+        return df.select(*by, "row", F.lit(True).alias(f"in_{name}"), F.explode(cells).alias("c")).select(*by, "row", f"in_{name}", "c.*")
+
+    d = long(base, "a").join(long(candidate, "b"), [*by, "row", "field"], "full")
+    same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & (F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= abs_tol, F.lit(False)))
+    return d.groupBy(*by, "field").agg(F.count_if(~same).alias("mismatches"), F.min(F.when(~same, F.col("row"))).alias("first_row"))

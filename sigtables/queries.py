@@ -446,6 +446,22 @@ def train_extent(spark, d):
     return pulses(spark, d).groupBy(F.col("event_type").alias("train")).agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("pulses"))
 
 
-@query("SELECT group_id, event_type AS kind, max(pulse_id) AS latest FROM p GROUP BY group_id, event_type", P)
+@query("SELECT group_id, event_type AS kind, pulse_id AS latest FROM p QUALIFY row_number() OVER (PARTITION BY group_id, event_type ORDER BY toa_s DESC, pulse_id DESC) = 1", P)
 def nearest_artifact(spark, d):
-    return pulses(spark, d).groupBy("group_id", F.col("event_type").alias("kind")).agg(F.max_by("pulse_id", "pulse_id").alias("latest"))
+    return pulses(spark, d).groupBy("group_id", F.col("event_type").alias("kind")).agg(F.max_by("pulse_id", F.struct("toa_s", "pulse_id")).alias("latest"))
+
+
+@query("SELECT id, key, error FROM (SELECT event_id AS id, 'value' AS key, CASE WHEN value < 1 THEN 'too_low' WHEN value > 100 THEN 'too_high' END AS error FROM events UNION ALL SELECT event_id, 'k', CASE WHEN (props::JSON->>'k')::DOUBLE > 50 THEN 'too_high' END FROM events UNION ALL SELECT event_id, 'type', CASE WHEN event_type NOT IN ('click', 'view') THEN 'option' END FROM events UNION ALL SELECT event_id, 'owner', 'missing' FROM events UNION ALL SELECT event_id, 'user', 'unknown' FROM events) WHERE error IS NOT NULL")
+def property_definitions(spark, d):
+    kinds = [catalog.Property("value", "number", 1.0, 100.0), catalog.Property("k", "frequency", high=50.0), catalog.Property("type", "enum", options=("click", "view")), catalog.Property("owner", "text", required=True)]
+    pairs = {"value": "value", "k": F.get_json_object("props", "$.k"), "type": "event_type", "user": "user_id"}
+    columns = [x for k, c in pairs.items() for x in (F.lit(k), (F.col(c) if isinstance(c, str) else c).cast("string"))]
+    rows = table(spark, d, "events").withColumn("attributes", F.create_map(*columns))
+    return catalog.validate_properties(rows, "event_id", "attributes", kinds)
+
+
+@query("SELECT group_id, field, count(*) FILTER (bad) AS mismatches, min(CASE WHEN bad THEN row END) AS first_row FROM (SELECT group_id, row, field, dropped OR abs(v * 0.01) > 0.50305 AS bad FROM (SELECT group_id, pulse_id AS row, unnest(['value', 'k']) AS field, unnest([value, k]) AS v, pulse_id % 10 = 3 AS dropped FROM p)) GROUP BY group_id, field", P)
+def diff_artifacts(spark, d):
+    a = pulses(spark, d).withColumnRenamed("pulse_id", "row")
+    b = a.withColumns({"value": F.col("value") * 1.01, "k": F.col("k") * 1.01}).where("row % 10 != 3")
+    return regress.diff_artifacts(a, b, ["value", "k"], 0.50305, "group_id")
