@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtables.functions.scalars import UNIT_S, cell_number
+from sigtables.functions.scalars import MISSING, UNIT_S, cell_number, cell_unreadable
 
 #: Labels of the columns for count, time and name, after normalising, and the delimiters in order of preference.
 COUNT = ("count", "pulse_count", "num_pulses", "n", "nrec")
@@ -86,16 +86,36 @@ def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Pr
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, ROWS)
 
 
-def read_pulse_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Profile()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups, pulses, diagnostics). Missing and unreadable cells are NaN; diagnostics has count mismatches."""
+def read_pulse_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, pulses, diagnostics). Missing and unreadable cells are NaN; diagnostics has count mismatches and unreadable cells.
+
+    If strict, a count mismatch or an unreadable time is an error before anything is returned; an unreadable field never is.
+    """
     rows = read_rows(spark, paths, profile)
     toa = F.coalesce(*[F.col("fields")[n] for n in TIME])
     pulses = rows.where("row >= 0").select("path", "group_ord", F.col("row").alias("idx"), (cell_number(toa) * UNIT_S[profile.toa_unit]).alias("toa_s"), "fields", "line")
     actual = pulses.groupBy("path", "group_ord").agg(F.count("*").alias("actual_count"), F.min_by("toa_s", "idx").alias("t0_s"))
     groups = rows.where("row < 0").select("path", "group_ord", F.coalesce(*[F.col("attributes")[n] for n in NAME]).alias("name"), "declared", "attributes", "line").join(actual, ["path", "group_ord"], "left")
     groups = groups.withColumn("actual_count", F.coalesce("actual_count", F.lit(0).cast("long"))).withColumn("declared_count", F.coalesce("declared", "actual_count")).drop("declared")
-    wrong = groups.where("declared_count != actual_count").select("path", "group_ord", "line", F.format_string("declares %d pulses and has %d", F.col("declared_count"), F.col("actual_count")).alias("message"))
-    return groups, pulses, wrong
+    counts = groups.where("declared_count != actual_count").select("path", "group_ord", "line", F.lit(None).cast("string").alias("column"), F.format_string("declares %d pulses and has %d", F.col("declared_count"), F.col("actual_count")).alias("message"))
+    cells = rows.where("row >= 0").select("path", "group_ord", "line", F.explode("fields").alias("column", "cell")).where(F.col("column").isin(*TIME) & cell_unreadable(F.col("cell")))
+    times = cells.select("path", "group_ord", "line", "column", F.concat(F.lit("unreadable time "), "cell").alias("message"))
+    if strict and (first := counts.unionByName(times).orderBy("path", "line").first()):
+        raise ValueError(f"{first.path}, line {first.line}: {first.message}")
+    return groups, pulses, counts.unionByName(times)
+
+
+def sniff_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_rows: int = 20) -> DataFrame:
+    """path, column and kind (integer, number or text) as the first rows of each file's first group suggest; no row for columns without cells.
+
+    At most most_rows rows are looked at: a proposal, which reading doesn't depend on.
+    """
+    rows = read_rows(spark, paths, profile).where((F.col("group_ord") == 0) & F.col("row").between(0, most_rows - 1))
+    cells = rows.select("path", F.explode("fields").alias("column", "cell")).where(~F.lower(F.trim("cell")).isin(*MISSING))
+    v = cell_number(F.col("cell"))
+    whole = ~F.isnan(v) & (v == F.floor(v)) & F.abs(v).between(0, (1 << 31) - 1)
+    kinds = cells.groupBy("path", "column").agg(F.bool_and(whole).alias("whole"), F.bool_and(~cell_unreadable(F.col("cell"))).alias("number"))
+    return kinds.select("path", "column", F.when(F.col("whole"), "integer").when(F.col("number"), "number").otherwise("text").alias("kind"))
 
 
 def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: list[str], preamble: str = "# pulses") -> None:

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from sigtables.functions.scalars import cell_number, normalise_key, to_seconds
-from sigtables.operators import profile, regress, stages
+from sigtables.operators import catalog, generate, profile, regress, stages
 from sigtables.plans import pipeline
 from sigtables.sources import pulse_csv
 
@@ -22,6 +22,19 @@ def test_csv_framing(spark, tmp_path):
         list(pulse_csv.frame(b"x\na,b\nc,d\n", pulse_csv.Profile()))
 
 
+def test_csv_strict_and_sniff(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(FILE)
+    with pytest.raises(ValueError, match="declares 4"):
+        pulse_csv.read_pulse_csv(spark, str(tmp_path / "a.csv"), strict=True)
+    (tmp_path / "b.csv").write_text("x\nid,count\ntime,power,band,gap\ng,2\n1,0.5,X,\n2x,3,7,NA\n")
+    with pytest.raises(ValueError, match="unreadable time 2x"):
+        pulse_csv.read_pulse_csv(spark, str(tmp_path / "b.csv"), strict=True)
+    (tmp_path / "c.csv").write_text("x\nid,count\ntime,power,band,gap\ng,2\n1,0.5,X,\n2,3,7,NA\n")
+    assert pulse_csv.read_pulse_csv(spark, str(tmp_path / "c.csv"), strict=True)[1].count() == 2
+    got = {r.column: r.kind for r in pulse_csv.sniff_csv(spark, str(tmp_path / "c.csv")).collect()}
+    assert got == {"time": "integer", "power": "number", "band": "text"}
+
+
 def test_csv_round_trip(spark, tmp_path):
     rnd = random.Random(1)
     rows = [(g, i, float(rnd.randint(0, 999)), rnd.random()) for g in range(7) for i in range(rnd.randint(0, 20))]
@@ -71,3 +84,25 @@ def test_pipeline_checks():
     assert pipeline.issues([P("gain", {"x": 1}), P("none"), P("am")]) == ["stage 0: no parameter x", "stage 1: no kind none", "stage 2: carrier_hz is missing", "stage 2: depth is missing"]
     a, b = pipeline.stage_keys([P("gain"), P("detrend")]), pipeline.stage_keys([P("gain"), P("normalise")])
     assert a[0] == b[0] and a[1] != b[1]
+
+
+def test_generators(spark):
+    specs = spark.createDataFrame([("a", 1), ("b", 2)], "group_id string, signal_id int")
+    g = generate.grid(specs, 8.0, 1.0)
+    assert g.count() == 16
+    v = [r[0] for r in g.where("signal_id = 1").orderBy("idx").select(generate.trapezoid(g.t_s, 1.0, 0.25, 0.25, 0.25)).collect()]
+    assert v == [0.0, 0.5, 1.0, 1.0, 1.0, 0.5, 0.0, 0.0]
+    fixed = generate.pulse_train(specs, 5, [0.5]).where("group_id = 'a'").orderBy("pulse_idx").collect()
+    assert [r.toa_s for r in fixed] == [0.0, 0.5, 1.0, 1.5, 2.0]
+    moved = generate.pulse_train(specs, 5, [0.5], jitter_s=0.1).collect()
+    assert all(abs(r.toa_s - 0.5 * r.pulse_idx) <= 0.1 for r in moved) and len({r.toa_s for r in moved}) == 10
+    with pytest.raises(ValueError):
+        generate.pulse_train(specs, 5, [])
+
+
+def test_property_kinds(spark):
+    P = catalog.Property
+    rows = spark.createDataFrame([(1, {"f": "-1", "n": "2.5", "b": "Yes", "t": "abcd"}), (2, {"f": "x", "n": "3", "b": "maybe"}), (3, None)], "id int, a map<string,string>")
+    kinds = [P("f", "frequency"), P("n", "integer"), P("b", "bool"), P("t", "text", max_length=3, required=True), P("d", "number", required=True, default="1")]
+    got = sorted(tuple(r) for r in catalog.validate_properties(rows, "id", "a", kinds).collect())
+    assert got == [(1, "f", "too_low"), (1, "n", "type"), (1, "t", "too_long"), (2, "b", "type"), (2, "f", "type"), (2, "t", "missing"), (3, "t", "missing")]
