@@ -71,6 +71,22 @@ def basic(shape: str, t: Column, level: Column, at_s: float = 0.0) -> Column:
     raise ValueError("shape: dc, ramp or step")
 
 
+def gaussian(key: Column, idx: Column, seed: int = 1) -> Column:
+    """A standard normal number drawn from a key and an index."""
+    return F.sqrt(-2 * F.log(1 - uniform(key, idx, 2 * seed))) * F.cos(2 * math.pi * uniform(key, idx, 2 * seed + 1))
+
+
+def coloured(key: Column, idx: Column, colour: str = "pink", octaves: int = 16, seed: int = 1) -> Column:
+    """Pink or brown noise of power 1: a sum of normal numbers, each held for 1, 2, 4 and so on samples, weighted alike or by octave."""
+    if colour not in ("pink", "brown"):
+        raise ValueError("colour: pink or brown")
+    weights = [1.0 if colour == "pink" else 2.0**o for o in range(octaves)]
+    total = F.lit(0.0)
+    for o, w in enumerate(weights):
+        total = total + w * gaussian(key, F.shiftright(idx, o), seed + o)
+    return total / math.sqrt(sum(w * w for w in weights))
+
+
 def modulate_pm(samples: DataFrame, carrier_hz: float, deviation_rad: float) -> DataFrame:
     return samples.withColumn("value", F.sin(2 * math.pi * carrier_hz * F.col("t_s") + deviation_rad * F.col("value")))
 

@@ -465,3 +465,14 @@ def diff_artifacts(spark, d):
     a = pulses(spark, d).withColumnRenamed("pulse_id", "row")
     b = a.withColumns({"value": F.col("value") * 1.01, "k": F.col("k") * 1.01}).where("row % 10 != 3")
     return regress.diff_artifacts(a, b, ["value", "k"], 0.50305, "group_id")
+
+
+def _n(stream: int, at: str) -> str:
+    u, w = (f"(('0x' || substr(md5(signal_id::VARCHAR || '|' || ({at})::VARCHAR || '|{k}'), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE)" for k in (2 * stream, 2 * stream + 1))
+    return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {w})"
+
+
+@query(f"SELECT signal_id, idx, {r(_n(1, 'idx'))} AS white, {r(f"({' + '.join(_n(1 + o, f'idx >> {o}') for o in range(4))}) / 2")} AS pink, {r(f"({' + '.join(f'{2**o} * {_n(1 + o, f'idx >> {o}')}' for o in range(4))}) / sqrt(85)")} AS brown FROM g", G)
+def gen_noise(spark, d):
+    key, at = F.col("signal_id"), F.col("idx")
+    return _made(spark, d, ("white", generate.gaussian(key, at)), *[(c, generate.coloured(key, at, c, 4)) for c in ("pink", "brown")])
