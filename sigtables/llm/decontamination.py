@@ -21,7 +21,7 @@ BLOCK = 1 << 10
 HALF = 32
 #: Corpus passages that the latent space is fitted on at most.
 FIT_PASSAGES = 20_000
-#: Words of items that one block of the search holds at most; more items are searched in more blocks.
+#: Passages of items that one block of the search holds on average at most; more are searched in more blocks.
 ITEMS_PER_BLOCK = 2_000
 COSINE, OVERLAP, ALIGNED, ANSWERED = 0.5, 0.6, 0.6, 0.5
 #: Words at an item's end that stand for its answer.
@@ -65,6 +65,20 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.where(follows[first], first + 1, first), text[first]
 
 
+def passage_vectors(w: Words, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(latent vector of length 1, first word, text) of each passage."""
+    start, _ = halves(w)
+    first, last, text = passages(w)
+    per_half = np.add.reduceat(weighted[places(w)], start, axis=0) if len(start) else np.zeros((0, weighted.shape[1]), np.float32)
+    vectors = per_half[first] + np.where((last > first)[:, None], per_half[last], 0)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), start[first], text
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
 def passage_words(w: Words) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct (passage, dimension) pairs, and the number of passages."""
     start, _ = halves(w)
@@ -195,21 +209,25 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 @dataclass
 class Items:
-    """Benchmark items as word hashes, and their latent vectors of length 1."""
+    """Benchmark items as word hashes, and the latent vectors of their passages, the item of each and its first word there."""
 
     ids: list
     words: list[list[int]]
     vectors: np.ndarray
+    of: np.ndarray
+    offset: np.ndarray
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, overlap: float = OVERLAP, least: float = ALIGNED, answered: float = ANSWERED) -> DataFrame:
     """doc_id, item_id, cosine, lcs and answer of each item that a document has.
 
-    docs: doc_id and text, whole texts; items: item_id and text. Documents are cut into half-overlapping passages of 64 words. IDF is
-    counted over all of them; the latent space is fitted on all items and FIT_PASSAGES passages at most; every passage is
-    projected. A passage and an item whose cosine there is `cosine` or more are candidates. Then the item's words that the
-    passage and the half before and after it have must make up `overlap` of the item's IDF, the longest common
-    subsequence `least` of its words, and that of its last words, its answer, `answered` of those. The best passage of a pair is returned.
+    docs: doc_id and text, whole texts; items: item_id and text. Documents and items are cut into half-overlapping passages of
+    64 words. IDF is counted over all of the documents; the latent space is fitted on all items and FIT_PASSAGES passages at most; every passage is
+    projected. Passages of a document and an item whose cosine there is `cosine` or more are candidates. They say where the
+    item would stand in the document: its length there (64 words at least), 32 words more on each side and, of an item
+    over 64 words, a quarter of what is over. The item's words that this span has must make up `overlap` of the item's IDF,
+    the longest common subsequence `least` of its words, and that of its last words, its answer, `answered` of those. The
+    best span of a pair is returned; a copy with more words put in than the span has room for may be missed.
 
     Items reach the driver, in blocks of ITEMS_PER_BLOCK, one search of the documents for each. Null texts and those without words
     match nothing; null ids are ids like others; repeated rows are reported once. An empty table on either side gives none.
@@ -224,21 +242,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, overla
     df, n = frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
     sample = tfidf_rows(docs, idf, min(1.0, FIT_PASSAGES / max(n, 1)))
-    own = tfidf_rows(known, idf)
-    up = float(np.sqrt(max(1.0, min(n, FIT_PASSAGES) / n_items)))  # items weigh as much as the passages
+    own = kept(tfidf_rows(known, idf))
+    n_own = max(1, own.count())
+    up = float(np.sqrt(max(1.0, min(n, FIT_PASSAGES) / n_own)))  # items weigh as much as the passages
     basis = latent_basis(kept(sample.union(own.withColumn("weights", F.transform("weights", lambda x: (x * F.lit(up)).cast("float")))).repartition(12)))
     weighted = (basis * idf[:, None]).astype(np.float32)
-    blocks_of = max(1, -(-n_items // ITEMS_PER_BLOCK))
+    blocks_of = -(-n_own // ITEMS_PER_BLOCK)
     for k in range(blocks_of):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks_of)) == k).collect() if blocks_of > 1 else known.collect()
         w = words([r.text for r in rows])
-        spans = [(a, b) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-        rows_ = [(r.item_id, w.hash[a:b].tolist(), weighted[places(w)[a:b]].sum(axis=0)) for r, (a, b) in zip(rows, spans, strict=True) if b > a]
-        if not rows_:
+        vectors, start, of = passage_vectors(w, weighted)
+        if not len(of):
             continue
-        vectors = np.array([r[2] for r in rows_])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        part = _search(docs, Items([r[0] for r in rows_], [r[1] for r in rows_], vectors), weighted, idf, schema, cosine, overlap, least, answered)
+        cut = [w.hash[a:b].tolist() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+        part = _search(docs, Items([r.item_id for r in rows], cut, vectors, of, start - w.first[of]), weighted, idf, schema, cosine, overlap, least, answered)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -246,55 +263,62 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, overla
 
 
 def _search(docs: DataFrame, items: Items, weighted: np.ndarray, idf: np.ndarray, schema: str, cosine: float, overlap: float, least: float, answered: float) -> DataFrame:
-    distinct = [set(x) for x in items.words]
-    weight = {h: float(idf[h & (DIMENSIONS - 1)]) for s in distinct for h in s}
-    need = [overlap * sum(weight[h] for h in s) for s in distinct]
-    vocabulary = np.array(sorted(weight), np.uint64)
-    number = {h: i for i, h in enumerate(vocabulary.tolist())}
-    has = np.zeros((len(vocabulary), len(distinct)), np.float32)
-    for j, s in enumerate(distinct):
-        for h in s:
-            has[number[h], j] = weight[h]
-    need_all = np.array(need, np.float32) * 0.999
+    lengths = np.array([len(x) for x in items.words])
+    room = HALF + np.maximum(lengths - 2 * HALF, 0) // 4
+    # the distinct words of each item, one item after the other
+    vocabulary, slots = np.unique(np.array([h for x in items.words for h in x], np.uint64), return_inverse=True)
+    key = np.unique(np.repeat(np.arange(len(lengths)), lengths) * len(vocabulary) + slots)
+    slots = key % len(vocabulary)
+    weight = idf[(vocabulary[slots] & np.uint64(DIMENSIONS - 1)).astype(np.int64)]
+    sizes = np.bincount(key // len(vocabulary), minlength=len(lengths))
+    begins = np.cumsum(sizes) - sizes
+    need = overlap * np.bincount(key // len(vocabulary), weights=weight, minlength=len(lengths)) * 0.999
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = np.zeros(len(vocabulary), bool)
         for batch in slices(batches):
             ids, texts, rows = column(batch, "doc_id"), column(batch, "text"), []
             for lo, hi in blocks([t or "" for t in texts], 1 << 18):
                 w = words(texts[lo:hi])
-                start, text = halves(w)
-                if not len(start):
+                vectors, start, of = passage_vectors(w, weighted)
+                if not len(of):
                     continue
-                per_half = np.add.reduceat(weighted[places(w)], start, axis=0)
-                first, last, of = passages(w)
-                vectors = per_half[first] + np.where((last > first)[:, None], per_half[last], 0)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 near = vectors @ items.vectors.T
-                end = np.append(start[1:], len(w.hash))
-                at, item = np.nonzero(near >= cosine)
+                at, piece = np.nonzero(near >= cosine)
                 if not len(at):
                     continue
-                edge = np.flatnonzero(np.diff(at, prepend=-1))
+                item, near = items.of[piece], near[at, piece]
+                begin = start[at] - items.offset[piece]  # where the item would start
+                stop = np.minimum(begin + np.maximum(lengths[item], 2 * HALF) + room[item], w.first[of[at] + 1])
+                begin = np.maximum(begin - room[item], w.first[of[at]])
+                order = np.lexsort((-near, item, stop, begin))
+                at, item, near, begin, stop = (x[order] for x in (at, item, near, begin, stop))
+                moved = (np.diff(begin, prepend=-1) != 0) | (np.diff(stop, prepend=-1) != 0)
+                first = np.flatnonzero(moved | (np.diff(item, prepend=-1) != 0))  # of each item at a span the nearest passages
+                at, item, near, begin, stop = (x[first] for x in (at, item, near, begin, stop))
+                edge = np.flatnonzero((np.diff(begin, prepend=-1) != 0) | (np.diff(stop, prepend=-1) != 0))
                 slot = np.searchsorted(vocabulary, w.hash)
                 slot[slot == len(vocabulary)] = 0
                 hit = vocabulary[slot] == w.hash
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True):
-                    p = int(at[a])
-                    begin = max(int(start[first[p]]) - HALF, int(w.first[of[p]]))
-                    stop = min(int(end[last[p]]) + HALF, int(w.first[of[p] + 1]))
-                    own = np.unique(slot[begin:stop][hit[begin:stop]])
+                    here = slice(int(begin[a]), int(stop[a]))
+                    own = slot[here][hit[here]]
+                    present[own] = True
                     j = item[a:b]
-                    j = j[has[own][:, j].sum(axis=0) >= need_all[j]]
-                    if not len(j):
+                    k = ranges(begins[j], sizes[j])
+                    has = np.add.reduceat(np.where(present[slots[k]], weight[k], 0), np.cumsum(sizes[j]) - sizes[j])
+                    present[own] = False
+                    good = np.flatnonzero(has >= need[j])
+                    if not len(good):
                         continue
-                    around = w.hash[begin:stop].tolist()
-                    for i in j.tolist():
+                    around = w.hash[here].tolist()
+                    for i, c in zip(j[good].tolist(), near[a:b][good].tolist(), strict=True):
                         x = items.words[i]
                         share = common_subsequence(x, around) / len(x)
                         tail = x[-ANSWER_WORDS:]
                         answer = common_subsequence(tail, around) / len(tail)
                         if share >= least and answer >= answered:
-                            rows.append((ids[lo + int(of[p])], items.ids[i], float(near[p, i]), share, answer))
+                            rows.append((ids[lo + int(of[at[a]])], items.ids[i], c, share, answer))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows]), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 

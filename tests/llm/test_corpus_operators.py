@@ -94,6 +94,23 @@ def test_leaks_against_brute_force(spark):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items_are_found_wherever_they_stand(spark):
+    rnd = random.Random(12)
+    bench = [(i, prose(rnd, n, VOCABULARY) + f" Answer{i}.") for i, n in enumerate((64, 65, 100, 150, 180, 200, 214, 300, 700))]
+    rows, want = [], set()
+    for i, t in bench:
+        for shift in range(0, 32, 5):  # against the grid of half passages
+            w = t.split()
+            if shift % 2:
+                for k in rnd.sample(range(len(w) - 1), len(w) // 10):
+                    w[k] = f"changed{k}"
+            rows.append((len(rows), " ".join([prose(rnd, 64 + shift, VOCABULARY), *w, prose(rnd, 90, VOCABULARY)]), "", ""))
+            want.add((len(rows) - 1, i))
+    rows += [(1000 + i, prose(rnd, 900, VOCABULARY), "", "") for i in range(20)]
+    found = decontamination.find_leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and all(r.lcs >= 0.89 for r in found)
+
+
 def test_common_subsequence():
     assert decontamination.common_subsequence([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 3
     assert decontamination.common_subsequence([], [1]) == 0 == decontamination.common_subsequence([1], [])
