@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtables.llm._tables import kept
+from sigtables.llm._tables import kept, pieces
 from sigtables.llm._text import Words, blocks, column
 
 #: Hashed words, rank of the latent space and extra directions of the random range.
@@ -19,8 +20,8 @@ DIMENSIONS, RANK, EXTRA = 1 << 15, 96, 16
 BLOCK = 1 << 10
 #: A passage is two neighbouring halves of so many words.
 HALF = 32
-#: Corpus passages that the latent space is fitted on at most.
-FIT_PASSAGES = 20_000
+#: Passages whose sums one task adds up, about, and how many tasks' sums are added in one step.
+FIT_PASSAGES, FAN = 250_000, 64
 #: Passages of items that one block of the search holds on average at most; more are searched in more blocks.
 ITEMS_PER_BLOCK = 2_000
 COSINE, OVERLAP, ALIGNED, ANSWERED = 0.5, 0.6, 0.6, 0.5
@@ -91,21 +92,33 @@ def passage_words(w: Words) -> tuple[np.ndarray, np.ndarray, int]:
     return key // DIMENSIONS, key % DIMENSIONS, len(first)
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Passages that have a word of each dimension, and all passages, over all documents. DIMENSIONS numbers reach the driver."""
+def packed(texts: DataFrame) -> DataFrame:
+    """The distinct dimensions of each passage, a row for each block of texts: how many each has, and all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            source = column(batch, "text")
+            for lo, hi in blocks([t or "" for t in source], 1 << 18):
+                who, what, n = passage_words(words(source[lo:hi]))
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.bincount(who, minlength=n).astype(np.uint8), what.astype(np.uint16))], ["sizes", "places"])
+
+    return texts.select("text").mapInArrow(run, "sizes binary, places binary")
+
+
+def frequencies(packs: DataFrame) -> tuple[np.ndarray, int]:
+    """Passages that have a word of each dimension, and all passages, of packed texts. DIMENSIONS numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
-        for batch in slices(batches):
-            texts = column(batch, "text")
-            for lo, hi in blocks([t or "" for t in texts]):
-                _, what, m = passage_words(words(texts[lo:hi]))
-                total += np.bincount(what, minlength=DIMENSIONS)
-                n += m
+        for batch in batches:
+            for sizes, places_ in zip(column(batch, "sizes"), column(batch, "places"), strict=True):
+                total += np.bincount(np.frombuffer(places_, np.uint16), minlength=DIMENSIONS)
+                n += len(sizes)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *total[at].tolist()], pa.int64())], ["dimension", "n"])
 
-    found = docs.select("text").mapInArrow(count, "dimension int, n long").groupBy("dimension").agg(F.sum("n")).collect()
+    found = packs.mapInArrow(count, "dimension int, n long").groupBy("dimension").agg(F.sum("n")).collect()
     out = np.zeros(DIMENSIONS)
     for d, n in found:
         if d >= 0:
@@ -113,76 +126,86 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, sum(n for d, n in found if d < 0)
 
 
-def tfidf_rows(texts: DataFrame, idf: np.ndarray, share: float = 1.0) -> DataFrame:
-    """dims and weights of the TF-IDF vector, of length 1, of each passage; a passage stays if a hash of it is below share."""
+def tfidf(idf: np.ndarray) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For latent_basis: the TF-IDF vectors, each as long as `length` says, of packed passages."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            source = column(batch, "text")
-            for lo, hi in blocks([t or "" for t in source], 1 << 18):
-                w = words(source[lo:hi])
-                who, what, n = passage_words(w)
-                if not n:
-                    continue
-                start, _ = halves(w)
-                first = passages(w)[0]
-                stays = (w.hash[start[first]] >> np.uint64(11)).astype(float) / 2.0**53 < share
-                weight = idf[what]
-                norm = np.sqrt(np.bincount(who, weights=weight * weight, minlength=n))
-                rows = [(what[a:b], weight[a:b] / (norm[i] or 1)) for i, (a, b) in enumerate(zip(np.searchsorted(who, np.arange(n)), np.searchsorted(who, np.arange(n), "right"), strict=True)) if stays[i]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["dims", "weights"])
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for sizes, places_, length in zip(column(batch, "sizes"), column(batch, "places"), column(batch, "length"), strict=True):
+            size, what = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(places_, np.uint16).astype(np.int64)
+            x = idf[what]
+            norm = np.sqrt(np.add.reduceat(x * x, np.cumsum(size) - size))
+            yield size, what, (x * np.repeat(length / norm, size)).astype(np.float32)
 
-    return texts.select("text").mapInArrow(run, "dims array<int>, weights array<float>")
+    return entries
 
 
-def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For latent_basis: rows of dims and weights."""
     dims, weights = batch.column(0), batch.column(1)
-    size = np.diff(dims.offsets.to_numpy())
-    return np.repeat(np.arange(len(size)), size), dims.flatten().to_numpy(), weights.flatten().to_numpy()
+    yield np.diff(dims.offsets.to_numpy()), dims.flatten().to_numpy(), weights.flatten().to_numpy()
 
 
-def latent_basis(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, seed: int = 3) -> np.ndarray:
+def latent_basis(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, seed: int = 3, entries: Callable[[pa.RecordBatch], Iterator] = sparse, tasks: int = FAN) -> np.ndarray:
     """The leading right singular vectors, a column each, of the sparse matrix whose rows are (dims, weights).
 
+    entries gives, for a batch of rows, how many entries each row of the matrix has, their dimensions and weights.
     Randomised range finding: tasks add up A'(A G) for a Gaussian G; its orthonormal basis Q spans about the row space.
-    Then tasks add up (A Q)'(A Q), whose eigenvectors turn Q into singular vectors. Sums, not rows, reach the driver.
+    Then tasks add up (A Q)'(A Q), whose eigenvectors turn Q into singular vectors. Sums, not rows, reach the driver; those
+    of FAN tasks are added first, then FAN of these sums and so on. rows has about `tasks` partitions.
     """
     width = rank + extra
-    schema = "block int, sums binary"
+    schema = "lane int, block int, sums binary"
 
     def products(batches: Iterator[pa.RecordBatch], by: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each slice of rows: the dimensions and weights of its entries, the row of each, and the rows times `by`."""
+        """For some rows at a time: the dimensions and weights of their entries, the row of each, and the rows times `by`."""
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                who, what, x = _sparse(batch.slice(lo, 512))
-                if len(who):
-                    new = np.flatnonzero(np.diff(who, prepend=-1))
-                    yield what, x, np.repeat(np.arange(len(new)), np.diff([*new, len(who)])), np.add.reduceat(by[what] * x[:, None], new, axis=0)
+            for size, what, x in entries(batch):
+                size, end = size[size > 0], np.cumsum(size[size > 0])
+                for lo in range(0, len(size), 512):
+                    part = size[lo : lo + 512]
+                    here = slice(int(end[lo] - size[lo]), int(end[lo + len(part) - 1]))
+                    y = by[what[here]]
+                    y *= x[here][:, None]
+                    yield what[here], x[here], np.repeat(np.arange(len(part)), part), np.add.reduceat(y, np.cumsum(part) - part, axis=0)
+
+    def sent(k: int, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["lane", "block", "sums"])
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.random.default_rng(seed).standard_normal((DIMENSIONS, width)).astype(np.float32)
+        g = np.random.default_rng(seed).standard_normal((DIMENSIONS, width), np.float32)
         total = np.zeros((DIMENSIONS, width), np.float32)
         for what, x, row, y in products(batches, g):
-            order = np.argsort(what, kind="stable")
+            order = np.argsort(what.astype(np.uint16), kind="stable")
             new = np.flatnonzero(np.diff(what[order], prepend=-1))
-            total[what[order][new]] += np.add.reduceat(y[row[order]] * x[order][:, None], new, axis=0)
+            z = y[row[order]]
+            z *= x[order][:, None]
+            total[what[order][new]] += np.add.reduceat(z, new, axis=0)
         for k, part in enumerate(np.split(total, DIMENSIONS // BLOCK)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "sums"])
+                yield sent(k, part)
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width), np.float32)
         for _, _, _, t in products(batches, q):
             total += t.T @ t
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+        yield sent(0, total)
 
     def added(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.float32) for x in table.column(1).to_pylist()], axis=0, dtype=np.float32)
-        return pa.table({"block": table.column(0)[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(len(table.column("sums")[0].as_py()) // 4, np.float32)
+        for x in table.column("sums"):
+            total += np.frombuffer(x.as_py(), np.float32)
+        return pa.table({"lane": table.column("lane")[:1], "block": table.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     def summed(task) -> dict[int, np.ndarray]:
-        return {k: np.frombuffer(x, np.float32).reshape(-1, width) for k, x in rows.mapInArrow(task, schema).groupBy("block").applyInArrow(added, schema).collect()}
+        sums, lanes = rows.mapInArrow(task, schema), tasks
+        while True:
+            sums, lanes = sums.withColumn("lane", F.expr(f"cast(lane div {FAN} as int)")).groupBy("block", "lane").applyInArrow(added, schema), -(-lanes // FAN)
+            if lanes == 1:
+                break
+        out: dict[int, np.ndarray] = {}
+        for _, k, x in sums.collect():
+            out[k] = out.get(k, 0) + np.frombuffer(x, np.float32).reshape(-1, width)
+        return out
 
     b = np.zeros((DIMENSIONS, width), np.float32)
     for k, part in summed(ranged).items():
@@ -222,7 +245,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, overla
     """doc_id, item_id, cosine, lcs and answer of each item that a document has.
 
     docs: doc_id and text, whole texts; items: item_id and text. Documents and items are cut into half-overlapping passages of
-    64 words. IDF is counted over all of the documents; the latent space is fitted on all items and FIT_PASSAGES passages at most; every passage is
+    64 words. IDF is counted over all of the documents; the latent space is fitted on all items and all passages; every passage is
     projected. Passages of a document and an item whose cosine there is `cosine` or more are candidates. They say where the
     item would stand in the document: its length there (64 words at least), 32 words more on each side and, of an item
     over 64 words, a quarter of what is over. The item's words that this span has must make up `overlap` of the item's IDF,
@@ -239,13 +262,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, overla
     n_items = known.count()
     if not n_items:
         return docs.sparkSession.createDataFrame([], schema)
-    df, n = frequencies(docs)
+    packs, own = kept(packed(docs)), kept(packed(known))
+    df, n = frequencies(packs)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
-    sample = tfidf_rows(docs, idf, min(1.0, FIT_PASSAGES / max(n, 1)))
-    own = kept(tfidf_rows(known, idf))
-    n_own = max(1, own.count())
-    up = float(np.sqrt(max(1.0, min(n, FIT_PASSAGES) / n_own)))  # items weigh as much as the passages
-    basis = latent_basis(kept(sample.union(own.withColumn("weights", F.transform("weights", lambda x: (x * F.lit(up)).cast("float")))).repartition(12)))
+    n_own = max(1, frequencies(own)[1])
+    up = float(np.sqrt(max(1.0, n / n_own)))  # items weigh as much as the passages
+    tasks = pieces(n, FIT_PASSAGES, 12)
+    basis = latent_basis(packs.withColumn("length", F.lit(1.0)).union(own.withColumn("length", F.lit(up))).coalesce(tasks), entries=tfidf(idf), tasks=tasks)
     weighted = (basis * idf[:, None]).astype(np.float32)
     blocks_of = -(-n_own // ITEMS_PER_BLOCK)
     for k in range(blocks_of):

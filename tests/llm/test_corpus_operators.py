@@ -128,6 +128,38 @@ def test_latent_basis_spans_the_leading_directions(spark):
     assert np.allclose(np.linalg.norm(v[:3], axis=1), 1, atol=0.01) and np.allclose(v.T @ v, np.eye(3), atol=1e-3)
 
 
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "FIT_PASSAGES", 20)  # sums of many tasks, added in several steps
+    monkeypatch.setattr(decontamination, "FAN", 2)
+    rnd = random.Random(5)
+    docs = [("the " if i % 2 else "") + prose(rnd, rnd.randint(1, 150), VOCABULARY) for i in range(300)] + [None, ""]
+    bench = [prose(rnd, rnd.randint(20, 150), VOCABULARY) for _ in range(10)]
+    seen = {}
+
+    def watched(rows, entries, tasks):
+        seen.update(rows=[(list(s), list(p), r.length) for r in rows.collect() for s, p in [(np.frombuffer(r.sizes, np.uint8), np.frombuffer(r.places, np.uint16))]])
+        seen["basis"] = basis(rows, entries=entries, tasks=tasks)
+        return seen["basis"]
+
+    basis = decontamination.latent_basis
+    monkeypatch.setattr(decontamination, "latent_basis", watched)
+    decontamination.find_leaks(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(docs)], SCHEMA).repartition(30), spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).count()
+    n, n_own = (sum(max(1, -(-len(t.split()) // 32) - 1) for t in texts if t) for texts in (docs, bench))
+    assert sum(len(s) for s, _, length in seen["rows"] if length == 1) == n and sum(len(s) for s, _, length in seen["rows"] if length != 1) == n_own
+    idf = np.zeros(decontamination.DIMENSIONS)
+    np.add.at(idf, [x for _, p, length in seen["rows"] if length == 1 for x in p], 1)
+    idf, dense = np.log((n + 1) / (idf + 1)) + 1e-3, []
+    for s, p, length in seen["rows"]:
+        for x in np.split(np.array(p), np.cumsum(s)[:-1]):
+            v = np.zeros(len(idf))
+            v[x] = idf[x]
+            dense.append(length * v / np.linalg.norm(v))
+    v = seen["basis"]
+    a = np.array(dense)
+    assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-3)
+    assert np.linalg.norm(a @ v) >= 0.999 * np.linalg.norm(a)  # the words are 81, less than the rank
+
+
 def toxic_rows(rnd, n):
     rows = []
     for d in range(n):
