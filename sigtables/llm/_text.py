@@ -85,25 +85,23 @@ class Words:
             self.hash = mix((total[self.end] - total[self.start]) * powers(n, 0, True)[self.start])
 
 
-def least_in(keys: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` neighbouring keys."""
-    out, have = keys, 1
-    while 2 * have <= width:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
-
-
 def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of `width` grams the value of its least gram, and where that gram stands.
+    """For each window of `width` grams the value of its least gram, and where that gram first stands in the window.
 
-    The value depends only on what the window holds, so equal windows get equal values wherever they stand.
-    width is 64 at most: the low 6 bits of each key carry the place.
+    Both depend only on what the window holds, so equal windows get equal values and places in them wherever they stand.
+    width is 64 at most: the low 6 bits of each key carry the place in its block of `width` grams. A window is the end of one
+    block and the beginning of the next.
     """
-    if len(grams) < width:
+    n = len(grams) - width + 1
+    if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = np.uint64(63)
-    keys = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
-    best = least_in(keys, width)
-    at = np.arange(len(best), dtype=np.int64)
-    return best >> np.uint64(6), at + (((best & low).astype(np.int64) - at) & 63)
+    low, six = np.uint64(63), np.uint64(6)
+    keys = np.full(-(-len(grams) // width) * width, ~low, np.uint64)
+    keys[: len(grams)] = grams & ~low
+    keys = keys.reshape(-1, width) | np.arange(width, dtype=np.uint64)
+    left = np.minimum.accumulate(keys[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    right = np.minimum.accumulate(keys, axis=1).ravel()[width - 1 : width - 1 + n]
+    later = (right >> six) < (left >> six)
+    best = np.where(later, right, left)
+    at = np.arange(n) + np.where(later, width - 1, 0)
+    return best >> six, at // width * width + (best & low).astype(np.int64)

@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sigtables.llm import repeated_bytes, repeated_words
+from sigtables.llm._text import anchors
 
 SCHEMA = "doc_id long, text string, kept string, _chunk string"
 
@@ -61,6 +63,27 @@ def test_words_against_brute_force(spark, seed):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_words_with_a_run_twice_in_a_window(spark):
+    rnd, rows = random.Random(7), []
+    for i in range(400):  # G X G Y of 13, 17, 13 and 7 words, each text as two whole documents
+        g, x, y = (" ".join(f"{i}{rnd.random()}" for _ in range(n)) for n in (13, 17, 7))
+        rows += [(2 * i, f"{g} {x} {g} {y}"), (2 * i + 1, f"{g} {x} {g} {y}")]
+    rows += [(1000 + i, " ".join(f"own{rnd.random()}" for _ in range(rnd.randint(1, 70)))) for i in range(100)]
+    rnd.shuffle(rows)
+    got = repeated_words.digest(spark.createDataFrame([(d, t, "k", "c") for d, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {d: 50 if d < 1000 and d % 2 else 0 for d, _ in rows}
+
+
+@pytest.mark.parametrize("width", [1, 2, 35, 38, 63, 64])
+def test_anchors_are_the_leftmost_least_grams(width):
+    rnd = np.random.default_rng(width)
+    for n in (0, width - 1, width, width + 1, 500):
+        grams = rnd.integers(0, 12, n).astype(np.uint64) << np.uint64(60)
+        value, place = anchors(grams, width)
+        want = [i + int(np.argmin(grams[i : i + width])) for i in range(max(0, n - width + 1))]
+        assert place.tolist() == want and value.tolist() == (grams[want] >> np.uint64(6)).tolist()
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert repeated_bytes.remove_repeats(none).count() == 0 and repeated_words.remove_repeats(none).count() == 0
