@@ -152,7 +152,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """docs with node (the MD5 of the text) and class_id, the least doc_id of the texts that links join.
+    """docs with node (the MD5 of the text), class_id, the least doc_id of the texts that links join, and their _component and _keeper.
+
+    _component is the same for the texts that links join and for no others, and _keeper the node of one that has class_id.
 
     Equal texts are one node. Two nodes are linked if an alignment in text order of their 5-word shingles matches 0.8 or
     more of all their shingles together. Candidates have one of 24 sketches in common, each made of the 3 occurrence-labelled
@@ -163,9 +165,9 @@ def classes(docs: DataFrame) -> DataFrame:
     component isn't paired with itself. So no link between components is lost, and inside a component no pairs are formed.
 
     A null text counts as empty; texts without words are one node each kind; a null doc_id takes part, and a class of
-    null ids alone has a null class_id. Repeated rows stay. Columns of docs named node or class_id are replaced.
+    null ids alone has a null class_id. Repeated rows stay. Columns of docs of these names are replaced.
     """
-    docs = docs.drop("node", "class_id").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    docs = docs.drop("node", "class_id", "_component", "_keeper").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     texts = docs.select("node", "text")
     sketched = kept(texts.mapInArrow(_sketched, "node binary, sketches array<long>").groupBy("node").agg(F.first("sketches").alias("sketches")))
     placed = sketched.select("node", F.explode("sketches").alias("bucket"))
@@ -208,16 +210,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     numbered = docs.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = kept(numbered.select("node", "component", "least"))
-    ids = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    return docs.join(named.join(ids, "component").select("node", "class_id"), "node")
+    ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("_keeper"))
+    return docs.join(named.join(ids, "component").select("node", "class_id", F.col("component").alias("_component"), "_keeper"), "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each class the row with the least doc_id; of a class of null ids alone, or of rows that tie, any one."""
-    columns = docs.columns
-    known = classes(docs)
-    named = known.where("class_id is not null and doc_id = class_id").dropDuplicates(["class_id"])
-    return named.select(columns).unionByName(known.where("class_id is null").dropDuplicates(["node"]).select(columns))
+    """Of each component the row with the least doc_id, null as the largest; of rows that tie, one with the least node."""
+    return classes(docs).where("node = _keeper and doc_id <=> class_id").dropDuplicates(["_component"]).select(docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,16 @@ def test_blocks_reach_links_that_no_center_has(spark, monkeypatch):
     assert {r.class_id for r in near_copies.digest(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    rnd = random.Random(3)
+    a, b, c, d = (prose(rnd, 100, VOCABULARY) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b + " more"), (None, c), (None, c), (None, c + " more"), (None, d), (5, d), (5, d)]
+    got = near_copies.keep_one(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()
+    kept = [(r.doc_id, r.text) for r in got if r.text[: len(c)] != c]
+    assert sorted(kept) == sorted([(1, a), (1, b), (5, d)])
+    assert len(got) == 4 and [r.doc_id for r in got if r.text[: len(c)] == c] == [None]
+
+
 def test_alignment_keeps_order():
     a = np.arange(100, dtype=np.uint64)
     assert near_copies.aligned(a, a) == 100 and near_copies.aligned(a, a[5:]) == 95
