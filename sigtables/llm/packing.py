@@ -13,59 +13,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigtables.llm._tables import kept
 from sigtables.llm._text import column
 
-#: Words kept by a task with their ids; when there are more it starts anew, which changes no result.
-WORDS_KEPT = 250_000
-#: White space that GPT-2's pattern knows; a text where one of these precedes a space or line end, or stands elsewhere than singly, is encoded in one piece.
-ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]")
+#: Runs of white space that tiktoken's pattern matcher has no stack for (it fails at some hundred thousands).
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 class ByteBpe:
     """Ids of the byte-level BPE with 50,257 pieces as little-endian 32-bit bytes.
 
-    The vocabulary is that of byte_bpe_50k.json; the tests hold the ids against the tokenizers library. No piece goes
-    over an end of a word that a space or line end follows, so words are encoded once and looked up after that.
+    The ids are those of tokenizers with json_path; tiktoken, with the same vocabulary as ranks, encodes all texts but those
+    with very long runs of white space. The tests hold the two against each other.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, json_path: str):
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        (self.line_id,) = self.encode("\n")
-        self.line = self.line_id.to_bytes(4, "little")
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-
-    def learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > WORDS_KEPT:
-            known.clear()
-            new = list(words)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            ids = np.array(self.encode("\n".join([before + w for w in part])), "<u4")
-            cuts = np.flatnonzero(ids == self.line_id).tolist()
-            raw = ids.tobytes()
-            known |= zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)], strict=True)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        lines = [None if ODD_SPACE.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        even = [x for x in lines if x]
-        self.learn({w for t in even for x in t for w in x[1:] if w}, self.spaced, " ")
-        self.learn({x[0] for t in even for x in t if x[0]}, self.bare, "")
-        self.spaced[""], self.bare[""] = np.array(self.encode(" "), "<u4").tobytes(), b""
-        spaced, bare, out = self.spaced.__getitem__, self.bare, []
-        for t, found in zip(texts, lines, strict=True):
-            out.append(np.array(self.encode(t), "<u4").tobytes() if found is None else self.line.join([bare[x[0]] + b"".join(map(spaced, x[1:])) for x in found]))
-        return out
-
-
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+        self.json_path, self.slow = json_path, None
+
+    def ids(self, text: str) -> bytes:
+        if len(text) >= 10_000 and LONG_SPACE.search(text):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.json_path)
+                self.slow.encode_special_tokens = True
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.encode(text), "<u4").tobytes()
+
+
+def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, json_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces: its ids, then end_id.
 
     A document of more than `capacity` ids is cut into pieces of that many, the first of which holds the remainder. A
@@ -73,16 +56,17 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = ByteBpe(ranks_path, pattern), end_id.to_bytes(4, "little")
-        for batch in batches:
-            ids, texts = column(batch, "doc_id"), column(batch, "text")
-            for lo in range(0, len(texts), 500):
-                rows = []
-                for doc, raw in zip(ids[lo : lo + 500], bpe.ids([t or "" for t in texts[lo : lo + 500]]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    at = [0, *range(n % capacity or capacity, n, capacity), n]
-                    rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+        bpe, end = ByteBpe(ranks_path, pattern, json_path), end_id.to_bytes(4, "little")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch, rows, made = whole.slice(lo, 500), [], {}
+                for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
+                    if (pieces := made.get(text)) is None:  # equal texts of a slice are encoded once
+                        raw = bpe.ids(text or "") + end
+                        n = len(raw) // 4
+                        at = [0, *range(n % capacity or capacity, n, capacity), n]
+                        pieces = made[text] = [(k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+                    rows += [(doc, *p) for p in pieces]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -144,32 +128,51 @@ def pack(items: DataFrame, length: str = "length", capacity: int = 2048, order:
     """Adds sequence_id and offset to items whose length is 1 to `capacity`.
 
     Only how many items have each length, `capacity` numbers at most, reaches the driver; it plans kinds of sequences
-    over those. Each item then finds its place from its number among the items of its length. Repeated rows are items
-    of their own; an empty table stays empty. Columns of items named sequence_id or offset are replaced.
+    over those. Each item then finds its place from its number among the items of its length, by a search in the few
+    places that the plan has. Repeated rows are items of their own; an empty table stays empty; a null or other length is an
+    error. Columns of items named sequence_id or offset are replaced, all others stay as they are.
     """
-    items = items.drop("sequence_id", "offset")
+    names = [f"`{c}`" for c in items.columns if c not in ("sequence_id", "offset")]
     parts = max(1, items.count() // 100_000) * 4
-    items = items.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    sizes = items.groupBy(length, "_part").count()
+    keys = [f"k{i}" for i in range(len(order))]
+    rows = items.select(F.struct(*names).alias("row"), F.col(f"`{length}`").cast("long").alias("length"), *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)], F.pmod(F.xxhash64(*[f"`{c}`" for c in order]), F.lit(parts)).alias("part"))
+    sizes = rows.groupBy("length", "part").count()
+    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("count")).collect()}
+    if any(n is None or not 1 <= n <= capacity for n in counts):
+        raise ValueError(f"{length}: 1 to {capacity}")
     # A third of all items may have one length, so a length is numbered in parts.
-    before = sizes.select(length, "_part", (F.sum("count").over(W.partitionBy(length).orderBy("_part")) - F.col("count")).alias("_before"))
-    items = items.withColumn("_at", F.row_number().over(W.partitionBy(length, "_part").orderBy(*order)) - 1).join(before, [length, "_part"]).withColumn("_nth", F.col("_before") + F.col("_at"))
-    counts = {r[0]: r[1] for r in sizes.groupBy(length).agg(F.sum("count")).collect()}
+    before = sizes.select("length", "part", (F.sum("count").over(W.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
+    at = F.row_number().over(W.partitionBy("length", "part").orderBy(*keys)) - 1
+    rows = rows.withColumn("at", at).join(before, ["length", "part"]).select("row", "length", (F.col("before") + F.col("at")).alias("nth"))
     used, sequence, places = Counter(), 0, []
     for times, lengths in plan(counts, capacity):
         at = 0
         for n, k in sorted(Counter(lengths).items(), reverse=True):
-            places.append((n, used[n], used[n] + times * k, k, sequence, at))
+            places.append((n, used[n], k, sequence, at))
             used[n] += times * k
             at += n * k
         sequence += times
-    # A few entries for each kind of sequence, whatever the number of items.
-    places = items.sparkSession.createDataFrame(places, f"`{length}` long, _from long, _to long, _each long, _sequence long, _offset long")
-    placed = items.join(F.broadcast(places), length).where("_nth >= _from and _nth < _to")
-    nth = F.col("_nth") - F.col("_from")
-    return placed.withColumns({"sequence_id": F.col("_sequence") + F.floor(nth / F.col("_each")), "offset": F.col("_offset") + F.pmod(nth, F.col("_each")) * F.col(length)}).drop("_part", "_before", "_at", "_nth", "_from", "_to", "_each", "_sequence", "_offset")
+    # A few entries for each kind of sequence, so some thousands whatever the number of items.
+    of, first, each, begin, offset = (np.array(c, np.int64) for c in zip(*sorted(places), strict=True)) if places else (np.zeros(0, np.int64),) * 5
+    # one number a place, rising with length and number, so that one search serves all lengths
+    base = np.concatenate([[0], np.cumsum([counts.get(n, 0) for n in range(1, capacity + 1)])])
+    start = base[of - 1] + first
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, nth = (batch.column(i).to_numpy() for i in (1, 2))
+            k = np.searchsorted(start, base[n - 1] + nth, side="right") - 1
+            inside = nth - first[k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begin[k] + inside // each[k]), pa.array(offset[k] + inside % each[k] * n)], ["row", "sequence_id", "offset"])
+
+    schema = T.StructType([rows.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return rows.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048) -> DataFrame:
-    """The pieces of all documents with sequence_id and offset. The pieces, some 40 bytes each, are written once."""
-    return pack(kept(token_pieces(docs, ranks_path, pattern, capacity)), capacity=capacity)
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, json_path: str, capacity: int = 2048) -> DataFrame:
+    """The pieces of all documents (see token_pieces) with sequence_id and offset (see pack).
+
+    The pieces, some 40 bytes each, are written once. Null texts are empty; null and repeated ids are ids like others; an empty
+    table gives none.
+    """
+    return pack(kept(token_pieces(docs, ranks_path, pattern, json_path, capacity)), capacity=capacity)

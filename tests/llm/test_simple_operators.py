@@ -10,7 +10,7 @@ import pytest
 from sigtables.llm import media, packing, sharding, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, sequence_id string, n_tokens string"
-TEXTS = [None, "", " ", "a", "x  y\n\n z ", "Né à Zürich 漢字　 ok\tend\r\n", "don't  stop\n", "\n", "tail ", "same text", "same text", "word " * 5000, "ab  cd  e", "<|endoftext|> 12345 !!", "a\nb\nc d", "\x1c x\x00y 🎉🎉"]
+TEXTS = [None, "", " ", "a", "x  y\n\n z ", "Né à Zürich 漢字　 ok\tend\r\n", "don't  stop\n", "\n", "tail ", "same text", "same text", "word " * 5000, " " * 400_000 + "x", "a" + "\n" * 9_999 + "b", "ab" * 50_000, "ab  cd  e", "<|endoftext|> 12345 !!", "a\nb\nc d", "\x1c x\x00y 🎉🎉"]
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def token_ids(texts):
 
 
 def test_packing_against_tokenizers(spark, docs):
-    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack_documents(docs, *args).collect()
     want, rows = Counter(), docs.collect()
     for r, ids in zip(rows, token_ids([r.text or "" for r in rows]), strict=True):
@@ -55,6 +55,19 @@ def test_packing_against_tokenizers(spark, docs):
     assert packing.pack_documents(empty(spark), *args).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["length", "doc_id", "piece", "row", "part", "nth", "at", "before", "sequence_id", "_part", "a b", "c.d"]
+    rows = [tuple([n, i, 0, *(f"{c}{i}" for c in names[3:])]) for i, n in enumerate([60, 60, 40, 25, 15, 100])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if k < 3 else 'string'}" for k, c in enumerate(names)))
+    out = packing.pack(df, capacity=100)
+    assert out.columns == [c for c in names if c != "sequence_id"] + ["sequence_id", "offset"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert {i: (got[i].length, got[i]["_part"], got[i]["a b"], got[i]["c.d"]) for i in got} == {i: (r[0], f"_part{i}", f"a b{i}", f"c.d{i}") for i, r in enumerate(rows)}
+    assert len({r.sequence_id for r in got.values()}) == 3
+    with pytest.raises(ValueError):
+        packing.pack(df, capacity=99)
+
+
 def test_plan_uses_exact_complements():
     assert packing.plan({60: 3, 40: 2, 25: 1, 15: 1}, 100) == [(2, [60, 40]), (1, [60, 25, 15])]
     assert packing.plan({50: 1, 20: 1, 17: 1, 13: 1}, 100) == [(1, [50, 20, 17, 13])]
