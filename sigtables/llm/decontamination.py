@@ -16,14 +16,14 @@ from sigtables.llm._text import Words, blocks, column
 
 #: Hashed words, rank of the latent space and extra directions of the random range.
 DIMENSIONS, RANK, EXTRA = 1 << 15, 96, 16
-#: Dimensions in a block of partial sums.
-BLOCK = 1 << 10
+#: Dimensions in a block of partial sums, and passages in a step of them.
+BLOCK, STEP = 1 << 10, 512
 #: A passage is two neighbouring halves of so many words.
 HALF = 32
 #: Passages whose sums one task adds up, about, and how many tasks' sums are added in one step.
-FIT_PASSAGES, FAN = 250_000, 64
+FIT_PASSAGES, FAN = 125_000, 64
 #: Passages of items that one block of the search holds on average at most; more are searched in more blocks.
-ITEMS_PER_BLOCK = 2_000
+ITEMS_PER_BLOCK = 8_000
 COSINE, OVERLAP, ALIGNED, ANSWERED = 0.5, 0.6, 0.6, 0.5
 #: Words at an item's end that stand for its answer.
 ANSWER_WORDS = 8
@@ -80,34 +80,32 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
 
-def passage_words(w: Words) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct (passage, dimension) pairs, and the number of passages."""
-    start, _ = halves(w)
-    first, last, _ = passages(w)
-    end = np.append(start[1:], len(w.hash))
-    size = end[last] - start[first]
-    who = np.repeat(np.arange(len(first)), size)
-    at = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[first], size)
-    key = np.unique(who * DIMENSIONS + places(w)[at])
-    return key // DIMENSIONS, key % DIMENSIONS, len(first)
+def tile_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct dimensions each tile has, and all of them. Tiles are every second passage: they hold each word once."""
+    n = np.diff(w.first)
+    per = -(-n // (2 * HALF))
+    inner = np.arange(len(w.hash)) - np.repeat(w.first[:-1], n)
+    tile = np.repeat(np.cumsum(per) - per, n) + inner // (2 * HALF)
+    key = np.unique(tile * DIMENSIONS + places(w))
+    return np.bincount(key // DIMENSIONS, minlength=per.sum()), key % DIMENSIONS
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """The distinct dimensions of each passage, a row for each block of texts: how many each has, and all of them."""
+    """The distinct dimensions of each tile, a row for each block of texts: how many each has, and all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             source = column(batch, "text")
             for lo, hi in blocks([t or "" for t in source], 1 << 18):
-                who, what, n = passage_words(words(source[lo:hi]))
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.bincount(who, minlength=n).astype(np.uint8), what.astype(np.uint16))], ["sizes", "places"])
+                sizes, what = tile_words(words(source[lo:hi]))
+                if len(sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype(np.uint8), what.astype(np.uint16))], ["sizes", "places"])
 
     return texts.select("text").mapInArrow(run, "sizes binary, places binary")
 
 
 def frequencies(packs: DataFrame) -> tuple[np.ndarray, int]:
-    """Passages that have a word of each dimension, and all passages, of packed texts. DIMENSIONS numbers reach the driver."""
+    """Tiles that have a word of each dimension, and all tiles, of packed texts. DIMENSIONS numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -126,94 +124,59 @@ def frequencies(packs: DataFrame) -> tuple[np.ndarray, int]:
     return out, sum(n for d, n in found if d < 0)
 
 
-def tfidf(idf: np.ndarray) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """For latent_basis: the TF-IDF vectors, each as long as `length` says, of packed passages."""
-
-    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for sizes, places_, length in zip(column(batch, "sizes"), column(batch, "places"), column(batch, "length"), strict=True):
-            size, what = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(places_, np.uint16).astype(np.int64)
-            x = idf[what]
-            norm = np.sqrt(np.add.reduceat(x * x, np.cumsum(size) - size))
-            yield size, what, (x * np.repeat(length / norm, size)).astype(np.float32)
-
-    return entries
-
-
-def sparse(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For latent_basis: rows of dims and weights."""
-    dims, weights = batch.column(0), batch.column(1)
-    yield np.diff(dims.offsets.to_numpy()), dims.flatten().to_numpy(), weights.flatten().to_numpy()
+def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, seed: int = 3, tasks: int = FAN) -> np.ndarray:
+    """The leading right singular vectors, a column each, of the matrix A of TF-IDF vectors of all packed tiles.
 
-
-def latent_basis(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, seed: int = 3, entries: Callable[[pa.RecordBatch], Iterator] = sparse, tasks: int = FAN) -> np.ndarray:
-    """The leading right singular vectors, a column each, of the sparse matrix whose rows are (dims, weights).
-
-    entries gives, for a batch of rows, how many entries each row of the matrix has, their dimensions and weights.
-    Randomised range finding: tasks add up A'(A G) for a Gaussian G; its orthonormal basis Q spans about the row space.
-    Then tasks add up (A Q)'(A Q), whose eigenvectors turn Q into singular vectors. Sums, not rows, reach the driver; those
-    of FAN tasks are added first, then FAN of these sums and so on. rows has about `tasks` partitions.
+    rows: sizes and places as packed() gives them, and length, which each of the row's vectors gets.
+    Randomised SVD in one pass: tasks add up Y = A'(A G) for a Gaussian G. As A'A is about Y (G'Y)^-1 Y', the left singular
+    vectors of Y (G'Y)^(-1/2) are the right ones of A. Sums, not rows, reach the driver; those of FAN tasks are added first,
+    then FAN of these sums and so on. rows has about `tasks` partitions.
     """
     width = rank + extra
     schema = "lane int, block int, sums binary"
-
-    def products(batches: Iterator[pa.RecordBatch], by: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For some rows at a time: the dimensions and weights of their entries, the row of each, and the rows times `by`."""
-        for batch in batches:
-            for size, what, x in entries(batch):
-                size, end = size[size > 0], np.cumsum(size[size > 0])
-                for lo in range(0, len(size), 512):
-                    part = size[lo : lo + 512]
-                    here = slice(int(end[lo] - size[lo]), int(end[lo + len(part) - 1]))
-                    y = by[what[here]]
-                    y *= x[here][:, None]
-                    yield what[here], x[here], np.repeat(np.arange(len(part)), part), np.add.reduceat(y, np.cumsum(part) - part, axis=0)
-
-    def sent(k: int, part: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["lane", "block", "sums"])
+    g = np.random.default_rng(seed).standard_normal((DIMENSIONS, width), np.float32)
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.random.default_rng(seed).standard_normal((DIMENSIONS, width), np.float32)
+        weighted, squares = g * idf[:, None].astype(np.float32), idf * idf
         total = np.zeros((DIMENSIONS, width), np.float32)
-        for what, x, row, y in products(batches, g):
-            order = np.argsort(what.astype(np.uint16), kind="stable")
-            new = np.flatnonzero(np.diff(what[order], prepend=-1))
-            z = y[row[order]]
-            z *= x[order][:, None]
-            total[what[order][new]] += np.add.reduceat(z, new, axis=0)
+        for batch in batches:
+            for sizes, places_, length in zip(*(column(batch, c) for c in ("sizes", "places", "length")), strict=True):
+                size, what = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(places_, np.uint16)
+                end = np.cumsum(size)
+                for lo in range(0, len(size), STEP):
+                    part = size[lo : lo + STEP]
+                    here = what[int(end[lo] - size[lo]) : int(end[lo + len(part) - 1])]
+                    begin = np.cumsum(part) - part
+                    y = np.add.reduceat(weighted[here], begin, axis=0)
+                    y *= (length * length / np.add.reduceat(squares[here], begin)).astype(np.float32)[:, None]
+                    order = np.argsort(here, kind="stable")
+                    by_place = here[order]
+                    new = np.flatnonzero(np.diff(by_place.astype(np.int32), prepend=-1))
+                    total[by_place[new]] += np.add.reduceat(y[np.repeat(np.arange(len(part)), part)[order]], new, axis=0)
+        total *= idf[:, None]
+        lane = TaskContext.get().partitionId()
         for k, part in enumerate(np.split(total, DIMENSIONS // BLOCK)):
             if part.any():
-                yield sent(k, part)
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width), np.float32)
-        for _, _, _, t in products(batches, q):
-            total += t.T @ t
-        yield sent(0, total)
+                yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["lane", "block", "sums"])
 
     def added(table: pa.Table) -> pa.Table:
-        total = np.zeros(len(table.column("sums")[0].as_py()) // 4, np.float32)
+        total = np.zeros(BLOCK * width, np.float32)
         for x in table.column("sums"):
             total += np.frombuffer(x.as_py(), np.float32)
         return pa.table({"lane": table.column("lane")[:1], "block": table.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    def summed(task) -> dict[int, np.ndarray]:
-        sums, lanes = rows.mapInArrow(task, schema), tasks
-        while True:
-            sums, lanes = sums.withColumn("lane", F.expr(f"cast(lane div {FAN} as int)")).groupBy("block", "lane").applyInArrow(added, schema), -(-lanes // FAN)
-            if lanes == 1:
-                break
-        out: dict[int, np.ndarray] = {}
-        for _, k, x in sums.collect():
-            out[k] = out.get(k, 0) + np.frombuffer(x, np.float32).reshape(-1, width)
-        return out
-
-    b = np.zeros((DIMENSIONS, width), np.float32)
-    for k, part in summed(ranged).items():
-        b[k * BLOCK : (k + 1) * BLOCK] = part
-    q = np.linalg.qr(b)[0].astype(np.float32)
-    total = summed(gram).get(0, np.zeros((width, width), np.float32)).astype(float)
-    values, vectors = np.linalg.eigh(total)
-    return (q @ vectors[:, ::-1][:, :rank]).astype(np.float32)
+    sums, lanes = rows.mapInArrow(ranged, schema), tasks
+    while True:
+        sums, lanes = sums.withColumn("lane", F.expr(f"cast(lane div {FAN} as int)")).groupBy("block", "lane").applyInArrow(added, schema), -(-lanes // FAN)
+        if lanes == 1:
+            break
+    y = np.zeros((DIMENSIONS, width))
+    for _, k, x in sums.collect():
+        y[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(x, np.float32).reshape(-1, width)
+    core = g.T.astype(float) @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    values = np.maximum(values, max(values[-1], 1e-30) * 1e-6)
+    return np.linalg.svd(y @ (vectors / np.sqrt(values)), full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -241,51 +204,69 @@ class Items:
     offset: np.ndarray
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, overlap: float = OVERLAP, least: float = ALIGNED, answered: float = ANSWERED) -> DataFrame:
-    """doc_id, item_id, cosine, lcs and answer of each item that a document has.
-
-    docs: doc_id and text, whole texts; items: item_id and text. Documents and items are cut into half-overlapping passages of
-    64 words. IDF is counted over all of the documents; the latent space is fitted on all items and all passages; every passage is
-    projected. Passages of a document and an item whose cosine there is `cosine` or more are candidates. They say where the
-    item would stand in the document: its length there (64 words at least), 32 words more on each side and, of an item
-    over 64 words, a quarter of what is over. The item's words that this span has must make up `overlap` of the item's IDF,
-    the longest common subsequence `least` of its words, and that of its last words, its answer, `answered` of those. The
-    best span of a pair is returned; a copy with more words put in than the span has room for may be missed.
-
-    Items reach the driver, in blocks of ITEMS_PER_BLOCK, one search of the documents for each. Null texts and those without words
-    match nothing; null ids are ids like others; repeated rows are reported once. An empty table on either side gives none.
-    """
-    found = None
-    kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id")))
-    schema = f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer double"
+def _blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Items, np.ndarray, np.ndarray]]:
+    """(items, weighted basis, IDF) of each block of the items; none if there are no words in them."""
     known = kept(items.select("item_id", "text").where("text is not null").distinct())
-    n_items = known.count()
-    if not n_items:
-        return docs.sparkSession.createDataFrame([], schema)
+    if known.isEmpty():
+        return
     packs, own = kept(packed(docs)), kept(packed(known))
     df, n = frequencies(packs)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
-    n_own = max(1, frequencies(own)[1])
+    n_own = frequencies(own)[1]
+    if not n_own:
+        return
     up = float(np.sqrt(max(1.0, n / n_own)))  # items weigh as much as the passages
     tasks = pieces(n, FIT_PASSAGES, 12)
-    basis = latent_basis(packs.withColumn("length", F.lit(1.0)).union(own.withColumn("length", F.lit(up))).coalesce(tasks), entries=tfidf(idf), tasks=tasks)
+    basis = latent_basis(packs.withColumn("length", F.lit(1.0)).union(own.withColumn("length", F.lit(up))).coalesce(tasks), idf, tasks=tasks)
     weighted = (basis * idf[:, None]).astype(np.float32)
-    blocks_of = -(-n_own // ITEMS_PER_BLOCK)
+    blocks_of = -(-2 * n_own // ITEMS_PER_BLOCK)
     for k in range(blocks_of):
-        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks_of)) == k).collect() if blocks_of > 1 else known.collect()
+        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks_of)) == k).collect()
         w = words([r.text for r in rows])
         vectors, start, of = passage_vectors(w, weighted)
-        if not len(of):
-            continue
-        cut = [w.hash[a:b].tolist() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-        part = _search(docs, Items([r.item_id for r in rows], cut, vectors, of, start - w.first[of]), weighted, idf, schema, cosine, overlap, least, answered)
+        if len(of):
+            yield Items([r.item_id for r in rows], [w.hash[a:b].tolist() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)], vectors, of, start - w.first[of]), weighted, idf
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, overlap: float = OVERLAP, least: float = ALIGNED, answered: float = ANSWERED) -> DataFrame:
+    """doc_id, item_id, cosine, lcs and answer of each item that a document has.
+
+    docs: doc_id and text, whole texts; items: item_id and text. Documents and items are cut into half-overlapping passages of
+    64 words. IDF and the latent space are counted and fitted on every second passage, which together hold each word of all
+    documents and items once; every passage is projected. Passages of a document and an item whose cosine there is `cosine`
+    or more are candidates. They say where the item would stand in the document: its length there (64 words at least), 32
+    words more on each side and, of an item over 64 words, a quarter of what is over. The item's words that this span has
+    must make up `overlap` of the item's IDF, the longest common subsequence `least` of its words, and that of its last
+    words, its answer, `answered` of those. The best span of a pair is returned; a copy with more words put in than the
+    span has room for may be missed.
+
+    Items reach the driver, in blocks of ITEMS_PER_BLOCK, one search of the documents for each. Null texts and those without words
+    match nothing; null ids are ids like others; repeated rows are reported once. An empty table on either side gives none.
+    """
+    kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id")))
+    schema = f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer double"
+    found = None
+
+    def search(find: Callable[[list[str | None]], list[tuple]], ids: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                own, rows = column(batch, "doc_id"), find(column(batch, "text"))
+                if rows:
+                    numbers = [pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([pa.array([own[r[0]] for r in rows], batch.schema.field("doc_id").type), pa.array([ids[r[1]] for r in rows]), *numbers], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+    for block, weighted, idf in _blocks(docs, items):
+        part = search(finder(block, weighted, idf, cosine, overlap, least, answered), block.ids)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("best")).select("doc_id", "item_id", "best.cosine", "best.lcs", "best.answer")
 
 
-def _search(docs: DataFrame, items: Items, weighted: np.ndarray, idf: np.ndarray, schema: str, cosine: float, overlap: float, least: float, answered: float) -> DataFrame:
+def finder(items: Items, weighted: np.ndarray, idf: np.ndarray, cosine: float, overlap: float, least: float, answered: float) -> Callable[[list[str | None]], list[tuple]]:
+    """A function that gives (text, item, cosine, lcs, answer), both by number, for each span of some texts that an item matches."""
     lengths = np.array([len(x) for x in items.words])
     room = HALF + np.maximum(lengths - 2 * HALF, 0) // 4
     # the distinct words of each item, one item after the other
@@ -297,57 +278,70 @@ def _search(docs: DataFrame, items: Items, weighted: np.ndarray, idf: np.ndarray
     begins = np.cumsum(sizes) - sizes
     need = overlap * np.bincount(key // len(vocabulary), weights=weight, minlength=len(lengths)) * 0.999
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = np.zeros(len(vocabulary), bool)
-        for batch in slices(batches):
-            ids, texts, rows = column(batch, "doc_id"), column(batch, "text"), []
-            for lo, hi in blocks([t or "" for t in texts], 1 << 18):
-                w = words(texts[lo:hi])
-                vectors, start, of = passage_vectors(w, weighted)
-                if not len(of):
-                    continue
-                near = vectors @ items.vectors.T
-                at, piece = np.nonzero(near >= cosine)
-                if not len(at):
+    def spans(w: Words) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray]]:
+        """(span, text, items, cosines): where candidates would stand."""
+        vectors, start, of = passage_vectors(w, weighted)
+        near = [np.nonzero((x := vectors[lo : lo + STEP] @ items.vectors.T) >= cosine) + (x,) for lo in range(0, len(of), STEP)]
+        at = np.concatenate([lo + a for lo, (a, _, _) in zip(range(0, len(of), STEP), near, strict=True)] or [[]]).astype(np.int64)
+        if not len(at):
+            return
+        piece, near = np.concatenate([b for _, b, _ in near]), np.concatenate([x[a, b] for a, b, x in near])
+        item = items.of[piece]
+        begin = start[at] - items.offset[piece]  # where the item would start
+        stop = np.minimum(begin + np.maximum(lengths[item], 2 * HALF) + room[item], w.first[of[at] + 1])
+        begin = np.maximum(begin - room[item], w.first[of[at]])
+        order = np.lexsort((-near, item, stop, begin))
+        at, item, near, begin, stop = (x[order] for x in (at, item, near, begin, stop))
+        moved = (np.diff(begin, prepend=-1) != 0) | (np.diff(stop, prepend=-1) != 0)
+        first = np.flatnonzero(moved | (np.diff(item, prepend=-1) != 0))  # of each item at a span the nearest passages
+        at, item, near, begin, stop = (x[first] for x in (at, item, near, begin, stop))
+        edge = np.flatnonzero((np.diff(begin, prepend=-1) != 0) | (np.diff(stop, prepend=-1) != 0))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True):
+            yield slice(int(begin[a]), int(stop[a])), int(of[at[a]]), item[a:b], near[a:b]
+
+    def find(texts: list[str | None]) -> list[tuple]:
+        present, out = np.zeros(len(vocabulary), bool), []
+        for lo, hi in blocks([t or "" for t in texts], 1 << 18):
+            w, slot = words(texts[lo:hi]), None
+            for here, text, j, near in spans(w):
+                if slot is None:
+                    slot = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
+                    hit = vocabulary[slot] == w.hash
+                own = slot[here][hit[here]]
+                present[own] = True
+                k = ranges(begins[j], sizes[j])
+                has = np.add.reduceat(np.where(present[slots[k]], weight[k], 0), np.cumsum(sizes[j]) - sizes[j])
+                present[own] = False
+                good = np.flatnonzero(has >= need[j])
+                if not len(good):
                     continue
-                item, near = items.of[piece], near[at, piece]
-                begin = start[at] - items.offset[piece]  # where the item would start
-                stop = np.minimum(begin + np.maximum(lengths[item], 2 * HALF) + room[item], w.first[of[at] + 1])
-                begin = np.maximum(begin - room[item], w.first[of[at]])
-                order = np.lexsort((-near, item, stop, begin))
-                at, item, near, begin, stop = (x[order] for x in (at, item, near, begin, stop))
-                moved = (np.diff(begin, prepend=-1) != 0) | (np.diff(stop, prepend=-1) != 0)
-                first = np.flatnonzero(moved | (np.diff(item, prepend=-1) != 0))  # of each item at a span the nearest passages
-                at, item, near, begin, stop = (x[first] for x in (at, item, near, begin, stop))
-                edge = np.flatnonzero((np.diff(begin, prepend=-1) != 0) | (np.diff(stop, prepend=-1) != 0))
-                slot = np.searchsorted(vocabulary, w.hash)
-                slot[slot == len(vocabulary)] = 0
-                hit = vocabulary[slot] == w.hash
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True):
-                    here = slice(int(begin[a]), int(stop[a]))
-                    own = slot[here][hit[here]]
-                    present[own] = True
-                    j = item[a:b]
-                    k = ranges(begins[j], sizes[j])
-                    has = np.add.reduceat(np.where(present[slots[k]], weight[k], 0), np.cumsum(sizes[j]) - sizes[j])
-                    present[own] = False
-                    good = np.flatnonzero(has >= need[j])
-                    if not len(good):
-                        continue
-                    around = w.hash[here].tolist()
-                    for i, c in zip(j[good].tolist(), near[a:b][good].tolist(), strict=True):
-                        x = items.words[i]
-                        share = common_subsequence(x, around) / len(x)
-                        tail = x[-ANSWER_WORDS:]
-                        answer = common_subsequence(tail, around) / len(tail)
-                        if share >= least and answer >= answered:
-                            rows.append((ids[lo + int(of[at[a]])], items.ids[i], c, share, answer))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows]), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "cosine", "lcs", "answer"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                around = w.hash[here].tolist()
+                for i, c in zip(j[good].tolist(), near[good].tolist(), strict=True):
+                    x = items.words[i]
+                    share = common_subsequence(x, around) / len(x)
+                    tail = x[-ANSWER_WORDS:]
+                    answer = common_subsequence(tail, around) / len(tail)
+                    if share >= least and answer >= answered:
+                        out.append((lo + text, i, c, share, answer))
+        return out
+
+    return find
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that have no item; those without an id stay."""
-    return docs.join(find_leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that have no item (see find_leaks), each judged by its own text, with whatever ids; nothing is shuffled."""
+    out = docs
+
+    def clean(find: Callable[[list[str | None]], list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                stays = np.ones(batch.num_rows, bool)
+                stays[[r[0] for r in find(column(batch, "text"))]] = False
+                if stays.any():
+                    yield batch.filter(pa.array(stays))
+
+        return run
+
+    for block, weighted, idf in _blocks(docs, items):
+        out = out.mapInArrow(clean(finder(block, weighted, idf, COSINE, OVERLAP, ALIGNED, ANSWERED)), docs.schema)
+    return out

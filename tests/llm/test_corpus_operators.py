@@ -126,19 +126,22 @@ def test_common_subsequence():
     assert decontamination.common_subsequence([], [1]) == 0 == decontamination.common_subsequence([1], [])
 
 
+def pack(tiles):
+    return [(np.array([len(t) for t in tiles], np.uint8).tobytes(), np.array([x for t in tiles for x in t], np.uint16).tobytes(), 1.0)]
+
+
 def test_latent_basis_spans_the_leading_directions(spark):
-    rnd = np.random.default_rng(1)
-    rows = []
-    for i in range(60):
-        x = np.zeros(8)
-        x[i % 3] = 5.0 + i % 2
-        rows.append((list(range(8)), (x + 0.01 * rnd.standard_normal(8)).tolist()))
-    v = decontamination.latent_basis(spark.createDataFrame(rows, "dims array<int>, weights array<float>"), 3, 4)
-    assert v.shape == (decontamination.DIMENSIONS, 3)
-    assert np.allclose(np.linalg.norm(v[:3], axis=1), 1, atol=0.01) and np.allclose(v.T @ v, np.eye(3), atol=1e-3)
+    tiles = [[10 * (i % 3), 10 * (i % 3) + 1, *([100 + i] if i % 20 == 0 else [])] for i in range(60)]
+    rows = [r for k in range(0, 60, 7) for r in pack(tiles[k : k + 7])]
+    v = decontamination.latent_basis(spark.createDataFrame(rows, "sizes binary, places binary, length double"), np.ones(decontamination.DIMENSIONS), 3, 4)
+    assert v.shape == (decontamination.DIMENSIONS, 3) and np.allclose(v.T @ v, np.eye(3), atol=1e-3)
+    for k in range(3):
+        x = np.zeros(len(v))
+        x[[10 * k, 10 * k + 1]] = 0.5**0.5
+        assert np.linalg.norm(v.T @ x) > 0.99
 
 
-def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+def test_latent_space_is_fitted_on_every_word(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "FIT_PASSAGES", 20)  # sums of many tasks, added in several steps
     monkeypatch.setattr(decontamination, "FAN", 2)
     rnd = random.Random(5)
@@ -146,19 +149,24 @@ def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     bench = [prose(rnd, rnd.randint(20, 150), VOCABULARY) for _ in range(10)]
     seen = {}
 
-    def watched(rows, entries, tasks):
-        seen.update(rows=[(list(s), list(p), r.length) for r in rows.collect() for s, p in [(np.frombuffer(r.sizes, np.uint8), np.frombuffer(r.places, np.uint16))]])
-        seen["basis"] = basis(rows, entries=entries, tasks=tasks)
+    def watched(rows, idf, tasks):
+        seen.update(rows=[(list(s), list(p), r.length) for r in rows.collect() for s, p in [(np.frombuffer(r.sizes, np.uint8), np.frombuffer(r.places, np.uint16))]], idf=idf)
+        seen["basis"] = basis(rows, idf, tasks=tasks)
         return seen["basis"]
 
     basis = decontamination.latent_basis
     monkeypatch.setattr(decontamination, "latent_basis", watched)
     decontamination.find_leaks(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(docs)], SCHEMA).repartition(30), spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).count()
-    n, n_own = (sum(max(1, -(-len(t.split()) // 32) - 1) for t in texts if t) for texts in (docs, bench))
-    assert sum(len(s) for s, _, length in seen["rows"] if length == 1) == n and sum(len(s) for s, _, length in seen["rows"] if length != 1) == n_own
-    idf = np.zeros(decontamination.DIMENSIONS)
+
+    def tiles(texts):
+        return sorted(len(set(w[k : k + 64])) for w in (t.split() for t in texts if t) for k in range(0, len(w), 64))
+
+    assert sorted(x for s, _, length in seen["rows"] if length == 1 for x in s) == tiles(docs)
+    assert sorted(x for s, _, length in seen["rows"] if length != 1 for x in s) == tiles(bench)
+    n, idf, dense = len(tiles(docs)), np.zeros(decontamination.DIMENSIONS), []
     np.add.at(idf, [x for _, p, length in seen["rows"] if length == 1 for x in p], 1)
-    idf, dense = np.log((n + 1) / (idf + 1)) + 1e-3, []
+    idf = np.log((n + 1) / (idf + 1)) + 1e-3
+    assert np.allclose(idf, seen["idf"])
     for s, p, length in seen["rows"]:
         for x in np.split(np.array(p), np.cumsum(s)[:-1]):
             v = np.zeros(len(idf))
