@@ -18,8 +18,18 @@ LAST = np.iinfo(np.int64).max
 
 
 def by_chunk(docs: DataFrame, chunks: int) -> DataFrame:
-    """docs with their chunk in _chunk, to be grouped by it; the same shuffle serves every later use in a job."""
-    return docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    """doc, doc_id, text and chunk, to be grouped by chunk; the same shuffle serves every later use in a job.
+
+    doc holds all other columns, whatever they are called. Texts of one id, or of none, are dealt to all chunks.
+    """
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    own = F.struct(*others) if others else F.lit(None).cast("boolean")
+    return docs.select(own.alias("doc"), "doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
+
+
+def answered(docs: DataFrame, result: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of docs and then those of `names`, from rows of by_chunk() with these added."""
+    return result.select(*[f"`{c}`" if c in ("doc_id", "text") else F.col("doc").getField(c).alias(c) for c in docs.columns], *names)
 
 
 def ids(table: pa.Table, name: str = "doc_id") -> np.ndarray:
@@ -62,6 +72,19 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
+def same_least(first: np.ndarray, second: np.ndarray, docs: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct pair of keys, its least doc and whether it is in several docs or any of its rows is `often`."""
+    order = np.lexsort((second, first))
+    a, b, d = first[order], second[order], docs[order]
+    edge = np.ones(len(a), bool)
+    edge[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(edge)
+    if not len(at):
+        return a, b, d, often
+    least = np.minimum.reduceat(d, at)
+    return a[at], b[at], least, (np.maximum.reduceat(d, at) > least) | np.maximum.reduceat(often[order], at)
+
+
 def same_before(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each row the least doc of the rows with its pair of keys."""
     order = np.lexsort((second, first))
@@ -74,8 +97,8 @@ def same_before(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.n
     return out
 
 
-KEYS = pa.schema([("_part", pa.int32()), ("_chunk", pa.int32()), ("keys", pa.binary()), ("often", pa.binary())])
-REPEATED = pa.schema([("_chunk", pa.int32()), ("_part", pa.int32()), ("keys", pa.binary())])
+KEYS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("often", pa.binary())])
+REPEATED = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())])
 LOW = np.uint64((1 << 32) - 1)
 
 
@@ -96,22 +119,22 @@ def send_keys(chunk: int, found: np.ndarray, parts: int) -> pa.Table:
 
 def known(answers: pa.Table) -> np.ndarray:
     """The codes of the keys in answers of repeated(), sorted."""
-    rows = zip(answers.column("_part").to_pylist(), answers.column("keys").to_pylist(), strict=True)
+    rows = zip(answers.column("part").to_pylist(), answers.column("keys").to_pylist(), strict=True)
     return np.sort(np.concatenate([numbers(k, "<u4").astype(np.uint64) | (np.uint64(part) << np.uint64(32)) for part, k in rows]))
 
 
 def repeated(sent: DataFrame) -> DataFrame:
-    """_chunk, _part and keys: of the keys that each chunk sent, those that stand at more than one place in all chunks."""
+    """chunk, part and keys: of the keys that each chunk sent, those that stand at more than one place in all chunks."""
 
     def answer(table: pa.Table) -> pa.Table:
         keys, times = np.unique(np.concatenate([joined(table, "keys", "<u4"), joined(table, "often", "<u4")]), return_counts=True)
         keys = keys[times > 1]
-        rows = ((c, p, (x := numbers(k, "<u4"))[among(x, keys)].tobytes()) for c, p, k in zip(table.column("_chunk").to_pylist(), table.column("_part").to_pylist(), table.column("keys").to_pylist(), strict=True))
+        rows = ((c, p, (x := numbers(k, "<u4"))[among(x, keys)].tobytes()) for c, p, k in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), table.column("keys").to_pylist(), strict=True))
         return table_of(REPEATED, (r for r in rows if r[2]))
 
-    return sent.groupBy("_part").applyInArrow(answer, "_chunk int, _part int, keys binary")
+    return sent.groupBy("part").applyInArrow(answer, "chunk int, part int, keys binary")
 
 
 def with_answers(chunked: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """run(documents of a chunk, its answers); chunks without documents have no answers."""
-    return chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(run, schema)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,24 +66,43 @@ def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+_multipliers: dict[int, np.ndarray] = {}
+
+
+def multipliers(n: int, which: int) -> np.ndarray:
+    """n odd numbers without a rule between them, so that no pattern of bytes cancels out in sums of their products."""
+    have = _multipliers.get(which)
+    if have is None or len(have) < n:
+        have = _multipliers[which] = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * np.uint64(BASES[which])) | np.uint64(1)
+    return have[:n]
+
+
 class Words:
-    """The words of some texts: where each starts and ends in `data`, its text's number and its hash."""
+    """The words of some texts: where each starts and ends in `data`, its text's number and two hashes, independent of each other."""
 
     def __init__(self, texts: list[bytes]):
         self.raw = b" ".join(texts) + b" "
         self.data = np.frombuffer(self.raw, np.uint8)
-        gap = SPACE[self.data]
-        edge = np.flatnonzero(np.diff(gap, prepend=True))
+        self.gap = SPACE[self.data]
+        edge = np.flatnonzero(np.diff(self.gap, prepend=True))
         self.start, self.end = edge[::2], edge[1::2]
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.text = np.searchsorted(ends, self.start, side="right")
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        self.hash = np.zeros(0, np.uint64)
-        if len(self.start):
-            n = len(self.data)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(BYTE_CODE[self.data] * powers(n), out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * powers(n, 0, True)[self.start])
+        self.hash = self.hashes(0)
+
+    def hashes(self, which: int) -> np.ndarray:
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        size = (self.end - self.start).astype(np.int32)
+        begin = np.cumsum(size, dtype=np.int32) - size
+        inner = np.arange(size.sum(), dtype=np.int32) - np.repeat(begin, size)
+        sums = np.add.reduceat(BYTE_CODE[self.data[~self.gap]] * multipliers(int(size.max()), which)[inner], begin)
+        return mix(sums + size.astype(np.uint64))
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        return self.hashes(1)
 
 
 def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,8 +22,8 @@ from sigtables.llm._text import BYTE_CODE, anchors, blocks, mix, powers, rolling
 CHUNK = 4 << 20
 GRAM = 16
 
-SENT = pa.schema([("_part", pa.int32()), ("_chunk", pa.int32()), ("strings", pa.binary()), ("runs", pa.binary()), ("owners", pa.binary()), ("anchors", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("size", pa.int64())])
-EARLIER = pa.schema([("_chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("masks", pa.binary())])
+SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("strings", pa.binary()), ("runs", pa.binary()), ("owners", pa.binary()), ("anchors", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("size", pa.int64())])
+EARLIER = pa.schema([("chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("masks", pa.binary())])
 
 
 class Runs:
@@ -131,7 +131,7 @@ def compare(table: pa.Table, length: int) -> pa.Table:
     first, second = X.joined(table, "first"), X.joined(table, "second", "<u4")
     edges = np.cumsum([0, *(len(x) for x in table.column("runs").to_pylist())])
     out = []
-    for c, a, b in zip(table.column("_chunk").to_pylist(), edges, edges[1:], strict=False):
+    for c, a, b in zip(table.column("chunk").to_pylist(), edges, edges[1:], strict=False):
         k = np.flatnonzero(masks[a:b]) + a
         if len(k):
             out.append((c, first[k].tobytes(), second[k].tobytes(), masks[k].tobytes()))
@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
     """
     if not GRAM < length <= GRAM + 63 - 12:
         raise ValueError(f"length: {GRAM + 1} to {GRAM + 51}")
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_chunk")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     total = text_bytes(docs)
     key_parts, parts = pieces(total, 64 << 20, 12), pieces(total, CHUNK, 12)
     chunked = X.by_chunk(docs, pieces(total, CHUNK, 12))
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
             yield Runs(own[lo:hi], length), who[lo:hi], own[lo:hi]
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        return X.send_keys(table.column("_chunk")[0].as_py(), np.concatenate([r.value for r, _, _ in runs_of(table)]), key_parts)
+        return X.send_keys(table.column("chunk")[0].as_py(), np.concatenate([r.value for r, _, _ in runs_of(table)]), key_parts)
 
     def send_runs(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
         order = np.lexsort((second, first))
         edge = np.ones(len(order), bool)
         edge[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-        k, chunk = order[edge], docs_.column("_chunk")[0].as_py()
+        k, chunk = order[edge], docs_.column("chunk")[0].as_py()
         low = value.astype(np.uint32)  # tells anchors of a part apart well enough: runs of two that look the same are only ranked in vain
 
         def packed(part: int, cut: list[np.ndarray]) -> tuple:
@@ -187,8 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
 
         return X.table_of(SENT, (packed(part, cut) for part, cut in X.dealt(value[k], parts, [c[k] for c in (strings, count, owner, low, first, second)])))
 
-    out = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if readable else T.BinaryType())])
-    names = docs.columns
+    out = T.StructType([*chunked.drop("chunk").schema, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if readable else T.BinaryType())])
 
     def remove(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         held = list(runs_of(docs_))
@@ -220,15 +219,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
                 columns[2].append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0)
                 left = r.data[end - len(t) : end][~g].tobytes() if removed else t
                 columns[3].append(left.decode("utf-8", "ignore") if readable else left)
-        table = docs_.select(names)
+        table = docs_.drop_columns(["chunk"])
         for name, values, kind in zip(("n_bytes", "n_removed", "n_spans", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string() if readable else pa.binary()), strict=True):
             table = table.append_column(name, pa.array(values, kind))
         return table
 
-    anchored = X.repeated(chunked.groupBy("_chunk").applyInArrow(send_anchors, "_part int, _chunk int, keys binary, often binary"))
-    sent = X.with_answers(chunked, anchored, send_runs, "_part int, _chunk int, strings binary, runs binary, owners binary, anchors binary, first binary, second binary, size long")
-    gone = sent.groupBy("_part").applyInArrow(lambda t: compare(t, length), "_chunk int, first binary, second binary, masks binary")
-    return X.with_answers(chunked, gone, remove, out)
+    anchored = X.repeated(chunked.groupBy("chunk").applyInArrow(send_anchors, "part int, chunk int, keys binary, often binary"))
+    sent = X.with_answers(chunked, anchored, send_runs, "part int, chunk int, strings binary, runs binary, owners binary, anchors binary, first binary, second binary, size long")
+    gone = sent.groupBy("part").applyInArrow(lambda t: compare(t, length), "chunk int, first binary, second binary, masks binary")
+    return X.answered(docs, X.with_answers(chunked, gone, remove, out), ["n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def digest(docs: DataFrame) -> DataFrame:

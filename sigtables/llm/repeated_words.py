@@ -14,8 +14,8 @@ from sigtables.llm._text import Words, anchors, blocks, rolling
 
 #: Bytes of text in a chunk of documents.
 CHUNK = 4 << 20
-SENT = pa.schema([("_part", pa.int32()), ("_chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("docs", pa.binary())])
-EARLIER = pa.schema([("_chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary())])
+SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("docs", pa.binary()), ("often", pa.binary())])
+EARLIER = pa.schema([("chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("docs", pa.binary())])
 
 
 class Levels:
@@ -49,17 +49,20 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     that lies in the window; then the window itself. Only what one level finds repeated is extended for the next, up to
     `window`, beyond which no more is removed.
 
+    Windows are equal if two independent 64-bit hashes of their words are.
+
     A null text counts as empty and keeps nothing; texts under `window` words are untouched; a null doc_id counts as
-    larger than any; rows with equal ids don't count as each other's repeats. Columns of docs of these names are replaced.
+    larger than any; rows with equal ids don't count as each other's repeats. Columns of docs of these names are replaced,
+    all others stay as they are; an empty table stays empty.
     """
-    docs = docs.drop("n_words", "n_removed", "kept", "_chunk")
+    docs = docs.drop("n_words", "n_removed", "kept")
     size = text_bytes(docs)
     parts = pieces(size, 64 << 20, 12)
     chunked, level = X.by_chunk(docs, pieces(size, CHUNK, 12)), Levels(window)
-    keys = "_part int, _chunk int, keys binary, often binary"
+    keys = "part int, chunk int, keys binary, often binary"
 
     def chunk_of(table: pa.Table) -> int:
-        return table.column("_chunk")[0].as_py()
+        return table.column("chunk")[0].as_py()
 
     def words_of(table: pa.Table):
         own, who = X.texts(table), X.ids(table)
@@ -108,79 +111,75 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             key, good = doubled(w, place, 0)
             key_back, good_back = doubled(w, place, back)
             at = at[np.where(late, good_back & X.among(X.coded(key_back, parts), halves), good & X.among(X.coded(key, parts), halves))]
-            found.append((rolling(w.hash, window)[at], rolling(w.hash, window, 1)[at], who[w.text[at]]))
-        first, second, owner = (np.concatenate(c) for c in zip(*found, strict=True))
-        if not len(first):
+            if len(at):
+                found.append((rolling(w.hash, window)[at], rolling(w.second, window, 1)[at], who[w.text[at]]))
+        if not found:
             return SENT.empty_table()
-        owner = X.same_before(first, second, owner)
-        at = distinct(first, second)
+        first, second, owner = (np.concatenate(c) for c in zip(*found, strict=True))
+        columns = X.same_least(first, second, owner, np.zeros(len(first), bool))
         chunk = chunk_of(docs_)
-        return X.table_of(SENT, ((part, chunk, *(c.tobytes() for c in cut)) for part, cut in X.dealt(first[at], parts, [first[at], second[at], owner[at]])))
+        return X.table_of(SENT, ((part, chunk, *(c.tobytes() for c in cut)) for part, cut in X.dealt(columns[0], parts, list(columns))))
 
     def earlier(table: pa.Table) -> pa.Table:
-        """Of each chunk's windows those that a smaller document of another chunk has."""
-        first, second, owner = X.joined(table, "first"), X.joined(table, "second"), X.joined(table, "docs", "<i8")
-        seen = X.same_before(first, second, owner) < owner
+        """Of each chunk's windows those that are in several documents, and the least of these."""
+        first, second, owner, often = (X.joined(table, c, k) for c, k in zip(("first", "second", "docs", "often"), ("<u8", "<u8", "<i8", "?"), strict=True))
+        least = X.same_before(first, second, owner)
+        back = often | (least < owner)
         sizes = np.cumsum([0, *(len(x) // 8 for x in table.column("first").to_pylist())])
-        rows = ((c, first[a:b][seen[a:b]].tobytes(), second[a:b][seen[a:b]].tobytes()) for c, a, b in zip(table.column("_chunk").to_pylist(), sizes, sizes[1:], strict=False))
+        rows = ((c, *(x[a:b][back[a:b]].tobytes() for x in (first, second, least))) for c, a, b in zip(table.column("chunk").to_pylist(), sizes, sizes[1:], strict=False))
         return X.table_of(EARLIER, (r for r in rows if r[1]))
 
-    out = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    names = docs.columns
-
     def remove(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        held, per = list(words_of(docs_)), []
-        for w, who, _ in held:
-            at = np.arange(max(0, len(w.hash) - window + 1))
-            at = at[w.text[at] == w.text[at + window - 1]]
-            per.append((at, rolling(w.hash, window)[at], rolling(w.hash, window, 1)[at], who[w.text[at]]))
-        first, second, owner = (np.concatenate([p[k] for p in per]) if per else np.zeros(0, np.uint64) for k in (1, 2, 3))
-        least = X.same_before(first, second, owner)
-        gone = least < owner
-        if answers.num_rows:
-            a, b = X.joined(answers, "first"), X.joined(answers, "second")
-            order = np.argsort(a)
-            a, b = a[order], b[order]
-            pos = np.minimum(np.searchsorted(a, first), len(a) - 1)
-            gone |= (a[pos] == first) & (b[pos] == second)
-        counts, removed, kept, at0 = [], [], [], 0
-        for (w, who, _), (at, *_) in zip(held, per, strict=True):
-            cover = np.zeros(len(w.hash) + 1, np.int64)
-            own = at[gone[at0 : at0 + len(at)]]
-            at0 += len(at)
-            np.add.at(cover, own, 1)
-            np.add.at(cover, own + window, -1)
+        first, second, least = X.joined(answers, "first"), X.joined(answers, "second"), X.joined(answers, "docs", "<i8")
+        order = np.argsort(first)
+        first, second, least = first[order], second[order], least[order]
+        counts, removed, kept = [], [], []
+        for w, who, _ in words_of(docs_):
+            cover = np.zeros(len(w.hash) + 1, np.int32)
+            windows = rolling(w.hash, window) if len(first) else first
+            if len(windows):
+                pos = np.minimum(np.searchsorted(first, windows), len(first) - 1)
+                at = np.flatnonzero((first[pos] == windows) & (w.text[: len(windows)] == w.text[window - 1 :]))
+                if len(at):
+                    k = pos[at]
+                    own = at[(rolling(w.second, window, 1)[at] == second[k]) & (least[k] < who[w.text[at]])]
+                    cover[own] += 1
+                    cover[own + window] -= 1
             stays = np.cumsum(cover)[:-1] == 0
-            for i in range(len(who)):
-                a, b = w.first[i], w.first[i + 1]
-                counts.append(int(b - a))
-                s = np.flatnonzero(stays[a:b]) + a
-                removed.append(int(b - a - len(s)))
-                kept.append(b" ".join([w.raw[x:y] for x, y in zip(w.start[s].tolist(), w.end[s].tolist(), strict=True)]))
-        table = docs_.select(names)
-        for name, values, kind in (("n_words", counts, pa.int64()), ("n_removed", removed, pa.int64()), ("kept", kept, pa.binary())):
-            table = table.append_column(name, pa.array(values, kind).cast(pa.string()) if name == "kept" else pa.array(values, kind))
-        return table
-
-    seeds = X.repeated(chunked.groupBy("_chunk").applyInArrow(send_seeds, keys))
+            n, left, texts = joined(w, stays)
+            counts.append(n)
+            removed.append(n - left)
+            kept += texts
+        table, none = docs_, [np.zeros(0, np.int64)]
+        for name, values in (("n_words", pa.array(np.concatenate(counts or none))), ("n_removed", pa.array(np.concatenate(removed or none))), ("kept", pa.array(kept, pa.binary()).cast(pa.string()))):
+            table = table.append_column(name, values)
+        return table.drop_columns(["chunk"])
+
+    seeds = X.repeated(chunked.groupBy("chunk").applyInArrow(send_seeds, keys))
     halves = X.repeated(X.with_answers(chunked, seeds, send_halves, keys))
-    windows = X.with_answers(chunked, halves, send_windows, "_part int, _chunk int, first binary, second binary, docs binary")
-    gone = windows.groupBy("_part").applyInArrow(earlier, "_chunk int, first binary, second binary")
-    return X.with_answers(chunked, gone, remove, out)
+    windows = X.with_answers(chunked, halves, send_windows, "part int, chunk int, first binary, second binary, docs binary, often binary")
+    gone = windows.groupBy("part").applyInArrow(earlier, "chunk int, first binary, second binary, docs binary")
+    out = T.StructType([*chunked.drop("chunk").schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return X.answered(docs, X.with_answers(chunked, gone, remove, out), ["n_words", "n_removed", "kept"])
+
+
+def joined(w: Words, stays: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of each text, those of them that stay, and these joined by single spaces."""
+    n = np.diff(w.first)
+    size = np.where(stays, w.end - w.start + 1, 0)
+    edge = np.concatenate([[0], np.cumsum(size)])[w.first]  # a space follows each word
+    left = np.concatenate([[0], np.cumsum(stays)])[w.first]
+    step = np.zeros(len(w.data) + 1, np.int8)
+    step[w.start[stays]] += 1
+    step[w.end[stays] + 1] -= 1  # the next word starts there at the earliest
+    mask = np.cumsum(step, dtype=np.int8)[:-1] > 0
+    raw = np.where(w.gap, np.uint8(32), w.data)[mask].tobytes()
+    return n, np.diff(left), [raw[a : max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 KEYS_EMPTY = X.KEYS.empty_table()
 
 
-def distinct(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A place of each distinct pair."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    edge = np.ones(len(a), bool)
-    edge[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order[edge]
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
     return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -105,3 +105,30 @@ def test_readable_leaves_out_parted_characters(spark):
     got = {r.doc_id: r for r in repeated_bytes.remove_repeats(df, readable=True).collect()}
     assert {d: r.kept for d, r in got.items()} == raw and got[2].n_removed > 0
     assert got[3].kept == "" and got[4].kept == "short é"
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeated_words.digest(df).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "some words that are repeated in here " * 20
+    schema = "chunk string, part string, doc string, `a b` int, text string, doc_id long, docs int, kept int"
+    df = spark.createDataFrame([("c", "p", "d", 1, text, 1, 5, 0), ("e", None, "f", 2, text, 2, None, 0)], schema)
+    for module in (repeated_bytes, repeated_words):
+        out = module.remove_repeats(df)
+        assert out.columns[:7] == df.columns[:7] and out.columns[-1] == "kept"
+        got = sorted(out.collect(), key=lambda r: r.doc_id)
+        assert [r[:7] for r in map(tuple, got)] == [r[:7] for r in map(tuple, df.orderBy("doc_id").collect())] and got[1].n_removed > 0
+
+
+def test_many_rows_of_one_id_are_dealt_to_several_chunks(spark):
+    from sigtables.llm import _exchange
+
+    df = spark.createDataFrame([(i % 2 or None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    assert _exchange.by_chunk(df, 8).groupBy("doc_id").agg({"chunk": "max"}).count() == 2
+    assert _exchange.by_chunk(df, 8).select("chunk").distinct().count() == 8
