@@ -16,8 +16,8 @@ from sigtables.llm._text import Words, blocks, column
 
 #: Hashed words, rank of the latent space and extra directions of the random range.
 DIMENSIONS, RANK, EXTRA = 1 << 15, 96, 16
-#: Dimensions in a block of partial sums, and passages in a step of them.
-BLOCK, STEP = 1 << 10, 512
+#: Dimensions in a block of partial sums, passages in a step of them, and dimensions that a step multiplies densely.
+BLOCK, STEP, COMMON = 1 << 10, 1 << 10, 1 << 10
 #: A passage is two neighbouring halves of so many words.
 HALF = 32
 #: Passages whose sums one task adds up, about, and how many tasks' sums are added in one step.
@@ -66,11 +66,28 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.where(follows[first], first + 1, first), text[first]
 
 
+def row_sums(table: np.ndarray, what: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of the rows of table that `what` names, `size` after `size` of them, a group at least; table's last row is 0.
+
+    All groups get their first row at once, then their second and so on; groups have a few dozen.
+    """
+    n, most = len(size), int(size.max())
+    at = np.full((most, n), len(table) - 1)
+    at[np.arange(len(what)) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.arange(n), size)] = what
+    out = np.take(table, at[0], axis=0)
+    one = np.empty_like(out)
+    for k in range(1, most):
+        out += np.take(table, at[k], axis=0, out=one, mode="clip")
+    return out
+
+
 def passage_vectors(w: Words, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(latent vector of length 1, first word, text) of each passage."""
+    """(latent vector of length 1, first word, text) of each passage. weighted: the vector of each dimension, and a 0."""
     start, _ = halves(w)
     first, last, text = passages(w)
-    per_half = np.add.reduceat(weighted[places(w)], start, axis=0) if len(start) else np.zeros((0, weighted.shape[1]), np.float32)
+    if not len(first):
+        return np.zeros((0, weighted.shape[1]), np.float32), start[first], text
+    per_half = row_sums(weighted, places(w), np.diff(start, append=len(w.hash)))
     vectors = per_half[first] + np.where((last > first)[:, None], per_half[last], 0)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), start[first], text
 
@@ -137,8 +154,12 @@ def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
     g = np.random.default_rng(seed).standard_normal((DIMENSIONS, width), np.float32)
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted, squares = g * idf[:, None].astype(np.float32), idf * idf
+        weighted, squares = np.concatenate([g * idf[:, None].astype(np.float32), np.zeros((1, width), np.float32)]), idf * idf
         total = np.zeros((DIMENSIONS, width), np.float32)
+        common = np.argsort(idf, kind="stable")[:COMMON]
+        slot = np.full(DIMENSIONS, -1)
+        slot[common] = np.arange(COMMON)
+        of_common = np.zeros((COMMON, width), np.float32)
         for batch in batches:
             for sizes, places_, length in zip(*(column(batch, c) for c in ("sizes", "places", "length")), strict=True):
                 size, what = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(places_, np.uint16)
@@ -146,13 +167,23 @@ def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
                 for lo in range(0, len(size), STEP):
                     part = size[lo : lo + STEP]
                     here = what[int(end[lo] - size[lo]) : int(end[lo + len(part) - 1])]
-                    begin = np.cumsum(part) - part
-                    y = np.add.reduceat(weighted[here], begin, axis=0)
-                    y *= (length * length / np.add.reduceat(squares[here], begin)).astype(np.float32)[:, None]
+                    y = row_sums(weighted, here, part)
+                    y *= (length * length / np.add.reduceat(squares[here], np.cumsum(part) - part)).astype(np.float32)[:, None]
+                    # each dimension gets the sum of y over the tiles that have it: common ones by a product of matrices
+                    tile, k = np.repeat(np.arange(len(part)), part), slot[here]
+                    has = np.zeros((COMMON, len(part)), np.float32)
+                    has[k[k >= 0], tile[k >= 0]] = 1
+                    of_common += has @ y
+                    here, tile = here[k < 0], tile[k < 0]
                     order = np.argsort(here, kind="stable")
-                    by_place = here[order]
-                    new = np.flatnonzero(np.diff(by_place.astype(np.int32), prepend=-1))
-                    total[by_place[new]] += np.add.reduceat(y[np.repeat(np.arange(len(part)), part)[order]], new, axis=0)
+                    here, tile = here[order], tile[order]
+                    new = np.flatnonzero(np.diff(here.astype(np.int32), prepend=-1))
+                    times, own = np.diff(new, append=len(here)), y[tile[new]]
+                    for i in range(1, int(times.max(initial=0))):
+                        more = np.flatnonzero(times > i)
+                        own[more] += y[tile[new[more] + i]]
+                    total[here[new]] += own
+        total[common] += of_common
         total *= idf[:, None]
         lane = TaskContext.get().partitionId()
         for k, part in enumerate(np.split(total, DIMENSIONS // BLOCK)):
@@ -218,7 +249,7 @@ def _blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Items, np.ndarr
     up = float(np.sqrt(max(1.0, n / n_own)))  # items weigh as much as the passages
     tasks = pieces(n, FIT_PASSAGES, 12)
     basis = latent_basis(packs.withColumn("length", F.lit(1.0)).union(own.withColumn("length", F.lit(up))).coalesce(tasks), idf, tasks=tasks)
-    weighted = (basis * idf[:, None]).astype(np.float32)
+    weighted = np.concatenate([basis * idf[:, None], np.zeros((1, RANK))]).astype(np.float32)
     blocks_of = -(-2 * n_own // ITEMS_PER_BLOCK)
     for k in range(blocks_of):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks_of)) == k).collect()
