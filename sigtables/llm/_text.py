@@ -45,7 +45,7 @@ def rolling(symbols: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * powers(len(symbols) - n + 1, which, True))
 
 
-def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):

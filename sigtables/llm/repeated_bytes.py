@@ -9,6 +9,8 @@ positions whose rank is unique drop out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,6 +96,18 @@ def doubled_ranks(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
         have += last
 
 
+def batches(value: np.ndarray, size: np.ndarray, most: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Places of whole groups of equal values, which stand together, in batches of about `most` bytes; a larger group stands alone."""
+    edge = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+    if not len(edge):
+        return
+    weight = np.add.reduceat(size, edge)
+    number = (np.cumsum(weight) - weight) // most
+    cut = edge[np.flatnonzero(np.diff(number, prepend=-1))]
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(value)], strict=True):
+        yield np.arange(lo, hi)
+
+
 def compare(table: pa.Table, length: int) -> pa.Table:
     """For each run of a chunk, which of its strings a smaller document of another chunk has, as the bits of a mask."""
     count = X.joined(table, "runs", "<u1").astype(np.int64)
@@ -111,13 +125,14 @@ def compare(table: pa.Table, length: int) -> pa.Table:
     least = np.repeat(own, size)
     _, of, times = np.unique(anchor, return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[of] > 1)  # a run alone with its anchor has no string that another run has
-    if len(several):
-        runs = list(number)
-        data = np.frombuffer(b"".join([runs[i] for i in several.tolist()]), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size[several] + length - 1)])[:-1]
-        inner = np.arange(size[several].sum()) - np.repeat(np.cumsum(size[several]) - size[several], size[several])
-        places = np.repeat(begin, size[several]) + inner
-        target = np.repeat(head[several], size[several]) + inner
+    runs, several = list(number), several[np.argsort(anchor[several], kind="stable")]
+    for some in batches(anchor[several], size[several] + length - 1):
+        some = several[some]
+        data = np.frombuffer(b"".join([runs[i] for i in some.tolist()]), np.uint8)
+        begin = np.cumsum(size[some] + length - 1) - (size[some] + length - 1)
+        inner = np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        places = np.repeat(begin, size[some]) + inner
+        target = np.repeat(head[some], size[some]) + inner
         found, ranks = doubled_ranks(data, places, length)
         if len(found):
             k = target[np.searchsorted(places, found)]
