@@ -15,8 +15,8 @@ from sigtables.llm._text import Words, blocks, mix, rolling, utf8
 
 #: Words in a shingle, the similarity of near copies, sketches of a text and shingles in a sketch.
 SHINGLE, SIMILAR, SKETCHES, DRAWN = 5, 0.8, 24, 3
-#: Texts in one block of pairs.
-BLOCK = 256
+#: Texts, and bytes of texts, in one block of pairs.
+BLOCK, BLOCK_BYTES = 256, 1 << 20
 SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,18 +55,12 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> int:
-    """How many shingles of a and b an alignment in text order matches at most, inside the band that SIMILAR allows.
-
-    As a text's numbers differ, that is the longest rising run of the places in b of a's numbers. Similar texts leave
-    (1 - SIMILAR) / (1 + SIMILAR) of all their shingles unmatched at most, so no match is further off the diagonal.
-    """
-    order = np.argsort(b)
-    at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
-    place = order[at]
-    band = int((len(a) + len(b)) * (1 - SIMILAR) / (1 + SIMILAR)) + 1
+def rising(places: np.ndarray) -> int:
+    """The longest rising run of numbers."""
+    if (places[1:] > places[:-1]).all():
+        return len(places)
     tails: list[int] = []
-    for p in place[(b[place] == a) & (np.abs(place - np.arange(len(a))) <= band)].tolist():
+    for p in places.tolist():
         k = bisect_left(tails, p)
         if k == len(tails):
             tails.append(p)
@@ -75,6 +69,21 @@ def aligned(a: np.ndarray, b: np.ndarray) -> int:
     return len(tails)
 
 
+def aligned(a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None) -> int:
+    """How many shingles of a and b an alignment in text order matches at most, inside the band that SIMILAR allows.
+
+    As a text's numbers differ, that is the longest rising run of the places in b of a's numbers. Similar texts leave
+    (1 - SIMILAR) / (1 + SIMILAR) of all their shingles unmatched at most, so no match is further off the diagonal. order: that
+    which sorts b, if known. If too few numbers are common for any alignment to do, their count is returned at once.
+    """
+    order = np.argsort(b) if order is None else order
+    at = np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)
+    place = order[at]
+    band = int((len(a) + len(b)) * (1 - SIMILAR) / (1 + SIMILAR)) + 1
+    place = place[(b[place] == a) & (np.abs(place - np.arange(len(a))) <= band)]
+    return rising(place) if alike(len(place), len(a), len(b)) else len(place)
+
+
 def alike(common: float, a: int, b: int) -> bool:
     return common >= SIMILAR * (a + b - common) - 1e-9
 
@@ -84,12 +93,35 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = utf8(batch)
         for lo, hi in blocks(texts):
             out = [sketch(x).astype(np.int64) for x in shingles(texts[lo:hi])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(np.arange(0, SKETCHES * len(out) + 1, SKETCHES, dtype=np.int32), np.concatenate(out))], ["node", "sketches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.ListArray.from_arrays(np.arange(0, SKETCHES * len(out) + 1, SKETCHES, dtype=np.int32), np.concatenate(out))], ["node", "bytes", "sketches"])
 
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
+def links_of(found: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([f(x) for x in found], pa.binary()) for f in (min, max)], schema=LINKS)
+
+
+def _star(table: pa.Table) -> pa.Table:
+    """Links between the text of side 0 and those of side 1, which are read a few at a time."""
+    sides, nodes = table.column("side").to_pylist(), table.column("node").to_pylist()
+    texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+    if 0 not in sides:
+        return LINKS.empty_table()
+    middle = sides.index(0)
+    centre = next(shingles([texts[middle]]))
+    order, found = np.argsort(centre), []
+    others = [i for i, s in enumerate(sides) if s == 1]
+    own = [texts[i] for i in others]
+    for lo, hi in blocks(own):
+        for i, x in zip(others[lo:hi], shingles(own[lo:hi]), strict=True):
+            small, large = sorted((len(x), len(centre)))
+            if alike(small, small, large) and alike(aligned(x, centre, order), len(x), len(centre)):
+                found.append((nodes[middle], nodes[i]))
+    return links_of(found)
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Links between rows of side 0 and side 1, or among rows of side 2, that join different components."""
     nodes, parts = table.column("node").to_pylist(), table.column("component").to_pylist()
@@ -100,13 +132,17 @@ def _compare(table: pa.Table) -> pa.Table:
     x = [s for lo, hi in blocks(texts) for s in shingles(texts[lo:hi])]
     sizes = np.array([len(s) for s in x])
     left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if sides[0] != 2 else (np.arange(len(x)),) * 2
-    flat, who = np.concatenate(x), np.repeat(np.arange(len(x)), sizes)
-    values, number, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times[number] > 1
-    who, number = who[shared], (np.cumsum(times > 1) - 1)[number[shared]]
+    flat, who = np.concatenate(x), np.repeat(np.arange(len(x), dtype=np.int32), sizes)
+    order = np.argsort(flat)
+    flat, who = flat[order], who[order]
+    del order
+    new = np.append(True, flat[1:] != flat[:-1])
+    del flat
+    times = np.diff(np.append(np.flatnonzero(new), len(new)))
+    number = (np.cumsum(times > 1) - 1)[np.cumsum(new) - 1]
+    shared = np.repeat(times > 1, times)
+    who, number = who[shared], number[shared]
     width, common = int((times > 1).sum()), np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(number, kind="stable")
-    who, number = who[order], number[order]
     for lo in range(0, width, 4096):
         a, b = np.searchsorted(number, [lo, lo + 4096])
         has = np.zeros((len(x), min(4096, width - lo)), np.float32)
@@ -126,8 +162,17 @@ def _compare(table: pa.Table) -> pa.Table:
         a, b = int(left[i]), int(right[j])
         if a != b and (ra := root(parts[a])) != (rb := root(parts[b])) and alike(aligned(x[a], x[b]), len(x[a]), len(x[b])):
             owner[max(ra, rb)] = min(ra, rb)
-            found.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
-    return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=LINKS)
+            found.append((nodes[a], nodes[b]))
+    return links_of(found)
+
+
+def nearer(links: DataFrame) -> DataFrame:
+    """a and p: for each node the least of itself and its neighbours, with chains of these shortened twice."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
+    for _ in range(2):
+        up = up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+    return up
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -137,18 +182,17 @@ def components(links: DataFrame) -> DataFrame:
     what was joined go. Tables of a round are written, so rounds don't build on each other's lineage.
     """
     links = kept(links.where("a != b").distinct())
-    labels = kept(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    labels = None
     while not links.isEmpty():
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        for _ in range(2):
-            up = up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        up = kept(up)
-        labels = kept(labels.join(up.select(F.col("a").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+        up = kept(nearer(links))
+        if labels is None:
+            labels = up.select(F.col("a").alias("node"), F.col("p").alias("component"))
+        else:
+            labels = kept(labels.join(up.select(F.col("a").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         for c in ("a", "b"):
             links = links.join(up.select(F.col("a").alias(c), "p"), c).drop(c).withColumnRenamed("p", c)
         links = kept(links.where("a != b").distinct())
-    return labels
+    return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -160,20 +204,23 @@ def classes(docs: DataFrame) -> DataFrame:
     more of all their shingles together. Candidates have one of 24 sketches in common, each made of the 3 occurrence-labelled
     shingles that a hash puts least, in text order: a pair at 0.8 shares none with probability (1 - 0.8**3)**24 < 1e-7.
 
-    Nodes with a sketch in common are compared with one of them first, in blocks if many share one. Where such a bucket is
-    still in several components, all its pairs of different components are compared, block against block; its largest
-    component isn't paired with itself. So no link between components is lost, and inside a component no pairs are formed.
+    Nodes with a sketch in common are compared with one of them first, in blocks if many share one. The links so found give
+    a first guess of components (parts of the true ones). Where a bucket is still in several, all its pairs of different
+    components are compared, block against block; its largest component isn't paired with itself. So no link between
+    components is lost, and inside a component no pairs are formed. A block holds BLOCK texts or BLOCK_BYTES of them, about.
 
     A null text counts as empty; texts without words are one node each kind; a null doc_id takes part, and a class of
     null ids alone has a null class_id. Repeated rows stay. Columns of docs of these names are replaced.
     """
-    docs = docs.drop("node", "class_id", "_component", "_keeper").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    docs = docs.drop("node", "class_id", "_component", "_keeper")
+    docs = docs.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     texts = docs.select("node", "text")
-    sketched = kept(texts.mapInArrow(_sketched, "node binary, sketches array<long>").groupBy("node").agg(F.first("sketches").alias("sketches")))
-    placed = sketched.select("node", F.explode("sketches").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("center")).where("n > 1")
+    sketched = kept(texts.mapInArrow(_sketched, "node binary, bytes long, sketches array<long>").groupBy("node").agg(F.first("bytes").alias("bytes"), F.first("sketches").alias("sketches")))
+    placed = sketched.select("node", "bytes", F.explode("sketches").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min_by("node", F.xxhash64("node")).alias("center")).where("n > 1")
     # a center's texts are those of its buckets, at most 2 * BLOCK to a block, fewer where its buckets overlap
-    shared = shared.join(shared.groupBy("center").agg(F.ceil(F.sum("n") / (2 * BLOCK)).alias("k")), "center")
+    k = F.ceil(F.greatest(F.sum("n") / (2 * BLOCK), F.sum("bytes") / (2 * BLOCK_BYTES)))
+    shared = shared.select("bucket", "n", "center").join(shared.groupBy("center").agg(k.alias("k")), "center")
     places = placed.join(shared, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "center", "n", "k")).alias("places"))
     # a row a text from here on: its places, SKETCHES at most, are taken apart only after it has met its text or component
     bodies = kept(texts.groupBy("node").agg(F.first("text").alias("text")).join(places, "node"))
@@ -182,16 +229,18 @@ def classes(docs: DataFrame) -> DataFrame:
     stars = stars.select("star.*", "node", "text")
     own = stars.where("center = node").select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), "node", F.lit(0).alias("side"), "text")
     others = stars.where("center != node").select("center", F.pmod(F.xxhash64("node"), "k").alias("salt"), "node", F.lit(1).alias("side"), "text")
-    links = kept(own.union(others).withColumn("component", F.col("node")).groupBy("center", "salt").applyInArrow(_compare, "a binary, b binary"))
+    links = kept(own.union(others).groupBy("center", "salt").applyInArrow(_star, "a binary, b binary"))
 
-    named = bodies.select("node", "places").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = named.select("node", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "component")
+    guess = nearer(links).select(F.col("a").alias("node"), F.col("p").alias("component"))
+    named = bodies.select("node", F.octet_length("text").alias("bytes"), "places").join(guess, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = named.select("node", "bytes", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "bytes", "component")
     key = F.xxhash64("node")
     # a bucket's largest component, all but a few texts as a rule, meets the others but never itself
-    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("s"))
-    several = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("component", F.struct("m", "component")).alias("main"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("most < m")
-    several = several.groupBy("m", "x", "s").agg(F.min_by(F.struct("bucket", "most", "main"), "bucket").alias("b"), F.first("m").alias("all"))
-    several = several.select("b.bucket", "b.main", F.ceil(F.col("b.most") / BLOCK).alias("ka"), F.ceil((F.col("all") - F.col("b.most")) / BLOCK).alias("kb"))
+    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("y"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("s"))
+    several = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("y").alias("y"), F.max_by(F.struct("m", "y", "component"), F.struct("m", "component")).alias("main"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("main.m < m")
+    several = several.groupBy("m", "x", "s").agg(F.min_by(F.struct("bucket", "y", "main"), "bucket").alias("b"))
+    count = lambda n, y: F.ceil(F.greatest(n / BLOCK, y / BLOCK_BYTES))
+    several = several.select("b.bucket", F.col("b.main.component").alias("main"), count(F.col("b.main.m"), F.col("b.main.y")).alias("ka"), count(F.col("m") - F.col("b.main.m"), F.col("b.y") - F.col("b.main.y")).alias("kb"))
 
     def cells(k: str, cell):
         return F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), cell)
