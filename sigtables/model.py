@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, as in tests, a folder of this machine."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    warnings.warn("spark.checkpoint.dir is not set: using a folder that only this machine has", stacklevel=2)
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """group_id, signal_id, idx, t_s and value: each embedding is a signal at 64 Hz."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group_id"), F.col("vec_id").alias("signal_id"), F.posexplode("embedding").alias("idx", "value"))

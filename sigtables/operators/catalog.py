@@ -40,10 +40,68 @@ def candidate_groups(zones: DataFrame, predicates: Sequence[tuple[str, float | N
 
 
 def property_index(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """id, key, num_value and txt_value of each property of a JSON object; booleans count as 0 and 1, nulls as neither."""
-    m = rows.select(F.col(id_column).alias("id"), F.explode(F.from_json(json_column, "map<string,string>")).alias("key", "v"))
-    number = F.when(F.col("v") == "true", 1.0).when(F.col("v") == "false", 0.0).otherwise(F.col("v").try_cast("double"))
-    return m.select("id", "key", number.alias("num_value"), F.when(number.isNull(), F.col("v")).alias("txt_value"))
+    """id, key, num_value and txt_value of each property of a JSON object.
+
+    What a value is goes by its JSON type: numbers and, as 0 and 1, booleans are numbers; strings are texts, also those that
+    look like numbers; arrays and objects are texts of their JSON; nulls have no row. What isn't an object has none either.
+    """
+    v = F.try_parse_json(F.col(json_column))
+    d = rows.select(F.col(id_column).alias("id"), v.alias("_j")).where(F.schema_of_variant("_j").startswith("OBJECT"))
+    d = d.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_j").outer())).select("id", "key", "value", F.schema_of_variant("value").alias("kind"))
+    number = F.when(F.col("kind") == "BOOLEAN", F.try_variant_get("value", "$", "boolean").cast("double")).when(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("value", "$", "double"))
+    text = F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string")).when(number.isNull(), F.to_json("value"))
+    return d.where("kind != 'VOID'").select("id", "key", number.alias("num_value"), text.alias("txt_value"))
+
+
+@dataclass(frozen=True)
+class PropertyTest:
+    """What a property must be: numbers from low to high (either may be open), a text, or there at all if all are None."""
+
+    low: float | None = None
+    high: float | None = None
+    equals: str | None = None
+
+
+def parse_test(text: str) -> PropertyTest:
+    """The test that a filter box's text means: nothing, x, =x, >=x, >x, <=x, <x, a..b or a word; > and < take in their bound."""
+
+    def number(t: str) -> float | None:
+        try:
+            return float(t.strip().replace("_", "x"))
+        except ValueError:
+            return None
+
+    t = text.strip()
+    if not t:
+        return PropertyTest()
+    low, dots, high = t.partition("..")
+    if dots and (number(low) is not None or number(high) is not None):
+        return PropertyTest(number(low), number(high))
+    for sign, name in ((">", "low"), ("<", "high")):
+        x = number(t.removeprefix(sign).removeprefix("=")) if t.startswith(sign) else None
+        if x is not None:
+            return PropertyTest(**{name: x})
+    t = t.removeprefix("=").strip()
+    x = number(t)
+    return PropertyTest(equals=t) if x is None else PropertyTest(x, x)
+
+
+def find_signals(index: DataFrame, key: str, test: PropertyTest | str = PropertyTest()) -> DataFrame:
+    """Ids whose property passes the test, from rows of property_index()."""
+    t = parse_test(test) if isinstance(test, str) else test
+    d = index.where(F.col("key") == key)
+    if t.equals is not None:
+        d = d.where(F.col("txt_value") == t.equals)
+    elif t.low is not None or t.high is not None:
+        d = d.where(F.col("num_value").isNotNull() & ~F.isnan("num_value"))
+        d = d.where(F.col("num_value") >= t.low) if t.low is not None else d
+        d = d.where(F.col("num_value") <= t.high) if t.high is not None else d
+    return d.select("id").distinct()
+
+
+def property_key_counts(index: DataFrame) -> DataFrame:
+    """key and n: how many ids have each property."""
+    return index.groupBy("key").agg(F.count_distinct("id").alias("n"))
 
 
 def all_tags(tags: DataFrame, wanted: Sequence[str]) -> DataFrame:
@@ -51,29 +109,62 @@ def all_tags(tags: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return tags.where(F.col("tag").isin(list(wanted))).groupBy("id").agg(F.count_distinct("tag").alias("n")).where(F.col("n") == len(set(wanted)) if wanted else F.lit(False)).select("id")
 
 
-def text_search(rows: DataFrame, id_column: str, text_column: str, query: str) -> DataFrame:
-    """id and matches: rows where every term begins a word, without regard to case, and how many words terms begin."""
-    terms = query.lower().split()
-    if not terms:
-        return rows.select(F.col(id_column).alias("id"), F.lit(0).cast("long").alias("matches")).where("false")
-    words = F.split(F.regexp_replace(F.lower(text_column), r"[^\p{L}\p{N}]+", " "), " ")
+def tag_counts(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """tag and n of every known tag, 0 for those that nothing has."""
+    return known.select("tag").distinct().join(tags.groupBy("tag").agg(F.count_distinct("id").alias("n")), "tag", "left").select("tag", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def text_search(rows: DataFrame, id_column: str, text_columns: str | Sequence[str], query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id, matches and score of rows where every term begins a word of any of the columns, without regard to case.
+
+    matches: how many words terms begin. score: Okapi BM25 over the columns' words together, a term being all words that
+    it begins: ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * words / mean words)), summed. No
+    terms, no rows. One scan counts N, mean words and df; another, pruned by the terms, scores.
+    """
+    terms = list(dict.fromkeys(query.lower().split()))
+    columns = [text_columns] if isinstance(text_columns, str) else list(text_columns)
+    text = F.concat_ws(" ", *[F.lower(F.col(c)) for c in columns])
+    words = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
     d = rows.select(F.col(id_column).alias("id"), words.alias("w"))
 
     def beginning(term: str):
         return F.size(F.filter("w", lambda x: x.startswith(term)))
 
-    counts = [beginning(t) for t in terms]
+    d = d.select("id", F.size("w").alias("words"), *[beginning(t).alias(f"t{i}") for i, t in enumerate(terms)])
+    if not terms:
+        return d.select("id", F.lit(0).cast("long").alias("matches"), F.lit(0.0).alias("score")).where("false")
+    counts = [F.col(f"t{i}") for i in range(len(terms))]
+    whole = d.agg(F.count("*").alias("_n"), F.avg("words").alias("_mean"), *[F.count_if(c > 0).alias(f"_df{i}") for i, c in enumerate(counts)])
     for c in counts:
         d = d.where(c > 0)
-    return d.select("id", sum(counts[1:], counts[0]).cast("long").alias("matches"))
+    d = d.crossJoin(F.broadcast(whole))  # one row
+    score = F.lit(0.0)
+    for i, c in enumerate(counts):
+        df = F.col(f"_df{i}")
+        score = score + F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("words") / F.col("_mean")))
+    return d.select("id", sum(counts[1:], counts[0]).cast("long").alias("matches"), score.alias("score"))
+
+
+def sort_signals(signals: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """By a column: texts without regard to case, unknown numbers last, all the other way round if descending."""
+    c = F.lower(column) if dict(signals.dtypes)[column] == "string" else F.col(column)
+    return signals.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_first())
 
 
 def content_classes(signals: DataFrame) -> DataFrame:
-    """digest, copies and first signal of each distinct content; digests are of values as text at 9 significant digits."""
-    text = F.array_join(F.transform("values", lambda v: F.format_string("%.9e", v)), ",")
+    """digest, copies and first signal of each distinct content; the digest is of the values' exact shortest texts."""
+    text = F.array_join(F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("null"))), ",")
     return signals.withColumn("digest", F.sha2(text, 256)).groupBy("digest").agg(F.count("*").alias("copies"), F.min("signal_id").alias("signal_id"))
 
 
+def content_classes_of_samples(samples: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """digest, copies and first signal, for signals of any length: blocks of samples are digested apart, then their digests in order."""
+    d = samples.groupBy("signal_id", F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    d = d.select("signal_id", "block", F.sha2(F.array_join(F.transform("v", lambda x: F.coalesce(x["value"].cast("string"), F.lit("null"))), ","), 256).alias("h"))
+    d = d.groupBy("signal_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ","), 256).alias("digest"))
+    return d.groupBy("digest").agg(F.count("*").alias("copies"), F.min("signal_id").alias("signal_id"))
+
+
 @dataclass(frozen=True)
 class Property:
     """A property's definition. kind: number, integer, frequency, duration, bool, text or one of `options`."""
@@ -117,6 +208,26 @@ def property_errors(value: Column, p: Property) -> Column:
     return F.when(missing, "missing" if p.required and p.default is None else None).otherwise(wrong)
 
 
+def property_value(value: Column, p: Property) -> tuple[Column, Column]:
+    """(number, text) that a property's text means; a missing one means its default. Null where the text can't be read."""
+    t = F.trim(value)
+    t = F.when(t.isNull() | (t == ""), F.lit(p.default)).otherwise(t)
+    if p.kind in ("number", "integer", "frequency", "duration"):
+        n = t.try_cast("double")
+        return F.when(finite(n) & ((n == F.floor(n)) if p.kind == "integer" else F.lit(True)), n), F.lit(None).cast("string")
+    if p.kind == "bool":
+        return F.when(F.lower(t).isin(*TRUE), 1.0).when(F.lower(t).isin(*FALSE), 0.0), F.lit(None).cast("string")
+    return F.lit(None).cast("double"), F.when(t.isin(*p.options), t) if p.kind == "enum" else t
+
+
+def typed_properties(rows: DataFrame, id_column: str, attributes: str, definitions: Sequence[Property]) -> DataFrame:
+    """id, key, num_value and txt_value of every defined property of a map<string,string> that has a value or a default."""
+    a = F.coalesce(F.col(attributes), F.create_map().cast("map<string,string>"))
+    read = [(p.key, *property_value(F.try_element_at(a, F.lit(p.key)), p)) for p in definitions]
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), n.alias("num_value"), t.alias("txt_value")) for k, n, t in read])
+    return rows.select(F.col(id_column).alias("id"), F.explode(cells).alias("p")).select("id", "p.*").where("num_value IS NOT NULL OR txt_value IS NOT NULL")
+
+
 def validate_properties(rows: DataFrame, id_column: str, attributes: str, definitions: Sequence[Property]) -> DataFrame:
     """id, key and error of every fault in a column of map<string,string>; a key without a definition is `unknown`."""
     if len({p.key for p in definitions}) < len(definitions):

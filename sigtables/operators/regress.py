@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +34,12 @@ def diff_metrics(base: DataFrame, candidate: DataFrame, abs_tol: float, rel_tol:
     return d.select(*on, "difference", (F.col("difference") <= F.greatest(F.lit(abs_tol), F.coalesce(F.abs("b"), F.lit(0.0)) * rel_tol)).alias("within"))
 
 
+def diff_status(base: DataFrame, candidate: DataFrame) -> DataFrame:
+    """group_id, base_status and status of groups (group_id, status) that both runs have and whose status changed."""
+    both = base.select("group_id", F.col("status").alias("base_status")).join(candidate.select("group_id", "status"), "group_id")
+    return both.where(~F.col("base_status").eqNullSafe(F.col("status")))
+
+
 def diff_groups(base: DataFrame, candidate: DataFrame, allow_new: bool = False) -> DataFrame:
     """group_id and side of groups that only one run has; those of the candidate alone may be allowed."""
     b, c = base.select("group_id").distinct(), candidate.select("group_id").distinct()
@@ -37,17 +47,134 @@ def diff_groups(base: DataFrame, candidate: DataFrame, allow_new: bool = False)
     return gone if allow_new else gone.unionByName(c.join(b, "group_id", "left_anti").withColumn("side", F.lit("candidate")))
 
 
-def check(metrics: DataFrame, assertions: DataFrame) -> DataFrame:
-    """group_id, ordinal, metric, verdict for assertions(ordinal, metric, op, operand): pass, fail or not_applicable.
+@dataclass(frozen=True)
+class Assertion:
+    """subject op operand, or subject within amount (% of it, if relative) of operand; operand: a number, a word or `baseline`."""
+
+    subject: str
+    op: str
+    operand: float | str
+    amount: float | None = None
+    relative: bool = False
+
+
+LINE = re.compile(r"\s*(?P<subject>\S+)\s*(?:(?P<op>==|!=|<=|>=|<|>)|\swithin\s+(?P<amount>[\d.eE+-]+)\s*(?P<percent>%?)\s+of\s)\s*(?P<operand>\S+)\s*$")
+
+
+def assertion(text: str) -> Assertion:
+    m = LINE.match(text)
+    if not m:
+        raise ValueError(f"{text!r}: not an assertion")
+    try:
+        operand: float | str = float(m["operand"])
+    except ValueError:
+        operand = m["operand"]
+    if m["amount"]:
+        return Assertion(m["subject"], "within", operand, float(m["amount"]), bool(m["percent"]))
+    return Assertion(m["subject"], m["op"], operand)
+
+
+def facts(groups: DataFrame, metrics: DataFrame | None = None, signals: DataFrame | None = None, artifacts: dict[tuple[int, str], DataFrame] | None = None, fields: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """group_id, subject, num and txt of all that an assertion may ask for of a run's records.
+
+    <metric> (of the latest stage that has it), stage[n].metrics.<metric>, status, stage[n].status, signals[name].min, max, mean,
+    rms, peak_to_peak and samples (after the last stage), <port>.count and <port>.<field>.min, max, mean and sum of the
+    latest stage that gives the port.
+    """
+    text = F.lit(None).cast("string")
+    none = F.lit(None).cast("double")
+    parts = [groups.select("group_id", F.lit("status").alias("subject"), none.alias("num"), F.col("status").alias("txt"))]
+    if metrics is not None:
+        value = F.col("value").cast("double")
+        latest = metrics.groupBy("group_id", F.col("name").alias("subject")).agg(F.max_by(value, "stage_ordinal").alias("num"))
+        parts.append(latest.withColumn("txt", text))
+        parts.append(metrics.select("group_id", F.format_string("stage[%d].metrics.%s", "stage_ordinal", "name").alias("subject"), value.alias("num"), text.alias("txt")))
+    if signals is not None:
+        stages_ = signals.where("stage_ordinal >= 0").select("group_id", "stage_ordinal").distinct()
+        parts.append(stages_.select("group_id", F.format_string("stage[%d].status", "stage_ordinal").alias("subject"), none.alias("num"), F.lit("ok").alias("txt")))
+        last = F.max("stage_ordinal").over(W.partitionBy("group_id"))
+        final = signals.withColumn("_last", last).where("stage_ordinal = _last AND disposition != 'dropped'")
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in ("min", "max", "mean", "rms", "peak_to_peak", "samples")])
+        final = final.select("group_id", "name", F.explode(cells).alias("p"))
+        parts.append(final.select("group_id", F.format_string("signals[%s].%s", "name", "p.c").alias("subject"), F.col("p.v").alias("num"), text.alias("txt")))
+    latest_port = {port: max(s for s, p in (artifacts or {}) if p == port) for _, port in artifacts or {}}
+    for port, stage in latest_port.items():
+        rows = artifacts[stage, port]
+        aggregates = [(f"{port}.count", F.count("*").cast("double"))]
+        for f in (fields or {}).get(port, ()):
+            v = F.col(f).cast("double")
+            aggregates += [(f"{port}.{f}.{n}", g(v)) for n, g in (("min", F.min), ("max", F.max), ("mean", F.avg), ("sum", F.sum))]
+        wide = rows.groupBy("group_id").agg(*[g.alias(f"a{i}") for i, (_, g) in enumerate(aggregates)])
+        wide = groups.select("group_id").join(wide, "group_id", "left").fillna({"a0": 0.0})
+        cells = F.array(*[F.struct(F.lit(n).alias("subject"), F.col(f"a{i}").alias("num")) for i, (n, _) in enumerate(aggregates)])
+        parts.append(wide.select("group_id", F.explode(cells).alias("p")).select("group_id", "p.*").where("num IS NOT NULL").withColumn("txt", text))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def check(groups: DataFrame, known: DataFrame, assertions: Sequence[str | Assertion], baseline: DataFrame | None = None) -> DataFrame:
+    """group_id, ordinal, subject, status, actual and expected of every assertion for every group; all are one join with the facts.
+
+    status: pass, fail, not_applicable (the group has no such subject, or there is no baseline: no failure) or error (the
+    baseline lacks it, or the test needs numbers; counts as a failure). Texts are only equal or not.
+    """
+    given = [assertion(a) if isinstance(a, str) else a for a in assertions]
+    if unknown := {a.op for a in given} - {"==", "!=", "<", "<=", ">", ">=", "within"}:
+        raise ValueError(f"no test {sorted(unknown)}")
+
+    def row(i: int, a: Assertion) -> Column:
+        number = isinstance(a.operand, (int, float))
+        return F.struct(F.lit(i).alias("ordinal"), F.lit(a.subject).alias("subject"), F.lit(a.op).alias("op"), F.lit(float(a.operand) if number else None).cast("double").alias("x"), F.lit(None if number else a.operand).cast("string").alias("word"), F.lit(a.amount).cast("double").alias("amount"), F.lit(a.relative).alias("relative"))
+
+    if not given:
+        return groups.select("group_id", F.lit(0).alias("ordinal"), F.lit("").alias("subject"), F.lit("").alias("status"), F.lit(0.0).alias("actual"), F.lit(0.0).alias("expected")).where("false")
+    d = groups.select("group_id", F.explode(F.array(*[row(i, a) for i, a in enumerate(given)])).alias("a")).select("group_id", "a.*")
+    own = known.where(F.col("subject").isin(sorted({a.subject for a in given})))
+    d = d.join(own, ["group_id", "subject"], "left")
+    of_base = F.coalesce(F.col("word") == "baseline", F.lit(False))
+    if baseline is not None:
+        d = d.join(baseline.select("group_id", "subject", F.col("num").alias("_bn"), F.col("txt").alias("_bt")), ["group_id", "subject"], "left")
+    else:
+        d = d.withColumns({"_bn": F.lit(None).cast("double"), "_bt": F.lit(None).cast("string")})
+    x, word = F.when(of_base, F.col("_bn")).otherwise(F.col("x")), F.when(of_base, F.col("_bt")).otherwise(F.col("word"))
+    v, op = F.col("num"), F.col("op")
+    both = v.isNotNull() & x.isNotNull()
+    near = F.abs(v - x) <= F.when(F.col("relative"), F.col("amount") / 100 * F.abs(x)).otherwise(F.col("amount"))
+    compared = F.when(op == "<", v < x).when(op == "<=", v <= x).when(op == ">", v > x).when(op == ">=", v >= x).when(op == "==", v == x).when(op == "!=", v != x).otherwise(near)
+    nan = F.isnan(v) | F.isnan(x)
+    # NaN compares with nothing: only != holds
+    by_number = F.when(nan, op == "!=").otherwise(compared)
+    left, right = F.coalesce("txt", v.cast("string")), F.coalesce(word, x.cast("string"))
+    verdict = F.when(v.isNull() & F.col("txt").isNull(), "not_applicable").when(of_base & F.lit(baseline is None), "not_applicable").when(of_base & x.isNull() & word.isNull(), "error")
+    verdict = verdict.when(both, F.when(by_number, "pass").otherwise("fail")).when(op == "==", F.when(left == right, "pass").otherwise("fail")).when(op == "!=", F.when(left != right, "pass").otherwise("fail")).otherwise("error")
+    return d.select("group_id", "ordinal", "subject", verdict.alias("status"), v.alias("actual"), x.alias("expected"))
 
-    All assertions are one join with the metrics table; the assertions are few.
+
+def failed_assertions(checked: DataFrame) -> DataFrame:
+    """ordinal, failures (fail or error) and groups of each assertion, those with failures first, then by ordinal."""
+    bad = F.col("status").isin("fail", "error")
+    out = checked.groupBy("ordinal").agg(F.count_if(bad).alias("failures"), F.count("*").alias("groups"))
+    return out.orderBy(F.col("failures") == 0, "ordinal")
+
+
+def promote(baselines: DataFrame, name: str, run_id: str, abs_tol: float, rel_tol: float) -> DataFrame:
+    """baselines (name, run_id, abs_tol, rel_tol) in which `name` means this run from now on."""
+    new = baselines.sparkSession.createDataFrame([(name, run_id, float(abs_tol), float(rel_tol))], "name string, run_id string, abs_tol double, rel_tol double")
+    return baselines.where(F.col("name") != name).unionByName(new.select(baselines.columns))
+
+
+def check_baseline(baselines: DataFrame, name: str, run_id: str, metrics: DataFrame) -> DataFrame:
+    """group_id, verdict and reasons of a run against the run that a name means; metrics: run_id, group_id, metric, value.
+
+    A run isn't checked against itself, nor against a name that means none.
     """
-    groups = metrics.select("group_id").distinct().join(F.broadcast(assertions))
-    j = groups.join(metrics, ["group_id", "metric"], "left")
-    v, o = F.col("value"), F.col("operand")
-    ok = F.when(F.col("op") == "<", v < o).when(F.col("op") == "<=", v <= o).when(F.col("op") == ">", v > o).when(F.col("op") == ">=", v >= o).when(F.col("op") == "==", v == o).when(F.col("op") == "!=", v != o)
-    verdict = F.when(v.isNull(), "not_applicable").when(ok & ~F.isnan(v), "pass").otherwise("fail")
-    return j.select("group_id", "ordinal", "metric", verdict.alias("verdict"))
+    row = baselines.where(F.col("name") == name).first()
+    if row is None or row.run_id == run_id:
+        raise ValueError(f"{name}: no such baseline" if row is None else f"{name}: is this run itself")
+    of = lambda r: metrics.where(F.col("run_id") == r).drop("run_id")
+    return verdicts(diff_metrics(of(row.run_id), of(run_id), row.abs_tol, row.rel_tol), diff_groups(of(row.run_id), of(run_id)))
 
 
 def prune(runs: DataFrame, keep: int) -> DataFrame:
@@ -63,6 +190,25 @@ def residual(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.groupBy(*on[:2]).agg(F.max("d").alias("max_abs"), F.min(F.when(F.col("d") > 0, F.col("t_s"))).alias("first_t"))
 
 
+def residual_nearest(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """by, pairs, max_abs and first_t of a less b, each sample of a with that of b nearest in time.
+
+    A pair counts if its times are within half the wider spacing of the two signals; of two equally near the earlier one
+    counts. Both are read once, in one order of time; times may be irregular.
+    """
+    spacing = lambda df, n: df.groupBy(*by).agg(F.when(F.count("*") > 1, (F.max("t_s") - F.min("t_s")) / (F.count("*") - 1)).alias(n))
+    d = a.select(*by, "t_s", F.col("value").alias("_a"), F.lit(None).cast("struct<t:double,v:double>").alias("_b"))
+    d = d.unionByName(b.select(*by, "t_s", F.lit(None).cast("double").alias("_a"), F.struct(F.col("t_s").cast("double").alias("t"), F.col("value").cast("double").alias("v")).alias("_b")))
+    w = W.partitionBy(*by).orderBy("t_s")
+    d = d.withColumns({"_p": F.last("_b", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0)), "_n": F.first("_b", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))}).where("_b IS NULL")
+    before, after = F.col("t_s") - F.col("_p.t"), F.col("_n.t") - F.col("t_s")
+    near = F.when(before.isNull() | (after < before), F.col("_n")).otherwise(F.col("_p"))
+    d = d.select(*by, "t_s", "_a", near.alias("_b")).join(spacing(a, "_sa"), list(by)).join(spacing(b, "_sb"), list(by))
+    reach = F.greatest("_sa", "_sb") / 2 + 1e-12
+    d = d.where(F.abs(F.col("_b.t") - F.col("t_s")) <= reach).withColumn("d", F.abs(F.col("_a") - F.col("_b.v")))
+    return d.groupBy(*by).agg(F.count("*").alias("pairs"), F.max("d").alias("max_abs"), F.min(F.when(F.col("d") > 0, F.col("t_s"))).alias("first_t"))
+
+
 def residual_envelope(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     """low and high bounds of a less b for each pixel column of two viewports; null where one side has no column."""
     on = [*by, "px"]
@@ -80,13 +226,44 @@ def row_at(spans: DataFrame, t: float, *by: str) -> DataFrame:
     return d.groupBy(*by).agg(best.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def verdicts(diffs: DataFrame) -> DataFrame:
-    """group_id, verdict and reasons from diff_metrics: deviates if any metric isn't within its bound."""
+def verdicts(diffs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """group_id, verdict and reasons from diff_metrics: deviates if any metric isn't within its bound.
+
+    groups, as diff_groups() gives them, deviate too: their reason is `only in <side>`.
+    """
     beyond = F.when(~F.col("within"), F.col("metric"))
-    out = diffs.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set(beyond)), ",").alias("reasons"))
+    d = diffs.select("group_id", beyond.alias("reason"))
+    if groups is not None:
+        d = d.unionByName(groups.select("group_id", F.concat(F.lit("only in "), "side").alias("reason")))
+    out = d.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
     return out.withColumn("verdict", F.when(F.col("reasons") == "", "matches").otherwise("deviates"))
 
 
+def payload_schema(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """id, field and kind of each top-level key of a JSON payload, by its first entry that isn't null.
+
+    bool, text, int, float, span (an array of two numbers), array (any other array) or json; without such an entry float. A value that isn't an array counts
+    as its only entry.
+    """
+    tvf = rows.sparkSession.tvf
+    d = rows.select(F.col(id_column).alias("id"), F.try_parse_json(F.col(json_column)).alias("_j")).where(F.schema_of_variant("_j").startswith("OBJECT"))
+    d = d.lateralJoin(tvf.variant_explode(F.col("_j").outer())).select("id", F.col("key").alias("field"), "value")
+    d = d.withColumn("_s", F.schema_of_variant("value"))
+    scalars = d.where(~F.col("_s").startswith("ARRAY")).select("id", "field", F.lit(0).alias("pos"), F.col("value").alias("entry"))
+    arrays = d.where(F.col("_s").startswith("ARRAY"))
+    entries = arrays.lateralJoin(tvf.variant_explode(F.col("value").outer()).select("pos", F.col("value").alias("entry")))
+    entries = scalars.unionByName(entries.select("id", "field", "pos", "entry")).withColumn("_e", F.schema_of_variant("entry")).where("_e != 'VOID'")
+    pair = F.col("_e").startswith("ARRAY") & F.try_variant_get("entry", "$[1]", "double").isNotNull() & F.try_variant_get("entry", "$[0]", "double").isNotNull() & F.try_variant_get("entry", "$[2]", "string").isNull()
+    kind = F.when(F.col("_e") == "BOOLEAN", "bool").when(F.col("_e") == "STRING", "text").when(F.col("_e") == "BIGINT", "int").when(F.col("_e").rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").when(pair, "span").when(F.col("_e").startswith("ARRAY"), "array").otherwise("json")
+    first = entries.groupBy("id", "field").agg(F.min_by(kind, "pos").alias("kind"))
+    return d.select("id", "field").join(first, ["id", "field"], "left").select("id", "field", F.coalesce("kind", F.lit("float")).alias("kind"))
+
+
+def nearest_artifact(published: DataFrame, value: str, order: Sequence[str], *by: str) -> DataFrame:
+    """by and latest: what the latest stage that published a kind gave."""
+    return published.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias("latest"))
+
+
 def retained(outputs: DataFrame) -> DataFrame:
     """outputs (group_id, policy, failed) whose samples stay: policy always, or on_failure in a group where anything failed."""
     bad = outputs.where("failed").select("group_id").distinct().withColumn("_bad", F.lit(True))
@@ -95,15 +272,16 @@ def retained(outputs: DataFrame) -> DataFrame:
 
 
 def diff_artifacts(base: DataFrame, candidate: DataFrame, fields: list[str], abs_tol: float, *by: str) -> DataFrame:
-    """Per key and field: rows that differ beyond abs_tol or stand on one side only, and the first such row.
+    """Per key and field: rows that differ (numbers beyond abs_tol, texts at all) or stand on one side only, and the first such row.
 
     Both tables have `row`, a number of each key's rows; null on both sides agrees.
     """
 
     def long(df: DataFrame, name: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias(name)) for f in fields])
+        texts = {c for c, t in df.dtypes if t == "string"}
+        cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.lit(None) if f in texts else F.col(f)).cast("double").alias(name), (F.col(f) if f in texts else F.lit(None)).cast("string").alias(f"{name}_text")) for f in fields])
         return df.select(*by, "row", F.lit(True).alias(f"in_{name}"), F.explode(cells).alias("c")).select(*by, "row", f"in_{name}", "c.*")
 
     d = long(base, "a").join(long(candidate, "b"), [*by, "row", "field"], "full")
-    same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & (F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= abs_tol, F.lit(False)))
+    same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col("a_text").eqNullSafe(F.col("b_text")) & (F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= abs_tol, F.lit(False)))
     return d.groupBy(*by, "field").agg(F.count_if(~same).alias("mismatches"), F.min(F.when(~same, F.col("row"))).alias("first_row"))

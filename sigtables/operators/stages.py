@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigtables.functions.scalars import finite
+from sigtables.model import kept
 
 KEY = ("group_id", "signal_id")
+#: What is no more than this is taken for zero: the spacing of doubles at 1.
+TINY = 2.220446049250313e-16
 
 
 def by_signal() -> W:
@@ -23,24 +29,54 @@ def gain(samples: DataFrame, factor: float = 1.0) -> DataFrame:
     return samples.withColumn("value", F.col("value") * factor)
 
 
+def whole_signal() -> W:
+    return W.partitionBy(*KEY)
+
+
+def passthrough(samples: DataFrame) -> DataFrame:
+    return samples
+
+
 def detrend(samples: DataFrame, mode: str = "mean") -> DataFrame:
     """Without each signal's mean, or without its least-squares line over the index."""
-    v = F.when(finite(F.col("value")), F.col("value"))
+    w, v = whole_signal(), F.when(finite(F.col("value")), F.col("value"))
     if mode == "mean":
-        fit = samples.groupBy(*KEY).agg(F.avg(v).alias("_m"), F.lit(0.0).alias("_s"), F.lit(0.0).alias("_c"))
-    elif mode == "linear":
-        fit = samples.groupBy(*KEY).agg(F.avg(v).alias("_m"), F.coalesce(F.regr_slope(v, F.col("idx").cast("double")), F.lit(0.0)).alias("_s"), F.avg(F.when(v.isNotNull(), F.col("idx"))).alias("_c"))
-    else:
+        return samples.withColumn("value", F.col("value") - F.avg(v).over(w))
+    if mode != "linear":
         raise ValueError("mode: mean or linear")
-    return samples.join(fit, list(KEY)).withColumn("value", F.col("value") - F.col("_m") - F.col("_s") * (F.col("idx") - F.col("_c"))).drop("_m", "_s", "_c")
+    x = F.when(v.isNotNull(), F.col("idx").cast("double"))
+    slope = F.coalesce(F.covar_pop(v, x).over(w) / F.nullif(F.var_pop(x).over(w), F.lit(0.0)), F.lit(0.0))
+    return samples.withColumn("value", F.col("value") - F.avg(v).over(w) - slope * (F.col("idx") - F.avg(x).over(w)))
 
 
 def normalise(samples: DataFrame, mode: str = "peak", target: float = 1.0) -> DataFrame:
     """Scaled so that each signal's peak or rms is `target`; one that is all but zero stays."""
+    if mode not in ("peak", "rms"):
+        raise ValueError("mode: peak or rms")
+    w, v = whole_signal(), F.when(finite(F.col("value")), F.col("value"))
+    ref = F.max(F.abs(v)).over(w) if mode == "peak" else F.sqrt(F.avg(v * v).over(w))
+    return samples.withColumn("_ref", ref).withColumn("value", F.when(F.col("_ref") > TINY, F.col("value") * target / F.col("_ref")).otherwise(F.col("value"))).drop("_ref")
+
+
+def conditioning_metrics(before: DataFrame, mode: str, target: float = 1.0) -> DataFrame:
+    """group_id, signal_id, metric and value of a conditioning stage's input: gain's peak, detrend's offset_removed, normalise's scale.
+
+    A signal that normalise leaves as it is has the metric left_as_is instead of scale.
+    """
     v = F.when(finite(F.col("value")), F.col("value"))
-    ref = F.max(F.abs(v)) if mode == "peak" else F.sqrt(F.avg(v * v))
-    scale = samples.groupBy(*KEY).agg(ref.alias("_ref"))
-    return samples.join(scale, list(KEY)).withColumn("value", F.when(F.col("_ref") > 2.220446049250313e-16, F.col("value") * target / F.col("_ref")).otherwise(F.col("value"))).drop("_ref")
+    if mode == "peak":
+        name, value = F.lit("peak"), F.max(F.abs(v)) * abs(target)
+    elif mode == "offset_removed":
+        name, value = F.lit("offset_removed"), F.coalesce(F.avg(v), F.lit(0.0))
+    else:
+        ref = F.max(F.abs(v)) if mode == "scale_peak" else F.sqrt(F.avg(v * v))
+        name, value = F.when(ref > TINY, "scale").otherwise("left_as_is"), F.when(ref > TINY, target / ref).otherwise(F.coalesce(ref, F.lit(0.0)))
+    return before.groupBy(*KEY).agg(name.alias("metric"), value.alias("value"))
+
+
+def statistics(summaries: DataFrame) -> DataFrame:
+    """signals' min, max, mean, rms and peak_to_peak from their stored summaries, without their samples; 0 where there is none."""
+    return summaries.select(*KEY, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("min", "max", "mean", "rms", "peak_to_peak")])
 
 
 def biquad_coefficients(response: str, cutoff_hz: float, rate_hz: float, q: float = math.sqrt(0.5)) -> tuple[float, ...]:
@@ -61,7 +97,7 @@ def filter_signals(signals: DataFrame, response: str, cutoff_hz: float, rate_hz:
     @F.pandas_udf("array<double>")
     def run(column: pd.Series) -> pd.Series:
         lengths = column.map(lambda v: -1 if v is None else len(v)).to_numpy()
-        out = pd.Series([None] * len(column), dtype=object)
+        out = [None] * len(column)
         for n in np.unique(lengths[lengths >= 0]):
             rows = np.flatnonzero(lengths == n)
             x = np.array([column.iloc[i] for i in rows], float).reshape(len(rows), n)
@@ -71,12 +107,84 @@ def filter_signals(signals: DataFrame, response: str, cutoff_hz: float, rate_hz:
                     y[:, i] = b0 * x[:, i] + (b1 * x[:, i - 1] - a1 * y[:, i - 1] if i > 0 else 0) + (b2 * x[:, i - 2] - a2 * y[:, i - 2] if i > 1 else 0)
                 x = y
             for i, row in zip(rows, x, strict=True):
-                out.iloc[i] = row
-        return out
+                out[i] = row.tolist()
+        return pd.Series(out, dtype=object)
 
     return signals.withColumn("values", run("values"))
 
 
+def to_blocks(samples: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """group_id, signal_id, block, start_idx and values: the samples of each stretch of `block` indexes, in order; null counts as NaN."""
+    d = samples.groupBy(*KEY, F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("value", F.lit(float("nan"))).alias("value")))).alias("v"))
+    return d.select(*KEY, "block", F.get("v", F.lit(0))["idx"].alias("start_idx"), F.transform("v", lambda x: x["value"]).alias("values"))
+
+
+def from_blocks(blocks: DataFrame, rate_hz: float, t0_s: float = 0.0) -> DataFrame:
+    """samples of blocks without gaps."""
+    d = blocks.select(*KEY, "start_idx", F.posexplode("values").alias("_at", "value")).withColumn("idx", F.col("start_idx") + F.col("_at"))
+    return d.select(*KEY, "idx", (t0_s + F.col("idx") / rate_hz).alias("t_s"), "value")
+
+
+def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz: float, q: float = math.sqrt(0.5), sections: int = 1, block: int = 1 << 16) -> DataFrame:
+    """samples (idx without gaps) through a cascade of identical sections that start at rest, however long a signal is.
+
+    A block's output is what its inputs give from rest plus what the two outputs before it go on to give. Blocks are
+    run from rest side by side; where each one ends, carried from block to block by a 2 by 2 matrix, is a small table of a
+    signal; each block then adds its part of that. Every task holds a few blocks.
+    """
+    if sections < 1:
+        raise ValueError("sections: one at least")
+    b0, b1, b2, a1, a2 = biquad_coefficients(response, cutoff_hz, rate_hz, q)
+    step, goes_on = np.array([[-a1, -a2], [1.0, 0.0]]), np.empty((block, 2))
+    state = np.eye(2)
+    for i in range(block):  # row i: the output i after the block's start, for each of the two outputs before it
+        state = step @ state
+        goes_on[i] = state[0]
+
+    @F.pandas_udf("array<double>")
+    def from_rest(values: pd.Series, x1: pd.Series, x2: pd.Series) -> pd.Series:
+        out = [None] * len(values)
+        lengths = values.map(len).to_numpy()
+        for n in np.unique(lengths):
+            rows = np.flatnonzero(lengths == n)
+            x = np.zeros((n + 2, len(rows)))
+            x[2:] = np.array([values.iloc[i] for i in rows], float).T
+            x[1], x[0] = x1.to_numpy()[rows], x2.to_numpy()[rows]
+            forced = b0 * x[2:] + b1 * x[1:-1] + b2 * x[:-2]
+            y = np.zeros((n + 2, len(rows)))
+            for i in range(n):
+                y[i + 2] = forced[i] - a1 * y[i + 1] - a2 * y[i]
+            for i, row in zip(rows, y[2:].T, strict=True):
+                out[i] = row.tolist()
+        return pd.Series(out, dtype=object)
+
+    def carried(table: pd.DataFrame) -> pd.DataFrame:
+        """The two outputs before each block of a signal."""
+        table = table.sort_values("block")
+        before, s = [], np.zeros(2)
+        for n, e1, e2 in zip(table["n"], table["e1"], table["e2"], strict=True):
+            before.append(s)
+            s = np.array([e1 + goes_on[n - 1] @ s, e2 + (goes_on[n - 2] @ s if n > 1 else s[0])])
+        return table[[*KEY, "block"]].assign(s1=[b[0] for b in before], s2=[b[1] for b in before])
+
+    @F.pandas_udf("array<double>")
+    def added(values: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.Series:
+        return pd.Series([(np.asarray(v) + goes_on[: len(v)] @ np.array([a, b])).tolist() for v, a, b in zip(values, s1, s2, strict=True)], dtype=object)
+
+    blocks, zero = to_blocks(samples, block), F.lit(0.0)
+    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in KEY)
+    for _ in range(sections):
+        last, w = F.slice("values", F.greatest(F.size("values") - 1, F.lit(1)), 2), W.partitionBy(*KEY).orderBy("block")
+        d = blocks.withColumn("_last", F.lag(last).over(w))
+        x1, x2 = F.coalesce(F.get("_last", F.size("_last") - 1), zero), F.coalesce(F.get("_last", F.size("_last") - 2), zero)
+        d = kept(d.withColumn("values", from_rest("values", x1, x2)).drop("_last"))
+        size = F.size("values")
+        ends = d.select(*KEY, "block", size.alias("n"), F.get("values", size - 1).alias("e1"), F.coalesce(F.get("values", size - 2), zero).alias("e2"))
+        starts = ends.groupBy(*KEY).applyInPandas(carried, f"{kinds}, block long, s1 double, s2 double")
+        blocks = d.join(starts, [*KEY, "block"]).withColumn("values", added("values", "s1", "s2")).drop("s1", "s2")
+    return from_blocks(blocks, rate_hz)
+
+
 WINDOWS = {"rect": (1.0,), "hann": (0.5, 0.5), "hamming": (0.54, 0.46), "blackman-harris": (0.35875, 0.48829, 0.14128, 0.01168), "flat-top": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)}
 
 
@@ -88,23 +196,37 @@ def window_values(name: str, n: int) -> np.ndarray:
 def spectrum(signals: DataFrame, rate_hz: float, window: str = "hann", size: int = 0) -> DataFrame:
     """group_id, signal_id, k, freq_hz, magnitude_db and phase_rad of each signal (values as arrays)."""
 
-    @F.pandas_udf("array<struct<k:int,freq_hz:double,magnitude_db:double,phase_rad:double>>")
-    def run(column: pd.Series) -> pd.Series:
-        def one(v):
-            n = min(size, len(v)) if size else len(v)
-            if not n:
-                return []
-            w = window_values(window, n)
-            m = 1 << (n - 1).bit_length()
-            x = np.fft.rfft(np.asarray(v[:n], float) * w, m)
-            a = np.abs(x) / w.sum()
-            a[1 : len(a) - (m > 1)] *= 2
-            db = np.maximum(20 * np.log10(np.maximum(a, 1e-300)), -300)
-            return [{"k": i, "freq_hz": i * rate_hz / m, "magnitude_db": float(d), "phase_rad": float(p)} for i, (d, p) in enumerate(zip(db, np.angle(x), strict=True))]
-
-        return column.map(lambda v: [] if v is None else one(v))
-
-    return signals.select(*KEY, F.explode(run("values")).alias("s")).select(*KEY, "s.*")
+    schema = T.StructType([*[signals.schema[c] for c in KEY], *(T.StructField(c, k) for c, k in (("k", T.ArrayType(T.IntegerType())), ("freq_hz", T.ArrayType(T.DoubleType())), ("magnitude_db", T.ArrayType(T.DoubleType())), ("phase_rad", T.ArrayType(T.DoubleType()))))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(2)
+            lengths = np.where(values.is_null(), 0, np.diff(values.offsets.to_numpy()))
+            flat = values.flatten().to_numpy(zero_copy_only=False)
+            first = np.cumsum(lengths) - lengths
+            for n in np.unique(lengths[lengths > 0]).tolist():  # signals of one length side by side
+                rows = np.flatnonzero(lengths == n)
+                used = min(size, n) if size else n
+                w, m = window_values(window, used), 1 << (used - 1).bit_length()
+                x = np.fft.rfft(flat[first[rows][:, None] + np.arange(used)] * w, m, axis=1)
+                a = np.abs(x) / w.sum()
+                a[:, 1 : a.shape[1] - (m > 1)] *= 2
+                db = np.maximum(20 * np.log10(np.maximum(a, 1e-300)), -300)
+                bins = a.shape[1]
+                at = np.arange(0, bins * len(rows) + 1, bins, dtype=np.int32)
+                k = np.tile(np.arange(bins, dtype=np.int32), len(rows))
+                columns = [pa.ListArray.from_arrays(at, pa.array(c)) for c in (k, k * (rate_hz / m), db.ravel(), np.angle(x).ravel())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), *columns], schema.fieldNames())
+
+    found = signals.select(*KEY, F.col("values").cast("array<double>").alias("values")).mapInArrow(run, schema)
+    return found.select(*KEY, F.inline(F.arrays_zip("k", "freq_hz", "magnitude_db", "phase_rad")))
+
+
+def spectrum_metrics(spectra: DataFrame) -> DataFrame:
+    """peak_hz, peak_db, peak_phase_rad and fft_size of each signal's spectrum; of equal peaks the lowest."""
+    best = F.max_by(F.struct("freq_hz", "magnitude_db", "phase_rad"), F.struct("magnitude_db", (-F.col("k")).alias("k")))
+    out = spectra.groupBy(*KEY).agg(best.alias("b"), F.max("k").alias("top"))
+    return out.select(*KEY, F.col("b.freq_hz").alias("peak_hz"), F.col("b.magnitude_db").alias("peak_db"), F.col("b.phase_rad").alias("peak_phase_rad"), F.greatest(F.col("top") * 2, F.lit(1)).alias("fft_size"))
 
 
 def threshold(samples: DataFrame, level: float, hysteresis: float = 0.0, min_width_s: float = 0.0, period_s: float | None = None, falling: bool = False) -> DataFrame:
@@ -154,10 +276,10 @@ def symbols(samples: DataFrame, symbol_rate_hz: float, rate_hz: float, nominals:
     return s.select(*KEY, "k", "t_s", symbol.alias("symbol"), margin.alias("margin"))
 
 
-def pack_bits(symbols_: DataFrame, width: int = 8, bits_per_symbol: int = 1, msb_first: bool = True) -> DataFrame:
-    """word, value, hex and bits: symbols' bits in words of `width`; a short last word is right-justified."""
+def pack_bits(symbols_: DataFrame, width: int = 8, bits_per_symbol: int = 1, msb_first: bool = True, invert: bool = False) -> DataFrame:
+    """word, value, hex and bits: symbols' bits, or their opposites, in words of `width`; a short last word is right-justified."""
     bits = symbols_.select(*KEY, "k", F.greatest("symbol", F.lit(0)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(bits_per_symbol - 1))).alias("b"))
-    bits = bits.select(*KEY, (F.col("k") * bits_per_symbol + F.col("b")).alias("at"), F.expr(f"(s >> ({bits_per_symbol - 1} - b)) & 1").alias("bit")).withColumn("word", F.floor(F.col("at") / width))
+    bits = bits.select(*KEY, (F.col("k") * bits_per_symbol + F.col("b")).alias("at"), F.expr(f"(s >> ({bits_per_symbol - 1} - b)) & 1").alias("bit")).withColumn("bit", 1 - F.col("bit") if invert else F.col("bit")).withColumn("word", F.floor(F.col("at") / width))
     n = F.count("*").over(W.partitionBy(*KEY, "word"))
     place = F.col("at") % width
     shift = (n - 1 - place) if msb_first else place
@@ -166,20 +288,48 @@ def pack_bits(symbols_: DataFrame, width: int = 8, bits_per_symbol: int = 1, msb
     return out.withColumn("hex", F.lpad(F.lower(F.hex("value")), -(-width // 4), "0"))
 
 
-def pulse_metrics(detections: DataFrame, duration_s: float) -> DataFrame:
-    """Per group: pulses, widths, intervals between starts within a signal, rate, duty and the highest peak."""
+def pulse_properties(metrics: DataFrame) -> DataFrame:
+    """group_id, key and value of the properties prf_hz and duty that pulse_metrics() writes back, where it has them."""
+    p = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("prf_hz", "duty")]))
+    return metrics.select("group_id", p.alias("p")).select("group_id", "p.*").where("value IS NOT NULL")
+
+
+def longest_signal(samples: DataFrame, rate_hz: float) -> DataFrame:
+    """group_id and duration_s of each group's longest signal."""
+    return samples.groupBy("group_id").agg(((F.max("idx") + 1) / rate_hz).alias("duration_s"))
+
+
+def pulse_metrics(detections: DataFrame, duration_s: float | DataFrame) -> DataFrame:
+    """Per group: pulses, widths, intervals between starts within a signal, rate, duty and the highest peak.
+
+    duration_s: that of the groups' longest signals, a number or a table as longest_signal() gives it; then groups without
+    detections have pulses 0 and nothing else.
+    """
+    if isinstance(duration_s, DataFrame):
+        out = pulse_metrics(detections, 1.0)
+        out = duration_s.select("group_id", F.col("duration_s").alias("_d")).join(out, "group_id", "left")
+        return out.withColumns({"pulses": F.coalesce("pulses", F.lit(0)), "duty": F.col("duty") / F.col("_d")}).drop("_d")
     d = detections.withColumn("width", F.col("end_s") - F.col("start_s")).withColumn("pri", F.col("start_s") - F.lag("start_s").over(W.partitionBy(*KEY).orderBy("start_s")))
     out = d.groupBy("group_id").agg(F.count("*").alias("pulses"), F.avg("width").alias("width_mean"), F.min("width").alias("width_min"), F.max("width").alias("width_max"), F.stddev_samp("width").alias("width_jitter"), F.avg("pri").alias("pri_mean"), F.stddev_samp("pri").alias("pri_jitter"), (F.sum("width") / duration_s).alias("duty"), F.max("peak").alias("peak_max"))
     return out.withColumn("prf_hz", 1 / F.col("pri_mean"))
 
 
-def peaks(signals: DataFrame, rate_hz: float, min_prominence: float = 0.0, min_distance_s: float = 0.0, max_count: int | None = None) -> DataFrame:
+def peaks(signals: DataFrame, rate_hz: float, min_prominence: float = 0.0, min_distance_s: float = 0.0, max_count: int | None = None, falling: bool = False, window_s: float | None = None) -> DataFrame:
     """time_s, amplitude and prominence of each signal's peaks (values as arrays), by time.
 
     A plateau is one peak at its middle; ends are none; NaN never rises. Prominence is the height over the higher of
     the lowest grounds on the way to higher ground or an end, found with a stack in one pass each way. Of peaks nearer than
-    min_distance_s the higher stays.
+    min_distance_s the higher stays. falling: dips, with their depth as prominence. window_s: only so much of the signal on
+    either side of a peak counts for its prominence.
     """
+    sign = -1.0 if falling else 1.0
+    reach = None if window_s is None else max(1, math.floor(window_s * rate_hz + 0.5))
+
+    def near(v: np.ndarray, i: int) -> float:
+        """The lowest ground on the left, up to higher ground or `reach` places."""
+        x = v[max(0, i - reach) : i + 1][::-1]
+        higher = np.flatnonzero(x > x[0])
+        return float(x[: higher[0] if len(higher) else len(x)].min())
 
     def ground(v: np.ndarray) -> np.ndarray:
         out, stack = np.empty(len(v)), []
@@ -194,20 +344,23 @@ def peaks(signals: DataFrame, rate_hz: float, min_prominence: float = 0.0, min_d
     @F.pandas_udf("array<struct<time_s:double,amplitude:double,prominence:double>>")
     def run(column: pd.Series) -> pd.Series:
         def one(values):
-            v = np.asarray(values, float)
+            v = np.array([np.nan if x is None else x for x in values], float) * sign
             v = np.where(np.isnan(v), -np.inf, v)
             start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             end = np.append(start[1:], len(v)) - 1
             top = [(a + b) // 2 for a, b in zip(start, end, strict=True) if a > 0 and b < len(v) - 1 and v[a - 1] < v[a] and v[b + 1] < v[b]]
-            left, right = ground(v), ground(v[::-1])[::-1]
-            found = [(i, v[i], v[i] - max(left[i], right[i])) for i in top]
+            if reach is None:
+                left, right = ground(v), ground(v[::-1])[::-1]
+                found = [(i, v[i], v[i] - max(left[i], right[i])) for i in top]
+            else:
+                found = [(i, v[i], v[i] - max(near(v, i), near(v[::-1], len(v) - 1 - i))) for i in top]
             apart, chosen = math.ceil(min_distance_s * rate_hz), []
             for p in sorted((p for p in found if p[2] >= min_prominence), key=lambda p: (-p[1], p[0])):
                 if max_count is not None and len(chosen) == max_count:
                     break
                 if all(abs(p[0] - c[0]) >= apart for c in chosen):
                     chosen.append(p)
-            return [{"time_s": i / rate_hz, "amplitude": float(a), "prominence": float(h)} for i, a, h in sorted(chosen)]
+            return [{"time_s": i / rate_hz, "amplitude": float(a * sign), "prominence": float(h)} for i, a, h in sorted(chosen)]
 
         return column.map(lambda v: [] if v is None or len(v) == 0 else one(v))
 
@@ -218,10 +371,11 @@ def resample(samples: DataFrame, from_hz: float, to_hz: float) -> DataFrame:
     """Linear interpolation at to_hz, between each sample and the next; nothing after the last sample."""
     d = samples.withColumn("_next", F.lead("value").over(by_signal()))
     ratio = to_hz / from_hz
-    first, last = F.ceil(F.col("idx") * ratio).cast("long"), F.ceil((F.col("idx") + 1) * ratio).cast("long") - 1
-    d = d.where("_next is not null").where(first <= last).select(*KEY, "idx", "value", "_next", F.explode(F.sequence(first, last)).alias("k"))
+    first = F.ceil(F.col("idx") * ratio).cast("long")
+    last = F.when(F.col("_next").isNull(), F.floor(F.col("idx") * ratio)).otherwise(F.ceil((F.col("idx") + 1) * ratio) - 1).cast("long")
+    d = d.where(first <= last).select(*KEY, "idx", "value", "_next", F.explode(F.sequence(first, last)).alias("k"))
     share = F.col("k") / ratio - F.col("idx")
-    return d.select(*KEY, F.col("k").alias("idx"), (F.col("k") / to_hz).alias("t_s"), (F.col("value") + (F.col("_next") - F.col("value")) * share).alias("value"))
+    return d.select(*KEY, F.col("k").alias("idx"), (F.col("k") / to_hz).alias("t_s"), F.coalesce(F.col("value") + (F.col("_next") - F.col("value")) * share, "value").alias("value"))
 
 
 def uniform(key, idx, stream: int):
@@ -232,11 +386,12 @@ def uniform(key, idx, stream: int):
 
 def add_noise(samples: DataFrame, snr_db: float, seed: int = 1) -> DataFrame:
     """Gaussian noise added to each signal at snr_db, both powers measured over the whole signal; silence stays silent."""
-    u, w = uniform(F.col("signal_id"), F.col("idx"), 2 * seed), uniform(F.col("signal_id"), F.col("idx"), 2 * seed + 1)
-    noisy = samples.withColumn("_n", F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * w))
-    power = noisy.groupBy(*KEY).agg(F.avg(F.col("value") * F.col("value")).alias("_p"), F.avg(F.col("_n") * F.col("_n")).alias("_q"))
-    scale = F.sqrt(F.col("_p") / math.pow(10, snr_db / 10) / F.col("_q"))
-    return noisy.join(power, list(KEY)).withColumn("value", F.col("value") + F.when(F.col("_p") > 0, scale).otherwise(0.0) * F.col("_n")).drop("_n", "_p", "_q")
+    u, x = uniform(F.col("signal_id"), F.col("idx"), 2 * seed), uniform(F.col("signal_id"), F.col("idx"), 2 * seed + 1)
+    noisy = samples.withColumn("_n", F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * x))
+    w = whole_signal()
+    power, drawn = (F.avg(F.col(c) * F.col(c)).over(w) for c in ("value", "_n"))
+    scale = F.when(power > 0, F.sqrt(power / math.pow(10, snr_db / 10) / drawn)).otherwise(0.0)
+    return noisy.withColumn("value", F.col("value") + scale * F.col("_n")).drop("_n")
 
 
 def envelope_tukey(samples: DataFrame, duration_s: float, taper: float) -> DataFrame:

@@ -1,61 +1,497 @@
-"""Pipelines: named stages with checked parameters, composed into one DataFrame plan over all groups."""
+"""Pipelines: stages with checked parameters and ports over a bundle of tables, one plan for all groups."""
 
 from __future__ import annotations
 
 import hashlib
-import inspect
 import json
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from sigtables.operators import stages
+from sigtables.operators import generate, stages
+from sigtables.operators.profile import summarise
 
-STAGES: dict[str, Callable[..., DataFrame]] = {"gain": stages.gain, "detrend": stages.detrend, "normalise": stages.normalise, "noise": stages.add_noise, "am": stages.modulate_am, "tukey": stages.envelope_tukey, "resample": stages.resample}
+KEY = ["group_id", "signal_id"]
 
 
-def register_stage(kind: str, function: Callable[..., DataFrame]) -> None:
-    """A user's stage, from samples to samples; its kind begins with ext."""
+@dataclass(frozen=True)
+class Bundle:
+    """What a stage sees.
+
+    samples: group_id, signal_id, idx, t_s, value; signals: group_id, signal_id, ordinal, name, domain, rate_hz, t0_s,
+    attributes (map<string,string>); artifacts by kind; properties: group_id, key, value.
+    """
+
+    samples: DataFrame
+    signals: DataFrame
+    artifacts: Mapping[str, DataFrame] = field(default_factory=dict)
+    properties: DataFrame | None = None
+
+    def of_groups_without(self, failed: DataFrame) -> Bundle:
+        def left(df: DataFrame | None) -> DataFrame | None:
+            return None if df is None else df.join(failed.select("group_id"), "group_id", "left_anti")
+
+        return Bundle(left(self.samples), left(self.signals), {k: left(v) for k, v in self.artifacts.items()}, left(self.properties))
+
+
+@dataclass(frozen=True)
+class Outputs:
+    """What a stage did. A signal is replaced (samples; all signals unless `only` has their keys), dropped or passed through.
+
+    added: group_id, name, domain, idx, t_s, value; attributes: group_id, signal_id, set, remove; metrics: group_id, name,
+    value; failed: group_id, message of groups that stop here; notes: group_id, message.
+    """
+
+    replaced: DataFrame | None = None
+    only: DataFrame | None = None
+    dropped: DataFrame | None = None
+    added: DataFrame | None = None
+    attributes: DataFrame | None = None
+    properties: DataFrame | None = None
+    artifacts: Mapping[str, DataFrame] = field(default_factory=dict)
+    metrics: DataFrame | None = None
+    failed: DataFrame | None = None
+    notes: DataFrame | None = None
+
+
+def apply_outputs(bundle: Bundle, out: Outputs) -> tuple[Bundle, DataFrame]:
+    """(what the next stage sees, dispositions). dispositions: group_id, signal_id, ordinal, name, disposition.
+
+    Signals that stay keep their order and get ordinals without gaps; replaced ones keep name, domain and timebase; added
+    ones come after them by name, with the timebase of the group's first signal and an id from the hash of group and
+    name; dropped ones are last among the dispositions. Attributes are first removed, then set.
+    """
+    s = bundle.signals
+    kind = F.lit("passthrough")
+    if out.replaced is not None:
+        s = s.join(out.only.select(*KEY).distinct().withColumn("_r", F.lit(True)), KEY, "left") if out.only is not None else s.withColumn("_r", F.lit(True))
+        kind = F.when(F.col("_r"), "replaced").otherwise(kind)
+    if out.dropped is not None:
+        s = s.join(out.dropped.select(*KEY).distinct().withColumn("_d", F.lit(True)), KEY, "left")
+        kind = F.when(F.col("_d"), "dropped").otherwise(kind)
+    s = s.withColumn("disposition", kind).drop("_r", "_d")
+    samples = bundle.samples
+    if out.replaced is not None:
+        rest = samples.join(out.only.select(*KEY).distinct(), KEY, "left_anti") if out.only is not None else None
+        fresh = out.replaced.select(samples.columns)
+        samples = fresh if rest is None else rest.unionByName(fresh)
+    if out.dropped is not None:
+        samples = samples.join(out.dropped.select(*KEY).distinct(), KEY, "left_anti")
+    if out.attributes is not None:
+        a = out.attributes.select(*KEY, F.col("set").alias("_set"), F.col("remove").alias("_remove"))
+        s = s.join(a, KEY, "left")
+        kept_ = F.map_filter("attributes", lambda k, _: ~F.coalesce(F.array_contains("_remove", k), F.lit(False)) & ~F.coalesce(F.map_contains_key("_set", k), F.lit(False)))
+        s = s.withColumn("attributes", F.map_concat(kept_, F.coalesce("_set", F.create_map().cast("map<string,string>")))).drop("_set", "_remove")
+    if out.added is not None:
+        new_id = F.xxhash64("group_id", "name")
+        first = bundle.signals.groupBy("group_id").agg(F.min_by(F.struct("rate_hz", "t0_s"), "ordinal").alias("_b"))
+        names = out.added.select("group_id", "name", "domain").distinct().join(first, "group_id", "left")
+        fresh = names.select("group_id", new_id.alias("signal_id"), F.lit(None).cast("int").alias("ordinal"), "name", "domain", F.col("_b.rate_hz").alias("rate_hz"), F.coalesce("_b.t0_s", F.lit(0.0)).alias("t0_s"), F.create_map().cast("map<string,string>").alias("attributes"), F.lit("added").alias("disposition"))
+        s = s.unionByName(fresh.select(s.columns))
+        samples = samples.unionByName(out.added.withColumn("signal_id", new_id).select(samples.columns))
+    order = W.partitionBy("group_id").orderBy((F.col("disposition") == "dropped").cast("int"), F.col("ordinal").asc_nulls_last(), "name")
+    s = s.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))
+    properties = bundle.properties
+    if out.properties is not None:
+        fresh = out.properties.select("group_id", "key", "value")
+        properties = fresh if properties is None else properties.join(fresh, ["group_id", "key"], "left_anti").unionByName(fresh)
+    after = Bundle(samples, s.where("disposition != 'dropped'").drop("disposition"), {**bundle.artifacts, **out.artifacts}, properties)
+    return after, s.select(*KEY, "ordinal", "name", "disposition")
+
+
+@dataclass(frozen=True)
+class Param:
+    """kind: float, int, bool, text or enum (one of `options`)."""
+
+    name: str
+    kind: str = "float"
+    default: object = None
+    low: float | None = None
+    high: float | None = None
+    options: tuple[str, ...] = ()
+    required: bool = False
+
+
+@dataclass(frozen=True)
+class Descriptor:
+    """A stage's kind: its function of (bundle, parameters), parameters, artifacts it needs and gives, version, and whether equal input gives equal output."""
+
+    kind: str
+    run: Callable[..., Outputs]
+    params: tuple[Param, ...] = ()
+    needs: tuple[str, ...] = ()
+    gives: tuple[str, ...] = ()
+    version: int = 1
+    pure: bool = True
+    #: Domains of signals that it reads; none: any.
+    domains: tuple[str, ...] = ()
+    adds: tuple[str, ...] = ()
+
+
+def named(metrics: DataFrame, signals: DataFrame) -> DataFrame:
+    """group_id, name and value from metrics (group_id, signal_id, metric, value): a signal's metrics are <signal>.<metric>."""
+    m = metrics.join(signals.select(*KEY, F.col("name").alias("_s")), KEY)
+    return m.select("group_id", F.concat_ws(".", "_s", "metric").alias("name"), F.col("value").cast("double").alias("value"))
+
+
+def long(df: DataFrame, *names: str, by: Sequence[str] = KEY) -> DataFrame:
+    """by, metric and value of each named column, without nulls."""
+    cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return df.select(*by, F.explode(cells).alias("m")).select(*by, "m.*").where("value IS NOT NULL")
+
+
+def _of(b: Bundle, signal: str | None) -> DataFrame:
+    """Samples of the signals of a name, or of all."""
+    return b.samples if not signal else b.samples.join(b.signals.where(F.col("name") == signal).select(*KEY), KEY)
+
+
+def _without(b: Bundle, signal: str | None) -> DataFrame | None:
+    """Groups that lack the named signal, as failures."""
+    if not signal:
+        return None
+    groups = b.signals.groupBy("group_id").agg(F.bool_or(F.col("name") == signal).alias("_has"))
+    return groups.where(~F.col("_has")).select("group_id", F.lit(f"no signal {signal}").alias("message"))
+
+
+def _gain(b: Bundle, gain: float) -> Outputs:
+    return Outputs(stages.gain(b.samples, gain), metrics=named(stages.conditioning_metrics(b.samples, "peak", gain), b.signals))
+
+
+def _detrend(b: Bundle, mode: str) -> Outputs:
+    return Outputs(stages.detrend(b.samples, mode), metrics=named(stages.conditioning_metrics(b.samples, "offset_removed"), b.signals))
+
+
+def _normalise(b: Bundle, mode: str, target: float) -> Outputs:
+    m = stages.conditioning_metrics(b.samples, f"scale_{mode}", target)
+    quiet = m.where("metric = 'left_as_is'").select("group_id", F.lit("a signal is all but zero and stays").alias("message"))
+    return Outputs(stages.normalise(b.samples, mode, target), metrics=named(m.where("metric = 'scale'"), b.signals), notes=quiet)
+
+
+def _filter(b: Bundle, response: str, cutoff_hz: float, rate_hz: float, q: float, sections: int) -> Outputs:
+    """Groups whose signals have half a rate at or below the cutoff fail; irregular signals stay as they are."""
+    s = b.signals
+    failed = s.where(F.col("rate_hz") / 2 <= cutoff_hz).select("group_id", F.lit("the cutoff is not below half the sample rate").alias("message")).distinct()
+    irregular = s.where("rate_hz IS NULL").select("group_id", F.lit("an irregular signal stays as it is").alias("message"))
+    good = s.where((F.col("rate_hz") == rate_hz) & (F.col("rate_hz") / 2 > cutoff_hz)).select(*KEY)
+    return Outputs(stages.filter_samples(b.samples.join(good, KEY), response, cutoff_hz, rate_hz, q, sections), only=good, failed=failed, notes=irregular)
+
+
+def _fft(b: Bundle, signal: str, window: str, size: int, rate_hz: float) -> Outputs:
+    arrays = stages.to_blocks(_of(b, signal), 1 << 40).select(*KEY, "values")
+    spectra = stages.spectrum(arrays, rate_hz, window, size)
+    return Outputs(artifacts={"spectrum": spectra}, metrics=named(long(stages.spectrum_metrics(spectra), "peak_hz", "peak_db", "peak_phase_rad", "fft_size"), b.signals), failed=_without(b, signal))
+
+
+def _statistics(b: Bundle, write_back: bool) -> Outputs:
+    s = stages.statistics(summarise(b.samples, *KEY))
+    back = s.select(*KEY, F.create_map(F.lit("rms"), F.col("rms").cast("string")).alias("set"), F.array().cast("array<string>").alias("remove"))
+    return Outputs(artifacts={"statistics": s}, metrics=named(long(s, "rms", "peak_to_peak"), b.signals), attributes=back if write_back else None)
+
+
+def _threshold(b: Bundle, level: float, polarity: str, hysteresis: float, min_width_s: float, rate_hz: float) -> Outputs:
+    d = stages.threshold(b.samples, level, hysteresis, min_width_s, 1 / rate_hz, polarity == "falling")
+    m = d.groupBy("group_id").agg(F.count("*").alias("detections"), F.max(F.col("end_s") - F.col("start_s")).alias("widest_s"))
+    m = b.signals.select("group_id").distinct().join(m, "group_id", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
+    count = m.select("group_id", F.lit("detection_count").alias("key"), F.col("detections").cast("double").alias("value"))
+    return Outputs(artifacts={"detections": d}, metrics=long(m, "detections", "widest_s", by=["group_id"]).withColumnRenamed("metric", "name"), properties=count)
+
+
+def _peaks(b: Bundle, polarity: str, min_prominence: float, min_distance_s: float, max_count: int, window_s: float, rate_hz: float) -> Outputs:
+    arrays = stages.to_blocks(b.samples, 1 << 40).select(*KEY, "values")
+    p = stages.peaks(arrays, rate_hz, min_prominence, min_distance_s, max_count or None, polarity == "falling", window_s or None)
+    m = p.groupBy("group_id").agg(F.count("*").alias("peaks"), F.max("prominence").alias("strongest"))
+    return Outputs(artifacts={"peaks": p}, metrics=long(m, "peaks", "strongest", by=["group_id"]).withColumnRenamed("metric", "name"))
+
+
+def _slice(b: Bundle, level: float, hysteresis: float, invert: bool, name: str, signal: str) -> Outputs:
+    """Adds a logic signal of the first, or the named, signal of each group; a group without it gets a note."""
+    first = b.signals.groupBy("group_id").agg(F.min_by("signal_id", F.struct(F.col("name") != signal, "ordinal") if signal else F.struct("ordinal")).alias("signal_id"))
+    if signal:
+        first = first.join(b.signals.where(F.col("name") == signal).select(*KEY), KEY)
+    bits = stages.slice_levels(b.samples.join(first, KEY), level, hysteresis, invert)
+    added = bits.select("group_id", F.lit(name).alias("name"), F.lit("digital_logic").alias("domain"), "idx", "t_s", F.col("bit").cast("double").alias("value"))
+    m = stages.slice_metrics(bits)
+    lacking = _without(b, signal)
+    return Outputs(added=added, metrics=long(m, "transitions", "duty", by=["group_id"]).withColumnRenamed("metric", "name"), notes=lacking)
+
+
+def _symbols(b: Bundle, symbol_rate_hz: float, format: str, level: float, spacing: float, align: str, phase: float, rate_hz: float) -> Outputs:
+    nominals = [level - spacing / 2, level + spacing / 2] if format == "nrz" else [level + spacing * (k - 1.5) for k in range(4)]
+    d = stages.symbols(b.samples, symbol_rate_hz, rate_hz, nominals, phase, align)
+    m = d.groupBy(*KEY).agg(F.count("*").alias("symbols"), F.min("margin").alias("worst_margin"), F.avg("margin").alias("mean_margin"))
+    return Outputs(artifacts={"symbols": d}, metrics=named(long(m, "symbols", "worst_margin", "mean_margin"), b.signals))
+
+
+def _bits(b: Bundle, width: int, bits_per_symbol: int, msb_first: bool, invert: bool) -> Outputs:
+    return Outputs(artifacts={"bits": stages.pack_bits(b.artifacts["symbols"], width, bits_per_symbol, msb_first, invert)})
+
+
+def _pulse_metrics(b: Bundle, write_back: bool, rate_hz: float) -> Outputs:
+    m = stages.pulse_metrics(b.artifacts["detections"], stages.longest_signal(b.samples, rate_hz))
+    names = [c for c in m.columns if c != "group_id"]
+    rows = long(m, *names, by=["group_id"]).withColumnRenamed("metric", "name")
+    return Outputs(artifacts={"metrics": rows}, metrics=rows, properties=stages.pulse_properties(m) if write_back else None)
+
+
+RATE = Param("rate_hz", low=0.0, required=True)
+POLARITY = Param("polarity", "enum", "rising", options=("rising", "falling"))
+STAGES: dict[str, Descriptor] = {
+    d.kind: d
+    for d in (
+        Descriptor("passthrough", lambda b: Outputs()),
+        Descriptor("gain", _gain, (Param("gain", default=1.0),)),
+        Descriptor("detrend", _detrend, (Param("mode", "enum", "mean", options=("mean", "linear")),)),
+        Descriptor("normalise", _normalise, (Param("mode", "enum", "peak", options=("peak", "rms")), Param("target", default=1.0, low=0.0))),
+        Descriptor("filter", _filter, (Param("response", "enum", "low", options=("low", "high", "band", "notch")), Param("cutoff_hz", low=0.0, required=True), RATE, Param("q", default=math.sqrt(0.5), low=1e-3), Param("sections", "int", 1, 1, 8))),
+        Descriptor("fft", _fft, (Param("signal", "text", ""), Param("window", "enum", "hann", options=tuple(stages.WINDOWS)), Param("size", "int", 0, 0), RATE), gives=("spectrum",)),
+        Descriptor("statistics", _statistics, (Param("write_back", "bool", False),), gives=("statistics",)),
+        Descriptor("threshold", _threshold, (Param("level", required=True), POLARITY, Param("hysteresis", default=0.0, low=0.0), Param("min_width_s", default=0.0, low=0.0), RATE), gives=("detections",)),
+        Descriptor("peaks", _peaks, (POLARITY, Param("min_prominence", default=0.0, low=0.0), Param("min_distance_s", default=0.0, low=0.0), Param("max_count", "int", 0, 0), Param("window_s", default=0.0, low=0.0), RATE), gives=("peaks",)),
+        Descriptor("slice", _slice, (Param("level", default=0.0), Param("hysteresis", default=0.0, low=0.0), Param("invert", "bool", False), Param("name", "text", "logic"), Param("signal", "text", "")), adds=("digital_logic",)),
+        Descriptor("symbols", _symbols, (Param("symbol_rate_hz", low=0.0, required=True), Param("format", "enum", "nrz", options=("nrz", "pam4")), Param("level", default=0.0), Param("spacing", default=2.0, low=0.0), Param("align", "enum", "first-edge", options=("first-edge", "start")), Param("phase", default=0.5, low=0.0, high=1.0), RATE), gives=("symbols",)),
+        Descriptor("bits", _bits, (Param("width", "int", 8, 1, 62), Param("bits_per_symbol", "int", 1, 1, 2), Param("msb_first", "bool", True), Param("invert", "bool", False)), needs=("symbols",), gives=("bits",)),
+        Descriptor("pulse_metrics", _pulse_metrics, (Param("write_back", "bool", False), RATE), needs=("detections",), gives=("metrics",)),
+        Descriptor("noise", lambda b, snr_db, seed: Outputs(stages.add_noise(b.samples, snr_db, seed)), (Param("snr_db", required=True), Param("seed", "int", 1))),
+        Descriptor("am", lambda b, carrier_hz, depth: Outputs(stages.modulate_am(b.samples, carrier_hz, depth)), (Param("carrier_hz", low=0.0, required=True), Param("depth", required=True))),
+        Descriptor("clip", lambda b, lo, hi: Outputs(generate.clip(b.samples, lo, hi)), (Param("lo", required=True), Param("hi", required=True))),
+        Descriptor("resample", lambda b, from_hz, to_hz: Outputs(stages.resample(b.samples, from_hz, to_hz)), (Param("from_hz", low=0.0, required=True), Param("to_hz", low=0.0, required=True))),
+        Descriptor("drop", lambda b, signal: Outputs(dropped=b.signals.where(F.col("name") == signal)), (Param("signal", "text", required=True),)),
+    )
+}
+
+
+def register_stage(kind: str, run: Callable[..., Outputs], params: Sequence[Param] = (), needs: Sequence[str] = (), gives: Sequence[str] = (), version: int = 1, pure: bool = True) -> None:
+    """A user's stage, from a bundle and parameters to outputs; its kind begins with ext. and is new."""
     if not kind.startswith("ext.") or kind in STAGES:
         raise ValueError(f"{kind}: a user's stage begins with ext. and is new")
-    STAGES[kind] = function
+    STAGES[kind] = Descriptor(kind, run, tuple(params), tuple(needs), tuple(gives), version, pure)
+
+
+def per_group(kind: str, function: Callable, schema: str, params: Sequence[Param] = (), version: int = 1) -> None:
+    """A user's stage that runs apart for each group: function(samples of a group as a pandas frame, **parameters) gives its samples.
+
+    A group where it raises stops there with the error as its message; the others go on.
+    """
+
+    def run(b: Bundle, **given: object) -> Outputs:
+        def safely(table):
+            try:
+                return function(table, **given).assign(_error=None)
+            except Exception as e:  # what a user's function raises is the group's failure, not the job's
+                return table.head(1).assign(_error=f"{type(e).__name__}: {e}")
+
+        out = b.samples.groupBy("group_id").applyInPandas(safely, f"{schema}, _error string")
+        failed = out.where("_error IS NOT NULL").select("group_id", F.col("_error").alias("message"))
+        return Outputs(out.where("_error IS NULL").drop("_error"), failed=failed)
+
+    register_stage(kind, run, params, version=version)
 
 
 @dataclass(frozen=True)
 class Stage:
     kind: str
-    params: dict = field(default_factory=dict)
+    params: Mapping[str, object] = field(default_factory=dict)
     enabled: bool = True
+    retention: str = "always"
 
 
-def issues(pipeline: Sequence[Stage]) -> list[str]:
-    """All that is wrong with a pipeline, before any job starts."""
-    out = [] if any(s.enabled for s in pipeline) else ["no stage is enabled"]
-    for i, s in enumerate(pipeline):
-        if s.kind not in STAGES:
-            out.append(f"stage {i}: no kind {s.kind}")
+KINDS = {"float": (int, float), "int": (int,), "bool": (bool,), "text": (str,), "enum": (str,)}
+
+
+def resolved(stage: Stage) -> tuple[dict[str, object], list[str]]:
+    """(all parameters with their defaults, what is wrong with the given ones)."""
+    d = STAGES.get(stage.kind)
+    if d is None:
+        return {}, [f"no kind {stage.kind}"]
+    known, out, wrong = {p.name: p for p in d.params}, {}, []
+    wrong += [f"no parameter {n}" for n in stage.params if n not in known]
+    for p in d.params:
+        if p.name not in stage.params:
+            if p.required:
+                wrong.append(f"{p.name} is missing")
+            out[p.name] = p.default
             continue
-        known = dict(list(inspect.signature(STAGES[s.kind]).parameters.items())[1:])
-        out += [f"stage {i}: no parameter {p}" for p in s.params if p not in known]
-        out += [f"stage {i}: {n} is missing" for n, p in known.items() if p.default is p.empty and n not in s.params]
+        v = out[p.name] = stage.params[p.name]
+        if not isinstance(v, KINDS[p.kind]) or isinstance(v, bool) and p.kind != "bool":
+            wrong.append(f"{p.name}: a {p.kind} is needed")
+        elif p.kind == "enum" and v not in p.options:
+            wrong.append(f"{p.name}: one of {', '.join(p.options)}")
+        elif p.kind in ("float", "int"):
+            if not math.isfinite(v) or p.low is not None and v < p.low or p.high is not None and v > p.high:
+                wrong.append(f"{p.name}: out of range")
+            out[p.name] = float(v) if p.kind == "float" else v
+    return out, wrong
+
+
+def issues(pipeline: Sequence[Stage], artifacts: Sequence[str] = ()) -> list[str]:
+    """All that is wrong with a pipeline, before any job starts: kinds, parameters, and artifacts that no earlier stage gives."""
+    out, have = [] if any(s.enabled for s in pipeline) else ["no stage is enabled"], set(artifacts)
+    for i, s in enumerate(pipeline):
+        out += [f"stage {i}: {w}" for w in resolved(s)[1]]
+        if s.retention not in ("always", "on_failure", "never"):
+            out.append(f"stage {i}: retention: always, on_failure or never")
+        if s.enabled and (d := STAGES.get(s.kind)):
+            out += [f"stage {i}: needs {n}, which no stage before it gives" for n in d.needs if n not in have]
+            have |= set(d.gives)
     return out
 
 
-def stage_keys(pipeline: Sequence[Stage]) -> list[str]:
-    """A key of each enabled stage and all before it: equal keys on equal input give equal output, so an edit renews the keys from it on."""
-    out, above = [], ""
+def stage_keys(pipeline: Sequence[Stage], salt: str = "") -> list[str]:
+    """A key of each enabled stage and all before it: equal keys on equal input give equal output, so an edit renews the keys from it on.
+
+    A key is of the kinds, versions and parameters with their defaults. From an impure stage on keys are empty: nothing is reused.
+    """
+    out, above, pure = [], salt, True
     for s in pipeline:
         if s.enabled:
-            above = hashlib.sha256(f"{above}{s.kind}{json.dumps(s.params, sort_keys=True)}".encode()).hexdigest()
-            out.append(above)
+            d = STAGES[s.kind]
+            pure = pure and d.pure
+            above = hashlib.sha256(json.dumps([above, s.kind, d.version, resolved(s)[0]], sort_keys=True).encode()).hexdigest()
+            out.append(above if pure else "")
     return out
 
 
-def run(samples: DataFrame, pipeline: Sequence[Stage]) -> DataFrame:
-    if found := issues(pipeline):
+def pipeline_hash(pipeline: Sequence[Stage]) -> str:
+    return hashlib.sha256(json.dumps([[s.kind, STAGES[s.kind].version, resolved(s)[0]] for s in pipeline if s.enabled], sort_keys=True).encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a run leaves: the last bundle and, per stage (-1: the source), its records.
+
+    groups: group_id, status, failed_stage, message; signals: stage_ordinal, group_id, signal_id, ordinal, name, disposition and
+    a summary; metrics: stage_ordinal, group_id, name, value; notes: stage_ordinal, group_id, message; artifacts and samples
+    by stage.
+    """
+
+    last: Bundle
+    groups: DataFrame
+    signals: DataFrame
+    metrics: DataFrame | None
+    notes: DataFrame | None
+    artifacts: Mapping[tuple[int, str], DataFrame]
+    samples: Mapping[int, DataFrame]
+    keys: Sequence[str] = ()
+
+
+def _recorded(stage: int, dispositions: DataFrame, samples: DataFrame) -> DataFrame:
+    s = summarise(samples, *KEY).select(*KEY, F.col("count").alias("samples"), "min", "max", "mean", "rms", "peak_to_peak")
+    return dispositions.join(s, KEY, "left").withColumn("stage_ordinal", F.lit(stage))
+
+
+def union(parts: Sequence[DataFrame]) -> DataFrame | None:
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def run_groups(bundle: Bundle, pipeline: Sequence[Stage]) -> Run:
+    """All enabled stages over all groups. A group that fails at a stage has no later ones; the other groups go on."""
+    if found := issues(pipeline, tuple(bundle.artifacts)):
         raise ValueError("; ".join(found))
-    for s in pipeline:
-        if s.enabled:
-            samples = STAGES[s.kind](samples, **s.params)
-    return samples
+    everyone = bundle.signals.select("group_id").distinct()
+    source = bundle.signals.select(*KEY, "ordinal", "name", F.lit("source").alias("disposition"))
+    records, metrics, notes, failures, artifacts, samples = [_recorded(-1, source, bundle.samples)], [], [], [], {}, {-1: bundle.samples}
+    for i, s in enumerate(p for p in pipeline if p.enabled):
+        out = STAGES[s.kind].run(bundle, **resolved(s)[0])
+        if out.failed is not None:
+            bad = out.failed.groupBy("group_id").agg(F.min("message").alias("message"), F.lit(i).alias("failed_stage"))
+            failures.append(bad)
+            bundle = bundle.of_groups_without(bad)
+
+            def left(df: DataFrame | None, bad: DataFrame = bad) -> DataFrame | None:
+                return None if df is None else df.join(bad.select("group_id"), "group_id", "left_anti")
+
+            out = replace(out, **{n: left(getattr(out, n)) for n in ("replaced", "only", "dropped", "added", "attributes", "properties", "metrics", "notes")}, artifacts={k: left(v) for k, v in out.artifacts.items()})
+        bundle, dispositions = apply_outputs(bundle, out)
+        records.append(_recorded(i, dispositions, bundle.samples))
+        samples[i] = bundle.samples
+        artifacts |= {(i, k): v for k, v in out.artifacts.items()}
+        if out.metrics is not None:
+            metrics.append(out.metrics.select(F.lit(i).alias("stage_ordinal"), "group_id", "name", "value"))
+        if out.notes is not None:
+            notes.append(out.notes.select(F.lit(i).alias("stage_ordinal"), "group_id", "message"))
+    failed = union(failures)
+    groups = everyone.join(failed, "group_id", "left") if failed is not None else everyone.withColumns({"message": F.lit(None).cast("string"), "failed_stage": F.lit(None).cast("int")})
+    groups = groups.select("group_id", F.when(F.col("failed_stage").isNull(), "ok").otherwise("failed").alias("status"), "failed_stage", "message")
+    return Run(bundle, groups, union(records), union(metrics), union(notes), artifacts, samples, stage_keys(pipeline))
+
+
+def write_run(result: Run, path: str, run_id: str, pipeline: Sequence[Stage]) -> None:
+    """Appends a run's records under path, partitioned by run_id: run_groups, run_signals, run_metrics, run_notes, run_artifacts, run_samples.
+
+    Artifacts are rows of JSON by port. Samples of a stage are written as its retention says: always, on_failure (of groups
+    that failed) or never; the records of signals stay whatever happens to samples.
+    """
+
+    def write(df: DataFrame | None, name: str) -> None:
+        if df is not None:
+            df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+
+    write(result.groups, "run_groups")
+    write(result.signals, "run_signals")
+    write(result.metrics, "run_metrics")
+    write(result.notes, "run_notes")
+    for (stage, port), df in result.artifacts.items():
+        rest = [c for c in df.columns if c != "group_id"]
+        write(df.select("group_id", F.lit(stage).alias("stage_ordinal"), F.lit(port).alias("port"), F.to_json(F.struct(*rest)).alias("payload")), "run_artifacts")
+    bad = result.groups.where("status = 'failed'").select("group_id")
+    policies = {-1: "never"} | {i: s.retention for i, s in enumerate(s for s in pipeline if s.enabled)}
+    for stage, df in result.samples.items():
+        if policies[stage] != "never":
+            own = df if policies[stage] == "always" else df.join(bad, "group_id", "left_semi")
+            write(own.withColumn("stage_ordinal", F.lit(stage)), "run_samples")
+
+
+def input_hashes(bundle: Bundle) -> DataFrame:
+    """group_id and input_hash: of the names and exact contents of a group's signals and of the artifacts that come with it.
+
+    Samples are hashed by sums that don't depend on order, so no group is gathered; artifacts by the same of their rows.
+    """
+    bits = F.xxhash64("idx", F.coalesce(F.col("value").cast("string"), F.lit("null")))
+    more = F.xxhash64(F.lit(17), "idx", F.coalesce(F.col("value").cast("string"), F.lit("null")))
+    content = bundle.samples.groupBy(*KEY).agg(F.bit_xor(bits).alias("x"), F.sum(more.cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    rows = bundle.signals.join(content, KEY, "left").select("group_id", F.xxhash64("name", "ordinal", "rate_hz", "t0_s", "x", "s", "n").alias("h"))
+    for kind, df in sorted(bundle.artifacts.items()):
+        rest = [c for c in df.columns if c != "group_id"]
+        rows = rows.unionByName(df.select("group_id", F.xxhash64(F.lit(kind), F.to_json(F.struct(*rest))).alias("h")))
+    return rows.groupBy("group_id").agg(F.sha2(F.concat_ws("|", F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)")), F.count("*")), 256).alias("input_hash"))
+
+
+def plan_incremental(hashes: DataFrame, keys: Sequence[str], cache: DataFrame) -> DataFrame:
+    """group_id, stage_ordinal, cache_key and hit: which stages of a group a cache (cache_key) has for its input.
+
+    Keys hold all stages before, so hits of a group are a run of stages from the first on, and the rest is run again.
+    """
+    stages_ = F.explode(F.array(*[F.struct(F.lit(i).alias("stage_ordinal"), F.lit(k).alias("k")) for i, k in enumerate(keys)])).alias("s")
+    d = hashes.select("group_id", "input_hash", stages_).select("group_id", "s.stage_ordinal", F.when(F.col("s.k") != "", F.sha2(F.concat_ws("|", "s.k", "input_hash"), 256)).alias("cache_key"))
+    d = d.join(cache.select("cache_key", F.lit(True).alias("_hit")).distinct(), "cache_key", "left")
+    before = W.partitionBy("group_id").orderBy("stage_ordinal").rowsBetween(W.unboundedPreceding, 0)
+    return d.select("group_id", "stage_ordinal", "cache_key", F.bool_and(F.coalesce("_hit", F.lit(False))).over(before).alias("hit"))
+
+
+def run_incremental(bundle: Bundle, pipeline: Sequence[Stage], cache: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples after the last stage, cache with its new keys).
+
+    Groups whose last stage the cache has take their samples from stored (group_id, stage_ordinal and samples); only the
+    others are run, from the source, as one plan.
+    """
+    plan = plan_incremental(input_hashes(bundle), stage_keys(pipeline), cache)
+    last = len([s for s in pipeline if s.enabled]) - 1
+    done = plan.where((F.col("stage_ordinal") == last) & F.col("hit")).select("group_id")
+    fresh = run_groups(bundle.of_groups_without(done), pipeline).last.samples
+    old = stored.where(F.col("stage_ordinal") == last).join(done, "group_id", "left_semi").select(fresh.columns)
+    return fresh.unionByName(old), cache.select("cache_key").unionByName(plan.where("cache_key IS NOT NULL").select("cache_key")).distinct()
+
+
+def run(samples: DataFrame, pipeline: Sequence[Stage]) -> DataFrame:
+    """The samples that a pipeline of stages makes of samples alone; signals are named by their ids."""
+    signals = samples.groupBy(*KEY).agg(F.min("t_s").alias("t0_s"))
+    order = W.partitionBy("group_id").orderBy("signal_id")
+    signals = signals.select(*KEY, (F.row_number().over(order) - 1).cast("int").alias("ordinal"), F.col("signal_id").cast("string").alias("name"), F.lit("analog").alias("domain"), F.lit(None).cast("double").alias("rate_hz"), "t0_s", F.create_map().cast("map<string,string>").alias("attributes"))
+    return run_groups(Bundle(samples, signals), pipeline).last.samples

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigtables.functions.expressions import expression
 from sigtables.functions.scalars import normalise_key, r6
-from sigtables.model import RATE_HZ, pulses, samples, signals, table
-from sigtables.operators import catalog, generate, profile, regress, stages
+from sigtables.model import RATE_HZ, pulses, samples, shared_folder, signals, table
+from sigtables.operators import catalog, generate, library, profile, regress, specs, stages
 from sigtables.plans import pipeline
+from sigtables.sources import pulse_csv
 from sigtables.streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,16 +99,37 @@ def normalise(spark, d):
     return _stage(stages.normalise(samples(spark, d)))
 
 
-B0, B1, B2, A1, A2 = stages.biquad_coefficients("low", 8.0, RATE_HZ)
+def _biquad_sql(response: str, cutoff_hz: float, q: float, rows: str) -> str:
+    b0, b1, b2, a1, a2 = (f"CAST({c!r} AS DOUBLE)" for c in stages.biquad_coefficients(response, cutoff_hz, RATE_HZ, q))
+    cell = "coalesce(CASE WHEN y.idx >= {k} THEN e.embedding[y.idx + 1 - {k}]::DOUBLE END, 0)"
+    step = f"{b0} * {cell.format(k=0)} + {b1} * {cell.format(k=1)} + {b2} * {cell.format(k=2)} - {a1} * y.y1 - {a2} * y.y2"
+    return f"WITH RECURSIVE y(signal_id, idx, y1, y2) AS (SELECT vec_id, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM embeddings UNION ALL SELECT y.signal_id, y.idx + 1, {step}, y.y1 FROM y JOIN embeddings e ON e.vec_id = y.signal_id WHERE y.idx < 64) {rows}"
 
 
-@query(f"y(signal_id, idx, y1, y2) AS (SELECT vec_id, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM embeddings UNION ALL SELECT y.signal_id, y.idx + 1, {B0!r} * e.embedding[y.idx + 1] + {B1!r} * coalesce(CASE WHEN y.idx >= 1 THEN e.embedding[y.idx] END, 0) + {B2!r} * coalesce(CASE WHEN y.idx >= 2 THEN e.embedding[y.idx - 1] END, 0) - ({A1!r}) * y.y1 - ({A2!r}) * y.y2, y.y1 FROM y JOIN embeddings e ON e.vec_id = y.signal_id WHERE y.idx < 64) SELECT signal_id, {r('y1')} AS last_value FROM y WHERE idx = 64")
+@query(_biquad_sql("low", 8.0, 0.5**0.5, f"SELECT signal_id, {r('y1')} AS last_value FROM y WHERE idx = 64"))
 def biquad_lowpass(spark, d):
     out = stages.filter_signals(signals(spark, d), "low", 8.0, RATE_HZ)
     return out.select("signal_id", r6(F.element_at("values", -1)).alias("last_value"))
 
 
-ORACLES["biquad_lowpass"] = "WITH RECURSIVE " + ORACLES["biquad_lowpass"]
+def _filtered(spark, d, response, cutoff_hz, q):
+    """Every sample, filtered in blocks of 16."""
+    return _stage(stages.filter_samples(samples(spark, d), response, cutoff_hz, RATE_HZ, q, block=16))
+
+
+@query(_biquad_sql("high", 4.0, 0.9, f"SELECT signal_id, idx - 1 AS idx, {r('y1')} AS value FROM y WHERE idx > 0"))
+def biquad_highpass(spark, d):
+    return _filtered(spark, d, "high", 4.0, 0.9)
+
+
+@query(_biquad_sql("band", 10.0, 2.0, f"SELECT signal_id, idx - 1 AS idx, {r('y1')} AS value FROM y WHERE idx > 0"))
+def biquad_bandpass(spark, d):
+    return _filtered(spark, d, "band", 10.0, 2.0)
+
+
+@query(_biquad_sql("notch", 12.0, 1.5, f"SELECT signal_id, idx - 1 AS idx, {r('y1')} AS value FROM y WHERE idx > 0"))
+def biquad_notch(spark, d):
+    return _filtered(spark, d, "notch", 12.0, 1.5)
 
 
 @query("SELECT signal_id, k::INTEGER AS k, k::DOUBLE AS freq_hz, round(20 * log10(greatest(sqrt(pow(sum(value * w * cos(2 * pi() * k * idx / 64)), 2) + pow(sum(value * w * sin(2 * pi() * k * idx / 64)), 2)) / 32 * (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END), 1e-15)), 3) + 0.0::DOUBLE AS magnitude_db FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * idx / 64) AS w FROM s) CROSS JOIN range(0, 33) b(k) GROUP BY signal_id, k", S)
@@ -115,6 +138,43 @@ def spectrum(spark, d):
     return out.select("signal_id", "k", "freq_hz", (F.round("magnitude_db", 3) + F.lit(0.0)).alias("magnitude_db"))
 
 
+def _window_sql(window: str) -> str:
+    w = " + ".join(f"({(-1) ** i * a!r})::DOUBLE * cos(2 * pi() * {i} * idx / 64)" for i, a in enumerate(stages.WINDOWS[window]))
+    half = "(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END)"
+    power = "pow(sum(value * w * cos(2 * pi() * k * idx / 64)), 2) + pow(sum(value * w * sin(2 * pi() * k * idx / 64)), 2)"
+    return f"SELECT signal_id, k::INTEGER AS k, round(20 * log10(greatest(sqrt({power}) / sum(w) * {half}, 1e-15)), 3) + 0.0::DOUBLE AS magnitude_db FROM (SELECT *, {w} AS w FROM s) CROSS JOIN range(0, 33) b(k) GROUP BY signal_id, k"
+
+
+def _spectrum(spark, d, window):
+    return stages.spectrum(signals(spark, d), RATE_HZ, window).select("signal_id", "k", (F.round("magnitude_db", 3) + F.lit(0.0)).alias("magnitude_db"))
+
+
+@query(_window_sql("rect"), S)
+def spectrum_rect(spark, d):
+    return _spectrum(spark, d, "rect")
+
+
+@query(_window_sql("hamming"), S)
+def spectrum_hamming(spark, d):
+    return _spectrum(spark, d, "hamming")
+
+
+@query(_window_sql("blackman-harris"), S)
+def spectrum_blackman_harris(spark, d):
+    return _spectrum(spark, d, "blackman-harris")
+
+
+@query(_window_sql("flat-top"), S)
+def spectrum_flat_top(spark, d):
+    return _spectrum(spark, d, "flat-top")
+
+
+@query(f"SELECT signal_id, k / 1.0::DOUBLE AS peak_hz, round(db, 3) + 0.0::DOUBLE AS peak_db, 64 AS fft_size FROM (SELECT signal_id, k, 20 * log10(greatest(sqrt(pow(sum(value * w * cos(2 * pi() * k * idx / 64)), 2) + pow(sum(value * w * sin(2 * pi() * k * idx / 64)), 2)) / 32 * (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END), 1e-15)) AS db FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * idx / 64) AS w FROM s) CROSS JOIN range(0, 33) b(k) GROUP BY signal_id, k) QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY db DESC, k) = 1", S)
+def spectrum_peak(spark, d):
+    m = stages.spectrum_metrics(stages.spectrum(signals(spark, d), RATE_HZ))
+    return m.select("signal_id", "peak_hz", (F.round("peak_db", 3) + F.lit(0.0)).alias("peak_db"), "fft_size")
+
+
 def _detections(spark, d):
     return stages.threshold(samples(spark, d), 0.1, 0.05, period_s=1 / RATE_HZ)
 
@@ -151,9 +211,22 @@ def bitpack(spark, d):
     return stages.pack_bits(_symbols(spark, d), 8, 2).select("signal_id", "word", "value", "bits")
 
 
-@query()
+PEAKS = "top AS (SELECT * FROM (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS n FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY idx)) WHERE value > p AND value > n), ground AS (SELECT t.group_id, t.signal_id, t.idx, t.t_s, t.value, max(CASE WHEN s.idx < t.idx AND s.value > t.value THEN s.idx END) AS l, min(CASE WHEN s.idx > t.idx AND s.value > t.value THEN s.idx END) AS r FROM top t JOIN s USING (signal_id) GROUP BY ALL), prom AS (SELECT g.group_id, g.signal_id, g.idx, g.t_s, g.value, g.value - greatest(min(CASE WHEN s.idx <= g.idx AND s.idx > coalesce(g.l, -1) THEN s.value END), min(CASE WHEN s.idx >= g.idx AND s.idx < coalesce(g.r, 64) THEN s.value END)) AS h FROM ground g JOIN s USING (signal_id) GROUP BY g.group_id, g.signal_id, g.idx, g.t_s, g.value, g.l, g.r)"
+
+
+@query(f"SELECT group_id, signal_id, {r('t_s')} AS time_s, {r('value')} AS amplitude, {r('h')} AS prominence FROM prom WHERE h >= 0.1", S, PEAKS)
 def peaks(spark, d):
-    return stages.peaks(signals(spark, d), RATE_HZ, 0.1, 0.05)
+    return rounded(stages.peaks(signals(spark, d), RATE_HZ, 0.1), "time_s", "amplitude", "prominence")
+
+
+@query(f"SELECT group_id, signal_id, {r('t_s')} AS time_s, {r('value')} AS amplitude, {r('h')} AS prominence FROM prom QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY value DESC, idx) <= 3", S, PEAKS)
+def peaks_topk(spark, d):
+    return rounded(stages.peaks(signals(spark, d), RATE_HZ, max_count=3), "time_s", "amplitude", "prominence")
+
+
+@query(f"SELECT group_id, signal_id, {r('t_s')} AS time_s, {r('-value')} AS amplitude, {r('h')} AS prominence FROM prom WHERE h >= 0.2", S.replace("embedding[i]::DOUBLE AS value", "-embedding[i]::DOUBLE AS value"), PEAKS)
+def peaks_falling(spark, d):
+    return rounded(stages.peaks(signals(spark, d), RATE_HZ, 0.2, falling=True), "time_s", "amplitude", "prominence")
 
 
 @query(f"SELECT signal_id, idx, {r('value + (nx - value) * f')} AS value FROM (SELECT s.signal_id, k AS idx, value, nx, k * 2.0::DOUBLE / 3 - s.idx AS f FROM (SELECT *, lead(value) OVER (PARTITION BY signal_id ORDER BY idx) AS nx FROM s) s JOIN range(0, 96) g(k) ON s.idx = floor(k * 2 / 3.0::DOUBLE)) WHERE nx IS NOT NULL", S)
@@ -182,9 +255,16 @@ def envelope(spark, d):
 
 @query(f"SELECT group_id, signal_id, rung::INTEGER AS rung, {r('0.5 + 0.25 * rung')} AS gain, {r('max(abs(value)) * (0.5 + 0.25 * rung)')} AS peak FROM s CROSS JOIN range(0, 5) g(rung) GROUP BY group_id, signal_id, rung", S)
 def sweep_rungs(spark, d):
-    rungs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(i.alias("rung"), (0.5 + 0.25 * i).alias("gain"))))
-    s = samples(spark, d).groupBy("group_id", "signal_id").agg(F.max(F.abs("value")).alias("peak")).withColumn("r", rungs)
-    return s.select("group_id", "signal_id", "r.rung", r6(F.col("r.gain")).alias("gain"), r6(F.col("peak") * F.col("r.gain")).alias("peak"))
+    s = generate.sweep(samples(spark, d), "gain", generate.rungs(start=0.5, stop=1.5, step=0.25))
+    s = s.groupBy("group_id", F.expr("signal_id div 5").alias("signal_id"), "rung", "gain").agg(F.max(F.abs(F.col("value") * F.col("gain"))).alias("peak"))
+    return rounded(s, "gain", "peak").select("group_id", "signal_id", "rung", "gain", "peak")
+
+
+@query(f"SELECT rung AS group_id, {r('0.5 + 0.25 * rung')} AS gain, count(*) AS samples, {r('max(abs(value)) * (0.5 + 0.25 * rung)')} AS peak FROM s CROSS JOIN range(0, 5) g(rung) GROUP BY rung", S)
+def sweep_ladder(spark, d):
+    s = generate.sweep(samples(spark, d), "gain", generate.rungs([0.5, 0.75, 1.0, 1.25, 1.5]), "group-per-rung")
+    s = s.groupBy("group_id", "gain").agg(F.count("*").alias("samples"), F.max(F.abs(F.col("value") * F.col("gain"))).alias("peak"))
+    return rounded(s, "gain", "peak")
 
 
 @query("SELECT group_id, pulse_id FROM p WHERE value BETWEEN 20 AND 80 AND k >= 50", P)
@@ -197,24 +277,76 @@ def zone_map_prune(spark, d):
     return catalog.candidate_groups(catalog.zone_maps(pulses(spark, d), ["value", "k"]), [("value", 200.0, None), ("k", None, 3.0)])
 
 
-@query("SELECT event_id AS id, 'k' AS key, (props::JSON->>'k')::DOUBLE AS num_value FROM events WHERE (props::JSON->>'k')::DOUBLE BETWEEN 10 AND 20")
+def _properties(spark, d):
+    """Attributes of mixed types for each event: a number, a text, a boolean, a text that looks like a number, a null and an array."""
+    e = table(spark, d, "events")
+    code = F.lpad(F.col("event_id").cast("string"), 8, "0")
+    attributes = F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("type"), (F.col("value") > 50).alias("high"), code.alias("code"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("user"), F.array(F.col("event_id") % 5).alias("list"))
+    return e.select("event_id", F.to_json(attributes, {"ignoreNullFields": "false"}).alias("attributes"))
+
+
+PROPS = "props AS (SELECT event_id AS id, unnest(['k', 'type', 'high', 'code', 'user', 'list']) AS key, unnest([(props::JSON->>'k')::DOUBLE, NULL, (value > 50)::INTEGER, NULL, CASE WHEN event_id % 3 = 0 THEN user_id END, NULL]::DOUBLE[]) AS num_value, unnest([NULL, event_type, NULL, lpad(event_id::VARCHAR, 8, '0'), NULL, '[' || event_id % 5 || ']']) AS txt_value FROM events)"
+
+
+def _index(spark, d):
+    return catalog.property_index(_properties(spark, d), "event_id", "attributes")
+
+
+@query("SELECT id, key, num_value, txt_value FROM props WHERE num_value IS NOT NULL OR txt_value IS NOT NULL", PROPS)
+def property_index(spark, d):
+    return _index(spark, d)
+
+
+@query("SELECT id FROM props WHERE key = 'k' AND num_value BETWEEN 10 AND 20", PROPS)
 def property_filter(spark, d):
-    return catalog.property_index(table(spark, d, "events"), "event_id", "props").where("key = 'k' AND num_value BETWEEN 10 AND 20").select("id", "key", "num_value")
+    return catalog.find_signals(_index(spark, d), "k", catalog.PropertyTest(10, 20))
+
+
+@query("SELECT id FROM props WHERE key = 'type' AND txt_value = 'click'", PROPS)
+def property_equals(spark, d):
+    return catalog.find_signals(_index(spark, d), "type", catalog.PropertyTest(equals="click"))
 
 
-@query("SELECT 'k' AS key, count(*) AS n FROM events WHERE props::JSON->>'k' IS NOT NULL")
+@query("SELECT id FROM props WHERE key = 'user' AND num_value IS NOT NULL", PROPS)
+def property_exists(spark, d):
+    return catalog.find_signals(_index(spark, d), "user")
+
+
+FORMS = {"": "num_value IS NOT NULL", "12": "num_value = 12", ">= 90": "num_value >= 90", ">90": "num_value >= 90", "<=5": "num_value <= 5", "<5": "num_value <= 5", "10..12": "num_value BETWEEN 10 AND 12", "97..": "num_value >= 97", "=7": "num_value = 7", "word": "txt_value = 'word'"}
+
+
+@query("SELECT form, count(*) FILTER (ok) AS n FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in FORMS) + "]) AS form, unnest([" + ", ".join(f"coalesce({c}, false)" for c in FORMS.values()) + "]) AS ok FROM props WHERE key = 'k') GROUP BY form", PROPS)
+def property_query_forms(spark, d):
+    index = _index(spark, d)
+    parts = [catalog.find_signals(index, "k", form).agg(F.lit(form).alias("form"), F.count("*").alias("n")).select("form", "n") for form in FORMS]
+    return pipeline.union(parts)
+
+
+@query("SELECT key, count(*) AS n FROM props WHERE num_value IS NOT NULL OR txt_value IS NOT NULL GROUP BY key", PROPS)
 def property_key_counts(spark, d):
-    return catalog.property_index(table(spark, d, "events"), "event_id", "props").groupBy("key").agg(F.count("*").alias("n"))
+    return catalog.property_key_counts(_index(spark, d))
 
 
-@query("SELECT event_type, count(*) FILTER (value < 1) AS too_low, count(*) FILTER (value > 100) AS too_high, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT event_id AS id, 'value' AS key, CASE WHEN value < 1 THEN 'too_low' ELSE 'too_high' END AS error FROM events WHERE value < 1 OR value > 100 UNION ALL SELECT event_id, 'k', 'too_high' FROM events WHERE (props::JSON->>'k')::DOUBLE > 90")
 def property_validate(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") < 1).alias("too_low"), F.count_if(F.col("value") > 100).alias("too_high"), F.count("*").alias("n"))
+    rows = table(spark, d, "events").withColumn("attributes", F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("k"), F.get_json_object("props", "$.k")))
+    return catalog.validate_properties(rows, "event_id", "attributes", [catalog.Property("value", "number", 1.0, 100.0), catalog.Property("k", "integer", 0, 90)])
+
+
+@query("SELECT id, key, num_value, txt_value FROM (SELECT event_id AS id, unnest(['value', 'flag', 'type', 'owner']) AS key, unnest([value, (event_id % 2)::DOUBLE, NULL, NULL]) AS num_value, unnest([NULL, NULL, CASE WHEN event_type IN ('click', 'view') THEN event_type END, 'nobody']) AS txt_value FROM events) WHERE num_value IS NOT NULL OR txt_value IS NOT NULL")
+def property_types(spark, d):
+    flag = F.when(F.col("event_id") % 2 == 1, " Yes ").otherwise("off")
+    rows = table(spark, d, "events").withColumn("attributes", F.create_map(F.lit("value"), F.concat(F.lit(" "), F.col("value").cast("string")), F.lit("flag"), flag, F.lit("type"), F.col("event_type"), F.lit("owner"), F.lit("")))
+    kinds = [catalog.Property("value", "number"), catalog.Property("flag", "bool"), catalog.Property("type", "enum", options=("click", "view")), catalog.Property("owner", "text", default="nobody")]
+    return catalog.typed_properties(rows, "event_id", "attributes", kinds)
+
+
+TEXT = f"words AS (SELECT p_partkey AS id, list_filter(list_concat(string_split(lower(p_name), ' '), list_concat(string_split(replace(lower(p_brand), '#', ' '), ' '), string_split(lower(p_type), ' '))), lambda x: x <> '') AS w FROM part), tf AS (SELECT id, len(w) AS words, len(list_filter(w, lambda x: starts_with(x, 'sm'))) AS a, len(list_filter(w, lambda x: starts_with(x, 'e'))) AS b FROM words), whole AS (SELECT count(*) AS n, avg(words) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM tf)"
 
 
-@query("SELECT p_partkey AS id, len(list_filter(w, lambda x: starts_with(x, 'sm'))) + len(list_filter(w, lambda x: starts_with(x, 'r'))) AS matches FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part) WHERE len(list_filter(w, lambda x: starts_with(x, 'sm'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'r'))) > 0")
+@query(f"SELECT id, a + b AS matches, {r('ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * words / mean)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * words / mean))')} AS score FROM tf CROSS JOIN whole WHERE a > 0 AND b > 0", TEXT)
 def text_search(spark, d):
-    return catalog.text_search(table(spark, d, "part"), "p_partkey", "p_name", "SM r")
+    return rounded(catalog.text_search(table(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"], "SM e"), "score")
 
 
 def _tags(spark, d):
@@ -226,9 +358,11 @@ def all_tags(spark, d):
     return catalog.all_tags(_tags(spark, d), ["ECONOMY", "small"])
 
 
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest([p_brand, p_type, string_split(p_name, ' ')[1]]) AS tag FROM part) GROUP BY ALL")
+@query("SELECT tag, count(*) FILTER (own) AS n FROM (SELECT unnest(list_distinct([p_brand, p_type, string_split(p_name, ' ')[1]])) AS tag, p_size >= 10 AS own FROM part) GROUP BY ALL")
 def tag_counts(spark, d):
-    return _tags(spark, d).groupBy("tag").agg(F.count("*").alias("n"))
+    known = _tags(spark, d)
+    used = known.join(table(spark, d, "part").where("p_size >= 10").select(F.col("p_partkey").alias("id")), "id")
+    return catalog.tag_counts(used, known)
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_type = 'ECONOMY' AND list_bool_or(list_transform(string_split(lower(p_name), ' '), lambda x: starts_with(x, 'r'))) AND p_size BETWEEN 5 AND 30")
@@ -238,10 +372,12 @@ def library_filter(spark, d):
     return out.join(catalog.all_tags(_tags(spark, d), ["ECONOMY"]), "id", "left_semi").join(catalog.text_search(part, "p_partkey", "p_name", "r"), "id", "left_semi")
 
 
-@query("SELECT 'part' AS entity, count(*) AS n FROM part UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+@query("SELECT 'region' AS entity, count(*) AS n, sum(8 + strlen(r_name))::BIGINT AS bytes FROM region UNION ALL SELECT 'events', count(*), sum(8 + 8 + strlen(event_type) + 8)::BIGINT FROM events UNION ALL SELECT 'embeddings', count(*), sum(8 + 64 * 4 + 4)::BIGINT FROM embeddings")
 def library_summary(spark, d):
-    parts = [table(spark, d, t).agg(F.lit(t).alias("entity"), F.count("*").alias("n")).select("entity", "n") for t in ("part", "events", "embeddings")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    embeddings = table(spark, d, "embeddings").select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("int"))
+    region = table(spark, d, "region").select(F.col("r_regionkey").cast("long"), "r_name")
+    return library.summary({"region": region, "events": events, "embeddings": embeddings})
 
 
 @query("SELECT lower(replace(replace(p_brand, '#', '_'), ' ', '_')) AS key, count(*) AS n FROM part GROUP BY ALL")
@@ -249,19 +385,105 @@ def normalised_keys(spark, d):
     return table(spark, d, "part").groupBy(normalise_key(F.col("p_brand")).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(DISTINCT embedding) AS contents, count(*) AS signals FROM embeddings")
+@query("SELECT count(*)::BIGINT AS copies, min(vec_id) AS signal_id FROM embeddings CROSS JOIN range(0, 2) c(k) GROUP BY CASE WHEN k = 1 AND vec_id % 3 = 0 THEN 'x' || vec_id ELSE embedding::VARCHAR END")
 def content_dedupe(spark, d):
-    return catalog.content_classes(signals(spark, d)).agg(F.count("*").alias("contents"), F.sum("copies").alias("signals"))
+    """Each signal twice; of the second copies every third differs in its first value by 1e-11."""
+    s = signals(spark, d)
+    moved = F.transform("values", lambda v, i: F.when(i == 0, v + 1e-11).otherwise(v))
+    twice = s.unionByName(s.withColumn("values", F.when(F.col("signal_id") % 3 == 0, moved).otherwise(F.col("values"))))
+    return catalog.content_classes(twice).select("copies", "signal_id")
 
 
 @query(f"SELECT signal_id, idx, {r('value')} AS value FROM s WHERE idx BETWEEN 16 AND 31", S)
 def value_page(spark, d):
-    return _stage(samples(spark, d).where("idx BETWEEN 16 AND 31"))
+    return _stage(library.pages(samples(spark, d), 1, 16))
+
+
+@query(f"SELECT signal_id, idx, {r('value * 2 + 1')} AS value FROM s WHERE signal_id = 7 AND idx BETWEEN 10 AND 40", S)
+def read_range(spark, d):
+    folder = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+    stored, _ = library.write_signals(samples(spark, d), folder)
+    return _stage(library.read_range(stored, 7, 10, 41, 2.0, 1.0))
+
+
+@query(f"SELECT signal_id, count(*) AS count, {r('min(value)')} AS min, {r('max(value)')} AS max, {r('avg(value)')} AS mean FROM s GROUP BY signal_id", S)
+def library_signals(spark, d):
+    _, kept = library.write_signals(samples(spark, d), f"{shared_folder(spark)}/library-{uuid.uuid4().hex}")
+    return rounded(kept.select("signal_id", "count", "min", "max", "mean"), "min", "max", "mean")
+
+
+@query("SELECT group_id, key, min(v) AS low, max(v) AS high FROM (SELECT group_id, unnest(['value', 'k']) AS key, unnest([value, k]) AS v FROM p) GROUP BY ALL", P)
+def library_fields(spark, d):
+    p = pulses(spark, d).withColumnRenamed("pulse_id", "idx")
+    return library.write_pulses(p, f"{shared_folder(spark)}/library-{uuid.uuid4().hex}", ["value", "k"])[1]
+
+
+@query("SELECT group_id, pulse_id AS idx, value, k FROM p WHERE pulse_id = (SELECT max(pulse_id) FROM p WHERE group_id = 3) AND group_id = 3", P)
+def read_record(spark, d):
+    p = pulses(spark, d).withColumnRenamed("pulse_id", "idx")
+    last = p.where("group_id = 3").agg(F.max("idx")).first()[0]
+    return library.read_record(p, 3, last).select("group_id", "idx", "value", "k")
+
 
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS place FROM part")
+def sort_by_text(spark, d):
+    return _placed(catalog.sort_signals(table(spark, d, "part"), "p_name", False), [F.lower("p_name").desc()])
 
-@query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer UNION ALL SELECT NULL WHERE false")
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY CASE WHEN p_size % 7 <> 0 THEN p_size END ASC NULLS LAST, p_partkey) AS place FROM part")
+def sort_by_number(spark, d):
+    part = table(spark, d, "part").withColumn("p_size", F.when(F.col("p_size") % 7 != 0, F.col("p_size")))
+    return _placed(catalog.sort_signals(part, "p_size"), [F.col("p_size").asc_nulls_last()])
+
+
+def _placed(df, order):
+    """Places in a sorted table, ties by id; one window, as a place in the whole order is the result."""
+    return df.select(F.col("p_partkey").alias("id"), F.row_number().over(W.orderBy(*order, "p_partkey")).alias("place"))
+
+
+@query("SELECT o_orderkey AS group_id, o_custkey AS train_id, c_nationkey AS train_ord FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def groups_of_dataset(spark, d):
+    trains = table(spark, d, "customer").select(F.col("c_mktsegment").alias("dataset"), F.col("c_custkey").alias("train_id"), F.col("c_nationkey").alias("train_ord"))
+    groups = table(spark, d, "orders").select(F.col("o_orderkey").alias("group_id"), F.col("o_custkey").alias("train_id"), F.col("o_orderdate").alias("group_ord"))
+    return library.groups_of_dataset(trains, groups, "BUILDING").select("group_id", "train_id", "train_ord")
+
+
+@query("SELECT event_type AS kind, count(*) AS contents, sum(user_id)::BIGINT AS bytes, sum(CASE WHEN event_id % 4 = 0 THEN user_id ELSE 0 END)::BIGINT AS unreferenced_bytes FROM events GROUP BY event_type")
+def storage_by_kind(spark, d):
+    e = table(spark, d, "events")
+    return library.storage(e.select(F.col("event_type").alias("kind"), F.col("user_id").alias("byte_len"), (F.col("event_id") % 4).alias("refcount")))
+
+
+def _stored(spark, d):
+    """contents of parts, references to them from three tables, and their data, with faults that ids decide."""
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    raw = F.col("p_name").cast("binary")
+    n = F.col("p_partkey")
+    checksum = F.when(n % 11 == 0, F.concat(F.lit("pending:"), n.cast("string"))).when(n % 13 == 0, F.lit("0")).otherwise(F.sha2(raw, 256))
+    contents = part.select(n.alias("content"), (F.octet_length(raw) + F.when(n % 17 == 0, 1).otherwise(0)).cast("long").alias("byte_len"), checksum.alias("checksum"), F.when(n % 5 == 0, 2).otherwise(1).cast("long").alias("refcount"))
+    data = part.select(n.alias("content"), raw.alias("data"))
+    signal_ = part.where("p_partkey % 7 != 0").select(n.alias("id"), F.when(n % 19 == 0, -n).otherwise(n).alias("content"), F.lit(None).cast("long").alias("time_content"))
+    fields = part.where("p_partkey % 10 = 0").select(n.alias("id"), n.alias("content"))
+    return contents, library.references({"signals": signal_, "fields": fields}), data
+
+
+REFS = "refs AS (SELECT 'signals.content' AS source, p_partkey::VARCHAR AS row_id, CASE WHEN p_partkey % 19 = 0 THEN -p_partkey ELSE p_partkey END AS content FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT 'fields.content', p_partkey::VARCHAR, p_partkey FROM part WHERE p_partkey % 10 = 0)"
+
+
+@query("SELECT source, row_id, content FROM refs", REFS)
+def content_references(spark, d):
+    return _stored(spark, d)[1]
+
+
+@query("SELECT -content AS content, 'dangling' AS fault FROM (SELECT -content AS content FROM refs WHERE content < 0) UNION ALL SELECT n, CASE WHEN n % 11 = 0 THEN 'pending' WHEN coalesce(c, 0) = 0 THEN 'unreferenced' ELSE 'refcount' END FROM (SELECT p_partkey AS n, (SELECT count(*) FROM refs WHERE content = p_partkey) AS c, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS f FROM part) WHERE n % 11 = 0 OR c = 0 OR c <> f UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'length' ELSE 'checksum' END FROM part WHERE p_partkey % 11 <> 0 AND (p_partkey % 17 = 0 OR p_partkey % 13 = 0)", REFS)
 def verify_refs(spark, d):
-    return table(spark, d, "orders").select("o_custkey").distinct().join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return library.verify(*_stored(spark, d)).select("content", "fault")
+
+
+@query("SELECT content, count(*) AS refcount FROM refs WHERE content > 0 AND content % 11 <> 0 GROUP BY content", REFS)
+def repaired_refs(spark, d):
+    contents, refs, _ = _stored(spark, d)
+    return library.repaired(contents, refs).select("content", "refcount")
 
 
 def _runs(spark, d):
@@ -288,11 +510,24 @@ def metric_long(spark, d):
     return rounded(_metrics(samples(spark, d)), "value")
 
 
-@query(f"SELECT group_id, metric, {r('abs(value - value * 1.01)')} AS difference FROM m WHERE metric <> 'mean'", S, M)
+@query(f"SELECT group_id, metric, {r('abs(value - value * 1.01::DOUBLE)')} AS difference, abs(value * 0.01::DOUBLE) <= greatest(0.002::DOUBLE, abs(value) * 0.001::DOUBLE) AS within FROM m", S, M)
 def diff_metrics(spark, d):
     base = samples(spark, d)
-    out = regress.diff_metrics(_metrics(base), _metrics(stages.gain(base, 1.01)), 1e-3, 1e-2)
-    return rounded(out.where("metric <> 'mean'"), "difference").select("group_id", "metric", "difference")
+    return rounded(regress.diff_metrics(_metrics(base), _metrics(stages.gain(base, 1.01)), 2e-3, 1e-3), "difference")
+
+
+@query(f"SELECT group_id, metric, 0.5::DOUBLE * group_id AS x, {r('value')} AS value FROM m", S, M)
+def metric_curve_rungs(spark, d):
+    m = _metrics(samples(spark, d))
+    rungs = m.select("group_id").distinct().select("group_id", F.lit("snr_db").alias("key"), (F.col("group_id") * 0.5).alias("rung"))
+    return rounded(profile.metric_curve(m, rungs), "value")
+
+
+@query(f"SELECT group_id, metric, (dense_rank() OVER (ORDER BY group_id) - 1)::DOUBLE AS x, {r('value')} AS value FROM m", S, M)
+def metric_curve(spark, d):
+    m = _metrics(samples(spark, d))
+    rungs = m.select("group_id").distinct().where("group_id != 0").select("group_id", F.lit("snr_db").alias("key"), (F.col("group_id") * 0.5).alias("rung"))
+    return rounded(profile.metric_curve(m, rungs), "value")
 
 
 @query("SELECT group_id, CASE WHEN group_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS side FROM (SELECT DISTINCT group_id FROM s) WHERE group_id % 3 <> 2", S)
@@ -301,10 +536,35 @@ def diff_groups(spark, d):
     return regress.diff_groups(base.where("group_id % 2 = 0 OR group_id % 3 = 2"), base.where("group_id % 2 <> 0 OR group_id % 3 = 2"))
 
 
-@query("SELECT group_id, ordinal, metric, CASE WHEN metric = 'peak' THEN 'not_applicable' WHEN metric = 'max' AND v >= 0.4 THEN 'pass' WHEN metric = 'rms' AND q < 0.12 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT group_id, max(value) AS v, sqrt(avg(value * value)) AS q FROM s GROUP BY group_id) CROSS JOIN (VALUES (0, 'max'), (1, 'rms'), (2, 'peak')) a(ordinal, metric)", S)
+@query("SELECT o_custkey AS group_id, max(CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END) AS base_status, CASE WHEN o_custkey % 2 = 0 THEN 'ok' ELSE 'failed' END AS status FROM (SELECT o_custkey, max(o_orderstatus) AS o_orderstatus FROM orders GROUP BY ALL) GROUP BY o_custkey HAVING (max(o_orderstatus) = 'F') <> (o_custkey % 2 <> 0)")
+def diff_status(spark, d):
+    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("group_id")).agg(F.max("o_orderstatus").alias("s"))
+    base = g.select("group_id", F.when(F.col("s") == "F", "failed").otherwise("ok").alias("status"))
+    return regress.diff_status(base, g.select("group_id", F.when(F.col("group_id") % 2 == 0, "ok").otherwise("failed").alias("status")))
+
+
+LINES = ("max >= 0.4", "rms < 0.12", "peak > 0", "rms within 1% of 0.125", "max >= baseline", "mean within 0.001 of baseline", "status == ok", "status < ok", "rms == baseline", "detections.count >= 400", "detections.peak.max < 0.6")
+
+
+def _facts(spark, d, factor=1.0):
+    s = stages.gain(samples(spark, d), factor)
+    groups = s.select("group_id").distinct().withColumn("status", F.when(F.col("group_id") % 4 == 3, "failed").otherwise("ok"))
+    m = _metrics(s).select("group_id", F.lit(0).alias("stage_ordinal"), F.col("metric").alias("name"), "value")
+    detections = stages.threshold(s, 0.1, 0.05, period_s=1 / RATE_HZ)
+    return groups, regress.facts(groups, m, artifacts={(1, "detections"): detections}, fields={"detections": ["peak"]})
+
+
+AGG = "f AS (SELECT group_id, max(value) AS mx, avg(value) AS mean, sqrt(avg(value * value)) AS rms FROM s GROUP BY group_id), dd AS (SELECT group_id, count(*) AS n, max(peak) AS peak FROM det GROUP BY group_id), e AS (SELECT * FROM f LEFT JOIN dd USING (group_id))"
+PF = "CASE WHEN {} THEN 'pass' ELSE 'fail' END"
+STATUSES = [PF.format("mx >= 0.4"), PF.format("rms < 0.12"), "'not_applicable'", PF.format("abs(rms - 0.125::DOUBLE) <= 0.00125::DOUBLE"), "CASE WHEN group_id % 5 = 4 THEN 'error' " + PF.format("mx >= mx * 1.01::DOUBLE")[5:], "CASE WHEN group_id % 5 = 4 THEN 'error' " + PF.format("abs(mean - mean * 1.01::DOUBLE) <= 0.001::DOUBLE")[5:], PF.format("group_id % 4 <> 3"), "'error'", "CASE WHEN group_id % 5 = 4 THEN 'error' ELSE 'fail' END", PF.format("coalesce(n, 0) >= 400"), "CASE WHEN peak IS NULL THEN 'not_applicable' " + PF.format("peak < 0.6::DOUBLE")[5:]]
+ASSERTED = f"checked AS (SELECT group_id, unnest(range(0, {len(LINES)}))::INTEGER AS ordinal, unnest([{', '.join(STATUSES)}]) AS status FROM e)"
+
+
+@query("SELECT group_id, ordinal, status FROM checked", S, DET, AGG, ASSERTED)
 def assertions(spark, d):
-    rows = spark.createDataFrame([(0, "max", ">=", 0.4), (1, "rms", "<", 0.12), (2, "peak", ">", 0.0)], "ordinal int, metric string, op string, operand double")
-    return regress.check(_metrics(samples(spark, d)), rows)
+    groups, known = _facts(spark, d)
+    base = _facts(spark, d, 1.01)[1].where("group_id % 5 != 4")
+    return regress.check(groups, known, LINES, base).select("group_id", "ordinal", "status")
 
 
 @query("SELECT run_id FROM (SELECT o_orderkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderstatus <> 'O') WHERE n > 3")
@@ -321,7 +581,7 @@ def residual_exact(spark, d):
 
 @query(f"SELECT signal_id, idx, {r('v / max(abs(v)) OVER (PARTITION BY signal_id)')} AS value FROM (SELECT *, (value - avg(value) OVER (PARTITION BY signal_id)) * 2 AS v FROM s)", S)
 def run_pipeline(spark, d):
-    return _stage(pipeline.run(samples(spark, d), [pipeline.Stage("detrend"), pipeline.Stage("gain", {"factor": 2.0}), pipeline.Stage("normalise")]))
+    return _stage(pipeline.run(samples(spark, d), [pipeline.Stage("detrend"), pipeline.Stage("gain", {"gain": 2.0}), pipeline.Stage("normalise")]))
 
 
 @query(f"SELECT group_id, count(*) AS pulses, {r('min(gap)')} AS least_gap, {r('avg(gap)')} AS mean_gap FROM (SELECT group_id, toa_s - lag(toa_s) OVER (PARTITION BY group_id ORDER BY toa_s, pulse_id) AS gap FROM p) GROUP BY ALL", P)
@@ -332,17 +592,78 @@ def pulse_gaps(spark, d):
 
 @query(f"SELECT event_type, count(*) AS count, {r('min(value)')} AS min, {r('max(value)')} AS max, {r('avg(value)')} AS mean FROM events GROUP BY event_type, date_trunc('hour', ts)")
 def stream_stats(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    folder = f"{base}/stream-{abs(hash((d, id(spark))))}-{spark.range(1).select(F.uuid()).first()[0]}"
+    """In append mode: windows are written as the watermark passes them, the last ones when a row of the next year has come."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, d, "events")
+    later = e.groupBy().agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
+    e.unionByName(later, allowMissingColumns=True).write.parquet(f"{folder}/in")
+    stream = streaming.windowed_stats(streaming.event_stream(spark, f"{folder}/in"))
+    out = streaming.run_now(stream, f"{folder}/c", f"{folder}/out").where("event_type IS NOT NULL")
+    return rounded(out.drop("window"), "min", "max", "mean")
+
+
+@query(f"SELECT group_id, signal_id, {r('start_s')} AS start_s, {r('end_s')} AS end_s, {r('peak')} AS peak FROM det", S, DET)
+def stream_threshold(spark, d):
+    """Samples in any order, with their time as event time; a row of a signal -1 a day later lets the watermark pass them all."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    s = samples(spark, d).select(F.col("group_id").cast("long").alias("group_id"), F.col("signal_id").cast("long").alias("signal_id"), "t_s", "value")
+    beat = s.limit(1).select(F.lit(-1).cast("long").alias("group_id"), F.lit(-1).cast("long").alias("signal_id"), F.lit(2 * 86400.0).alias("t_s"), F.lit(0.0).alias("value"))
+    s.unionByName(beat).withColumn("ts", F.timestamp_micros(((F.col("t_s") + 86400) * 1e6).cast("long"))).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    out = streaming.run_now(streaming.detections(stream, 0.1, 0.05, 1 / RATE_HZ), f"{folder}/c", f"{folder}/out")
+    return rounded(out.where("signal_id >= 0"), "start_s", "end_s", "peak")
+
+
+@query("SELECT event_id FROM events WHERE value BETWEEN 20 AND 80")
+def stream_search(spark, d):
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, d, "events").write.parquet(f"{folder}/in")
-    stream = streaming.windowed_stats(streaming.event_stream(spark, f"{folder}/in"), late="40 days")
-    complete = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/c")
+    found = streaming.matching(streaming.event_stream(spark, f"{folder}/in"), [("value", 20.0, 80.0)])
+    return streaming.run_now(found.select("event_id"), f"{folder}/c", f"{folder}/out")
+
+
+def _csv(spark, d):
+    """The events as one grouped-block CSV folder: a group for each user, with names that need quotes and some empty cells."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    p = pulses(spark, d).withColumn("idx", F.row_number().over(W.partitionBy("group_id").orderBy("toa_s", "pulse_id")) - 1)
+    p = p.select(F.col("group_id").alias("group_ord"), "idx", F.round(F.col("toa_s") * 1e3).alias("ms"), F.when(F.col("k") != 7, F.col("k")).alias("k"), "event_type", "value")
+    groups = p.select("group_ord").distinct().select("group_ord", F.concat(F.lit('user, "'), F.col("group_ord").cast("string"), F.lit('"')).alias("name"))
+    pulse_csv.write_pulse_csv(groups, p.repartition(1), f"{folder}/parts", ["k", "event_type", "value"], time="ms")
+    # the parts, in order, are one file
+    text = spark.read.text(f"{folder}/parts").select(F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"), "value")
+    text.coalesce(1).sortWithinPartitions("f", "i").select("value").write.text(f"{folder}/one")
+    return f"{folder}/one", pulse_csv.Profile(toa_unit="ms", pulse_rules={"event_type": pulse_csv.Rule(text=True, key="type"), "value": pulse_csv.Rule(skip=True)})
+
+
+CSV = "c AS (SELECT dense_rank() OVER (ORDER BY group_id) - 1 AS group_ord, group_id, row_number() OVER (PARTITION BY group_id ORDER BY toa_s, pulse_id) - 1 AS idx, round(toa_s * 1000) AS ms, CASE WHEN k <> 7 THEN k END AS k, event_type FROM p)"
+
+
+@query(f"SELECT group_ord::INTEGER AS group_ord, idx::INTEGER AS idx, {r('ms / 1000')} AS toa_s, coalesce(k, -1)::DOUBLE AS k, event_type AS type FROM c", P, CSV)
+def csv_frame(spark, d):
+    path, rules = _csv(spark, d)
+    pulses_ = pulse_csv.typed_fields(pulse_csv.read_pulse_csv(spark, path, rules)[1], rules, ["k", "type"])
+    return pulses_.select("group_ord", "idx", r6(F.col("toa_s")).alias("toa_s"), F.when(F.isnan("k"), -1.0).otherwise(F.col("k")).alias("k"), "type")
 
-    def save(df, _):
-        df.write.mode("overwrite").parquet(f"{folder}/out")
 
-    complete.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.parquet(f"{folder}/out").drop("window"), "min", "max", "mean")
+@query(f"SELECT group_ord::INTEGER AS group_ord, 'user, \"' || group_id || '\"' AS name, count(*) AS actual_count, count(*)::INTEGER AS declared_count, {r('min(ms) / 1000')} AS t0_s FROM c GROUP BY group_ord, group_id", P, CSV)
+def csv_groups(spark, d):
+    path, rules = _csv(spark, d)
+    return rounded(pulse_csv.read_pulse_csv(spark, path, rules)[0].select("group_ord", "name", "actual_count", "declared_count", "t0_s"), "t0_s").withColumn("declared_count", F.col("declared_count").cast("int"))
+
+
+@query("SELECT group_id AS group_ord, event_type AS type, dense_rank() OVER (PARTITION BY group_id ORDER BY f) - 1 AS code, n FROM (SELECT group_id, event_type, min(idx) AS f, count(*) AS n FROM c GROUP BY ALL)", P, CSV)
+def csv_text_codes(spark, d):
+    p = pulses(spark, d).withColumn("idx", F.row_number().over(W.partitionBy("group_id").orderBy("toa_s", "pulse_id")) - 1)
+    coded = pulse_csv.text_codes(p.select(F.col("group_id").alias("group_ord"), "idx", F.col("event_type").alias("type")), "type", "group_ord")
+    return coded.groupBy("group_ord", "type", F.col("type_code").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS id, key, num_value, txt_value, warning FROM (SELECT event_id, unnest(['value', 'type', 'limit', 'none']) AS key, unnest([value, NULL, CASE WHEN value <= 50 THEN value END, NULL]) AS num_value, unnest([NULL, event_type, CASE WHEN value > 50 THEN 'v' END, NULL]) AS txt_value, unnest([NULL, NULL, CASE WHEN value > 50 THEN 'too_high' END, NULL]) AS warning FROM events)")
+def csv_attributes(spark, d):
+    v = F.col("value").cast("string")
+    rows = table(spark, d, "events").withColumn("attributes", F.create_map(F.lit("value"), F.concat(F.lit(" "), v), F.lit("type"), F.col("event_type"), F.lit("limit"), v, F.lit("none"), F.lit("N/A")))
+    out = pulse_csv.typed_attributes(rows, [catalog.Property("limit", "number", high=50.0)], "event_id")
+    return out.select(F.col("event_id").alias("id"), "key", "num_value", F.when(F.col("warning").isNotNull(), "v").otherwise(F.col("txt_value")).alias("txt_value"), "warning")
 
 
 def _specs(spark, d):
@@ -399,16 +720,15 @@ def delay_clip(spark, d):
     return _stage(generate.clip(generate.delay(samples(spark, d), 3), -0.1, 0.1))
 
 
-@query("SELECT signal_id, count, crossings FROM (SELECT signal_id, count(*) AS count FROM s GROUP BY ALL) JOIN (SELECT signal_id, count(*) FILTER (prev <> sg) AS crossings FROM (SELECT signal_id, sign(value) AS sg, lag(sign(value)) OVER (PARTITION BY signal_id ORDER BY idx) AS prev FROM s WHERE value <> 0) GROUP BY ALL) USING (signal_id)", S)
+@query("SELECT signal_id, count, coalesce(crossings, 0) AS crossings, histogram FROM (SELECT signal_id, count(*) AS count, list_transform(range(-1, 9), lambda b: len(list_filter(list(CASE WHEN value < -0.5 THEN -1 WHEN value > 0.5 THEN 8 ELSE least(floor((value + 0.5::DOUBLE) * 8), 7) END), lambda x: x = b)))::VARCHAR AS histogram FROM s GROUP BY ALL) LEFT JOIN (SELECT signal_id, count(*) FILTER (prev <> sg) AS crossings FROM (SELECT signal_id, sign(value) AS sg, lag(sign(value)) OVER (PARTITION BY signal_id ORDER BY idx) AS prev FROM s WHERE value <> 0) GROUP BY ALL) USING (signal_id)", S)
 def column_profile(spark, d):
-    s = samples(spark, d)
-    return profile.summarise(s, "signal_id").join(profile.zero_crossings(s, "signal_id"), "signal_id").select("signal_id", "count", "crossings")
+    out = profile.column_profile(samples(spark, d), 8, -0.5, 0.5, "signal_id")
+    return out.select("signal_id", "count", "crossings", F.concat(F.lit("["), F.array_join(F.col("histogram").cast("array<string>"), ", "), F.lit("]")).alias("histogram"))
 
 
 @query(f"SELECT group_id, count(*) AS n, {r('min(start_s)')} AS low, {r('max(start_s)')} AS high, {r('avg(start_s)')} AS mean, {r('sum(start_s)')} AS total FROM det GROUP BY group_id", S, DET)
 def artifact_agg(spark, d):
-    t = _detections(spark, d).groupBy("group_id").agg(F.count("*").alias("n"), F.min("start_s").alias("low"), F.max("start_s").alias("high"), F.avg("start_s").alias("mean"), F.sum("start_s").alias("total"))
-    return rounded(t, "low", "high", "mean", "total")
+    return rounded(profile.artifact_aggregate(_detections(spark, d), "start_s", "group_id"), "low", "high", "mean", "total")
 
 
 @query(f"SELECT signal_id, {r('max(start_s)')} AS start_s, {r('max_by(end_s, start_s)')} AS end_s FROM det WHERE start_s <= 0.5 GROUP BY signal_id", S, DET)
@@ -422,16 +742,26 @@ def residual_envelope(spark, d):
     return rounded(regress.residual_envelope(a, b, "signal_id"), "low", "high")
 
 
-@query("SELECT group_id, CASE WHEN abs(mx) * 0.01 <= 0.003 THEN 'matches' ELSE 'deviates' END AS verdict, CASE WHEN abs(mx) * 0.01 <= 0.003 THEN '' ELSE 'max' END AS reasons FROM (SELECT group_id, max(value) AS mx FROM s GROUP BY group_id)", S)
+@query("SELECT group_id, CASE WHEN len(why) = 0 THEN 'matches' ELSE 'deviates' END AS verdict, array_to_string(list_sort(why), ',') AS reasons FROM (SELECT group_id, list_filter([CASE WHEN abs(max(value)) * 0.01::DOUBLE > 0.003::DOUBLE THEN 'max' END, CASE WHEN abs(avg(value)) * 0.01::DOUBLE > 0.003::DOUBLE THEN 'mean' END, CASE WHEN sqrt(avg(value * value)) * 0.01::DOUBLE > 0.003::DOUBLE THEN 'rms' END], lambda x: x IS NOT NULL) AS why FROM s GROUP BY group_id)", S)
 def baseline_verdicts(spark, d):
     base = samples(spark, d)
-    diffs = regress.diff_metrics(_metrics(base), _metrics(stages.gain(base, 1.01)), 3e-3, 0.0)
-    return regress.verdicts(diffs.where("metric = 'max'")).select("group_id", "verdict", "reasons")
+    return regress.verdicts(regress.diff_metrics(_metrics(base), _metrics(stages.gain(base, 1.01)), 3e-3, 0.0)).select("group_id", "verdict", "reasons")
 
 
-@query("SELECT ordinal, count(*) FILTER (verdict = 'fail') AS failures, count(*) AS groups FROM (SELECT ordinal, CASE WHEN ordinal = 2 THEN 'not_applicable' WHEN ordinal = 0 AND v >= 0.4 THEN 'pass' WHEN ordinal = 1 AND q < 0.12 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT group_id, max(value) AS v, sqrt(avg(value * value)) AS q FROM s GROUP BY group_id) CROSS JOIN range(3) a(ordinal)) GROUP BY ordinal", S)
+@query("SELECT group_id, CASE WHEN len(why) = 0 THEN 'matches' ELSE 'deviates' END AS verdict, array_to_string(list_sort(why), ',') AS reasons FROM (SELECT group_id, CASE WHEN group_id = 9 THEN ['max', 'mean', 'only in candidate', 'rms'] ELSE list_filter([CASE WHEN abs(max(value)) * 0.01::DOUBLE > 0.0045::DOUBLE THEN 'max' END, CASE WHEN sqrt(avg(value * value)) * 0.01::DOUBLE > 0.0045::DOUBLE THEN 'rms' END], lambda x: x IS NOT NULL) END AS why FROM s GROUP BY group_id)", S)
+def baseline_check(spark, d):
+    """Promoted once for run a, then for b, then checked for c; b has no group 9."""
+    base = samples(spark, d)
+    runs = [("a", base), ("b", base.where("group_id != 9")), ("c", stages.gain(base, 1.01))]
+    metrics = pipeline.union([_metrics(s).select(F.lit(n).alias("run_id"), "group_id", "metric", "value") for n, s in runs])
+    named = spark.createDataFrame([], "name string, run_id string, abs_tol double, rel_tol double")
+    named = regress.promote(regress.promote(named, "golden", "a", 1.0, 0.0), "golden", "b", 4.5e-3, 0.0)
+    return regress.check_baseline(named, "golden", "c", metrics).select("group_id", "verdict", "reasons")
+
+
+@query("SELECT ordinal, count(*) FILTER (status IN ('fail', 'error')) AS failures, count(*) AS groups FROM checked GROUP BY ordinal", S, DET, AGG, ASSERTED)
 def failed_assertions(spark, d):
-    return assertions(spark, d).groupBy(F.col("ordinal").cast("long").alias("ordinal")).agg(F.count_if(F.col("verdict") == "fail").alias("failures"), F.count("*").alias("groups"))
+    return regress.failed_assertions(assertions(spark, d))
 
 
 @query("SELECT o_orderkey AS output_id FROM orders WHERE o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))")
@@ -443,12 +773,12 @@ def retention(spark, d):
 
 @query("SELECT event_type AS train, count(DISTINCT user_id) AS groups, count(*) AS pulses FROM events GROUP BY ALL")
 def train_extent(spark, d):
-    return pulses(spark, d).groupBy(F.col("event_type").alias("train")).agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("pulses"))
+    return library.train_extent(pulses(spark, d), "event_type")
 
 
 @query("SELECT group_id, event_type AS kind, pulse_id AS latest FROM p QUALIFY row_number() OVER (PARTITION BY group_id, event_type ORDER BY toa_s DESC, pulse_id DESC) = 1", P)
 def nearest_artifact(spark, d):
-    return pulses(spark, d).groupBy("group_id", F.col("event_type").alias("kind")).agg(F.max_by("pulse_id", F.struct("toa_s", "pulse_id")).alias("latest"))
+    return regress.nearest_artifact(pulses(spark, d).withColumnRenamed("event_type", "kind"), "pulse_id", ["toa_s", "pulse_id"], "group_id", "kind")
 
 
 @query("SELECT id, key, error FROM (SELECT event_id AS id, 'value' AS key, CASE WHEN value < 1 THEN 'too_low' WHEN value > 100 THEN 'too_high' END AS error FROM events UNION ALL SELECT event_id, 'k', CASE WHEN (props::JSON->>'k')::DOUBLE > 50 THEN 'too_high' END FROM events UNION ALL SELECT event_id, 'type', CASE WHEN event_type NOT IN ('click', 'view') THEN 'option' END FROM events UNION ALL SELECT event_id, 'owner', 'missing' FROM events UNION ALL SELECT event_id, 'user', 'unknown' FROM events) WHERE error IS NOT NULL")
@@ -476,3 +806,162 @@ def _n(stream: int, at: str) -> str:
 def gen_noise(spark, d):
     key, at = F.col("signal_id"), F.col("idx")
     return _made(spark, d, ("white", generate.gaussian(key, at)), *[(c, generate.coloured(key, at, c, 4)) for c in ("pink", "brown")])
+
+
+@query(f"SELECT signal_id, idx, {r('f * (2 * ((s >> 0) & 1) - 1)')} AS value FROM (SELECT p_partkey AS signal_id, (p_size % 8 + 1)::DOUBLE AS f FROM part) CROSS JOIN lfsr WHERE idx < 200", "lfsr(idx, s) AS (SELECT 0, 127 UNION ALL SELECT idx + 1, (s >> 1) | ((bit_count(s & 3) & 1)::INTEGER << 6) FROM lfsr WHERE idx < 199)")
+def gen_prbs(spark, d):
+    out = generate.prbs(_specs(spark, d), 7, 200, RATE_HZ, block=64)
+    return out.select("signal_id", "idx", r6(F.col("value") * F.col("freq_hz")).alias("value"))
+
+
+ORACLES["gen_prbs"] = ORACLES["gen_prbs"].replace("WITH lfsr", "WITH RECURSIVE lfsr")
+
+
+@query(f"SELECT signal_id, idx, {r('2 * sin(2 * pi() * f * t) - pow(t, 2) / (1 + f) + fmod(7 * t, 2) * greatest(abs(cos(f * t)) - 0.5::DOUBLE, 0)')} AS value, {r('CASE WHEN t > 0.25 THEN ln(t) ELSE sqrt(t) END')} AS bent FROM g", G)
+def gen_expr(spark, d):
+    v = expression("2 * sin(2 * pi * f * t) - t ^ 2 / (1 + f) + 7 * t % 2 * max(abs(cos(f * t)) - 0.5, 0)", t=F.col("t_s"), f=F.col("freq_hz"))
+    bent = F.when(F.col("t_s") > 0.25, expression("ln(t)", t=F.col("t_s"))).otherwise(expression("sqrt(t)", t=F.col("t_s")))
+    return _made(spark, d, ("value", v), ("bent", bent))
+
+
+@query(f"SELECT signal_id, idx, {r('sin(2 * pi() * f * t) + f * t + 0.5')} AS total, {r('sin(2 * pi() * f * t) * f * t')} AS product, {r('CASE WHEN idx < 10 THEN sin(2 * pi() * f * idx / 64) WHEN idx < 20 THEN f * (idx - 10) / 64 ELSE 0 END')} AS joined, {r('CASE WHEN idx = 16 THEN f ELSE 0 END')} AS impulse FROM g", G)
+def gen_combined(spark, d):
+    f, t, i = F.col("freq_hz"), F.col("t_s"), F.col("idx")
+    terms = [generate.tone("sine", f, t), f * t]
+    parts = [(lambda _, x: generate.tone("sine", f, x), 10 / 64), (lambda _, x: f * x, 0.15625)]
+    return _made(spark, d, ("total", generate.total([*terms, F.lit(0.5)])), ("product", generate.product(terms)), ("joined", generate.concat(i, RATE_HZ, parts)), ("impulse", generate.impulse(i, f, 0.2499, RATE_HZ)))
+
+
+@query(f"SELECT signal_id, idx, {r('CASE WHEN t < 0.125 THEN t / 0.125 WHEN t < 0.25 THEN 1 - 0.4 * (t - 0.125) / 0.125 WHEN t < 0.375 THEN 0.6 WHEN t < 0.5 THEN 0.6 * (1 - (t - 0.375) / 0.125) ELSE 0 END * f')} AS adsr, {r('f * exp(-0.5 * pow((t - 0.25) / 0.1, 2))')} AS gaussian FROM g", G)
+def gen_envelopes(spark, d):
+    f, t = F.col("freq_hz"), F.col("t_s")
+    return _made(spark, d, ("adsr", f * generate.envelope(t, "adsr", 0.5, 0.125, 0.125, 0.6, 0.125)), ("gaussian", f * generate.envelope(t, "gaussian", 0.5, centre_s=0.25, sigma_s=0.1)))
+
+
+FM = "sin(2 * pi() * (8 * t + 2 * ({})))"
+
+
+@query(f"SELECT signal_id, idx, {r(FM.format('(1 - cos(2 * pi() * 2 * t)) / (4 * pi())'))} AS sine, {r(FM.format('(CASE WHEN 2 * t - floor(2 * t) < 0.5 THEN 2 * t - floor(2 * t) ELSE 1 - (2 * t - floor(2 * t)) END) / 2'))} AS square, {r(FM.format('(pow(2 * t - floor(2 * t), 2) - (2 * t - floor(2 * t))) / 2'))} AS sawtooth, {r(FM.format('0.5 * t + 3 * t * t / 2 + greatest(t - 0.25, 0)'))} AS total FROM g", G)
+def fm_closed_form(spark, d):
+    tone = lambda kind: {"kind": kind, "freq_hz": 2.0}
+    total = {"kind": "sum", "terms": [{"kind": "dc", "level": 0.5}, {"kind": "ramp", "slope": 3.0}, {"kind": "step", "at_s": 0.25}]}
+    value = lambda node: specs.render({"kind": "fm", "carrier_hz": 8.0, "dev_hz": 2.0, "input": node}, F.col("idx"), RATE_HZ, 0.5, F.col("signal_id"))
+    return _made(spark, d, *[(k, value(tone(k))) for k in ("sine", "square", "sawtooth")], ("total", value(total)))
+
+
+@query(f"SELECT signal_id, k AS idx, {r('coalesce(v, 0)')} AS value FROM (SELECT vec_id AS signal_id, k, CASE WHEN (k - 8) / 48.0::DOUBLE * 64 BETWEEN 0 AND 63 THEN e[floor((k - 8) / 48.0::DOUBLE * 64)::INTEGER + 1] + (coalesce(e[floor((k - 8) / 48.0::DOUBLE * 64)::INTEGER + 2], 0) - e[floor((k - 8) / 48.0::DOUBLE * 64)::INTEGER + 1]) * ((k - 8) / 48.0::DOUBLE * 64 - floor((k - 8) / 48.0::DOUBLE * 64)) END AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) CROSS JOIN range(0, 80) g(k))")
+def align_signals(spark, d):
+    out = generate.align(samples(spark, d), 48.0, 80, -8 / 48.0)
+    return _stage(out)
+
+
+@query(f"SELECT c_custkey AS group_id, i AS pulse_idx, 2.5::DOUBLE AS level, {r('1 + 4 * (i / 11.0::DOUBLE)')} AS ramp, [1.0, 2.0, 5.0][i % 3 + 1]::DOUBLE AS steps, {r('10 + 2 * sin(2 * pi() * i / 8)')} AS scan, {r('-1 + 2 * ' + _u(4).replace('signal_id', chr(39) + 'train' + chr(39)).replace('idx', 'i'))} AS noise FROM customer CROSS JOIN range(0, 12) x(i)")
+def train_fields(spark, d):
+    i = F.col("pulse_idx")
+    t = generate.pulse_train(table(spark, d, "customer").select(F.col("c_custkey").alias("group_id")), 12, [0.001])
+    of = lambda kind, **p: generate.train_field(kind, i, 12, **p)
+    t = t.select("group_id", "pulse_idx", of("constant", value=2.5).alias("level"), of("ramp", start=1.0, end=5.0).alias("ramp"), of("sequence", values=[1, 2, 5]).alias("steps"), of("scan", mean=10.0, amp=2.0, period_pulses=8).alias("scan"), of("uniform", lo=-1.0, hi=1.0, seed=2).alias("noise"))
+    return rounded(t, "ramp", "scan", "noise")
+
+
+@query(f"SELECT p_partkey AS signal_id, i AS idx, {r('0.5 * sin(2 * pi() * 1000 * i / 48000) + 0.5 * sin(2 * pi() * 1100 * i / 48000)')} AS value FROM part CROSS JOIN range(0, 96) x(i)")
+def preset_two_tone(spark, d):
+    keys = _specs(spark, d).select("signal_id", F.lit(0).alias("group_id"))
+    return _stage(specs.make(keys, specs.put(specs.PRESETS["two-tone"], "/duration_s", 0.002)))
+
+
+@query(f"SELECT signal_id, count(*) AS pairs, {r('max(abs(value - b))')} AS max_abs, {r('min(CASE WHEN value <> b THEN t_s END)')} AS first_t FROM (SELECT s.*, b.value * 1.5::DOUBLE AS b FROM s JOIN s b ON b.signal_id = s.signal_id AND b.idx = s.idx + s.idx % 2) GROUP BY signal_id", S)
+def residual_nearest(spark, d):
+    """Every sample against every second one, times 1.5 and a millisecond early: the nearest is the same or the next one, the last has none."""
+    s = samples(spark, d)
+    b = stages.gain(s, 1.5).where("idx % 2 = 0").withColumn("t_s", F.col("t_s") - F.lit(0.001))
+    return rounded(regress.residual_nearest(s, b, "signal_id"), "max_abs", "first_t").select("signal_id", "pairs", "max_abs", "first_t")
+
+
+@query("SELECT event_id AS id, unnest(['flag', 'name', 'count', 'level', 'span', 'rows', 'empty', 'first']) AS field, unnest(['bool', 'text', 'int', 'float', 'span', 'array', 'float', 'int']) AS kind FROM events")
+def payload_schema(spark, d):
+    e = table(spark, d, "events")
+    pair = F.array(F.lit(0.25), F.lit(1.5))
+    payload = F.struct(F.array(F.col("event_id") % 2 == 0).alias("flag"), F.array(F.col("event_type")).alias("name"), F.col("event_id").alias("count"), F.array(F.lit(None).cast("double"), F.lit(2.5)).alias("level"), F.array(pair).alias("span"), F.array(F.array(F.lit(1.5), F.lit(2.5), F.lit(3.5))).alias("rows"), F.array().cast("array<int>").alias("empty"), F.array(F.lit(None).cast("int"), F.lit(3)).alias("first"))
+    return regress.payload_schema(e.select("event_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload")), "event_id", "payload")
+
+
+@query(f"SELECT group_id, {r('min(low)')} AS low, {r('max(high)')} AS high FROM (SELECT group_id, signal_id, idx >> 3 AS cell, min(value) AS low, max(value) AS high FROM s GROUP BY ALL) GROUP BY group_id", S)
+def trace_extent(spark, d):
+    s = samples(spark, d)
+    cells = profile.pyramid(s, 8, 1, "group_id", "signal_id")
+    return rounded(profile.extent(cells, "group_id"), "low", "high")
+
+
+@query(f"SELECT signal_id, px, {r('min(value)')} AS low, {r('max(value)')} AS high FROM (SELECT s.signal_id, s.value, p.px FROM s JOIN range(0, 4) p(px) ON ((idx // 8) * 8) / 64.0::DOUBLE < (p.px + 1) * 0.25::DOUBLE AND ((idx // 8) * 8 + 8) / 64.0::DOUBLE > p.px * 0.25::DOUBLE) GROUP BY signal_id, px", S)
+def viewport_pyramid(spark, d):
+    cells = profile.pyramid(samples(spark, d), 8, None, "signal_id")
+    return rounded(profile.viewport_cells(cells, RATE_HZ, 8, 0.0, 1.0, 4, "signal_id"), "low", "high")
+
+
+@query(f"SELECT signal_id, px, {r('value')} AS low, {r('value')} AS high FROM (SELECT signal_id, value, least(floor((t_s - 0.25) / 0.25 * 40), 39)::BIGINT AS px FROM s WHERE t_s >= 0.25 AND t_s < 0.5)", S)
+def viewport_points(spark, d):
+    return rounded(profile.viewport(samples(spark, d), 0.25, 0.5, 40, "signal_id", rate_hz=RATE_HZ), "low", "high")
+
+
+def _bundle(spark, d):
+    s = samples(spark, d)
+    e = table(spark, d, "embeddings")
+    order = F.row_number().over(W.partitionBy("group_id").orderBy("signal_id")) - 1
+    named = e.select(F.col("label").alias("group_id"), F.col("vec_id").alias("signal_id")).withColumn("ordinal", order.cast("int"))
+    named = named.select("*", F.concat(F.lit("s"), F.col("signal_id").cast("string")).alias("name"), F.lit("analog").alias("domain"), F.when(F.col("group_id") == 7, 8.0).otherwise(RATE_HZ).alias("rate_hz"), F.lit(0.0).alias("t0_s"), F.create_map(F.lit("source"), F.lit("embedding")).alias("attributes"))
+    return pipeline.Bundle(s, named)
+
+
+@query(f"SELECT group_id, name, {r('value')} AS value FROM (SELECT group_id, unnest(['s' || signal_id || '.rms', 's' || signal_id || '.peak_to_peak']) AS name, unnest([sqrt(avg(value * value)), max(value) - min(value)]) AS value FROM s GROUP BY group_id, signal_id)", S)
+def statistics_stage(spark, d):
+    run = pipeline.run_groups(_bundle(spark, d), [pipeline.Stage("statistics", {"write_back": True})])
+    return rounded(run.metrics.select("group_id", "name", "value"), "value")
+
+
+CHAIN = [("detrend", {}), ("threshold", {"level": 0.1, "hysteresis": 0.05, "rate_hz": RATE_HZ}), ("pulse_metrics", {"write_back": True, "rate_hz": RATE_HZ})]
+CENTRED = "c AS (SELECT group_id, signal_id, idx, t_s, value - avg(value) OVER (PARTITION BY signal_id) AS value FROM s)"
+
+
+@query(f"SELECT group_id, count(*)::DOUBLE AS pulses, {r('avg(end_s - start_s)')} AS width_mean, {r('sum(end_s - start_s)')} AS duty, {r('max(peak)')} AS peak_max FROM det GROUP BY group_id", S, CENTRED, DET.replace("FROM s)", "FROM c)"))
+def detect_chain(spark, d):
+    run = pipeline.run_groups(_bundle(spark, d), [pipeline.Stage(k, p) for k, p in CHAIN])
+    m = run.metrics.where("stage_ordinal = 2").groupBy("group_id").pivot("name", ["pulses", "width_mean", "duty", "peak_max"]).agg(F.first("value"))
+    return rounded(m, "width_mean", "duty", "peak_max")
+
+
+@query("SELECT group_id, ordinal::INTEGER AS ordinal, name, disposition FROM (SELECT label AS group_id, row_number() OVER (PARTITION BY label ORDER BY vec_id % 5 = 0, vec_id) - 1 + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS ordinal, 's' || vec_id AS name, CASE WHEN vec_id % 5 = 0 THEN 'dropped' WHEN vec_id % 5 = 1 THEN 'replaced' ELSE 'passthrough' END AS disposition FROM embeddings UNION ALL SELECT label, count(*) FILTER (vec_id % 5 <> 0), 'mean', 'added' FROM embeddings GROUP BY label)")
+def dispositions(spark, d):
+    b = _bundle(spark, d)
+    mean = b.samples.groupBy("group_id", "idx", "t_s").agg(F.avg("value").alias("value")).select("group_id", F.lit("mean").alias("name"), F.lit("analog").alias("domain"), "idx", "t_s", "value")
+    some = lambda k: b.signals.where(F.col("signal_id") % 5 == k)
+    out = pipeline.Outputs(stages.gain(b.samples.where("signal_id % 5 = 1"), 2.0), only=some(1), dropped=some(0), added=mean)
+    return pipeline.apply_outputs(b, out)[1].select("group_id", "ordinal", "name", "disposition")
+
+
+@query("SELECT DISTINCT label AS group_id, CASE WHEN label = 7 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN label = 7 THEN 1 END AS failed_stage FROM embeddings")
+def run_status(spark, d):
+    """Group 7 has too low a rate for the filter and stops there; the others go on."""
+    plan = [("gain", {"gain": 2.0}), ("filter", {"cutoff_hz": 8.0, "rate_hz": RATE_HZ}), ("statistics", {})]
+    return pipeline.run_groups(_bundle(spark, d), [pipeline.Stage(k, p) for k, p in plan]).groups.select("group_id", "status", "failed_stage")
+
+
+@query(f"SELECT stage::INTEGER AS stage_ordinal, group_id, 's' || signal_id AS name, CASE WHEN stage = -1 THEN 'source' ELSE 'replaced' END AS disposition, count(*) AS samples, {r('max(value * pow(2, stage + 1))')} AS max FROM s CROSS JOIN range(-1, 2) x(stage) GROUP BY ALL", S)
+def run_records(spark, d):
+    """The recorded signals of a run of two gains, written and read again."""
+    plan = [pipeline.Stage("gain", {"gain": 2.0}), pipeline.Stage("gain", {"gain": 2.0}, retention="never")]
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    pipeline.write_run(pipeline.run_groups(_bundle(spark, d), plan), folder, "r1", plan)
+    kept = spark.read.parquet(f"{folder}/run_signals").where("run_id = 'r1'")
+    return rounded(kept.select("stage_ordinal", "group_id", "name", "disposition", "samples", "max"), "max")
+
+
+@query("SELECT DISTINCT label AS group_id, s::INTEGER AS stage_ordinal, label % 2 = 0 AND s < 1 AS hit FROM embeddings CROSS JOIN range(0, 3) x(s)")
+def incremental_plan(spark, d):
+    """A cache from a run with another second stage, over groups of which the odd ones had other samples."""
+    b = _bundle(spark, d)
+    before = pipeline.Bundle(b.samples.withColumn("value", F.when(F.col("group_id") % 2 == 1, F.col("value") + 1e-9).otherwise(F.col("value"))), b.signals)
+    plan = lambda mode: [pipeline.Stage("gain", {"gain": 2.0}), pipeline.Stage("detrend", {"mode": mode}), pipeline.Stage("normalise")]
+    nothing = spark.createDataFrame([], "cache_key string")
+    cache = pipeline.plan_incremental(pipeline.input_hashes(before), pipeline.stage_keys(plan("linear")), nothing)
+    return pipeline.plan_incremental(pipeline.input_hashes(b), pipeline.stage_keys(plan("mean")), cache).select("group_id", "stage_ordinal", "hit")

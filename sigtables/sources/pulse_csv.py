@@ -3,87 +3,133 @@
 from __future__ import annotations
 
 import csv
-import io
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigtables.functions.scalars import MISSING, UNIT_S, cell_number, cell_unreadable
+from sigtables.functions.scalars import MISSING, NUMBER, UNIT_S, cell_number, cell_text, cell_unreadable, narrowed, quoted, shortest_time
+from sigtables.operators.catalog import Property, property_errors, property_value
+from sigtables.sources.framing import group_lines, numbered
 
 #: Labels of the columns for count, time and name, after normalising, and the delimiters in order of preference.
 COUNT = ("count", "pulse_count", "num_pulses", "n", "nrec")
 TIME = ("time", "toa", "time_of_arrival", "arrival_time")
 NAME = ("groupid", "group_id", "group", "id", "name")
 DELIMITERS = (",", ";", "\t", "|")
-ROWS = "path string, group_ord int, row int, line int, declared int, attributes map<string,string>, fields map<string,string>"
-KIND = pa.map_(pa.string(), pa.string())
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What becomes of a column: left out, under another key, with a unit, as text or as a narrower number."""
+
+    skip: bool = False
+    key: str | None = None
+    unit: str | None = None
+    text: bool = False
+    dtype: str | None = None
 
 
 @dataclass(frozen=True)
 class Profile:
+    """count, time and name: labels or keys that say which column it is, where the known names don't; rules: by label or key."""
+
     preamble: int = 1
     toa_unit: str = "us"
+    count: str | None = None
+    time: str | None = None
+    name: str | None = None
+    group_rules: Mapping[str, Rule] = field(default_factory=dict)
+    pulse_rules: Mapping[str, Rule] = field(default_factory=dict)
 
 
 def _key(label: str) -> str:
     return "_".join("".join(c.lower() if c.isascii() and c.isalnum() else " " for c in label).split())
 
 
-def frame(data: bytes, profile: Profile) -> Iterator[tuple]:
-    """(group_ord, row, line, declared, attributes, fields): row -1 is a group's own; one file at a time.
+def cells(line: str, sep: str) -> list[str]:
+    """The fields of one line: a quote opens only where a field begins, "" inside is one; fields are trimmed."""
+    if '"' not in line:
+        return [c.strip() for c in line.split(sep)]
+    return [c.strip() for c in next(csv.reader([line], delimiter=sep, skipinitialspace=True))]
+
+
+def _place(keys: list[str], labels: list[str], wanted: str | None, known: Sequence[str], taken: int | None = None) -> int | None:
+    """The column that a label names exactly, or its key, or one of the known names."""
+    if wanted is not None:
+        return labels.index(wanted) if wanted in labels else keys.index(_key(wanted)) if _key(wanted) in keys else None
+    return next((keys.index(n) for n in known if n in keys and keys.index(n) != taken), None)
+
+
+def _renamed(labels: list[str], keys: list[str], rules: Mapping[str, Rule]) -> list[str | None]:
+    """The key of each column under its rule; null: left out."""
+    own = [rules.get(label, rules.get(key, Rule())) for label, key in zip(labels, keys, strict=True)]
+    return [None if r.skip else r.key or k for r, k in zip(own, keys, strict=True)]
+
+
+def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, block, line (from 1) and value of each line; large files are read in splits. Ends are LF, CRLF or CR.
+
+    A file in UTF-16 or a line that isn't UTF-8 is an error that names the line.
+    """
+    meta = F.col("_metadata")
+    raw = spark.read.text(paths).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    d = numbered(raw, "line").withColumn("line", F.col("line") + 1)
+    bad = ~F.is_valid_utf8("value")
+    return d.withColumn("value", F.when(bad, F.raise_error(F.format_string("%s, line %d: not UTF-8", F.col("path"), F.col("line"))).cast("string")).otherwise(F.col("value")))
+
+
+def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_lines: int | None = None) -> DataFrame:
+    """path, group_ord, row (-1: a group's own), line, declared, attributes, fields and, as they stand, cells and labels, of all rows.
 
     A row of another width than the pulse header ends a block early and begins the next group; a count that can't be
-    read means: up to the next such row.
+    read means: up to the next such row. Files are framed in parallel, a bucket of lines a task. most_lines: only the first
+    lines of each file that are neither empty nor comments, headers included, for a look at it.
     """
-    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        raise ValueError("UTF-16 is not read")
-    lines = data.decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    body = [(i, x) for i, x in enumerate(lines, 1) if i > profile.preamble and x.strip() and not x.lstrip().startswith("#")]
-    if len(body) < 2:
-        return
-    sep = max(DELIMITERS, key=lambda d: (body[0][1].count(d), -DELIMITERS.index(d)))
-
-    def cells(line: str) -> list[str]:
-        return [c.strip() for c in next(csv.reader(io.StringIO(line), delimiter=sep, skipinitialspace=True))]
-
-    group, pulse = [_key(c) for c in cells(body[0][1])], [_key(c) for c in cells(body[1][1])]
-    count = next((group.index(n) for n in COUNT if n in group), None)
-    if count is None:
-        raise ValueError("no count column")
-    at, number = 2, 0
-    while at < len(body):
-        line, own = body[at][0], cells(body[at][1])
-        try:
-            declared = int(own[count])
-        except (ValueError, IndexError):
-            declared = -1
-        yield number, -1, line, declared if declared >= 0 else None, dict(zip(group, own, strict=False)), {}
-        at, row = at + 1, 0
-        while at < len(body) and (declared < 0 or row < declared):
-            c = cells(body[at][1])
-            if len(c) != len(pulse):
-                break
-            yield number, row, body[at][0], None, {}, dict(zip(pulse, c, strict=True))
-            at, row = at + 1, row + 1
-        number += 1
-
-
-def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Profile()) -> DataFrame:
-    """All group and pulse rows of the files; a file is framed in one task, as counts chain through it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(path, *r) for r in frame(data, profile)]
-                for lo in range(0, len(rows), 10_000):
-                    part = list(zip(*rows[lo : lo + 10_000], strict=True))
-                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), KIND, KIND)
-                    yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if k is KIND else c, k) for c, k in zip(part, kinds, strict=True)], ["path", "group_ord", "row", "line", "declared", "attributes", "fields"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, ROWS)
+    body = lines_of(spark, paths).where((F.col("line") > profile.preamble) & (F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    body = numbered(body, "n").drop("block").where(F.lit(True) if most_lines is None else F.col("n") < most_lines)
+    heads = body.where("n < 2").groupBy("path").agg(F.max(F.when(F.col("n") == 0, F.col("value"))).alias("g"), F.max(F.when(F.col("n") == 1, F.col("value"))).alias("p"))
+
+    @F.pandas_udf("sep string, labels array<string>, attributes array<string>, pulse_labels array<string>, fields array<string>, count int, name int, time int, wrong string")
+    def resolved(group: pd.Series, pulse: pd.Series) -> pd.DataFrame:
+        out = []
+        for g, p in zip(group, pulse, strict=True):
+            sep = max(DELIMITERS, key=lambda d: (len(cells(g, d)), -DELIMITERS.index(d)))
+            labels, pulse_labels = cells(g, sep), cells(p, sep)
+            keys, pulse_keys = [_key(x) for x in labels], [_key(x) for x in pulse_labels]
+            count = _place(keys, labels, profile.count, COUNT)
+            name = _place(keys, labels, profile.name, NAME, count)
+            time = _place(pulse_keys, pulse_labels, profile.time, TIME)
+            wrong = "no count column" if count is None else "no time column" if time is None else "a column without a name" if "" in keys + pulse_keys else None
+            out.append((sep, labels, _renamed(labels, keys, profile.group_rules), pulse_labels, _renamed(pulse_labels, pulse_keys, profile.pulse_rules), count, name, time, wrong))
+        return pd.DataFrame(out, columns=["sep", "labels", "attributes", "pulse_labels", "fields", "count", "name", "time", "wrong"]).astype({c: "Int32" for c in ("count", "name", "time")})
+
+    @F.pandas_udf("array<string>")
+    def split(value: pd.Series, sep: pd.Series) -> pd.Series:
+        return pd.Series([cells(v, s) for v, s in zip(value, sep, strict=True)])
+
+    heads = heads.where("p is not null").select("path", resolved("g", "p").alias("h"))
+    heads = heads.withColumn("h", F.when(F.col("h.wrong").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "h.wrong")).cast(heads.schema["h"].dataType)).otherwise(F.col("h")))
+    d = body.where("n >= 2").join(heads, "path").withColumn("cells", split("value", "h.sep"))
+    declared = F.trim(F.get("cells", F.col("h.count")))
+    d = d.withColumns({"declared": F.when(declared.rlike(r"^\d{1,9}$"), declared.try_cast("int")), "odd": F.size("cells") != F.size("h.pulse_labels")})
+    d = group_lines(d.withColumn("take", F.coalesce(F.col("declared").cast("long"), F.lit(-1).cast("long"))), 2)
+
+    def keyed(keys: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(keys.alias("k"), F.col("cells").alias("v")), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+        return F.map_from_entries(pairs)
+
+    none = F.create_map().cast("map<string,string>")
+    own = F.col("row") < 0
+    return d.select(
+        "path", "group_ord", "row", "line", F.when(own, F.col("declared")).alias("declared"),
+        F.when(own, keyed(F.col("h.attributes"))).otherwise(none).alias("attributes"), F.when(~own, keyed(F.col("h.fields"))).otherwise(none).alias("fields"),
+        F.when(own, F.get("cells", F.col("h.name"))).alias("name"), F.when(~own, F.get("cells", F.col("h.time"))).alias("time"),
+        F.get("h.pulse_labels", F.col("h.time")).alias("time_label"), F.get("h.fields", F.col("h.time")).alias("time_key"),
+    )
 
 
 def read_pulse_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,37 +138,87 @@ def read_pulse_csv(spark: SparkSession, paths: str | list[str], profile: Profile
     If strict, a count mismatch or an unreadable time is an error before anything is returned; an unreadable field never is.
     """
     rows = read_rows(spark, paths, profile)
-    toa = F.coalesce(*[F.col("fields")[n] for n in TIME])
-    pulses = rows.where("row >= 0").select("path", "group_ord", F.col("row").alias("idx"), (cell_number(toa) * UNIT_S[profile.toa_unit]).alias("toa_s"), "fields", "line")
+    pulses = rows.where("row >= 0").select("path", "group_ord", F.col("row").alias("idx"), (cell_number(F.col("time")) * UNIT_S[profile.toa_unit]).alias("toa_s"), "fields", "line")
     actual = pulses.groupBy("path", "group_ord").agg(F.count("*").alias("actual_count"), F.min_by("toa_s", "idx").alias("t0_s"))
-    groups = rows.where("row < 0").select("path", "group_ord", F.coalesce(*[F.col("attributes")[n] for n in NAME]).alias("name"), "declared", "attributes", "line").join(actual, ["path", "group_ord"], "left")
+    groups = rows.where("row < 0").select("path", "group_ord", "name", "declared", "attributes", "line").join(actual, ["path", "group_ord"], "left")
     groups = groups.withColumn("actual_count", F.coalesce("actual_count", F.lit(0).cast("long"))).withColumn("declared_count", F.coalesce("declared", "actual_count")).drop("declared")
     counts = groups.where("declared_count != actual_count").select("path", "group_ord", "line", F.lit(None).cast("string").alias("column"), F.format_string("declares %d pulses and has %d", F.col("declared_count"), F.col("actual_count")).alias("message"))
-    cells = rows.where("row >= 0").select("path", "group_ord", "line", F.explode("fields").alias("column", "cell")).where(F.col("column").isin(*TIME) & cell_unreadable(F.col("cell")))
-    times = cells.select("path", "group_ord", "line", "column", F.concat(F.lit("unreadable time "), "cell").alias("message"))
-    if strict and (first := counts.unionByName(times).orderBy("path", "line").first()):
+    text = [k for label, r in profile.pulse_rules.items() if r.text for k in (r.key, _key(label)) if k]
+    entry = F.explode(F.map_entries("fields")).alias("e")
+    bad = rows.where("row >= 0").select("path", "group_ord", "line", "time_key", entry).where(cell_unreadable(F.col("e.value")) & (~F.col("e.key").isin(text) if text else F.lit(True)))
+    kind = F.when(F.col("e.key") == F.col("time_key"), "unreadable time ").otherwise("unreadable field ")
+    found = bad.select("path", "group_ord", "line", F.col("e.key").alias("column"), F.concat(kind, "e.value").alias("message"))
+    wrong = counts.unionByName(found)
+    if strict and (first := wrong.where("message NOT LIKE 'unreadable field%'").agg(F.min_by(F.struct("path", "line", "message"), F.struct("path", "line")).alias("w")).first().w):
         raise ValueError(f"{first.path}, line {first.line}: {first.message}")
-    return groups, pulses, counts.unionByName(times)
+    return groups, pulses, wrong
+
+
+def typed_fields(pulses: DataFrame, profile: Profile, keys: Sequence[str]) -> DataFrame:
+    """pulses with a column for each key of its fields: text where a rule says so, else a number, narrowed to the rule's dtype."""
+    rules = {r.key or _key(label): r for label, r in profile.pulse_rules.items()}
+
+    def column(key: str) -> Column:
+        cell, r = F.try_element_at("fields", F.lit(key)), rules.get(key, Rule())
+        return cell if r.text else narrowed(cell_number(F.coalesce(cell, F.lit(""))), r.dtype)
+
+    return pulses.select(*[c for c in pulses.columns if c != "fields"], *[column(k).alias(k) for k in keys])
+
+
+def text_codes(pulses: DataFrame, column: str, *by: str) -> DataFrame:
+    """pulses with <column>_code: texts of each group numbered as they first appear."""
+    first = pulses.groupBy(*by, column).agg(F.min("idx").alias("_first"))
+    codes = first.withColumn(f"{column}_code", F.row_number().over(W.partitionBy(*by).orderBy("_first")) - 1).drop("_first")
+    same = [pulses[c].eqNullSafe(codes[c]) for c in (*by, column)]
+    return pulses.join(codes, same).select(pulses["*"], codes[f"{column}_code"])
+
+
+def typed_attributes(groups: DataFrame, definitions: Sequence[Property] = (), *by: str) -> DataFrame:
+    """by, key, num_value, txt_value and warning of each attribute of a group.
+
+    A defined property is read by its definition; where that fails the text stays and the warning says why. Of others a
+    missing cell is neither, a finite number a number, all else text.
+    """
+    d = groups.select(*by, F.explode("attributes").alias("key", "cell"))
+    number = F.when(F.trim("cell").rlike(NUMBER), F.trim("cell").try_cast("double"))
+    gone = F.lower(F.trim("cell")).isin(*MISSING)
+    warning, num, txt = F.lit(None).cast("string"), F.when(~gone, number), F.when(~gone & number.isNull(), F.col("cell"))
+    for p in definitions:
+        is_p, (n, t) = F.col("key") == p.key, property_value(F.col("cell"), p)
+        error = property_errors(F.col("cell"), p)
+        warning = F.when(is_p, error).otherwise(warning)
+        num = F.when(is_p, F.when(error.isNull(), n)).otherwise(num)
+        txt = F.when(is_p, F.when(error.isNull(), t).otherwise(F.col("cell"))).otherwise(txt)
+    return d.select(*by, "key", num.alias("num_value"), txt.alias("txt_value"), warning.alias("warning"))
 
 
 def sniff_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_rows: int = 20) -> DataFrame:
     """path, column and kind (integer, number or text) as the first rows of each file's first group suggest; no row for columns without cells.
 
-    At most most_rows rows are looked at: a proposal, which reading doesn't depend on.
+    At most most_rows rows are looked at: a proposal, which reading doesn't depend on. Only the lines that may hold them are framed.
     """
-    rows = read_rows(spark, paths, profile).where((F.col("group_ord") == 0) & F.col("row").between(0, most_rows - 1))
-    cells = rows.select("path", F.explode("fields").alias("column", "cell")).where(~F.lower(F.trim("cell")).isin(*MISSING))
+    rows = read_rows(spark, paths, profile, 3 + most_rows).where((F.col("group_ord") == 0) & F.col("row").between(0, most_rows - 1))
+    found = rows.select("path", F.explode("fields").alias("column", "cell")).where(~F.lower(F.trim("cell")).isin(*MISSING))
     v = cell_number(F.col("cell"))
     whole = ~F.isnan(v) & (v == F.floor(v)) & F.abs(v).between(0, (1 << 31) - 1)
-    kinds = cells.groupBy("path", "column").agg(F.bool_and(whole).alias("whole"), F.bool_and(~cell_unreadable(F.col("cell"))).alias("number"))
+    kinds = found.groupBy("path", "column").agg(F.bool_and(whole).alias("whole"), F.bool_and(~cell_unreadable(F.col("cell"))).alias("number"))
     return kinds.select("path", "column", F.when(F.col("whole"), "integer").when(F.col("number"), "number").otherwise("text").alias("kind"))
 
 
-def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: list[str], preamble: str = "# pulses") -> None:
-    """groups(group_ord, name) and pulses(group_ord, idx, toa_us, fields) as text whose parts, in order, are one file."""
+def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: list[str], preamble: str = "# pulses", time: str = "toa_us", unit: str = "us") -> None:
+    """groups(group_ord, name) and pulses(group_ord, idx, a time, fields) as text whose parts, in order, are one file.
+
+    The time is a column in the file's unit, or toa_s in seconds, written with as few decimals as read back the same. Null
+    and NaN are empty cells, whole numbers have no fraction, and what would be read otherwise stands in quotes.
+    """
     n = pulses.groupBy("group_ord").agg(F.count("*").alias("n"))
-    text = [F.when(F.isnan(c), "").otherwise(F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")) for c in ("toa_us", *fields)]
-    own = groups.join(n, "group_ord", "left").select("group_ord", F.lit(-1).alias("idx"), F.concat_ws(",", F.col("name"), F.coalesce("n", F.lit(0)).cast("string")).alias("value"))
-    rows = pulses.select("group_ord", F.col("idx").cast("int").alias("idx"), F.concat_ws(",", *text).alias("value"))
+    types = dict(pulses.dtypes)
+
+    def text(c: str) -> Column:
+        return F.coalesce(quoted(F.col(c)) if types[c] == "string" else cell_text(F.col(c).cast("double")), F.lit(""))
+
+    first = F.coalesce(shortest_time(F.col(time), UNIT_S[unit]), F.lit("")) if time == "toa_s" else text(time)
+    own = groups.join(n, "group_ord", "left").select("group_ord", F.lit(-1).alias("idx"), F.concat(F.coalesce(quoted(F.col("name")), F.lit("")), F.lit(","), F.coalesce("n", F.lit(0)).cast("string")).alias("value"))
+    rows = pulses.select("group_ord", F.col("idx").cast("int").alias("idx"), F.concat_ws(",", first, *[text(c) for c in fields]).alias("value"))
     head = groups.sparkSession.createDataFrame([(-3, -1, preamble), (-2, -1, "name,count"), (-1, -1, ",".join(["time", *fields]))], "group_ord int, idx int, value string")
     own.unionByName(rows).unionByName(head).repartitionByRange("group_ord", "idx").sortWithinPartitions("group_ord", "idx").select("value").write.text(path)

@@ -1,11 +1,18 @@
-"""Structured Streaming forms of the event queries."""
+"""Structured Streaming forms of the event queries, of threshold detection and of a watched folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sigtables.operators.catalog import search_pulses
+from sigtables.sources.pulse_csv import Profile, read_pulse_csv
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -14,15 +21,127 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def windowed_stats(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """count, min, max and mean of each event type and time window; rows later than `late` are left out."""
+    """count, min, max and mean of each event type and time window; rows later than `late` are left out.
+
+    In append mode a window is written once, when no row of it can come any more, and its state goes.
+    """
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
 
 
 def matching(events: DataFrame, predicates) -> DataFrame:
+    """Pulses inside all ranges, as they arrive; nothing is kept."""
     return search_pulses(events, predicates)
 
 
+DETECTIONS = "group_id long, signal_id long, start_s double, end_s double, peak double"
+#: What is kept of a signal: is a detection open, its start, peak and last time, how far samples were used, and samples not yet used.
+STATE = "open boolean, start double, peak double, last double, used double, times array<double>, values array<double>, at array<double>"
+
+
+def detections(samples: DataFrame, level: float, hysteresis: float, period_s: float, late: str = "10 seconds") -> DataFrame:
+    """Detections of a stream of samples (group_id, signal_id, t_s, value, ts), as stages.threshold() finds them in a table.
+
+    Samples are used in the order of t_s once the watermark on ts has passed them, whatever order they come in; those that
+    come later than that are left out (the query's progress counts them). A detection is written when it ends, or when the
+    watermark has passed the last sample that its signal has. Between batches a signal keeps one open detection and the
+    samples that the watermark hasn't passed.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_, start, peak, last, used, times, values, at = state.get if state.exists else (False, 0.0, 0.0, 0.0, float("-inf"), [], [], [])
+        times, values, at, out = list(times), list(values), list(at), []
+        for f in frames:
+            for t, v, ts in zip(f["t_s"], f["value"], f["ts"], strict=True):
+                if t > used:
+                    times.append(t)
+                    values.append(v)
+                    at.append(ts.timestamp())
+        mark = state.getCurrentWatermarkMs() / 1000
+        order = sorted(range(len(times)), key=times.__getitem__)
+        ready = [i for i in order if at[i] <= mark]
+        for i in ready:
+            t, v = times[i], values[i]
+            nan = v is None or v != v
+            ends = nan or (v < level if hysteresis == 0 else v <= level - hysteresis)
+            if open_ and ends:
+                out.append((start, last + period_s, peak))
+                open_ = False
+            elif open_:
+                peak, last = max(peak, v), t
+            elif not nan and v >= level:
+                open_, start, peak, last = True, t, v, t
+            used = t
+        waiting = sorted(set(range(len(times))) - set(ready), key=times.__getitem__)
+        if not waiting and open_:
+            out.append((start, last + period_s, peak))
+            open_ = False
+        times, values, at = ([x[i] for i in waiting] for x in (times, values, at))
+        if waiting:
+            state.update((open_, start, peak, last, used, times, values, at))
+            state.setTimeoutTimestamp(int(max(max(at), mark) * 1000) + 1)
+        elif not state.hasTimedOut:
+            state.update((open_, start, peak, last, used, times, values, at))
+            state.setTimeoutTimestamp(int(max(mark, 0) * 1000) + 3_600_000)
+        else:
+            state.remove()
+        rows = pd.DataFrame(out, columns=["start_s", "end_s", "peak"])
+        rows.insert(0, "signal_id", key[1])
+        rows.insert(0, "group_id", key[0])
+        yield rows
+
+    marked = samples.withWatermark("ts", late).groupBy("group_id", "signal_id")
+    return marked.applyInPandasWithState(step, DETECTIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_now(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what has arrived and returns what it wrote as Parquet."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     return stream.sparkSession.read.parquet(out)
+
+
+LEDGER = "path string, length long, modified timestamp, state string, message string"
+
+
+def scan_folder(spark: SparkSession, folder: str, ledger: str, out: str, profile: Profile = Profile(), adopt_before: datetime | None = None) -> DataFrame:
+    """One look at a watched folder: takes in the files that have settled and returns the new ledger.
+
+    Only csv, txt and tsv files of the folder itself count. Files older than adopt_before are adopted without being read. A
+    file is read when its length and time are what they were at the last look; its groups and pulses are appended under
+    out. One that fails is noted with its message and doesn't keep others from being read; one that vanishes is
+    forgotten, so that it counts as new when it comes back. The ledger (path, length, modified, state, message) is a
+    table of its own for each look, the latest of which counts.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,txt,tsv}").option("recursiveFileLookup", "false").load(folder)
+    seen = files.select("path", "length", F.col("modificationTime").alias("modified"))
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(ledger)
+    fs = root.getFileSystem(context._jsc.hadoopConfiguration())
+    looks = sorted(int(f.getPath().getName()) for f in fs.listStatus(root)) if fs.exists(root) else []
+    before = spark.read.parquet(f"{ledger}/{looks[-1]}") if looks else spark.createDataFrame([], LEDGER)
+    old = before.select("path", F.col("length").alias("_l"), F.col("modified").alias("_m"), F.col("state").alias("_s"), "message")
+    same = (F.col("length") == F.col("_l")) & (F.col("modified") == F.col("_m"))
+    adopted = F.lit(False) if adopt_before is None else F.col("_s").isNull() & (F.col("modified") < F.lit(adopt_before))
+    state = F.when(adopted, "adopted").when(F.col("_s").isin("adopted", "read", "failed") & same, F.col("_s")).when(same & (F.col("_s") == "seen"), "settled").otherwise("seen")
+    now = seen.join(old, "path", "left").select("path", "length", "modified", state.alias("state"), "message").collect()  # a row a file of one folder
+    rows = []
+    for f in now:
+        message, kind = f.message, f.state
+        if kind == "settled":
+            try:
+                groups, pulses, _ = read_pulse_csv(spark, f.path, profile)
+                groups.write.mode("append").parquet(f"{out}/groups")
+                pulses.write.mode("append").parquet(f"{out}/pulses")
+                kind, message = "read", None
+            except Exception as e:  # a bad file is its own failure, the others are still read
+                kind, message = "failed", str(e).split("\n")[0][:500]
+        rows.append((f.path, f.length, f.modified, kind, message))
+    table = spark.createDataFrame(rows, LEDGER)
+    table.coalesce(1).write.parquet(f"{ledger}/{looks[-1] + 1 if looks else 0}")
+    return table
+
+
+def stream_pulse_csv(spark: SparkSession, folder: str, checkpoint: str, out: str, every: str = "10 seconds", profile: Profile = Profile(), adopt_before: datetime | None = None) -> StreamingQuery:
+    """A running query that looks at a folder again and again (see scan_folder)."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    look = lambda _df, _id: scan_folder(spark, folder, f"{checkpoint}/ledger", out, profile, adopt_before)
+    return clock.writeStream.foreachBatch(look).option("checkpointLocation", f"{checkpoint}/clock").trigger(processingTime=every).start()

@@ -8,7 +8,7 @@ from sigtables.operators import catalog, generate, profile, regress, stages
 from sigtables.plans import pipeline
 from sigtables.sources import pulse_csv
 
-FILE = "made by hand\r\ngroupID, total time, count, info\r\ntime, pulse width, power\r\n\r\n# note\r\ng1, 5, 2, first\r\n1, 0.5, 10\r\n2, NA, 1_0\r\ng2, 6, 4, short\r\n3, 0.25, 9\r\ng3, 1, x, unreadable\r\n7, 1, 2\r\n"
+FILE = "made by hand\r\nName, span, NRec, note\r\nTOA, width, level\r\n\r\n# note\r\ng1, 5, 2, first\r\n1, 0.5, 10\r\n2, NA, 1_0\r\ng2, 6, 4, short\r\n3, 0.25, 9\r\ng3, 1, x, unreadable\r\n7, 1, 2\r\n"
 
 
 def test_csv_framing(spark, tmp_path):
@@ -17,9 +17,11 @@ def test_csv_framing(spark, tmp_path):
     got = {r["name"]: (r.declared_count, r.actual_count) for r in groups.collect()}
     assert got == {"g1": (2, 2), "g2": (4, 1), "g3": (1, 1)}
     assert [r.toa_s for r in pulses.orderBy("group_ord", "idx").collect()] == [1e-6, 2e-6, 3e-6, 7e-6]
-    assert [r.group_ord for r in wrong.collect()] == [1]
-    with pytest.raises(ValueError):
-        list(pulse_csv.frame(b"x\na,b\nc,d\n", pulse_csv.Profile()))
+    assert sorted((r.group_ord, r.column or "") for r in wrong.collect()) == [(0, "level"), (1, "")]
+    for bad, what in (("x\na,b\ntoa,d\ng,1\n", "no count column"), ("x\na,n\nc,d\ng,1\n", "no time column"), ("x\na,n,\ntoa,d\ng,1,2\n", "without a name")):
+        (tmp_path / "bad.csv").write_text(bad)
+        with pytest.raises(Exception, match=what):
+            pulse_csv.read_rows(spark, str(tmp_path / "bad.csv")).collect()
 
 
 def test_csv_strict_and_sniff(spark, tmp_path):
@@ -82,6 +84,10 @@ def test_peaks(spark):
 def test_pipeline_checks():
     P = pipeline.Stage
     assert pipeline.issues([P("gain", {"x": 1}), P("none"), P("am")]) == ["stage 0: no parameter x", "stage 1: no kind none", "stage 2: carrier_hz is missing", "stage 2: depth is missing"]
+    wrong = [P("gain", {"gain": "2"}), P("filter", {"cutoff_hz": -1.0, "rate_hz": 8.0, "sections": 9, "response": "comb"}), P("pulse_metrics", {"rate_hz": 8.0}), P("gain", {"gain": True}, retention="now")]
+    assert pipeline.issues(wrong) == ["stage 0: gain: a float is needed", "stage 1: response: one of low, high, band, notch", "stage 1: cutoff_hz: out of range", "stage 1: sections: out of range", "stage 2: needs detections, which no stage before it gives", "stage 3: gain: a float is needed", "stage 3: retention: always, on_failure or never"]
+    assert pipeline.issues([P("gain", enabled=False)]) == ["no stage is enabled"]
+    assert pipeline.stage_keys([P("gain")]) == pipeline.stage_keys([P("gain", {"gain": 1.0})]) and pipeline.pipeline_hash([P("gain")]) != pipeline.pipeline_hash([P("gain", {"gain": 2.0})])
     a, b = pipeline.stage_keys([P("gain"), P("detrend")]), pipeline.stage_keys([P("gain"), P("normalise")])
     assert a[0] == b[0] and a[1] != b[1]
 
