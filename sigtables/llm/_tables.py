@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigtables.model import kept, shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["kept", "pieces", "remove_folder", "shared_folder", "table", "text_bytes"]
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder in spark.checkpoint.dir that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever Spark keeps it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_bytes(docs: DataFrame, name: str = "text") -> int:

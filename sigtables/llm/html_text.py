@@ -248,7 +248,7 @@ def decode(page: Page, z: np.ndarray) -> list[bool]:
 
 
 def train(pages: DataFrame, most_pages: int = 400, key: str = "page_id", source: str = "html") -> Trees:
-    """Fits the trees on the nodes of `most_pages` pages at most, those whose key has the least hash.
+    """Fits the trees on the nodes of `most_pages` pages at most, those whose key has the least hash; of several of one key the first in order.
 
     Their labels are what explicit markup says (see teacher()); each node is learnt a second time without what its tags and
     attributes say, so that pages without such markup are judged by their structure.
@@ -264,7 +264,8 @@ def train(pages: DataFrame, most_pages: int = 400, key: str = "page_id", source:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.float32())), pa.array([y for _, y in rows], pa.int32())], ["x", "y"])
 
-    rows = sorted((r.x, r.y) for r in pages.where(F.col(key).isin(keys)).select(source).mapInArrow(run, "x array<float>, y int").collect())
+    chosen = pages.where(F.col(key).isin(keys)).groupBy(key).agg(F.min(source).alias(source)).select(source)
+    rows = sorted((r.x, r.y) for r in chosen.mapInArrow(run, "x array<float>, y int").collect())
     x, y = np.array([r[0] for r in rows], np.float32).reshape(-1, len(NAMES)), np.array([r[1] for r in rows], float)
     plain = x.copy()
     plain[:, NAMED] = 0
@@ -294,4 +295,10 @@ def extract(pages: DataFrame, model: Trees, key: str = "page_id", source: str =
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page, by trees that are fitted on some of the same pages.
+
+    White space is what Unicode calls so, no-break spaces included. A null or empty page has an empty text, null ids and
+    urls stay null, repeated rows stay and an empty table stays empty; pages without any markup of use leave the trees
+    without labels, and then nothing is taken for main text unless its structure says so.
+    """
     return extract(pages, train(pages))

@@ -291,17 +291,22 @@ def clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """What is read back from the files of store_texts(): sums of the samples and of the file, and the shots as a feature."""
+    """What is read back from the files of store_texts(): sums of the samples and of the file, and the shots as a feature.
+
+    A null file has its row with nulls; a file without frames has no bytes and no shots; repeated rows stay; a damaged file
+    raises.
+    """
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files, rows = column(batch, "media"), []
-            for i, x, fps in _decoded(files):
-                payload, found = x.tobytes(), shots(x)
+            files, rows = column(batch, "media"), [(None,) * len(kinds)] * batch.num_rows
+            have = [i for i, f in enumerate(files) if f is not None]
+            for i, x, fps in _decoded([files[i] for i in have]):
+                payload, found, file = x.tobytes(), shots(x), files[have[i]]
                 feature = f"frames={len(x)} shots={len(found)} clips=" + ",".join(f"{a / fps:.2f}-{b / fps:.2f}" for a, b in found)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(files[i]), hashlib.sha256(files[i]).hexdigest(), feature))
+                rows[have[i]] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature)
             if rows:
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = media.schema["doc_id"].dataType.simpleString()

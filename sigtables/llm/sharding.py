@@ -32,28 +32,31 @@ def rendezvous_shards(df: DataFrame, key: str, weights: Sequence[float], grown_w
 
     Rows with equal keys stay together; a null key is a key like any other. Slots of rows with equal keys follow the
     hash of the whole row; repeated whole rows are interchangeable. An empty table stays empty. Columns of df named
-    shard, slot or grown_shard are replaced.
+    shard, slot or grown_shard are replaced, all others stay whatever they are called.
     """
     if not weights or max(weights) <= 0 or min(weights) < 0:
         raise ValueError("weights: none may be negative and one must be positive")
-    k = F.col(f"`{key}`")
-    grown = _score(k, len(weights), grown_weight)
-    best = _best(k, weights)
-    rows = df.drop("shard", "slot", "grown_shard").withColumn("_best", best)
-    rows = rows.withColumns({"shard": F.col("_best.shard"), "grown_shard": F.when(grown < F.col("_best.score"), len(weights)).otherwise(F.col("_best.shard")) if grown_weight > 0 else F.col("_best.shard")}).drop("_best")
+    names = [f"`{c}`" for c in df.columns if c not in ("shard", "slot", "grown_shard")]
+    whole = [n for n, kind in zip(names, (df.schema[n[1:-1]].dataType.simpleString() for n in names), strict=True) if kind != "void" and "map<" not in kind and "variant" not in kind]
+    rows = df.select(F.struct(*names).alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(*whole).alias("whole"))
+    k, best = F.col("key"), _best(F.col("key"), weights)
+    grown = _score(k, len(weights), grown_weight) if grown_weight > 0 else F.lit(float("inf"))
+    rows = rows.withColumn("best", best)
     # A shard may hold any share of the rows, so each is numbered in parts: a row's slot is its place in its part after all earlier parts.
     parts = max(1, df.count() // (len(weights) * ROWS_PER_TASK) + 1) * 4
     part = F.pmod(F.xxhash64(k, F.lit("part")), F.lit(parts))
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if dict(df.dtypes)[c] != "void" and "map<" not in dict(df.dtypes)[c]])
-    rows = rows.withColumns({"_part": part, "_whole": whole})
-    sizes = df.select(best["shard"].alias("shard"), part.alias("_part")).groupBy("shard", "_part").count()
-    before = sizes.select("shard", "_part", (F.sum("count").over(W.partitionBy("shard").orderBy("_part")) - F.col("count")).alias("_before"))
-    numbered = rows.withColumn("_at", F.row_number().over(W.partitionBy("shard", "_part").orderBy(key, "_whole")) - 1)
-    return numbered.join(before, ["shard", "_part"]).withColumn("slot", F.col("_before") + F.col("_at")).drop("_part", "_whole", "_at", "_before")
+    rows = rows.select("row", "key", "whole", F.col("best.shard").alias("shard"), F.when(grown < F.col("best.score"), len(weights)).otherwise(F.col("best.shard")).alias("grown_shard"), part.alias("part"))
+    sizes = df.select(F.col(f"`{key}`").alias("key")).select(best["shard"].alias("shard"), part.alias("part")).groupBy("shard", "part").count()
+    before = sizes.select("shard", "part", (F.sum("count").over(W.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
+    numbered = rows.withColumn("at", F.row_number().over(W.partitionBy("shard", "part").orderBy("key", "whole")) - 1)
+    return numbered.join(before, ["shard", "part"]).select("row.*", "shard", "grown_shard", (F.col("before") + F.col("at")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot and grown_shard of each document."""
+    """doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot and grown_shard of each document.
+
+    A null text counts as empty; null and repeated ids are keys like others; an empty table stays empty.
+    """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     facts = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
     out = rendezvous_shards(facts, "doc_id", [1.0] * shards)

@@ -108,7 +108,7 @@ def fit(rows: Sequence[Sequence[int]], toxic: Sequence[int], names: Sequence[str
     what = np.array([i for r in rows for i in r], np.int64)
     y, of = np.array(toxic, float), {x: i for i, x in enumerate(names)}
     vectors = []
-    for (a, b), times in pairs.items():
+    for (a, b), times in sorted(pairs.items()):
         change = Counter({of[f]: 1 for f in features(a) if f in of})
         change.subtract({of[f]: 1 for f in features(b) if f in of})
         vectors.append((times, {i: v for i, v in change.items() if v}))
@@ -134,10 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8192, most_featur
     labels: doc_id and toxic (0 or 1); rows with a null are left out, of several for one id a 1 counts. Features are the
     words and word beginnings that `least_rows` of these documents have and whose chi-square with the label is
     `least_chi2` or more, the best `most_features`, and those of the identity terms. What reaches the driver is bounded by these
-    parameters. Documents without a text count as empty.
+    parameters: of several documents with one id the text that sorts first is taken. Documents without a text count as empty.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = kept(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "_toxic"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = kept(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")).select("text", "_toxic"))
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +201,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of each document, learnt from the labels of rows that are not held out."""
+    """doc_id, held_out, score and predicted of each document, learnt from the labels of rows that are not held out.
+
+    Null and empty texts score alike; a null id isn't held out; repeated rows stay; an empty table stays empty.
+    """
     model = train(docs, labels.where(~held_out()))
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
