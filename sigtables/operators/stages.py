@@ -132,8 +132,8 @@ def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz:
     run from rest side by side; where each one ends, carried from block to block by a 2 by 2 matrix, is a small table of a
     signal; each block then adds its part of that. Every task holds a few blocks.
     """
-    if sections < 1:
-        raise ValueError("sections: one at least")
+    if sections < 1 or block < 2:
+        raise ValueError("sections: one at least; block: two samples at least")
     b0, b1, b2, a1, a2 = biquad_coefficients(response, cutoff_hz, rate_hz, q)
     step, goes_on = np.array([[-a1, -a2], [1.0, 0.0]]), np.empty((block, 2))
     state = np.eye(2)

@@ -75,11 +75,12 @@ def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     A file in UTF-16 or a line that isn't UTF-8 is an error that names the line.
     """
-    meta = F.col("_metadata")
-    raw = spark.read.text(paths).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    meta, v = F.col("_metadata"), F.col("value")
+    good = F.is_valid_utf8(v)
+    raw = spark.read.text(paths).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), good.alias("good"), F.when(v.startswith("\ufeff"), F.substring(v, 2, 1 << 30)).otherwise(v).alias("value"))
     d = numbered(raw, "line").withColumn("line", F.col("line") + 1)
-    bad = ~F.is_valid_utf8("value")
-    return d.withColumn("value", F.when(bad, F.raise_error(F.format_string("%s, line %d: not UTF-8", F.col("path"), F.col("line"))).cast("string")).otherwise(F.col("value")))
+    wrong = F.raise_error(F.format_string("%s, line %d: not UTF-8", F.col("path"), F.col("line"))).cast("string")
+    return d.withColumn("value", F.when(~F.col("good"), wrong).otherwise(F.col("value"))).drop("good")
 
 
 def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_lines: int | None = None) -> DataFrame:
