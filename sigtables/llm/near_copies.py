@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtables.llm._tables import kept
+from sigtables.llm._tables import kept, pieces
 from sigtables.llm._text import Words, blocks, mix, rolling, utf8
 
 #: Words in a shingle, the similarity of near copies, sketches of a text and shingles in a sketch.
@@ -182,16 +182,16 @@ def components(links: DataFrame) -> DataFrame:
     what was joined go. Tables of a round are written, so rounds don't build on each other's lineage.
     """
     links = kept(links.where("a != b").distinct())
-    labels = None
+    parts, labels = pieces(64 * links.count(), 16 << 20, 8), None  # rows of two hashes: in files of some MB, not one a shuffle partition
     while not links.isEmpty():
-        up = kept(nearer(links))
+        up = kept(nearer(links).coalesce(parts))
         if labels is None:
             labels = up.select(F.col("a").alias("node"), F.col("p").alias("component"))
         else:
-            labels = kept(labels.join(up.select(F.col("a").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+            labels = kept(labels.join(up.select(F.col("a").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")).coalesce(parts))
         for c in ("a", "b"):
             links = links.join(up.select(F.col("a").alias(c), "p"), c).drop(c).withColumnRenamed("p", c)
-        links = kept(links.where("a != b").distinct())
+        links = kept(links.where("a != b").distinct().coalesce(parts))
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -273,3 +273,67 @@ def test_pipeline(spark, tmp_path):
     packed = stage["packing"](spark, df, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(seen["decontamination"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_fit_against_a_dense_reference():
+    """The minimum that Adam finds is that of plain gradient descent on dense arrays, regulariser included."""
+    rnd = np.random.default_rng(4)
+    names = [*(f"w{i}" for i in range(8)), "muslims", "atheists"]
+    x = (rnd.random((300, 10)) < 0.3).astype(float)
+    y = (x[:, 0] + x[:, 8] + 0.3 * rnd.standard_normal(300) > 0.9).astype(float)
+    pairs, strength, ridge = {("muslims", "atheists"): 3, ("atheists", "muslims"): 2}, 0.5, 1e-2
+    m = toxicity.fit([np.flatnonzero(r).tolist() for r in x], y.astype(int).tolist(), names, pairs, strength, ridge, steps=3000)
+    w, b = np.zeros(10), 0.0
+    swap = np.zeros(10)
+    swap[8], swap[9] = 1, -1
+    for _ in range(60_000):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w -= 0.3 * (x.T @ e + 2 * ridge * w + 2 * strength * (swap @ w) * swap)
+        b -= 0.3 * e.sum()
+    assert np.allclose([m.weights[n] for n in names], w, atol=2e-3) and abs(m.bias - b) < 2e-3
+    again = toxicity.fit([np.flatnonzero(r).tolist() for r in x], y.astype(int).tolist(), names, dict(reversed(pairs.items())), strength, ridge, steps=3000)
+    assert again == m
+
+
+def test_repeated_ids_and_rows_of_labels_and_pages(spark):
+    rows = toxic_rows(random.Random(2), 300)
+    docs = spark.createDataFrame([(d, t, "", "") for d, t, _ in rows] + [(2, f"other {i}", "", "") for i in range(200)] + [(None, "horrid vilest", "", "")] * 3 + [(9001, "x " * 200_000 + "horrid", "", "")], SCHEMA)
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(2, 0)] * 5, "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels)
+    assert got.count() == docs.count() and got.where("doc_id IS NULL AND NOT held_out").count() == 3
+    rnd = random.Random(7)
+    pages = [(i % 20 or None, f"u{i}", page(rnd, True)[0], "") for i in range(60)] + [(5, "u", "<div>" * 3000 + "<p>deep" + "<p>word " * 20_000, "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    assert html_text.extract_pages(df).count() == len(pages)
+
+
+def test_cosine_candidates_against_all_pairs(spark):
+    """Every pair of a passage and an item that the word checks accept, over all pairs, is a candidate; nine in ten at least."""
+    rnd = random.Random(21)
+    words = [a + b for a in VOCABULARY[:60] for b in ("", "ra", "to")]
+    items = [(i, prose(rnd, rnd.randint(20, 60), words)) for i in range(30)]
+    docs = []
+    for d in range(200):
+        w = rnd.choice(items)[1].split()
+        for k in rnd.sample(range(len(w)), int(len(w) * rnd.choice([0, 0.1, 0.2, 0.3, 0.4]))):
+            w[k] = rnd.choice(words)
+        docs.append((d, " ".join([prose(rnd, rnd.randint(0, 90), words), *w, prose(rnd, rnd.randint(0, 90), words)]), "", ""))
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()}
+    every = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench, cosine=-2.0).collect()}
+    assert len(every) > 100 and found <= every and len(found) >= 0.9 * len(every)
+
+
+def test_pipeline_on_empty_tables_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(VOCABULARY[:70])
+    for name, rows in (("none", []), ("same", [(1, text, "en", "s", 1)] * 4 + [(1, "another " + " ".join(VOCABULARY[70:]), "en", "s", 1), (None, text, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0)])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        got = sorted((r.doc_id or 0, r.length > 1) for r in out.collect())
+        assert got == ([] if name == "none" else [(1, True), (1, True), (2, False)]), got

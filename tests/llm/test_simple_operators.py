@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sigtables.llm import media, packing, sharding, token_counts
 
@@ -152,3 +153,91 @@ def test_sharding_follows_weights(spark):
     assert 2 not in n and abs(n[1] / 20000 - 0.75) < 0.02
     with pytest.raises(ValueError):
         sharding.rendezvous_shards(df, "k", [])
+
+
+def test_shards_by_scores_drawn_in_python(spark):
+    import struct
+
+    import xxhash
+
+    ids = [*range(-5, 400), 2**62]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")).collect()}
+
+    def score(key, shard):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        return -np.log(((h & (2**53 - 1)) + 1) / 2**53)
+
+    for i in ids:
+        own = [score(i, s) for s in range(41)]
+        assert got[i] == (int(np.argmin(own[:40])), int(np.argmin(own)))
+
+
+def test_rows_of_any_kind_are_sharded_packed_and_stored(spark):
+    df = spark.createDataFrame([(None, None, "a", None), (None, None, "a", None), (1, "", None, {"x": 1}), (2, "y" * 3_000_000, "b", {})], "doc_id long, text string, _part string, best map<string,int>")
+    out = sharding.rendezvous_shards(df.withColumns({"row": df["_part"], "shard": df["_part"], "slot": df["_part"]}), "doc_id", [1.0, 2.0])
+    assert out.columns == ["doc_id", "text", "_part", "best", "row", "shard", "grown_shard", "slot"] and out.count() == 4
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.shard, []).append(r.slot)
+        assert r.row == r["_part"]
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    files = media.store_texts(df)
+    rows = media.describe(files.withColumn("media", F.when(F.col("doc_id") == 1, None).otherwise(F.col("media")))).collect()
+    assert [r.payload_bytes for r in rows if r.doc_id == 1] == [None] and sorted(r.payload_bytes or 0 for r in rows) == [0, 576, 576, 3_000_384]
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack_documents(df, *args).collect()
+    assert sorted(r.doc_id is None for r in packed if r.length == 1) == [False, True, True]
+    counted = token_counts.count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sorted(r.n_tokens > 0 for r in counted) == [False, False, False, True]
+
+
+class Bits:
+    """An independent reader of lossless JPEG: a bit at a time, from the markers on."""
+
+    def __init__(self, data):
+        self.data, self.at, self.bit = data, 0, 0
+
+    def next(self):
+        out = self.data[self.at] >> (7 - self.bit) & 1
+        self.bit += 1
+        if self.bit == 8:
+            self.bit, self.at = 0, self.at + 1 + (self.data[self.at] == 255)
+        return out
+
+
+def samples_of(jpeg):
+    at, codes, side = 2, {}, None
+    while True:
+        marker, n = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        body = jpeg[at + 4 : at + 2 + n]
+        if marker == 0xC4:
+            code, k = 0, 17
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    codes[length, code] = body[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+        elif marker == 0xC3:
+            side = int.from_bytes(body[1:3], "big")
+        at += 2 + n
+        if marker == 0xDA:
+            break
+    bits, out = Bits(jpeg[at:-2]), []
+    for i in range(side * side):
+        code = length = 0
+        while (length, code) not in codes:
+            code, length = code << 1 | bits.next(), length + 1
+        size, diff = codes[length, code], 0
+        for _ in range(size):
+            diff = diff << 1 | bits.next()
+        if size and diff < 1 << (size - 1):
+            diff -= (1 << size) - 1
+        out.append((128 if i == 0 else out[i - side] if i % side == 0 else out[i - 1]) + diff)
+    return out
+
+
+def test_frames_by_an_independent_reader():
+    rnd = np.random.default_rng(8)
+    x = np.concatenate([rnd.integers(0, 256, (3, 24, 24)), rnd.integers(97, 123, (3, 24, 24)), np.full((1, 24, 24), 255)]).astype(np.uint8)
+    for frame, jpeg in zip(x, media.encode_frames(x), strict=True):
+        assert samples_of(jpeg) == frame.ravel().tolist()
