@@ -98,7 +98,7 @@ def same_before(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.n
 
 
 KEYS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("often", pa.binary())])
-REPEATED = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())])
+REPEATED = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
 LOW = np.uint64((1 << 32) - 1)
 
 
@@ -117,22 +117,28 @@ def send_keys(chunk: int, found: np.ndarray, parts: int) -> pa.Table:
     return table_of(KEYS, ((part, chunk, k.tobytes(), k[t > 1].tobytes()) for part, (k, t) in dealt(keys >> np.uint64(32), parts, [keys.astype(np.uint32), times])))
 
 
-def known(answers: pa.Table) -> np.ndarray:
-    """The codes of the keys in answers of repeated(), sorted."""
-    rows = zip(answers.column("part").to_pylist(), answers.column("keys").to_pylist(), strict=True)
-    return np.sort(np.concatenate([numbers(k, "<u4").astype(np.uint64) | (np.uint64(part) << np.uint64(32)) for part, k in rows]))
+def known(answers: pa.Table, name: str = "keys") -> np.ndarray:
+    """The codes of the keys in a column of answers of repeated(), sorted."""
+    rows = zip(answers.column("part").to_pylist(), answers.column(name).to_pylist(), strict=True)
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(numbers(k, "<u4").astype(np.uint64) | (np.uint64(part) << np.uint64(32)) for part, k in rows)]))
 
 
-def repeated(sent: DataFrame) -> DataFrame:
-    """chunk, part and keys: of the keys that each chunk sent, those that stand at more than one place in all chunks."""
+def repeated(sent: DataFrame, hot: int | None = None) -> DataFrame:
+    """chunk, part, keys and hot: of the keys that each chunk sent, those that stand at more than one place in all chunks.
+
+    hot: those of them that more than `hot` chunks sent.
+    """
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, times = np.unique(np.concatenate([joined(table, "keys", "<u4"), joined(table, "often", "<u4")]), return_counts=True)
+        own = joined(table, "keys", "<u4")
+        keys, times = np.unique(own, return_counts=True)
+        common = keys[times > hot] if hot is not None else keys[:0]
+        keys, times = np.unique(np.concatenate([own, joined(table, "often", "<u4")]), return_counts=True)
         keys = keys[times > 1]
-        rows = ((c, p, (x := numbers(k, "<u4"))[among(x, keys)].tobytes()) for c, p, k in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), table.column("keys").to_pylist(), strict=True))
+        rows = ((c, p, (y := (x := numbers(k, "<u4"))[among(x, keys)]).tobytes(), y[among(y, common)].tobytes()) for c, p, k in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), table.column("keys").to_pylist(), strict=True))
         return table_of(REPEATED, (r for r in rows if r[2]))
 
-    return sent.groupBy("part").applyInArrow(answer, "chunk int, part int, keys binary")
+    return sent.groupBy("part").applyInArrow(answer, "chunk int, part int, keys binary, hot binary")
 
 
 def with_answers(chunked: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:

@@ -22,8 +22,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bytes_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 64), (1, 1), (2, 4), (3, 0)])
+def test_bytes_against_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(repeated_bytes, "HOT", hot)
     rows, n = corpus(seed), 50
     owner = {}
     for d, t in rows:
