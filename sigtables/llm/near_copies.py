@@ -123,8 +123,8 @@ def _star(table: pa.Table) -> pa.Table:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links between rows of side 0 and side 1, or among rows of side 2, that join different components."""
-    nodes, parts = table.column("node").to_pylist(), table.column("component").to_pylist()
+    """Pairs of different components that links between rows of side 0 and side 1, or among rows of side 2, join."""
+    parts = table.column("component").to_pylist()
     if len(set(parts)) < 2:
         return LINKS.empty_table()
     sides = np.array(table.column("side").to_pylist())
@@ -162,7 +162,7 @@ def _compare(table: pa.Table) -> pa.Table:
         a, b = int(left[i]), int(right[j])
         if a != b and (ra := root(parts[a])) != (rb := root(parts[b])) and alike(aligned(x[a], x[b]), len(x[a]), len(x[b])):
             owner[max(ra, rb)] = min(ra, rb)
-            found.append((nodes[a], nodes[b]))
+            found.append((parts[a], parts[b]))
     return links_of(found)
 
 
@@ -205,8 +205,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shingles that a hash puts least, in text order: a pair at 0.8 shares none with probability (1 - 0.8**3)**24 < 1e-7.
 
     Nodes with a sketch in common are compared with one of them first, in blocks if many share one. The links so found give
-    a first guess of components (parts of the true ones). Where a bucket is still in several, all its pairs of different
-    components are compared, block against block; its largest component isn't paired with itself. So no link between
+    components. Where a bucket is still in several, all its pairs of different components are compared, block against block,
+    which joins components in turn; its largest component isn't paired with itself. So no link between
     components is lost, and inside a component no pairs are formed. A block holds BLOCK texts or BLOCK_BYTES of them, about.
 
     A null text counts as empty; texts without words are one node each kind; a null doc_id takes part, and a class of
@@ -231,8 +231,8 @@ def classes(docs: DataFrame) -> DataFrame:
     others = stars.where("center != node").select("center", F.pmod(F.xxhash64("node"), "k").alias("salt"), "node", F.lit(1).alias("side"), "text")
     links = kept(own.union(others).groupBy("center", "salt").applyInArrow(_star, "a binary, b binary"))
 
-    guess = nearer(links).select(F.col("a").alias("node"), F.col("p").alias("component"))
-    named = bodies.select("node", F.octet_length("text").alias("bytes"), "places").join(guess, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = components(links)
+    named = bodies.select("node", F.octet_length("text").alias("bytes"), "places").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left = named.select("node", "bytes", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "bytes", "component")
     key = F.xxhash64("node")
     # a bucket's largest component, all but a few texts as a rule, meets the others but never itself
@@ -255,9 +255,10 @@ def classes(docs: DataFrame) -> DataFrame:
     dealt = dealt.select("bucket", "node", "component", F.explode(F.when(main, cells("kb", lambda j: meeting(0, own, j, F.lit(0)))).otherwise(F.concat(with_main, with_others))).alias("c"))
     dealt = dealt.select("bucket", "node", "component", "c.*")
     more = dealt.join(bodies.select("node", "text"), "node").groupBy("bucket", "kind", "i", "j").applyInArrow(_compare, "a binary, b binary")
-    joined = components(links.union(more))
+    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
-    numbered = docs.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    numbered = docs.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least")).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    numbered = numbered.join(second, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     named = kept(numbered.select("node", "component", "least"))
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("_keeper"))
     return docs.join(named.join(ids, "component").select("node", "class_id", F.col("component").alias("_component"), "_keeper"), "node")
