@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,12 +39,21 @@ class UnigramCounter:
             self.find.add_word(p, (len(p), score))
         self.find.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.characters = {p for p, _ in pieces if len(p) == 1}
         self.spaced: dict[str, tuple[int, float]] = {}
         self.bare: dict[str, tuple[int, float]] = {}
 
     def path(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best path."""
         n = len(word)
+        if self.characters.issuperset(word):  # no character is unknown: each place is reached by a piece
+            top, number = [0.0] + [-inf] * n, [0] * (n + 1)
+            for last, (size, score) in self.find.iter(word):
+                start = last + 1 - size
+                total = top[start] + score
+                if total > top[last + 1]:
+                    top[last + 1], number[last + 1] = total, number[start] + 1
+            return number[n], top[n]
         best, count, single = [None] * (n + 1), [0] * (n + 1), [False] * n
         best[0] = 0.0
         at = 0
