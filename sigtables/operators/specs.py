@@ -41,7 +41,7 @@ TONES = ("sine", "square", "triangle", "sawtooth")
 #: Orders of PRBS whose whole period is held as an array; generate.prbs makes longer ones block by block.
 PRBS_ORDER = 12
 
-#: Named sources: rate_hz, duration_s and root.
+#: The named sources that come with the library, as rate_hz, duration_s and root.
 PRESETS: dict[str, dict] = {
     "tone-1khz": {"rate_hz": 48e3, "duration_s": 1.0, "root": {"kind": "sine", "freq_hz": 1e3}},
     "two-tone": {"rate_hz": 48e3, "duration_s": 1.0, "root": {"kind": "sum", "terms": [{"kind": "sine", "freq_hz": 1e3, "amp": 0.5}, {"kind": "sine", "freq_hz": 1.1e3, "amp": 0.5}]}},
