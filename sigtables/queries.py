@@ -607,7 +607,7 @@ def stream_threshold(spark, d):
     """Samples in any order, with their time as event time; a row of a signal -1 a day later lets the watermark pass them all."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     s = samples(spark, d).select(F.col("group_id").cast("long").alias("group_id"), F.col("signal_id").cast("long").alias("signal_id"), "t_s", "value")
-    beat = s.limit(1).select(F.lit(-1).cast("long").alias("group_id"), F.lit(-1).cast("long").alias("signal_id"), F.lit(2 * 86400.0).alias("t_s"), F.lit(0.0).alias("value"))
+    beat = spark.range(1).select(F.lit(-1).cast("long").alias("group_id"), F.lit(-1).cast("long").alias("signal_id"), F.lit(2 * 86400.0).alias("t_s"), F.lit(0.0).alias("value"))
     s.unionByName(beat).withColumn("ts", F.timestamp_micros(((F.col("t_s") + 86400) * 1e6).cast("long"))).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     out = streaming.run_now(streaming.detections(stream, 0.1, 0.05, 1 / RATE_HZ), f"{folder}/c", f"{folder}/out")
@@ -623,32 +623,31 @@ def stream_search(spark, d):
 
 
 def _csv(spark, d):
-    """The events as one grouped-block CSV folder: a group for each user, with names that need quotes and some empty cells."""
+    """The events as a folder of grouped-block CSV files: a group for each user, with names that need quotes and some empty cells."""
     folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     p = pulses(spark, d).withColumn("idx", F.row_number().over(W.partitionBy("group_id").orderBy("toa_s", "pulse_id")) - 1)
     p = p.select(F.col("group_id").alias("group_ord"), "idx", F.round(F.col("toa_s") * 1e3).alias("ms"), F.when(F.col("k") != 7, F.col("k")).alias("k"), "event_type", "value")
     groups = p.select("group_ord").distinct().select("group_ord", F.concat(F.lit('user, "'), F.col("group_ord").cast("string"), F.lit('"')).alias("name"))
-    pulse_csv.write_pulse_csv(groups, p.repartition(1), f"{folder}/parts", ["k", "event_type", "value"], time="ms")
-    # the parts, in order, are one file
-    text = spark.read.text(f"{folder}/parts").select(F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"), "value")
-    text.coalesce(1).sortWithinPartitions("f", "i").select("value").write.text(f"{folder}/one")
-    return f"{folder}/one", pulse_csv.Profile(toa_unit="ms", pulse_rules={"event_type": pulse_csv.Rule(text=True, key="type"), "value": pulse_csv.Rule(skip=True)})
+    pulse_csv.write_pulse_csv(groups, p, folder, ["k", "event_type", "value"], time="ms", whole=True)
+    return folder, pulse_csv.Profile(toa_unit="ms", pulse_rules={"event_type": pulse_csv.Rule(text=True, key="type"), "value": pulse_csv.Rule(skip=True)})
 
 
-CSV = "c AS (SELECT dense_rank() OVER (ORDER BY group_id) - 1 AS group_ord, group_id, row_number() OVER (PARTITION BY group_id ORDER BY toa_s, pulse_id) - 1 AS idx, round(toa_s * 1000) AS ms, CASE WHEN k <> 7 THEN k END AS k, event_type FROM p)"
+CSV = "c AS (SELECT 'user, \"' || group_id || '\"' AS name, group_id, row_number() OVER (PARTITION BY group_id ORDER BY toa_s, pulse_id) - 1 AS idx, round(toa_s * 1000) AS ms, CASE WHEN k <> 7 THEN k END AS k, event_type FROM p)"
 
 
-@query(f"SELECT group_ord::INTEGER AS group_ord, idx::INTEGER AS idx, {r('ms / 1000')} AS toa_s, coalesce(k, -1)::DOUBLE AS k, event_type AS type FROM c", P, CSV)
+@query(f"SELECT name, idx::INTEGER AS idx, {r('ms / 1000')} AS toa_s, coalesce(k, -1)::DOUBLE AS k, event_type AS type FROM c", P, CSV)
 def csv_frame(spark, d):
     path, rules = _csv(spark, d)
-    pulses_ = pulse_csv.typed_fields(pulse_csv.read_pulse_csv(spark, path, rules)[1], rules, ["k", "type"])
-    return pulses_.select("group_ord", "idx", r6(F.col("toa_s")).alias("toa_s"), F.when(F.isnan("k"), -1.0).otherwise(F.col("k")).alias("k"), "type")
+    groups, pulses_, _ = pulse_csv.read_pulse_csv(spark, path, rules)
+    out = pulse_csv.typed_fields(pulses_, rules, ["k", "type"]).join(groups.select("path", "group_ord", "name"), ["path", "group_ord"])
+    return out.select("name", "idx", r6(F.col("toa_s")).alias("toa_s"), F.when(F.isnan("k"), -1.0).otherwise(F.col("k")).alias("k"), "type")
 
 
-@query(f"SELECT group_ord::INTEGER AS group_ord, 'user, \"' || group_id || '\"' AS name, count(*) AS actual_count, count(*)::INTEGER AS declared_count, {r('min(ms) / 1000')} AS t0_s FROM c GROUP BY group_ord, group_id", P, CSV)
+@query(f"SELECT name, count(*) AS actual_count, count(*)::INTEGER AS declared_count, {r('min(ms) / 1000')} AS t0_s FROM c GROUP BY name", P, CSV)
 def csv_groups(spark, d):
     path, rules = _csv(spark, d)
-    return rounded(pulse_csv.read_pulse_csv(spark, path, rules)[0].select("group_ord", "name", "actual_count", "declared_count", "t0_s"), "t0_s").withColumn("declared_count", F.col("declared_count").cast("int"))
+    groups = pulse_csv.read_pulse_csv(spark, path, rules)[0]
+    return rounded(groups.select("name", "actual_count", F.col("declared_count").cast("int").alias("declared_count"), "t0_s"), "t0_s")
 
 
 @query("SELECT group_id AS group_ord, event_type AS type, dense_rank() OVER (PARTITION BY group_id ORDER BY f) - 1 AS code, n FROM (SELECT group_id, event_type, min(idx) AS f, count(*) AS n FROM c GROUP BY ALL)", P, CSV)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,9 +207,11 @@ def sniff_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Pr
     return kinds.select("path", "column", F.when(F.col("whole"), "integer").when(F.col("number"), "number").otherwise("text").alias("kind"))
 
 
-def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: list[str], preamble: str = "# pulses", time: str = "toa_us", unit: str = "us") -> None:
+def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: list[str], preamble: str = "# pulses", time: str = "toa_us", unit: str = "us", whole: bool = False) -> None:
     """groups(group_ord, name) and pulses(group_ord, idx, a time, fields) as text whose parts, in order, are one file.
 
+    whole: each part is a file of its own instead, with the preamble and the headers before its groups.
+
     The time is a column in the file's unit, or toa_s in seconds, written with as few decimals as read back the same. Null
     and NaN are empty cells, whole numbers have no fraction, and what would be read otherwise stands in quotes.
     """
@@ -221,5 +224,18 @@ def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: lis
     first = F.coalesce(shortest_time(F.col(time), UNIT_S[unit]), F.lit("")) if time == "toa_s" else text(time)
     own = groups.join(n, "group_ord", "left").select("group_ord", F.lit(-1).alias("idx"), F.concat(F.coalesce(quoted(F.col("name")), F.lit("")), F.lit(","), F.coalesce("n", F.lit(0)).cast("string")).alias("value"))
     rows = pulses.select("group_ord", F.col("idx").cast("int").alias("idx"), F.concat_ws(",", first, *[text(c) for c in fields]).alias("value"))
-    head = groups.sparkSession.createDataFrame([(-3, -1, preamble), (-2, -1, "name,count"), (-1, -1, ",".join(["time", *fields]))], "group_ord int, idx int, value string")
+    lines = [preamble, "name,count", ",".join(["time", *fields])]
+    if whole:
+
+        def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begun = False
+            for batch in batches:
+                if batch.num_rows and not begun:
+                    begun = True
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, batch.schema.field(0).type)], schema=batch.schema)
+                yield batch
+
+        own.unionByName(rows).repartitionByRange("group_ord").sortWithinPartitions("group_ord", "idx").select("value").mapInArrow(headed, "value string").write.text(path)
+        return
+    head = groups.sparkSession.createDataFrame([(i - 3, -1, line) for i, line in enumerate(lines)], "group_ord int, idx int, value string")
     own.unionByName(rows).unionByName(head).repartitionByRange("group_ord", "idx").sortWithinPartitions("group_ord", "idx").select("value").write.text(path)
