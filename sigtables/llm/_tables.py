@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigtables.model import kept, shared_folder, table
 
-__all__ = ["kept", "pieces", "remove_folder", "shared_folder", "table", "text_bytes"]
+__all__ = ["kept", "pieces", "release", "remove_folder", "shared_folder", "table", "text_bytes"]
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -17,6 +17,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files that only finished tables needed: it does so when the driver's JVM collects garbage,
+    which a driver with little to do may not for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, name: str = "text") -> int:
     """Bytes of text over all rows."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(name).cast("long")), F.lit(0))).first()[0]

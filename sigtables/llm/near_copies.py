@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtables.llm._tables import kept, pieces
+from sigtables.llm._tables import kept, pieces, release
 from sigtables.llm._text import Words, blocks, mix, rolling, utf8
 
 #: Words in a shingle, the similarity of near copies, sketches of a text and shingles in a sketch.
@@ -224,6 +224,7 @@ def classes(docs: DataFrame) -> DataFrame:
     places = placed.join(shared, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "center", "n", "k")).alias("places"))
     # a row a text from here on: its places, SKETCHES at most, are taken apart only after it has met its text or component
     bodies = kept(texts.groupBy("node").agg(F.first("text").alias("text")).join(places, "node"))
+    release(docs.sparkSession)
 
     stars = bodies.select("node", "text", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["center"].alias("center"), p["k"].alias("k"))))).alias("star"))
     stars = stars.select("star.*", "node", "text")
@@ -260,6 +261,7 @@ def classes(docs: DataFrame) -> DataFrame:
     numbered = docs.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least")).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     numbered = numbered.join(second, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     named = kept(numbered.select("node", "component", "least"))
+    release(docs.sparkSession)
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("_keeper"))
     return docs.join(named.join(ids, "component").select("node", "class_id", F.col("component").alias("_component"), "_keeper"), "node")
 
