@@ -195,6 +195,35 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def meetings(left: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """bucket, kind, i, j, side, node and component: where rows of left (bucket, node, bytes, component) meet those of other components.
+
+    Each two rows of a bucket and of different components meet in a cell (bucket, kind, i, j), as sides 0 and 1 or both as side
+    2. Buckets of one component have no cells, nor have all but one of the buckets that hold the same rows. A cell has about
+    `block` rows or `block_bytes` of a side.
+    """
+    key = F.xxhash64("node")
+    # a bucket's largest component, all but a few texts as a rule, meets the others but never itself
+    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("y"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("s"))
+    several = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("y").alias("y"), F.max_by(F.struct("m", "y", "component"), F.struct("m", "component")).alias("main"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("main.m < m")
+    several = several.groupBy("m", "x", "s").agg(F.min_by(F.struct("bucket", "y", "main"), "bucket").alias("b"))
+    count = lambda n, y: F.ceil(F.greatest(n / block, y / block_bytes))
+    several = several.select("b.bucket", F.col("b.main.component").alias("main"), count(F.col("b.main.m"), F.col("b.main.y")).alias("ka"), count(F.col("m") - F.col("b.main.m"), F.col("b.y") - F.col("b.main.y")).alias("kb"))
+
+    def cells(k: str, cell):
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), cell)
+
+    def meeting(kind: int, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    main, own = F.col("component") == F.col("main"), F.col("own")
+    with_main = cells("ka", lambda i: meeting(0, i, own, F.lit(1)))
+    with_others = cells("kb", lambda j: meeting(1, F.least(own, j), F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    dealt = left.join(several, "bucket").withColumn("own", F.pmod(key, F.when(main, F.col("ka")).otherwise(F.col("kb"))))
+    dealt = dealt.select("bucket", "node", "component", F.explode(F.when(main, cells("kb", lambda j: meeting(0, own, j, F.lit(0)))).otherwise(F.concat(with_main, with_others))).alias("c"))
+    return dealt.select("bucket", "node", "component", "c.*")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """docs with node (the MD5 of the text), class_id, the least doc_id of the texts that links join, and their _component and _keeper.
 
@@ -235,26 +264,7 @@ def classes(docs: DataFrame) -> DataFrame:
     first = components(links)
     named = bodies.select("node", F.octet_length("text").alias("bytes"), "places").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left = named.select("node", "bytes", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "bytes", "component")
-    key = F.xxhash64("node")
-    # a bucket's largest component, all but a few texts as a rule, meets the others but never itself
-    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("y"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("s"))
-    several = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("y").alias("y"), F.max_by(F.struct("m", "y", "component"), F.struct("m", "component")).alias("main"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("main.m < m")
-    several = several.groupBy("m", "x", "s").agg(F.min_by(F.struct("bucket", "y", "main"), "bucket").alias("b"))
-    count = lambda n, y: F.ceil(F.greatest(n / BLOCK, y / BLOCK_BYTES))
-    several = several.select("b.bucket", F.col("b.main.component").alias("main"), count(F.col("b.main.m"), F.col("b.main.y")).alias("ka"), count(F.col("m") - F.col("b.main.m"), F.col("b.y") - F.col("b.main.y")).alias("kb"))
-
-    def cells(k: str, cell):
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), cell)
-
-    def meeting(kind: int, i, j, side):
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
-
-    main, own = F.col("component") == F.col("main"), F.col("own")
-    with_main = cells("ka", lambda i: meeting(0, i, own, F.lit(1)))
-    with_others = cells("kb", lambda j: meeting(1, F.least(own, j), F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
-    dealt = left.join(several, "bucket").withColumn("own", F.pmod(key, F.when(main, F.col("ka")).otherwise(F.col("kb"))))
-    dealt = dealt.select("bucket", "node", "component", F.explode(F.when(main, cells("kb", lambda j: meeting(0, own, j, F.lit(0)))).otherwise(F.concat(with_main, with_others))).alias("c"))
-    dealt = dealt.select("bucket", "node", "component", "c.*")
+    dealt = meetings(left, BLOCK, BLOCK_BYTES)
     more = dealt.join(bodies.select("node", "text"), "node").groupBy("bucket", "kind", "i", "j").applyInArrow(_compare, "a binary, b binary")
     second = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sigtables.llm import decontamination, near_copies, repeated_bytes, repeated_words
+from sigtables.llm import conversation_trie, decontamination, near_copies, ngram_join, repeated_bytes, repeated_words, vector_codes
 from sigtables.llm._tables import table
 from sigtables.llm.html_text import extract_pages
 from sigtables.llm.media import describe, store_texts
@@ -57,8 +57,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_substring_dedup, op5_token_counts, op6_suffix_array_dedup, op7_html_extraction, op8_media_columns, op9_best_fit_packing, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_substring_dedup, op5_token_counts, op6_suffix_array_dedup, op7_html_extraction, op8_media_columns, op9_best_fit_packing, op10_sharding, op11_conversation_trie, op12_vector_codes, op13_ngram_jaccard_join)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_conversation_trie": conversation_trie.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+}
