@@ -1,8 +1,7 @@
-"""Near copies by Order MinHash: sketches that keep the text order of their k-mers, and banded alignment of candidates."""
+"""Near copies by Order MinHash: sketches that keep the text order of their k-mers, and banded alignment of candidates' words."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtables.llm._tables import kept, pieces, release
+from sigtables.llm._tables import kept, pieces
 from sigtables.llm._text import Words, blocks, mix, rolling, utf8
 
-#: Words in a shingle, the similarity of near copies, sketches of a text and shingles in a sketch.
-SHINGLE, SIMILAR, SKETCHES, DRAWN = 5, 0.8, 24, 3
+#: Words in a shingle, the share of words that near copies have in common in text order, sketches of a text and shingles in a sketch.
+SHINGLE, SIMILAR, SKETCHES, DRAWN = 5, 0.8, 24, 2
 #: Texts, and bytes of texts, in one block of pairs.
 BLOCK, BLOCK_BYTES = 256, 1 << 20
+#: A word that stands more often in a text has its places as one bitset.
+OFTEN = 16
 SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def labelled(x: np.ndarray) -> np.ndarray:
+    """Each number with its occurrence counted in."""
+    order = np.argsort(x, kind="stable")
+    s = x[order]
+    if not (s[1:] == s[:-1]).any():
+        return x
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    nth = np.empty(len(s), np.uint64)
+    nth[order] = np.arange(len(s)) - np.repeat(first, np.diff([*first, len(s)]))
+    return np.where(nth > 0, mix(x + nth * SEEDS[0]), x)
+
+
 def shingles(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text a number for each run of `size` words, in text order; a repeated run also counts its occurrence.
 
@@ -29,16 +42,7 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
     runs = rolling(w.hash, size)
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         x = runs[a : b - size + 1] if b - a >= size else mix(np.array([len(w.hash[a:b]) + 1], np.uint64) + (w.hash[a:b] * SEEDS[: b - a]).sum(dtype=np.uint64))
-        order = np.argsort(x, kind="stable")
-        s = x[order]
-        if (s[1:] == s[:-1]).any():
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            first = np.flatnonzero(new)
-            nth = np.empty(len(s), np.uint64)
-            nth[order] = np.arange(len(s)) - np.repeat(first, np.diff([*first, len(s)]))
-            x = np.where(nth > 0, mix(x + nth * SEEDS[0]), x)
-        yield x
+        yield labelled(x)
 
 
 def sketch(x: np.ndarray) -> np.ndarray:
@@ -55,37 +59,88 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def rising(places: np.ndarray) -> int:
-    """The longest rising run of numbers."""
-    if (places[1:] > places[:-1]).all():
-        return len(places)
-    tails: list[int] = []
-    for p in places.tolist():
-        k = bisect_left(tails, p)
-        if k == len(tails):
-            tails.append(p)
+def common_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The longest common subsequence of a and b whose matches are `band` places off the diagonal at most.
+
+    Rows of the alignment are bitsets: a zero bit is a place of a where the row's value rises. Only the 2 * band + 1 bits around
+    the diagonal are held; those that leave the band don't change any more.
+    """
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    begin = n if same.all() else int(same.argmin())
+    a, b = a[begin:], b[begin:]
+    n = min(len(a), len(b))
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    end = n if same.all() else int(same.argmin())
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    found = begin + end
+    if not len(a) or not len(b):
+        return found
+    order = np.argsort(a, kind="stable")
+    held = a[order]
+    edge = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    places: dict[int, list[int] | int] = {}
+    for w, at in zip(held[edge].tolist(), np.split(order, edge[1:]), strict=True):
+        if len(at) > OFTEN:
+            bits = np.zeros(len(a), bool)
+            bits[at] = True
+            places[w] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
         else:
-            tails[k] = p
-    return len(tails)
+            places[w] = at.tolist()
+    low, high, row = 0, 0, 0
+    for j, w in enumerate(b.tolist()):
+        if j > len(a) + band:
+            break
+        if (until := min(len(a), j + band + 1)) > high:
+            row |= ((1 << (until - high)) - 1) << (high - low)
+            high = until
+        if (since := min(len(a), max(0, j - band))) > low:
+            found += since - low - (row & ((1 << (since - low)) - 1)).bit_count()
+            row >>= since - low
+            low = since
+        at = places.get(w)
+        if at is None:
+            continue
+        if isinstance(at, int):
+            match = (at >> low) & ((1 << (high - low)) - 1)
+        else:
+            match = 0
+            for p in at:
+                if low <= p < high:
+                    match |= 1 << (p - low)
+        taken = row & match
+        row = ((row + taken) | (row & ~match)) & ((1 << (high - low)) - 1)
+    return found + (high - low) - row.bit_count()
 
 
-def aligned(a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None) -> int:
-    """How many shingles of a and b an alignment in text order matches at most, inside the band that SIMILAR allows.
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The words that a and b have in common in text order, as a share of those of the longer; 0 if that is surely below SIMILAR, and 1 for two without words.
 
-    As a text's numbers differ, that is the longest rising run of the places in b of a's numbers. Similar texts leave
-    (1 - SIMILAR) / (1 + SIMILAR) of all their shingles unmatched at most, so no match is further off the diagonal. order: that
-    which sorts b, if known. If too few numbers are common for any alignment to do, their count is returned at once.
+    What is below SIMILAR may be less than it is: texts that reach it have no match further off the diagonal than the words of
+    the longer that are left over, so the band loses none of theirs.
     """
-    order = np.argsort(b) if order is None else order
-    at = np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)
-    place = order[at]
-    band = int((len(a) + len(b)) * (1 - SIMILAR) / (1 + SIMILAR)) + 1
-    place = place[(b[place] == a) & (np.abs(place - np.arange(len(a))) <= band)]
-    return rising(place) if alike(len(place), len(a), len(b)) else len(place)
+    small, large = sorted((len(a), len(b)))
+    return common_words(a, b, int((1 - SIMILAR) * large + 1e-9)) / large if small and alike(small, small, large) else float(not large)
 
 
 def alike(common: float, a: int, b: int) -> bool:
-    return common >= SIMILAR * (a + b - common) - 1e-9
+    return common >= SIMILAR * max(a, b) - 1e-9
+
+
+def words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text the numbers of its words."""
+    for lo, hi in blocks(texts):
+        w = Words(texts[lo:hi])
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            yield w.hash[a:b]
+
+
+def packed(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def unpacked(table: pa.Table, name: str = "body") -> list[bytes]:
+    return [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in table.column(name).to_pylist()]
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +148,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = utf8(batch)
         for lo, hi in blocks(texts):
             out = [sketch(x).astype(np.int64) for x in shingles(texts[lo:hi])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.ListArray.from_arrays(np.arange(0, SKETCHES * len(out) + 1, SKETCHES, dtype=np.int32), np.concatenate(out))], ["node", "bytes", "sketches"])
+            columns = [pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.ListArray.from_arrays(np.arange(0, SKETCHES * len(out) + 1, SKETCHES, dtype=np.int32), np.concatenate(out)), pa.array([packed(t) for t in texts[lo:hi]], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["node", "bytes", "sketches", "body"])
 
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -104,39 +160,33 @@ def links_of(found: list[tuple[bytes, bytes]]) -> pa.Table:
 
 
 def _star(table: pa.Table) -> pa.Table:
-    """Links between the text of side 0 and those of side 1, which are read a few at a time."""
+    """Links between the text of side 0 and those of side 1."""
     sides, nodes = table.column("side").to_pylist(), table.column("node").to_pylist()
-    texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-    if 0 not in sides:
+    if 0 not in sides or 1 not in sides:
         return LINKS.empty_table()
-    middle = sides.index(0)
-    centre = next(shingles([texts[middle]]))
-    order, found = np.argsort(centre), []
-    others = [i for i, s in enumerate(sides) if s == 1]
-    own = [texts[i] for i in others]
-    for lo, hi in blocks(own):
-        for i, x in zip(others[lo:hi], shingles(own[lo:hi]), strict=True):
-            small, large = sorted((len(x), len(centre)))
-            if alike(small, small, large) and alike(aligned(x, centre, order), len(x), len(centre)):
-                found.append((nodes[middle], nodes[i]))
-    return links_of(found)
+    own, middle = list(words_of(unpacked(table))), sides.index(0)
+    return links_of([(nodes[middle], nodes[i]) for i, s in enumerate(sides) if s == 1 and similarity(own[i], own[middle]) >= SIMILAR - 1e-9])
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of different components that links between rows of side 0 and side 1, or among rows of side 2, join."""
+    """Pairs of different components that links between rows of side 0 and side 1, or among rows of side 2, join.
+
+    Only pairs that have enough words in common, in whatever order, are aligned.
+    """
     parts = table.column("component").to_pylist()
     if len(set(parts)) < 2:
         return LINKS.empty_table()
     sides = np.array(table.column("side").to_pylist())
-    texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-    x = [s for lo, hi in blocks(texts) for s in shingles(texts[lo:hi])]
+    x = list(words_of(unpacked(table)))
     sizes = np.array([len(s) for s in x])
     left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if sides[0] != 2 else (np.arange(len(x)),) * 2
-    flat, who = np.concatenate(x), np.repeat(np.arange(len(x), dtype=np.int32), sizes)
+    if not len(left) or not len(right):
+        return LINKS.empty_table()
+    flat, who = np.concatenate([labelled(s) for s in x]), np.repeat(np.arange(len(x), dtype=np.int32), sizes)
     order = np.argsort(flat)
     flat, who = flat[order], who[order]
     del order
-    new = np.append(True, flat[1:] != flat[:-1])
+    new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
     del flat
     times = np.diff(np.append(np.flatnonzero(new), len(new)))
     number = (np.cumsum(times > 1) - 1)[np.cumsum(new) - 1]
@@ -148,7 +198,9 @@ def _compare(table: pa.Table) -> pa.Table:
         has = np.zeros((len(x), min(4096, width - lo)), np.float32)
         has[who[a:b], number[a:b] - lo] = 1
         common += has[left] @ has[right].T
-    total = sizes[left][:, None] + sizes[right][None, :]
+    longer = np.maximum(sizes[left][:, None], sizes[right][None, :])
+    _, apart = np.unique(np.array(parts, object), return_inverse=True)
+    pairs = np.argwhere((common >= SIMILAR * longer - 1e-6) & (apart[left][:, None] != apart[right][None, :]))
     # links that join nothing more in this block are left out
     owner = {p: p for p in parts}
 
@@ -158,9 +210,9 @@ def _compare(table: pa.Table) -> pa.Table:
         return p
 
     found = []
-    for i, j in zip(*np.nonzero(common >= SIMILAR * (total - common) - 1e-6), strict=True):
+    for i, j in pairs.tolist():
         a, b = int(left[i]), int(right[j])
-        if a != b and (ra := root(parts[a])) != (rb := root(parts[b])) and alike(aligned(x[a], x[b]), len(x[a]), len(x[b])):
+        if (ra := root(parts[a])) != (rb := root(parts[b])) and similarity(x[a], x[b]) >= SIMILAR - 1e-9:
             owner[max(ra, rb)] = min(ra, rb)
             found.append((parts[a], parts[b]))
     return links_of(found)
@@ -229,9 +281,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
     _component is the same for the texts that links join and for no others, and _keeper the node of one that has class_id.
 
-    Equal texts are one node. Two nodes are linked if an alignment in text order of their 5-word shingles matches 0.8 or
-    more of all their shingles together. Candidates have one of 24 sketches in common, each made of the 3 occurrence-labelled
-    shingles that a hash puts least, in text order: a pair at 0.8 shares none with probability (1 - 0.8**3)**24 < 1e-7.
+    Equal texts are one node. Two nodes are linked if an alignment in text order matches SIMILAR or more of the words of the
+    longer (see similarity). Candidates have one of SKETCHES sketches in common, each made of the DRAWN occurrence-labelled runs of
+    SHINGLE words that a hash puts least, in text order. A pair whose runs have the Jaccard similarity J shares none with the
+    probability (1 - J**DRAWN)**SKETCHES: if every tenth word of one is another in the other, J is 0.42 and that is 0.01.
+    Texts of fewer than SHINGLE words are one run.
 
     Nodes with a sketch in common are compared with one of them first, in blocks if many share one. The links so found give
     components. Where a bucket is still in several, all its pairs of different components are compared, block against block,
@@ -244,7 +298,7 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.drop("node", "class_id", "_component", "_keeper")
     docs = docs.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     texts = docs.select("node", "text")
-    sketched = kept(texts.mapInArrow(_sketched, "node binary, bytes long, sketches array<long>").groupBy("node").agg(F.first("bytes").alias("bytes"), F.first("sketches").alias("sketches")))
+    sketched = kept(texts.mapInArrow(_sketched, "node binary, bytes long, sketches array<long>, body binary").groupBy("node").agg(*(F.first(c).alias(c) for c in ("bytes", "sketches", "body"))))
     placed = sketched.select("node", "bytes", F.explode("sketches").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min_by("node", F.xxhash64("node")).alias("center")).where("n > 1")
     # a center's texts are those of its buckets, at most 2 * BLOCK to a block, fewer where its buckets overlap
@@ -252,33 +306,31 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = shared.select("bucket", "n", "center").join(shared.groupBy("center").agg(k.alias("k")), "center")
     places = placed.join(shared, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "center", "n", "k")).alias("places"))
     # a row a text from here on: its places, SKETCHES at most, are taken apart only after it has met its text or component
-    bodies = kept(texts.groupBy("node").agg(F.first("text").alias("text")).join(places, "node"))
-    release(docs.sparkSession)
+    bodies = kept(sketched.select("node", "bytes", "body").join(places, "node"))
 
-    stars = bodies.select("node", "text", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["center"].alias("center"), p["k"].alias("k"))))).alias("star"))
-    stars = stars.select("star.*", "node", "text")
-    own = stars.where("center = node").select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), "node", F.lit(0).alias("side"), "text")
-    others = stars.where("center != node").select("center", F.pmod(F.xxhash64("node"), "k").alias("salt"), "node", F.lit(1).alias("side"), "text")
+    stars = bodies.select("node", "body", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["center"].alias("center"), p["k"].alias("k"))))).alias("star"))
+    stars = stars.select("star.*", "node", "body")
+    own = stars.where("center = node").select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), "node", F.lit(0).alias("side"), "body")
+    others = stars.where("center != node").select("center", F.pmod(F.xxhash64("node"), "k").alias("salt"), "node", F.lit(1).alias("side"), "body")
     links = kept(own.union(others).groupBy("center", "salt").applyInArrow(_star, "a binary, b binary"))
 
     first = components(links)
-    named = bodies.select("node", F.octet_length("text").alias("bytes"), "places").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = bodies.select("node", "bytes", "places").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left = named.select("node", "bytes", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "bytes", "component")
     dealt = meetings(left, BLOCK, BLOCK_BYTES)
-    more = dealt.join(bodies.select("node", "text"), "node").groupBy("bucket", "kind", "i", "j").applyInArrow(_compare, "a binary, b binary")
+    more = dealt.join(bodies.select("node", "body"), "node").groupBy("bucket", "kind", "i", "j").applyInArrow(_compare, "a binary, b binary")
     second = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
     numbered = docs.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least")).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     numbered = numbered.join(second, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     named = kept(numbered.select("node", "component", "least"))
-    release(docs.sparkSession)
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("_keeper"))
     return docs.join(named.join(ids, "component").select("node", "class_id", F.col("component").alias("_component"), "_keeper"), "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row with the least doc_id, null as the largest; of rows that tie, one with the least node."""
-    return classes(docs).where("node = _keeper and doc_id <=> class_id").dropDuplicates(["_component"]).select(docs.columns)
+    return classes(docs).where("node = _keeper and doc_id <=> class_id").dropDuplicates(["_component"]).select([f"`{c}`" for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

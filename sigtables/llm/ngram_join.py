@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigtables.llm import _exchange as X
 from sigtables.llm._tables import kept, pieces, text_bytes
 from sigtables.llm._text import Words, blocks, mix, rolling
-from sigtables.llm.near_copies import components, links_of, meetings
+from sigtables.llm.near_copies import components, links_of, meetings, packed, unpacked
 
 #: Words of a shingle and the least similarity, in percent.
 SHINGLE, PERCENT = 3, 90
@@ -72,7 +72,7 @@ LINKED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _bodies(table: pa.Table) -> list[np.ndarray]:
-    texts = [pa.decompress(t[8:], int.from_bytes(t[:8], "little"), codec="zstd", asbytes=True) for t in table.column("text").to_pylist()]
+    texts = unpacked(table, "text")
     return [s for lo, hi in blocks(texts) for s in sets(texts[lo:hi])]
 
 
@@ -190,7 +190,7 @@ def described(docs: DataFrame) -> DataFrame:
                 matches, length = prefix_of(np.where(steps[rare] > 0, np.exp2(steps[rare] / 8.0), 0), len(s))
                 if matches:
                     kept_ = rare[:length][steps[rare[:length]] > 0]
-                    rest = (int((steps == 0).sum()), matches, s[kept_].astype(np.int64), len(own[i]).to_bytes(8, "little") + pa.compress(own[i], codec="zstd", asbytes=True))
+                    rest = (int((steps == 0).sum()), matches, s[kept_].astype(np.int64), packed(own[i]))
             rows.append((doc, node, len(s), *rest))
         return X.table_of(SETS, rows)
 

@@ -14,9 +14,19 @@ def prose(rnd, n, words):
 VOCABULARY = [a + b + c for a in ("ka", "lo", "mi", "ne") for b in ("ta", "su", "ri", "vo") for c in ("n", "s", "th", "lla", "m")]
 
 
-def shingle_set(t):
-    w = (t or "").split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+def alignment(a, b):
+    """The longest common subsequence, cell by cell."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b):
+            row[j + 1], left = max(row[j], row[j + 1], left + 1) if x == y else max(row[j], row[j + 1]), row[j + 1]
+    return row[-1]
+
+
+def alike(a, b):
+    a, b = (a or "").split(), (b or "").split()
+    return alignment(a, b) / max(len(a), len(b)) if a or b else 1.0
 
 
 def test_near_copies_against_brute_force(spark):
@@ -25,32 +35,52 @@ def test_near_copies_against_brute_force(spark):
     rows = [(0, None), (1, ""), (2, " \n"), (3, base[0]), (4, base[0]), (5, base[0] + " x")]
     for i in range(6, 160):
         w = rnd.choice(base[1:]).split()
-        for _ in range(rnd.randint(0, 6)):
-            w[rnd.randrange(len(w))] = rnd.choice(VOCABULARY) + str(rnd.randint(0, 9))
+        for _ in range(rnd.randint(0, max(2, len(w) // 9))):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = [rnd.choice(VOCABULARY) + str(rnd.randint(0, 9))] * rnd.randint(0, 2)
         rows.append((i, " ".join(w) if rnd.random() < 0.8 else prose(rnd, 60, VOCABULARY)))
     rnd.shuffle(rows)
-    sets, owner = {d: shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}
+    owner, near = {d: d for d, _ in rows}, []
 
     def root(x):
         while owner[x] != x:
             x = owner[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                owner[max(x, y)] = min(x, y)
+    for a, s in rows:
+        for b, t in rows:
+            if a < b and (share := alike(s, t)) >= 0.8 - 1e-9:
+                owner[max(root(a), root(b))] = min(root(a), root(b))
+                near.append((a, b, share))
     docs = spark.createDataFrame([(d, t, "n", "s") for d, t in rows] + [(160, rows[9][1], "", "")], SCHEMA)
     got = {r.doc_id: r.class_id for r in near_copies.digest(docs).collect()}
-    want = {d: root(d) for d in sets} | {160: min(root(rows[9][0]), 160)}
-    assert got == want
+    want = {d: root(d) for d, _ in rows}
+    assert got.pop(160) == got[rows[9][0]]
+    assert all(want[c] == want[d] for d, c in got.items())  # nothing is joined that brute force doesn't join
+    close = [(a, b) for a, b, share in near if share >= 0.9]
+    assert len(close) > 500 and sum(got[a] == got[b] for a, b in close) >= 0.98 * len(close)
+    assert sum(got[a] == got[b] for a, b, _ in near) >= 0.9 * len(near)
     kept = near_copies.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
     none = spark.createDataFrame([], SCHEMA)
     assert near_copies.digest(none).count() == 0
     nulls = spark.createDataFrame([(None, base[3], "", ""), (None, base[3], "", ""), (7, base[4], "", "")], SCHEMA)
     assert sorted(map(str, (r.doc_id for r in near_copies.keep_one(nulls).collect()))) == ["7", "None"]
+    dotted = near_copies.keep_one(docs.withColumn("a.b", docs.doc_id))
+    assert dotted.columns[-1] == "a.b" and dotted.count() == kept.count()
+
+
+def test_one_changed_word_in_ten_is_a_near_copy(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = prose(rnd, 300, VOCABULARY).split()
+        v = list(w)
+        for k in rnd.sample(range(300), 30):
+            v[k] = f"new{k}"
+        rows += [(2 * i, " ".join(w), "", ""), (2 * i + 1, " ".join(v), "", "")]
+    got = {r.doc_id: r.class_id for r in near_copies.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(60)) >= 57
 
 
 def test_blocks_reach_links_that_no_center_has(spark, monkeypatch):
@@ -73,10 +103,24 @@ def test_keep_one_with_repeated_and_null_ids(spark):
     assert len(got) == 4 and [r.doc_id for r in got if r.text[: len(c)] == c] == [None]
 
 
-def test_alignment_keeps_order():
-    a = np.arange(100, dtype=np.uint64)
-    assert near_copies.aligned(a, a) == 100 and near_copies.aligned(a, a[5:]) == 95
-    assert near_copies.aligned(a, np.concatenate([a[50:], a[:50]])) < 60
+def test_alignment_against_every_cell():
+    rnd = random.Random(13)
+    for _ in range(400):
+        n, kinds = rnd.randint(0, 90), rnd.choice([2, 5, 40, 1000])
+        a = [rnd.randrange(kinds) for _ in range(n)]
+        b = list(a)
+        for _ in range(rnd.randint(0, 12)):
+            at = rnd.randint(0, len(b))
+            b[at : at + rnd.randint(0, 2)] = [rnd.randrange(kinds) for _ in range(rnd.randint(0, 2))]
+        x, y = (np.array(v, np.uint64) for v in (a, b))
+        want = alignment(a, b)
+        assert near_copies.common_words(x, y, max(len(a), len(b))) == want
+        if want >= 0.8 * max(len(a), len(b), 1):
+            assert near_copies.similarity(x, y) == want / max(len(a), len(b))
+        else:
+            assert near_copies.similarity(x, y) < 0.8 or not a and not b
+    w = np.arange(100, dtype=np.uint64)
+    assert near_copies.similarity(w, np.concatenate([w[50:], w[:50]])) < 0.6
 
 
 def test_leaks_against_brute_force(spark):
