@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import Counter
@@ -25,17 +26,21 @@ LONG_SPACE = re.compile(r"\s{10000}")
 class ByteBpe:
     """Ids of the byte-level BPE with 50,257 pieces as little-endian 32-bit bytes.
 
-    The ids are those of tokenizers with json_path; tiktoken, with the same vocabulary as ranks, encodes all texts but those
-    with very long runs of white space. The tests hold the two against each other.
+    The ids are those that tokenizers gives with json_path and add_special_tokens=False. tiktoken, with the same vocabulary
+    as ranks, encodes all texts but those with very long runs of white space; the tests hold the two against each other. An
+    added token of the file that a text spells out is that token's one id, unless `spelled` says that it is ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, json_path: str):
+    def __init__(self, ranks_path: str, pattern: str, json_path: str, spelled: bool = False):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.json_path, self.slow = json_path, None
+        with open(json_path, encoding="utf-8") as f:
+            added = {} if spelled else {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.json_path, self.spelled, self.slow = json_path, spelled, None
 
     def ids(self, text: str) -> bytes:
         if len(text) >= 10_000 and LONG_SPACE.search(text):
@@ -43,9 +48,11 @@ class ByteBpe:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.json_path)
-                self.slow.encode_special_tokens = True
+                self.slow.encode_special_tokens = self.spelled
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(self.encode(text), "<u4").tobytes()
+        if self.added and self.added.search(text):
+            return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, json_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

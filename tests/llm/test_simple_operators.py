@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigtables.llm import media, packing, sharding, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, sequence_id string, n_tokens string"
-TEXTS = [None, "", " ", "a", "x  y\n\n z ", "Né à Zürich 漢字　 ok\tend\r\n", "don't  stop\n", "\n", "tail ", "same text", "same text", "word " * 5000, " " * 400_000 + "x", "a" + "\n" * 9_999 + "b", "ab" * 50_000, "ab  cd  e", "<|endoftext|> 12345 !!", "a\nb\nc d", "\x1c x\x00y 🎉🎉"]
+TEXTS = [None, "", " ", "a", "x  y\n\n z ", "Né à Zürich 漢字　 ok\tend\r\n", "don't  stop\n", "\n", "tail ", "same text", "same text", "word " * 5000, " " * 400_000 + "x", "a" + "\n" * 9_999 + "b", "ab" * 50_000, "ab  cd  e", "<|endoftext|> 12345 !!", "a<|endoftext|>b", " <|endoftext|><|endoftext|> <|endoftext|", "x<|endoftext|>" + " " * 12_000 + "<|endoftext|>", "a\nb\nc d", "\x1c x\x00y 🎉🎉"]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,6 @@ def token_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -56,6 +55,13 @@ def test_packing_against_tokenizers(spark, docs):
     assert packing.pack_documents(empty(spark), *args).count() == 0
 
 
+def test_added_tokens_may_be_ordinary_text():
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
+    assert np.frombuffer(packing.ByteBpe(*args).ids("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+    plain = packing.ByteBpe(*args, spelled=True)
+    assert 50256 not in np.frombuffer(plain.ids("a<|endoftext|>b"), "<u4") and 50256 not in np.frombuffer(plain.ids("<|endoftext|>" + " " * 12_000), "<u4")
+
+
 def test_packing_keeps_columns_of_any_name(spark):
     names = ["length", "doc_id", "piece", "row", "part", "nth", "at", "before", "sequence_id", "_part", "a b", "c.d"]
     rows = [tuple([n, i, 0, *(f"{c}{i}" for c in names[3:])]) for i, n in enumerate([60, 60, 40, 25, 15, 100])]
