@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigtables.functions.scalars import finite
+from sigtables.operators.stretches import by_stretch, changes
 
 #: Samples in a cell of pyramid level 0.
 BASE = 64
@@ -33,9 +34,11 @@ def histogram(samples: DataFrame, bins: int, lo: float, hi: float, *by: str) ->
 
 
 def zero_crossings(samples: DataFrame, *by: str) -> DataFrame:
-    """Sign changes between neighbouring finite values that are not zero."""
-    s = samples.where(finite(F.col("value")) & (F.col("value") != 0)).withColumn("s", F.signum("value"))
-    return s.withColumn("before", F.lag("s").over(W.partitionBy(*by).orderBy("idx"))).groupBy(*by).agg(F.count_if(F.col("before") != F.col("s")).alias("crossings"))
+    """Sign changes between neighbouring finite values that are not zero: those inside stretches, and those from one stretch to the next."""
+    d = by_stretch(samples, by, ["value"], changes, "n long, begins byte, ends byte")
+    before = F.last("ends", ignorenulls=True).over(W.partitionBy(*by).orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("_before", before).where("begins IS NOT NULL")
+    return d.groupBy(*by).agg((F.sum("n") + F.count_if(F.col("_before") != F.col("begins"))).alias("crossings"))
 
 
 def pyramid(samples: DataFrame, base: int, levels: int | None, *by: str) -> DataFrame:

@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigtables.functions.scalars import finite
 from sigtables.model import kept
+from sigtables.operators.stretches import RUNS, by_stretch, runs_of, stays
 
 KEY = ("group_id", "signal_id")
 #: What is no more than this is taken for zero: the spacing of doubles at 1.
 TINY = 2.220446049250313e-16
 
 
+def rate_column(rate_hz: float | str) -> Column:
+    """A rate: a number for all signals, or the name of a column that has each signal's own."""
+    return F.col(rate_hz) if isinstance(rate_hz, str) else F.lit(float(rate_hz))
+
+
 def by_signal() -> W:
     return W.partitionBy(*KEY).orderBy("idx")
 
@@ -113,40 +120,51 @@ def filter_signals(signals: DataFrame, response: str, cutoff_hz: float, rate_hz:
     return signals.withColumn("values", run("values"))
 
 
-def to_blocks(samples: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """group_id, signal_id, block, start_idx and values: the samples of each stretch of `block` indexes, in order; null counts as NaN."""
-    d = samples.groupBy(*KEY, F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("value", F.lit(float("nan"))).alias("value")))).alias("v"))
-    return d.select(*KEY, "block", F.get("v", F.lit(0))["idx"].alias("start_idx"), F.transform("v", lambda x: x["value"]).alias("values"))
+def to_blocks(samples: DataFrame, block: int = 1 << 16, *more: str) -> DataFrame:
+    """group_id, signal_id, block, start_idx, start_s, values and `more` columns (one value a signal): the samples of each stretch of
+    `block` indexes, in order; null counts as NaN."""
+    cells = F.array_sort(F.collect_list(F.struct("idx", F.coalesce("value", F.lit(float("nan"))).alias("value"))))
+    d = samples.groupBy(*KEY, F.floor(F.col("idx") / block).alias("block")).agg(cells.alias("v"), F.min_by("t_s", "idx").alias("start_s"), *(F.first(c).alias(c) for c in more))
+    return d.select(*KEY, "block", F.get("v", F.lit(0))["idx"].alias("start_idx"), "start_s", F.transform("v", lambda x: x["value"]).alias("values"), *more)
 
 
-def from_blocks(blocks: DataFrame, rate_hz: float, t0_s: float = 0.0) -> DataFrame:
+def from_blocks(blocks: DataFrame, rate_hz: float | str) -> DataFrame:
     """samples of blocks without gaps."""
-    d = blocks.select(*KEY, "start_idx", F.posexplode("values").alias("_at", "value")).withColumn("idx", F.col("start_idx") + F.col("_at"))
-    return d.select(*KEY, "idx", (t0_s + F.col("idx") / rate_hz).alias("t_s"), "value")
+    d = blocks.withColumn("_rate", rate_column(rate_hz)).select(*KEY, "start_idx", "start_s", "_rate", F.posexplode("values").alias("_at", "value"))
+    return d.select(*KEY, (F.col("start_idx") + F.col("_at")).alias("idx"), (F.col("start_s") + F.col("_at") / F.col("_rate")).alias("t_s"), "value")
+
+
+@lru_cache(64)
+def going_on(response: str, cutoff_hz: float, rate_hz: float, q: float, block: int) -> np.ndarray:
+    """Row i: the output i after a block's start, without any input, for each of the two outputs before it."""
+    a1, a2 = biquad_coefficients(response, cutoff_hz, rate_hz, q)[3:]
+    step = np.array([[-a1, -a2], [1.0, 0.0]])
+    rows, power = step[:1], step
+    while len(rows) < block:
+        rows, power = np.concatenate([rows, rows @ power]), power @ power
+    return rows[:block]
 
 
-def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz: float, q: float = math.sqrt(0.5), sections: int = 1, block: int = 1 << 16) -> DataFrame:
+def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz: float | str, q: float = math.sqrt(0.5), sections: int = 1, block: int = 1 << 16) -> DataFrame:
     """samples (idx without gaps) through a cascade of identical sections that start at rest, however long a signal is.
 
-    A block's output is what its inputs give from rest plus what the two outputs before it go on to give. Blocks are
-    run from rest side by side; where each one ends, carried from block to block by a 2 by 2 matrix, is a small table of a
-    signal; each block then adds its part of that. Every task holds a few blocks.
+    rate_hz: a number, or the column with each signal's own rate, for which the section is designed. A block's output is what
+    its inputs give from rest plus what the two outputs before it go on to give. Blocks are run from rest side by side;
+    where each one ends, carried from block to block by a 2 by 2 matrix, is a small table of a signal; each block then adds
+    its part of that. Every task holds a few blocks.
     """
     if sections < 1 or block < 2:
         raise ValueError("sections: one at least; block: two samples at least")
-    b0, b1, b2, a1, a2 = biquad_coefficients(response, cutoff_hz, rate_hz, q)
-    step, goes_on = np.array([[-a1, -a2], [1.0, 0.0]]), np.empty((block, 2))
-    state = np.eye(2)
-    for i in range(block):  # row i: the output i after the block's start, for each of the two outputs before it
-        state = step @ state
-        goes_on[i] = state[0]
+    if not isinstance(rate_hz, str):
+        biquad_coefficients(response, cutoff_hz, rate_hz, q)
 
     @F.pandas_udf("array<double>")
-    def from_rest(values: pd.Series, x1: pd.Series, x2: pd.Series) -> pd.Series:
+    def from_rest(values: pd.Series, x1: pd.Series, x2: pd.Series, rates: pd.Series) -> pd.Series:
         out = [None] * len(values)
-        lengths = values.map(len).to_numpy()
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
+        kinds = pd.MultiIndex.from_arrays([values.map(len), rates])
+        for n, rate in kinds.unique():  # blocks of one length and rate side by side, a sample at a time
+            b0, b1, b2, a1, a2 = biquad_coefficients(response, cutoff_hz, rate, q)
+            rows = np.flatnonzero(kinds == (n, rate))
             x = np.zeros((n + 2, len(rows)))
             x[2:] = np.array([values.iloc[i] for i in rows], float).T
             x[1], x[0] = x1.to_numpy()[rows], x2.to_numpy()[rows]
@@ -161,6 +179,7 @@ def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz:
     def carried(table: pd.DataFrame) -> pd.DataFrame:
         """The two outputs before each block of a signal."""
         table = table.sort_values("block")
+        goes_on = going_on(response, cutoff_hz, float(table["_rate"].iloc[0]), q, block)
         before, s = [], np.zeros(2)
         for n, e1, e2 in zip(table["n"], table["e1"], table["e2"], strict=True):
             before.append(s)
@@ -168,21 +187,22 @@ def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz:
         return table[[*KEY, "block"]].assign(s1=[b[0] for b in before], s2=[b[1] for b in before])
 
     @F.pandas_udf("array<double>")
-    def added(values: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(v) + goes_on[: len(v)] @ np.array([a, b])).tolist() for v, a, b in zip(values, s1, s2, strict=True)], dtype=object)
+    def added(values: pd.Series, s1: pd.Series, s2: pd.Series, rates: pd.Series) -> pd.Series:
+        rows = zip(values, s1, s2, rates, strict=True)
+        return pd.Series([(np.asarray(v) + going_on(response, cutoff_hz, r, q, block)[: len(v)] @ np.array([a, b])).tolist() for v, a, b, r in rows], dtype=object)
 
-    blocks, zero = to_blocks(samples, block), F.lit(0.0)
+    blocks, zero = to_blocks(samples.withColumn("_rate", rate_column(rate_hz)), block, "_rate"), F.lit(0.0)
     kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in KEY)
     for _ in range(sections):
         last, w = F.slice("values", F.greatest(F.size("values") - 1, F.lit(1)), 2), W.partitionBy(*KEY).orderBy("block")
         d = blocks.withColumn("_last", F.lag(last).over(w))
         x1, x2 = F.coalesce(F.get("_last", F.size("_last") - 1), zero), F.coalesce(F.get("_last", F.size("_last") - 2), zero)
-        d = kept(d.withColumn("values", from_rest("values", x1, x2)).drop("_last"))
+        d = kept(d.withColumn("values", from_rest("values", x1, x2, "_rate")).drop("_last"))
         size = F.size("values")
-        ends = d.select(*KEY, "block", size.alias("n"), F.get("values", size - 1).alias("e1"), F.coalesce(F.get("values", size - 2), zero).alias("e2"))
+        ends = d.select(*KEY, "block", "_rate", size.alias("n"), F.get("values", size - 1).alias("e1"), F.coalesce(F.get("values", size - 2), zero).alias("e2"))
         starts = ends.groupBy(*KEY).applyInPandas(carried, f"{kinds}, block long, s1 double, s2 double")
-        blocks = d.join(starts, [*KEY, "block"]).withColumn("values", added("values", "s1", "s2")).drop("s1", "s2")
-    return from_blocks(blocks, rate_hz)
+        blocks = d.join(starts, [*KEY, "block"]).withColumn("values", added("values", "s1", "s2", "_rate")).drop("s1", "s2")
+    return from_blocks(blocks, "_rate")
 
 
 WINDOWS = {"rect": (1.0,), "hann": (0.5, 0.5), "hamming": (0.54, 0.46), "blackman-harris": (0.35875, 0.48829, 0.14128, 0.01168), "flat-top": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)}
@@ -193,8 +213,8 @@ def window_values(name: str, n: int) -> np.ndarray:
     return sum((-1) ** i * a * np.cos(i * k) for i, a in enumerate(WINDOWS[name]))
 
 
-def spectrum(signals: DataFrame, rate_hz: float, window: str = "hann", size: int = 0) -> DataFrame:
-    """group_id, signal_id, k, freq_hz, magnitude_db and phase_rad of each signal (values as arrays)."""
+def spectrum(signals: DataFrame, rate_hz: float | str, window: str = "hann", size: int = 0) -> DataFrame:
+    """group_id, signal_id, k, freq_hz, magnitude_db and phase_rad of each signal (values as arrays); rate_hz: a number or a column."""
 
     schema = T.StructType([*[signals.schema[c] for c in KEY], *(T.StructField(c, k) for c, k in (("k", T.ArrayType(T.IntegerType())), ("freq_hz", T.ArrayType(T.DoubleType())), ("magnitude_db", T.ArrayType(T.DoubleType())), ("phase_rad", T.ArrayType(T.DoubleType()))))])
 
@@ -203,7 +223,7 @@ def spectrum(signals: DataFrame, rate_hz: float, window: str = "hann", size: int
             values = batch.column(2)
             lengths = np.where(values.is_null(), 0, np.diff(values.offsets.to_numpy()))
             flat = values.flatten().to_numpy(zero_copy_only=False)
-            first = np.cumsum(lengths) - lengths
+            first, rates = np.cumsum(lengths) - lengths, batch.column(3).to_numpy(zero_copy_only=False)
             for n in np.unique(lengths[lengths > 0]).tolist():  # signals of one length side by side
                 rows = np.flatnonzero(lengths == n)
                 used = min(size, n) if size else n
@@ -215,10 +235,10 @@ def spectrum(signals: DataFrame, rate_hz: float, window: str = "hann", size: int
                 bins = a.shape[1]
                 at = np.arange(0, bins * len(rows) + 1, bins, dtype=np.int32)
                 k = np.tile(np.arange(bins, dtype=np.int32), len(rows))
-                columns = [pa.ListArray.from_arrays(at, pa.array(c)) for c in (k, k * (rate_hz / m), db.ravel(), np.angle(x).ravel())]
+                columns = [pa.ListArray.from_arrays(at, pa.array(c)) for c in (k, k * np.repeat(rates[rows] / m, bins), db.ravel(), np.angle(x).ravel())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), *columns], schema.fieldNames())
 
-    found = signals.select(*KEY, F.col("values").cast("array<double>").alias("values")).mapInArrow(run, schema)
+    found = signals.select(*KEY, F.col("values").cast("array<double>").alias("values"), rate_column(rate_hz).alias("_rate")).mapInArrow(run, schema)
     return found.select(*KEY, F.inline(F.arrays_zip("k", "freq_hz", "magnitude_db", "phase_rad")))
 
 
@@ -229,25 +249,45 @@ def spectrum_metrics(spectra: DataFrame) -> DataFrame:
     return out.select(*KEY, F.col("b.freq_hz").alias("peak_hz"), F.col("b.magnitude_db").alias("peak_db"), F.col("b.phase_rad").alias("peak_phase_rad"), F.greatest(F.col("top") * 2, F.lit(1)).alias("fft_size"))
 
 
-def threshold(samples: DataFrame, level: float, hysteresis: float = 0.0, min_width_s: float = 0.0, period_s: float | None = None, falling: bool = False) -> DataFrame:
-    """Detections: start_s, end_s and peak of each stay at or past `level`, left past level less hysteresis; NaN ends one."""
+def threshold(samples: DataFrame, level: float, hysteresis: float = 0.0, min_width_s: float = 0.0, period_s: float | str | None = None, falling: bool = False) -> DataFrame:
+    """Detections: start_s, end_s and peak of each stay at or past `level`, left past level less hysteresis; NaN ends one.
+
+    period_s: what the last sample lasts, a number or a column with each signal's own (null: nothing). Samples aren't shuffled;
+    a long signal is read by many tasks (see stretches.stays).
+    """
     s = -1.0 if falling else 1.0
-    v = F.col("value") * s
-    at = by_signal()
-    decision = F.when(v.isNull() | F.isnan(v), 0).when(v >= s * level, 1).when(v < s * level - hysteresis if hysteresis == 0 else v <= s * level - hysteresis, 0)
-    d = samples.withColumn("_on", F.coalesce(F.last(decision, ignorenulls=True).over(at.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
-    d = d.withColumn("_new", ((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(at), F.lit(0)) == 0)).cast("int")).withColumn("_id", F.sum("_new").over(at.rowsBetween(W.unboundedPreceding, 0)))
-    end = F.max("t_s") + period_s if period_s is not None else F.max("t_s")
-    out = d.where("_on = 1").groupBy(*KEY, "_id").agg(F.min("t_s").alias("start_s"), end.alias("end_s"), (F.max(v) * s).alias("peak"))
-    return out.where(F.col("end_s") - F.col("start_s") + 1e-12 >= min_width_s).drop("_id")
-
-
-def slice_levels(samples: DataFrame, level: float, hysteresis: float = 0.0, invert: bool = False) -> DataFrame:
-    """samples with bit: 1 above the band around level, 0 below it, as before inside it; 0 at first; NaN holds."""
-    v = F.col("value")
+
+    def decide(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = values * s
+        with np.errstate(invalid="ignore"):
+            out = np.where(v < s * level if hysteresis == 0 else v <= s * level - hysteresis, 0, -1)
+            out[v >= s * level] = 1
+        out[np.isnan(v)] = 0
+        return v, out
+
+    found = stays(by_stretch(samples, KEY, ["t_s", "value"], runs_of(decide), RUNS), KEY)
+    if isinstance(period_s, str):
+        found = found.join(samples.groupBy(*KEY).agg(F.first(period_s).alias("_p")), list(KEY)).withColumn("end_s", F.col("end_s") + F.coalesce("_p", F.lit(0.0))).drop("_p")
+    elif period_s is not None:
+        found = found.withColumn("end_s", F.col("end_s") + period_s)
+    return found.withColumn("peak", F.col("peak") * s).where(F.col("end_s") - F.col("start_s") + 1e-12 >= min_width_s)
+
+
+def slice_levels(samples: DataFrame, level: float, hysteresis: float = 0.0, invert: bool = False, block: int = 1 << 16) -> DataFrame:
+    """samples with bit: 1 above the band around level, 0 below it, as before inside it; 0 at first; NaN holds.
+
+    A block of `block` indexes holds its own last decision, or that of the nearest block before it that has one; so a long
+    signal is read by many tasks.
+    """
+    v, by = F.col("value"), [*KEY, "_block"]
     raw = F.when(F.isnan(v), None).when(v > level + hysteresis / 2, 1).when(v < level - hysteresis / 2, 0)
-    bit = F.coalesce(F.last(raw, ignorenulls=True).over(by_signal().rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    return samples.withColumn("bit", (1 - bit) if invert else bit)
+    d = samples.withColumns({"_block": F.floor(F.col("idx") / block), "_raw": raw})
+    last = d.groupBy(*by).agg(F.max_by("_raw", F.when(F.col("_raw").isNotNull(), F.col("idx"))).alias("_last"))
+    before = last.select(*by, F.last("_last", ignorenulls=True).over(W.partitionBy(*KEY).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_in"))
+    own = F.last("_raw", ignorenulls=True).over(W.partitionBy(*by).orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn("_own", own).join(before, by)
+    bit = F.coalesce("_own", "_in", F.lit(0))
+    return d.withColumn("bit", (1 - bit) if invert else bit).drop("_block", "_raw", "_own", "_in")
 
 
 def slice_metrics(sliced: DataFrame) -> DataFrame:
@@ -255,14 +295,13 @@ def slice_metrics(sliced: DataFrame) -> DataFrame:
     return d.groupBy(*KEY).agg(F.count_if(F.col("_before") != F.col("bit")).alias("transitions"), F.avg("bit").alias("duty"))
 
 
-def symbols(samples: DataFrame, symbol_rate_hz: float, rate_hz: float, nominals: list[float], phase: float = 0.5, align: str = "start") -> DataFrame:
-    """symbol and margin at each symbol's instant; boundaries lie midway between nominal levels."""
-    if symbol_rate_hz > rate_hz:
+def symbols(samples: DataFrame, symbol_rate_hz: float, rate_hz: float | str, nominals: list[float], phase: float = 0.5, align: str = "start") -> DataFrame:
+    """symbol and margin at each symbol's instant; boundaries lie midway between nominal levels. rate_hz: a number or a column."""
+    if not isinstance(rate_hz, str) and symbol_rate_hz > rate_hz:
         raise ValueError("symbol_rate_hz: not above the sample rate")
     bounds = [(a + b) / 2 for a, b in zip(nominals, nominals[1:], strict=False)]
-    ratio = rate_hz / symbol_rate_hz
-    start = F.lit(0.0)
-    s = samples
+    ratio, start = F.col("_ratio"), F.lit(0.0)
+    s = samples.withColumn("_ratio", rate_column(rate_hz) / symbol_rate_hz)
     if align == "first-edge":
         mid = bounds[len(bounds) // 2]
         high = F.col("value") >= mid
@@ -294,9 +333,10 @@ def pulse_properties(metrics: DataFrame) -> DataFrame:
     return metrics.select("group_id", p.alias("p")).select("group_id", "p.*").where("value IS NOT NULL")
 
 
-def longest_signal(samples: DataFrame, rate_hz: float) -> DataFrame:
-    """group_id and duration_s of each group's longest signal."""
-    return samples.groupBy("group_id").agg(((F.max("idx") + 1) / rate_hz).alias("duration_s"))
+def longest_signal(samples: DataFrame, rate_hz: float | str) -> DataFrame:
+    """group_id and duration_s of each group's longest signal; rate_hz: a number or a column, null for irregular signals, which span their times."""
+    each = samples.withColumn("_rate", rate_column(rate_hz)).groupBy(*KEY).agg(F.coalesce((F.max("idx") + 1) / F.first("_rate"), F.max("t_s") - F.min("t_s")).alias("d"))
+    return each.groupBy("group_id").agg(F.max("d").alias("duration_s"))
 
 
 def pulse_metrics(detections: DataFrame, duration_s: float | DataFrame) -> DataFrame:
@@ -314,18 +354,18 @@ def pulse_metrics(detections: DataFrame, duration_s: float | DataFrame) -> DataF
     return out.withColumn("prf_hz", 1 / F.col("pri_mean"))
 
 
-def peaks(signals: DataFrame, rate_hz: float, min_prominence: float = 0.0, min_distance_s: float = 0.0, max_count: int | None = None, falling: bool = False, window_s: float | None = None) -> DataFrame:
+def peaks(signals: DataFrame, rate_hz: float | str, min_prominence: float = 0.0, min_distance_s: float = 0.0, max_count: int | None = None, falling: bool = False, window_s: float | None = None) -> DataFrame:
     """time_s, amplitude and prominence of each signal's peaks (values as arrays), by time.
 
     A plateau is one peak at its middle; ends are none; NaN never rises. Prominence is the height over the higher of
     the lowest grounds on the way to higher ground or an end, found with a stack in one pass each way. Of peaks nearer than
     min_distance_s the higher stays. falling: dips, with their depth as prominence. window_s: only so much of the signal on
-    either side of a peak counts for its prominence.
+    either side of a peak counts for its prominence. rate_hz: a number or a column; without a rate (null) the column times,
+    if there is one, has the samples' times, and neither distance nor window hold.
     """
     sign = -1.0 if falling else 1.0
-    reach = None if window_s is None else max(1, math.floor(window_s * rate_hz + 0.5))
 
-    def near(v: np.ndarray, i: int) -> float:
+    def near(v: np.ndarray, i: int, reach: int) -> float:
         """The lowest ground on the left, up to higher ground or `reach` places."""
         x = v[max(0, i - reach) : i + 1][::-1]
         higher = np.flatnonzero(x > x[0])
@@ -342,8 +382,10 @@ def peaks(signals: DataFrame, rate_hz: float, min_prominence: float = 0.0, min_d
         return out
 
     @F.pandas_udf("array<struct<time_s:double,amplitude:double,prominence:double>>")
-    def run(column: pd.Series) -> pd.Series:
-        def one(values):
+    def run(column: pd.Series, rates: pd.Series, times: pd.Series) -> pd.Series:
+        def one(values, rate, own):
+            rate = None if rate is None or np.isnan(rate) else rate
+            reach = None if window_s is None or rate is None else max(1, math.floor(window_s * rate + 0.5))
             v = np.array([np.nan if x is None else x for x in values], float) * sign
             v = np.where(np.isnan(v), -np.inf, v)
             start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
@@ -353,18 +395,19 @@ def peaks(signals: DataFrame, rate_hz: float, min_prominence: float = 0.0, min_d
                 left, right = ground(v), ground(v[::-1])[::-1]
                 found = [(i, v[i], v[i] - max(left[i], right[i])) for i in top]
             else:
-                found = [(i, v[i], v[i] - max(near(v, i), near(v[::-1], len(v) - 1 - i))) for i in top]
-            apart, chosen = math.ceil(min_distance_s * rate_hz), []
+                found = [(i, v[i], v[i] - max(near(v, i, reach), near(v[::-1], len(v) - 1 - i, reach))) for i in top]
+            apart, chosen = 0 if rate is None else math.ceil(min_distance_s * rate), []
             for p in sorted((p for p in found if p[2] >= min_prominence), key=lambda p: (-p[1], p[0])):
                 if max_count is not None and len(chosen) == max_count:
                     break
                 if all(abs(p[0] - c[0]) >= apart for c in chosen):
                     chosen.append(p)
-            return [{"time_s": i / rate_hz, "amplitude": float(a * sign), "prominence": float(h)} for i, a, h in sorted(chosen)]
+            return [{"time_s": float(own[i]) if own is not None else i / rate, "amplitude": float(a * sign), "prominence": float(h)} for i, a, h in sorted(chosen)]
 
-        return column.map(lambda v: [] if v is None or len(v) == 0 else one(v))
+        return pd.Series([[] if v is None or len(v) == 0 else one(v, r, t) for v, r, t in zip(column, rates, times, strict=True)], dtype=object)
 
-    return signals.select(*KEY, F.explode(run("values")).alias("p")).select(*KEY, "p.*")
+    times = F.col("times") if "times" in signals.columns else F.lit(None).cast("array<double>")
+    return signals.select(*KEY, F.explode(run("values", rate_column(rate_hz), times)).alias("p")).select(*KEY, "p.*")
 
 
 def resample(samples: DataFrame, from_hz: float, to_hz: float) -> DataFrame:

@@ -918,7 +918,7 @@ def statistics_stage(spark, d):
     return rounded(run.metrics.select("group_id", "name", "value"), "value")
 
 
-CHAIN = [("detrend", {}), ("threshold", {"level": 0.1, "hysteresis": 0.05, "rate_hz": RATE_HZ}), ("pulse_metrics", {"write_back": True, "rate_hz": RATE_HZ})]
+CHAIN = [("detrend", {}), ("threshold", {"level": 0.1, "hysteresis": 0.05}), ("pulse_metrics", {"write_back": True})]
 CENTRED = "c AS (SELECT group_id, signal_id, idx, t_s, value - avg(value) OVER (PARTITION BY signal_id) AS value FROM s)"
 
 
@@ -941,7 +941,7 @@ def dispositions(spark, d):
 @query("SELECT DISTINCT label AS group_id, CASE WHEN label = 7 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN label = 7 THEN 1 END AS failed_stage FROM embeddings")
 def run_status(spark, d):
     """Group 7 has too low a rate for the filter and stops there; the others go on."""
-    plan = [("gain", {"gain": 2.0}), ("filter", {"cutoff_hz": 8.0, "rate_hz": RATE_HZ}), ("statistics", {})]
+    plan = [("gain", {"gain": 2.0}), ("filter", {"cutoff_hz": 8.0}), ("statistics", {})]
     return pipeline.run_groups(_bundle(spark, d), [pipeline.Stage(k, p) for k, p in plan]).groups.select("group_id", "status", "failed_stage")
 
 

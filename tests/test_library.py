@@ -284,7 +284,7 @@ def test_outputs_on_a_frame(spark):
 def test_stages_of_every_kind_chain(spark):
     wave = [0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0] * 4
     b = bundle(spark, [(1, 0, wave), (2, 0, wave)])
-    plan = [("passthrough", {}), ("gain", {}), ("normalise", {}), ("filter", {"cutoff_hz": 3.9, "rate_hz": 8.0}), ("fft", {"signal": "s0", "rate_hz": 8.0}), ("peaks", {"rate_hz": 8.0}), ("threshold", {"level": 0.5, "rate_hz": 8.0}), ("pulse_metrics", {"rate_hz": 8.0, "write_back": True}), ("slice", {"level": 0.5, "signal": "s0"}), ("symbols", {"symbol_rate_hz": 2.0, "level": 0.5, "spacing": 1.0, "rate_hz": 8.0}), ("bits", {}), ("clip", {"lo": 0.0, "hi": 1.0}), ("noise", {"snr_db": 60.0}), ("drop", {"signal": "logic"})]
+    plan = [("passthrough", {}), ("gain", {}), ("normalise", {}), ("filter", {"cutoff_hz": 3.9}), ("fft", {"signal": "s0"}), ("peaks", {}), ("threshold", {"level": 0.5}), ("pulse_metrics", {"write_back": True}), ("slice", {"level": 0.5, "signal": "s0"}), ("symbols", {"symbol_rate_hz": 2.0, "level": 0.5, "spacing": 1.0}), ("bits", {}), ("clip", {"lo": 0.0, "hi": 1.0}), ("noise", {"snr_db": 60.0}), ("drop", {"signal": "logic"})]
     r = pipeline.run_groups(b, [pipeline.Stage(k, p) for k, p in plan])
     assert {x.status for x in r.groups.collect()} == {"ok"} and r.last.signals.count() == 2
     m = {(x.stage_ordinal, x.name): x.value for x in r.metrics.where("group_id = 1").collect()}
@@ -304,8 +304,151 @@ def test_retention_and_reuse(spark, tmp_path):
     changed = pipeline.Bundle(b.samples.withColumn("value", F.when(F.col("group_id") == 2, F.col("value") + 1e-12).otherwise(F.col("value"))), b.signals)
     hits = pipeline.plan_incremental(pipeline.input_hashes(changed), pipeline.stage_keys(plan), cache)
     assert {(r.group_id, r.hit) for r in hits.collect()} == {(1, True), (2, False)}
-    out, more = pipeline.run_incremental(changed, plan, cache.select("cache_key"), stored)
-    assert sorted(round(r.value, 6) for r in out.collect()) == [-6.0, -3.0, 3.0, 6.0] and more.count() == 9
+def test_a_run_goes_on_from_the_first_edited_stage(spark, tmp_path):
+    wave = [0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0] * 4
+    b, path, calls = bundle(spark, [(1, 0, wave), (2, 0, wave), (3, 0, wave)]), str(tmp_path / "runs"), tmp_path / "calls"
+    calls.mkdir()
+
+    def counted(name):
+        def run(table, by):
+            for g in table["group_id"].unique():
+                (calls / f"{name}-{g}-{os.urandom(4).hex()}").touch()
+            return table.assign(value=table["value"] * by)
+
+        if f"ext.{name}" not in pipeline.STAGES:
+            pipeline.per_group(f"ext.{name}", run, SAMPLES, [pipeline.Param("by", default=1.0)])
+
+    def ran():
+        out = sorted(x.name.rsplit("-", 1)[0] for x in calls.iterdir())
+        for x in calls.iterdir():
+            x.unlink()
+        return out
+
+    for name in "abcd":
+        counted(name)
+    plan = lambda by: [pipeline.Stage("ext.a"), pipeline.Stage("threshold", {"level": 0.5}), pipeline.Stage("ext.b", {"by": 2.0}), pipeline.Stage("ext.c", {"by": by}), pipeline.Stage("pulse_metrics", {"write_back": True}), pipeline.Stage("ext.d")]
+    table = lambda name, run: spark.read.parquet(f"{path}/run_{name}").where(F.col("run_id") == run)
+    pipeline.run_incremental(b, plan(3.0), path, "r1")
+    assert ran() == [f"{s}-{g}" for s in "abcd" for g in (1, 2, 3)]
+    assert table("samples", "r1").where("stage_ordinal = 5").agg(F.max("value")).first()[0] == 6.0
+    pipeline.run_incremental(b, plan(3.0), path, "r2")
+    assert ran() == []
+    changed = pipeline.Bundle(b.samples.withColumn("value", F.when(F.col("group_id") == 3, F.col("value") + 1).otherwise(F.col("value"))), b.signals)
+    pipeline.run_incremental(changed, plan(5.0), path, "r3")  # stage 3 is edited, and group 3 is new input
+    assert ran() == ["a-3", "b-3", "c-1", "c-2", "c-3", "d-1", "d-2", "d-3"]
+    whole = pipeline.run_groups(changed, plan(5.0))
+    pipeline.write_run(whole, path, "whole", plan(5.0))
+    for name in ("groups", "signals", "metrics", "artifacts", "samples", "states", "properties"):
+        assert sorted(map(str, table(name, "r3").drop("run_id").collect())) == sorted(map(str, table(name, "whole").drop("run_id").collect())), name
+    assert table("keys", "r3").count() == 18 and sorted(r.status for r in table("groups", "r2").collect()) == ["ok"] * 3
+
+
+def test_times_of_irregular_signals_are_input(spark):
+    b = bundle(spark, [(1, 0, [1.0, 2.0]), (2, 0, [1.0, 2.0])])
+    hashed = lambda x: [r.input_hash for r in pipeline.input_hashes(x).orderBy("group_id").collect()]
+    irregular = pipeline.Bundle(b.samples, b.signals.withColumn("rate_hz", F.lit(None).cast("double")))
+    moved = lambda x: pipeline.Bundle(x.samples.withColumn("t_s", F.col("t_s") + F.when(F.col("group_id") == 2, 0.5).otherwise(0.0)), x.signals)
+    assert [a == c for a, c in zip(hashed(irregular), hashed(moved(irregular)), strict=True)] == [True, False]
+    assert hashed(b) == hashed(moved(b)) and hashed(b) != hashed(irregular)
+
+
+def test_stages_go_by_each_signals_own_rate(spark):
+    n = 256
+    rows = [(g, 0, i, 1.0 + i / rate, math.sin(2 * math.pi * 8 * i / rate)) for g, rate in ((1, 64.0), (2, 128.0)) for i in range(n)]
+    rows += [(3, 0, i, 0.1 * i * i, float(i % 4 == 2)) for i in range(16)]
+    s = spark.createDataFrame(rows, SAMPLES)
+    signals = spark.createDataFrame([(1, 0, 0, "a", "analog", 64.0, 1.0, {}), (2, 0, 0, "a", "analog", 128.0, 1.0, {}), (3, 0, 0, "a", "analog", None, 0.0, {})], "group_id long, signal_id long, ordinal int, name string, domain string, rate_hz double, t0_s double, attributes map<string,string>")
+    b = pipeline.Bundle(s, signals)
+    plan = [("fft", {}), ("threshold", {"level": 0.5}), ("peaks", {"min_prominence": 0.5}), ("pulse_metrics", {}), ("filter", {"cutoff_hz": 2.0, "sections": 2}), ("statistics", {})]
+    r = pipeline.run_groups(b, [pipeline.Stage(k, p) for k, p in plan])
+    m = {(x.group_id, x.stage_ordinal, x.name): x.value for x in r.metrics.collect()}
+    assert m[1, 0, "a.peak_hz"] == m[2, 0, "a.peak_hz"] == 8.0 and (3, 0, "a.peak_hz") not in m
+    for g, rate in ((1, 64.0), (2, 128.0), (3, None)):
+        x = s.where(F.col("group_id") == g)
+        want = sorted((y.start_s, y.end_s) for y in stages.threshold(x, 0.5, period_s=None if rate is None else 1 / rate).collect())
+        assert sorted((y.start_s, y.end_s) for y in r.artifacts[1, "detections"].where(F.col("group_id") == g).collect()) == want
+        assert m[g, 1, "widest_s"] == max(e - a for a, e in want)
+        own = {t for _, _, _, t, _ in rows}
+        assert all(y.time_s in own for y in r.artifacts[2, "peaks"].where(F.col("group_id") == g).collect())
+        if rate:
+            alone = stages.filter_samples(x, "low", 2.0, rate, sections=2).collect()
+            got = r.last.samples.where(F.col("group_id") == g).collect()
+            assert {y.idx: round(y.value, 12) for y in got} == {y.idx: round(y.value, 12) for y in alone} and {y.idx: y.t_s for y in got} == {i: 1.0 + i / rate for i in range(n)}
+    assert abs(m[1, 3, "duty"] - 1 / 3) < 0.05 and abs(m[2, 3, "duty"] - 1 / 3) < 0.05 and abs(m[1, 3, "prf_hz"] - 8.0) < 1e-9 > abs(m[2, 3, "prf_hz"] - 8.0)
+    assert {(x.group_id, x.stage_ordinal) for x in r.notes.collect()} == {(3, 0), (3, 4)} and {x.status for x in r.groups.collect()} == {"ok"}
+    slow = pipeline.run_groups(b, [pipeline.Stage("symbols", {"symbol_rate_hz": 100.0})]).groups.collect()
+    assert {x.group_id: x.status for x in slow} == {1: "failed", 2: "ok", 3: "failed"}
+
+
+def test_ports_know_domains(spark):
+    if "ext.logic" not in pipeline.STAGES:
+        pipeline.register_stage("ext.logic", lambda b: pipeline.Outputs(), domains=("digital_logic",))
+    b = bundle(spark, [(1, 0, [0.0, 1.0])])
+    with pytest.raises(ValueError, match="stage 1: needs digital_logic signals"):
+        pipeline.run_groups(b, [pipeline.Stage("gain"), pipeline.Stage("ext.logic"), pipeline.Stage("slice")])
+    assert pipeline.run_groups(b, [pipeline.Stage("slice"), pipeline.Stage("ext.logic")]).groups.first().status == "ok"
+    assert pipeline.issues([pipeline.Stage("ext.logic")]) == [] != pipeline.issues([pipeline.Stage("ext.logic")], domains=["analog"])
+
+
+def test_plans_grow_with_the_stages_only(spark):
+    b = bundle(spark, [(1, 0, [1.0, 2.0])])
+
+    def windows(n):
+        plan = pipeline.run_groups(b, [pipeline.Stage("detrend")] * n).signals._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Window [")
+
+    assert windows(8) <= 8 * max(1, windows(1))
+    stats = pipeline.run_groups(b, [pipeline.Stage("gain"), pipeline.Stage("statistics")])
+    assert "Window" not in stats.artifacts[1, "statistics"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stays_along_a_signal_in_any_order(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(6):
+        v, x = [], 0.0
+        for _ in range(3000):
+            x = rnd.choice([x, x, x, rnd.uniform(-1, 1), float("nan") if k == 5 else 0.4])
+            v.append(x)
+        rows += [(k % 2, k, i, i / 8, y) for i, y in enumerate(v)]
+    rnd.shuffle(rows)
+
+    def brute(level, hysteresis, sign):
+        out = []
+        for k in range(6):
+            on, found = False, None
+            for r in sorted(r for r in rows if r[1] == k):
+                v = r[4] * sign
+                stays = v >= level * sign if not on else not (v < level * sign if hysteresis == 0 else v <= level * sign - hysteresis)
+                on = stays and v == v
+                if on:
+                    found = [r[3], r[3], v] if found is None else [found[0], r[3], max(v, found[2])]
+                elif found:
+                    out.append((k, found[0], found[1] + 0.125, found[2] * sign))
+                    found = None
+            if found:
+                out.append((k, found[0], found[1] + 0.125, found[2] * sign))
+        return sorted(out)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        for parts, level, hysteresis, falling in ((1, 0.5, 0.3, False), (3, 0.5, 0.3, False), (5, -0.2, 0.0, True), (4, -0.2, 0.5, True)):
+            s = spark.createDataFrame(rows, SAMPLES)
+            s = s.repartition(parts) if parts > 1 else s.coalesce(1).sortWithinPartitions("signal_id", "idx")
+            got = stages.threshold(s, level, hysteresis, period_s=0.125, falling=falling).collect()
+            assert sorted((r.signal_id, r.start_s, r.end_s, r.peak) for r in got) == brute(level, hysteresis, -1 if falling else 1)
+            crossings = {r.signal_id: r.crossings for r in profile.zero_crossings(s, "signal_id").collect()}
+            for k in range(6):
+                v = [r[4] for r in sorted(r for r in rows if r[1] == k) if r[4] == r[4] and r[4] != 0]
+                assert crossings[k] == sum((a > 0) != (b > 0) for a, b in zip(v, v[1:], strict=False))
+        bits = {(r.signal_id, r.idx): r.bit for r in stages.slice_levels(s, 0.1, 0.4, block=256).collect()}
+        for k in range(6):
+            bit = 0
+            for r in sorted(r for r in rows if r[1] == k):
+                bit = 1 if r[4] > 0.1 + 0.2 else 0 if r[4] < 0.1 - 0.2 else bit
+                assert bits[k, r[2]] == bit
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_assertions_of_every_kind(spark):
