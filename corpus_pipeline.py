@@ -15,6 +15,11 @@ from sigtables.llm._tables import remove_folder, shared_folder, table
 ORACLE_SQL = None
 
 
+def _own(docs: DataFrame) -> list[str]:
+    """The columns of docs, whatever they are called."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict to be toxic.
 
@@ -23,11 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels say so.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.score(docs, model).where("predicted = 0").select(_own(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of copies and near copies.
+    """One document, that with the least id, of each class of copies and near copies (four fifths of their words in the same order).
 
     Null texts are copies of empty ones; null ids are larger than any; of repeated rows one stays; unrelated documents of one
     id all stay; an empty table stays empty.
@@ -44,7 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = repeated_bytes.remove_repeats(docs, readable=True)
     cut = F.col("n_removed") > 0
     out = kept.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).where(~cut | (F.length(F.trim("text")) > 0))
-    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(_own(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
