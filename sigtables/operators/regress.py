@@ -10,28 +10,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigtables.functions.scalars import finite
 
-def diff_samples(base: DataFrame, candidate: DataFrame, abs_tol: float, rel_tol: float) -> DataFrame:
-    """Per signal: samples, max_abs, rms_error, first_beyond and within. The bound is the larger of abs_tol and rel_tol times the base's rms.
 
-    A sample on one side only, or NaN on one side only, is infinitely off; NaN on both sides agrees.
+def difference(a: Column, b: Column) -> Column:
+    """How far a pair is apart: 0 for equal values and two NaNs, infinite where one side is missing or NaN."""
+    missing = a.isNull() | b.isNull() | F.isnan(a) | F.isnan(b)
+    return F.when((a == b) | (F.isnan(a) & F.isnan(b)), 0.0).when(missing, float("inf")).otherwise(F.abs(a - b))
+
+
+def diff_samples(base: DataFrame, candidate: DataFrame, abs_tol: float, rel_tol: float, by: Sequence[str] = ("group_id", "signal_id")) -> DataFrame:
+    """Per signal: samples, max_abs, rms_error, first_beyond and within. The bound is the larger of abs_tol and rel_tol times the rms of the base's finite values.
+
+    A sample on one side only, or NaN on one side only, is infinitely off; NaN on both sides agrees. A base without finite
+    values has the bound abs_tol.
     """
-    on = ["group_id", "signal_id", "idx"]
-    both = base.select(*on, F.col("value").alias("b")).join(candidate.select(*on, F.col("value").alias("c")), on, "full")
-    e = F.when(F.isnan("b") & F.isnan("c"), 0.0).when(F.col("b").isNull() | F.col("c").isNull() | F.isnan("b") | F.isnan("c"), float("inf")).otherwise(F.abs(F.col("b") - F.col("c")))
-    key = on[:2]
-    bound = base.groupBy(*key).agg(F.greatest(F.lit(abs_tol), F.sqrt(F.avg(F.col("value") * F.col("value"))) * rel_tol).alias("bound"))
-    d = both.withColumn("e", e).join(bound, key, "left").withColumn("bound", F.coalesce("bound", F.lit(abs_tol)))
-    out = d.groupBy(*key).agg(F.count("*").alias("samples"), F.max("e").alias("max_abs"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rms_error"), F.min(F.when(F.col("e") > F.col("bound"), F.col("idx"))).alias("first_beyond"))
+    on = [*by, "idx"]
+    a = base.select(*on, F.col("value").cast("double").alias("b"), F.lit(True).alias("_a"))
+    both = a.join(candidate.select(*on, F.col("value").cast("double").alias("c"), F.lit(True).alias("_c")), on, "full")
+    e = F.when(F.col("_a").isNull() | F.col("_c").isNull(), float("inf")).when(F.col("b").isNull() & F.col("c").isNull(), 0.0).otherwise(difference(F.col("b"), F.col("c")))
+    v = F.when(finite(F.col("value")), F.col("value"))
+    bound = base.groupBy(*by).agg(F.greatest(F.lit(abs_tol), F.coalesce(F.sqrt(F.avg(v * v)) * rel_tol, F.lit(0.0))).alias("bound"))
+    d = both.withColumn("e", e).join(bound, list(by), "left").withColumn("bound", F.coalesce("bound", F.lit(abs_tol)))
+    out = d.groupBy(*by).agg(F.count("*").alias("samples"), F.max("e").alias("max_abs"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rms_error"), F.min(F.when(F.col("e") > F.col("bound"), F.col("idx"))).alias("first_beyond"))
     return out.withColumn("within", F.col("first_beyond").isNull())
 
 
+def diff_summaries(base: DataFrame, candidate: DataFrame, abs_tol: float, rel_tol: float, by: Sequence[str] = ("group_id", "signal_id")) -> DataFrame:
+    """Per signal whose samples weren't kept: max_abs, the widest of the differences of min, max, mean and rms, and within.
+
+    Recorded rows have by, samples, min, max, mean and rms. A summary that one side lacks is infinitely off, one that both lack
+    agrees; other counts of samples deviate.
+    """
+    cells = ("min", "max", "mean", "rms")
+    a, b = (df.select(*by, F.struct("samples", *cells).alias(n)) for df, n in ((base, "a"), (candidate, "b")))
+    d = a.join(b, list(by), "full")
+    both = [F.when(F.col(f"a.{c}").isNull() & F.col(f"b.{c}").isNull() & F.col("a").isNotNull() & F.col("b").isNotNull(), 0.0).otherwise(difference(F.col(f"a.{c}"), F.col(f"b.{c}"))) for c in cells]
+    bound = F.greatest(F.lit(abs_tol), F.coalesce(F.col("a.rms") * rel_tol, F.lit(0.0)))
+    d = d.withColumn("max_abs", F.greatest(*both))
+    return d.select(*by, "max_abs", ((F.col("max_abs") <= bound) & F.col("a.samples").eqNullSafe(F.col("b.samples"))).alias("within"))
+
+
 def diff_metrics(base: DataFrame, candidate: DataFrame, abs_tol: float, rel_tol: float) -> DataFrame:
-    """group_id, metric, difference and within; one-sided metrics are infinitely off."""
-    on = ["group_id", "metric"]
+    """group_id, metric, difference and within, by stage_ordinal too if both sides have it; one-sided metrics are infinitely off.
+
+    NaN is within no bound, on whichever side it is. The bound is the larger of abs_tol and rel_tol times the base's value.
+    """
+    on = ["group_id", *(["stage_ordinal"] if "stage_ordinal" in base.columns and "stage_ordinal" in candidate.columns else []), "metric"]
     d = base.select(*on, F.col("value").alias("b")).join(candidate.select(*on, F.col("value").alias("c")), on, "full")
-    d = d.withColumn("difference", F.when(F.col("b").isNull() | F.col("c").isNull(), float("inf")).otherwise(F.abs(F.col("b") - F.col("c"))))
-    return d.select(*on, "difference", (F.col("difference") <= F.greatest(F.lit(abs_tol), F.coalesce(F.abs("b"), F.lit(0.0)) * rel_tol)).alias("within"))
+    d = d.withColumn("difference", F.when(F.col("b").isNull() | F.col("c").isNull(), float("inf")).when(F.col("b") == F.col("c"), F.when(F.isnan("b"), float("nan")).otherwise(0.0)).otherwise(F.abs(F.col("b") - F.col("c"))))
+    bound = F.greatest(F.lit(abs_tol), F.coalesce(F.abs("b"), F.lit(0.0)) * rel_tol)
+    return d.select(*on, "difference", (~F.isnan("difference") & ~F.isnan(bound) & (F.col("difference") <= bound)).alias("within"))
 
 
 def diff_status(base: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -58,7 +87,7 @@ class Assertion:
     relative: bool = False
 
 
-LINE = re.compile(r"\s*(?P<subject>\S+)\s*(?:(?P<op>==|!=|<=|>=|<|>)|\swithin\s+(?P<amount>[\d.eE+-]+)\s*(?P<percent>%?)\s+of\s)\s*(?P<operand>\S+)\s*$")
+LINE = re.compile(r"\s*(?P<subject>\S+)\s*(?:(?P<op>==|!=|<=|>=|<|>|=(?!=))|\swithin\s+(?P<amount>[\d.eE+-]+)\s*(?P<percent>%?)\s+of\s)\s*(?P<operand>\S+)\s*$")
 
 
 def assertion(text: str) -> Assertion:
@@ -71,7 +100,7 @@ def assertion(text: str) -> Assertion:
         operand = m["operand"]
     if m["amount"]:
         return Assertion(m["subject"], "within", operand, float(m["amount"]), bool(m["percent"]))
-    return Assertion(m["subject"], m["op"], operand)
+    return Assertion(m["subject"], "==" if m["op"] == "=" else m["op"], operand)
 
 
 def facts(groups: DataFrame, metrics: DataFrame | None = None, signals: DataFrame | None = None, artifacts: dict[tuple[int, str], DataFrame] | None = None, fields: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -184,9 +213,9 @@ def prune(runs: DataFrame, keep: int) -> DataFrame:
 
 
 def residual(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a less b per sample on the same timebase, as max_abs and first_t of each signal."""
+    """a less b per sample on the same timebase, as max_abs and first_t of each signal; NaN against a number is infinitely off."""
     on = ["group_id", "signal_id", "idx"]
-    d = a.join(b.select(*on, F.col("value").alias("_b")), on).withColumn("d", F.abs(F.col("value") - F.col("_b")))
+    d = a.join(b.select(*on, F.col("value").alias("_b")), on).withColumn("d", difference(F.col("value"), F.col("_b")))
     return d.groupBy(*on[:2]).agg(F.max("d").alias("max_abs"), F.min(F.when(F.col("d") > 0, F.col("t_s"))).alias("first_t"))
 
 
@@ -205,7 +234,7 @@ def residual_nearest(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     near = F.when(before.isNull() | (after < before), F.col("_n")).otherwise(F.col("_p"))
     d = d.select(*by, "t_s", "_a", near.alias("_b")).join(spacing(a, "_sa"), list(by)).join(spacing(b, "_sb"), list(by))
     reach = F.greatest("_sa", "_sb") / 2 + 1e-12
-    d = d.where(F.abs(F.col("_b.t") - F.col("t_s")) <= reach).withColumn("d", F.abs(F.col("_a") - F.col("_b.v")))
+    d = d.where(F.abs(F.col("_b.t") - F.col("t_s")) <= reach).withColumn("d", difference(F.col("_a"), F.col("_b.v")))
     return d.groupBy(*by).agg(F.count("*").alias("pairs"), F.max("d").alias("max_abs"), F.min(F.when(F.col("d") > 0, F.col("t_s"))).alias("first_t"))
 
 
@@ -226,17 +255,22 @@ def row_at(spans: DataFrame, t: float, *by: str) -> DataFrame:
     return d.groupBy(*by).agg(best.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def judged(everyone: DataFrame, reasons: DataFrame) -> DataFrame:
+    """group_id, verdict and reasons (joined by commas, in order) of all groups, from group_id and reason (null: none)."""
+    d = everyone.select("group_id", F.lit(None).cast("string").alias("reason")).unionByName(reasons.select("group_id", "reason"))
+    out = d.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    return out.withColumn("verdict", F.when(F.col("reasons") == "", "matches").otherwise("deviates"))
+
+
 def verdicts(diffs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """group_id, verdict and reasons from diff_metrics: deviates if any metric isn't within its bound.
 
     groups, as diff_groups() gives them, deviate too: their reason is `only in <side>`.
     """
-    beyond = F.when(~F.col("within"), F.col("metric"))
-    d = diffs.select("group_id", beyond.alias("reason"))
+    d = diffs.select("group_id", F.when(~F.col("within"), F.col("metric")).alias("reason"))
     if groups is not None:
         d = d.unionByName(groups.select("group_id", F.concat(F.lit("only in "), "side").alias("reason")))
-    out = d.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
-    return out.withColumn("verdict", F.when(F.col("reasons") == "", "matches").otherwise("deviates"))
+    return judged(d, d)
 
 
 def payload_schema(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from sigtables.functions.expressions import expression
 from sigtables.functions.scalars import normalise_key, r6
 from sigtables.model import RATE_HZ, pulses, samples, shared_folder, signals, table
 from sigtables.operators import catalog, generate, library, profile, regress, specs, stages
-from sigtables.plans import pipeline
+from sigtables.plans import comparison, pipeline
 from sigtables.sources import pulse_csv
 from sigtables.streaming import events as streaming
 
@@ -964,3 +964,110 @@ def incremental_plan(spark, d):
     nothing = spark.createDataFrame([], "cache_key string")
     cache = pipeline.plan_incremental(pipeline.input_hashes(before), pipeline.stage_keys(plan("linear")), nothing)
     return pipeline.plan_incremental(pipeline.input_hashes(b), pipeline.stage_keys(plan("mean")), cache).select("group_id", "stage_ordinal", "hit")
+
+
+NAN = "v AS (SELECT *, CASE WHEN signal_id % 4 IN (1, 3) AND idx = 5 THEN 'NaN'::DOUBLE ELSE value END AS b, CASE WHEN signal_id % 4 IN (2, 3) AND idx = 5 THEN 'NaN'::DOUBLE ELSE value * 1.001 END AS c FROM s)"
+
+
+def _nan_runs(spark, d):
+    """Base and candidate of which every fourth signal has a NaN at its sixth sample on neither, one, the other or both sides."""
+    s, nan = samples(spark, d), F.lit(float("nan"))
+    at = lambda *k: F.col("idx").eqNullSafe(5) & (F.col("signal_id") % 4).isin(*k)
+    return s.withColumn("value", F.when(at(1, 3), nan).otherwise(F.col("value"))), s.withColumn("value", F.when(at(2, 3), nan).otherwise(F.col("value") * 1.001))
+
+
+@query(f"SELECT group_id, signal_id, CASE WHEN signal_id % 4 IN (1, 2) THEN NULL ELSE {r('max(CASE WHEN isnan(b) THEN 0 ELSE abs(b - c) END)')} END AS max_abs, min(CASE WHEN isnan(b) <> isnan(c) OR (NOT isnan(b) AND abs(b - c) > bound) THEN idx END) AS first_beyond, bool_and(isnan(b) = isnan(c) AND (isnan(b) OR abs(b - c) <= bound)) AS within FROM (SELECT *, greatest(0.0001, 0.002 * sqrt(avg(CASE WHEN NOT isnan(b) THEN b * b END) OVER (PARTITION BY signal_id))) AS bound FROM v) GROUP BY group_id, signal_id", S, NAN)
+def diff_signals_nan(spark, d):
+    out = regress.diff_samples(*_nan_runs(spark, d), 1e-4, 2e-3)
+    return out.select("group_id", "signal_id", F.when(F.col("max_abs") != float("inf"), r6(F.col("max_abs"))).alias("max_abs"), "first_beyond", "within")
+
+
+@query(f"SELECT signal_id, CASE WHEN signal_id % 4 IN (1, 2) THEN NULL ELSE {r('max(CASE WHEN isnan(b) THEN 0 ELSE abs(b - c) END)')} END AS max_abs FROM v GROUP BY signal_id", S, NAN)
+def residual_nan(spark, d):
+    out = regress.residual(*_nan_runs(spark, d))
+    return out.select("signal_id", F.when(F.col("max_abs") != float("inf"), r6(F.col("max_abs"))).alias("max_abs"))
+
+
+@query("SELECT group_id, stage_ordinal::INTEGER AS stage_ordinal, 'last' AS metric, CASE WHEN stage_ordinal = 1 THEN NOT (bool_or(isnan(b)) OR bool_or(isnan(c))) ELSE NOT bool_or(isnan(b)) END AS within FROM (SELECT * FROM v JOIN (SELECT max(signal_id) AS signal_id FROM s GROUP BY group_id) USING (signal_id)) CROSS JOIN range(0, 2) x(stage_ordinal) WHERE idx = 5 GROUP BY group_id, stage_ordinal", S, NAN)
+def diff_metrics_nan(spark, d):
+    """The sixth sample of each group's last signal as the metric of stage 1, and of the base against itself as that of stage 0."""
+    base, candidate = _nan_runs(spark, d)
+    last = base.groupBy("group_id").agg(F.max("signal_id").alias("signal_id"))
+    of = lambda df, k: df.join(last, ["group_id", "signal_id"]).where("idx = 5").select("group_id", F.lit(k).alias("stage_ordinal"), F.lit("last").alias("metric"), "value")
+    return regress.diff_metrics(of(base, 0).unionByName(of(base, 1)), of(base, 0).unionByName(of(candidate, 1)), 0.0, 2e-3).drop("difference")
+
+
+@query("SELECT group_id, CASE WHEN len(why) = 0 THEN 'matches' ELSE 'deviates' END AS verdict, array_to_string(list_sort(list_distinct(why)), ',') AS reasons FROM (SELECT group_id, coalesce(list(reason) FILTER (reason IS NOT NULL), []) AS why FROM (SELECT group_id, unnest(CASE WHEN group_id = 9 THEN ['only in candidate'] WHEN group_id % 3 = 0 AND signal_id % 2 = 1 THEN ['signal s' || signal_id || ' at -1', 'signal s' || signal_id || ' at 0', CASE WHEN abs(max(abs(value + 0.01)) - max(abs(value))) * 2 > 0.001 THEN 'metric s' || signal_id || '.peak at 0' END, 'metric s' || signal_id || '.offset_removed at 1'] ELSE [NULL] END) AS reason FROM s GROUP BY group_id, signal_id) GROUP BY group_id)", S)
+def run_verdicts(spark, d):
+    """A recorded run, promoted, against one on other input: an offset on some signals, which the second stage (not kept) takes away, and one more group."""
+    b, folder = _bundle(spark, d), f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    moved = F.when((F.col("group_id") % 3 == 0) & (F.col("signal_id") % 2 == 1), F.col("value") + 0.01).otherwise(F.col("value"))
+    plan = [pipeline.Stage("gain", {"gain": 2.0}), pipeline.Stage("detrend", retention="never"), pipeline.Stage("threshold", {"level": 0.3})]
+    pipeline.write_run(pipeline.run_groups(b.of_groups_without(b.signals.where("group_id = 9").select("group_id").distinct()), plan), folder, "before", plan)
+    pipeline.write_run(pipeline.run_groups(pipeline.Bundle(b.samples.withColumn("value", moved), b.signals), plan), folder, "after", plan)
+    named = regress.promote(spark.createDataFrame([], "name string, run_id string, abs_tol double, rel_tol double"), "golden", "before", 1e-3, 0.0)
+    return comparison.check_baseline(spark, folder, named, "golden", "after").verdicts().select("group_id", "verdict", "reasons")
+
+
+@query("SELECT label AS group_id, s::INTEGER AS stage_ordinal, CASE WHEN label % 2 = 1 THEN 'fresh' WHEN s <= 1 THEN 'copied' ELSE 'fresh' END AS origin, count(*) AS signals FROM embeddings CROSS JOIN range(0, 4) x(s) GROUP BY ALL")
+def run_resumed(spark, d):
+    """A run of four stages after its third was edited: even groups go on from it, odd ones have other input. origin: whether a stage's samples are the earlier run's."""
+    b, folder = _bundle(spark, d), f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    plan = lambda g: [pipeline.Stage("detrend"), pipeline.Stage("threshold", {"level": 0.1}), pipeline.Stage("gain", {"gain": g}), pipeline.Stage("detrend", {"mode": "linear"})]
+    before = pipeline.Bundle(b.samples.withColumn("value", F.when(F.col("group_id") % 2 == 1, F.col("value") + 0.5 * F.col("idx")).otherwise(F.col("value"))), b.signals)
+    pipeline.run_incremental(before, plan(2.0), folder, "r1")
+    again = pipeline.run_incremental(b, plan(3.0), folder, "r2")
+    kept = spark.read.parquet(f"{folder}/run_signals").where("run_id = 'r2' AND stage_ordinal >= 0").groupBy("group_id", "stage_ordinal").agg(F.count("*").alias("signals"))
+    ran = again.signals.where("stage_ordinal >= 0").select("group_id", "stage_ordinal", F.lit("fresh").alias("origin")).distinct()
+    return kept.join(ran, ["group_id", "stage_ordinal"], "left").withColumn("origin", F.coalesce("origin", F.lit("copied"))).select("group_id", "stage_ordinal", "origin", "signals")
+
+
+RATES = "q AS (SELECT group_id, signal_id, idx, value, CASE WHEN group_id % 2 = 1 THEN 128.0 ELSE 64.0 END::DOUBLE AS hz FROM s)"
+RATED = "edge AS (SELECT *, sum(CASE WHEN o AND NOT prev THEN 1 ELSE 0 END) OVER (PARTITION BY signal_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, value >= 0.1 AS o, coalesce(lag(value >= 0.1) OVER (PARTITION BY signal_id ORDER BY idx), false) AS prev FROM q)), det AS (SELECT group_id, signal_id, any_value(hz) AS hz, min(idx) AS a, max(idx) + 1 AS b FROM edge WHERE o GROUP BY group_id, signal_id, isl)"
+
+
+def _rates(spark, d):
+    """The signals of odd groups at twice the rate."""
+    b = _bundle(spark, d)
+    fast = F.when(F.col("group_id") % 2 == 1, 2 * RATE_HZ).otherwise(RATE_HZ)
+    return pipeline.Bundle(b.samples.withColumn("t_s", F.col("idx") / fast), b.signals.withColumn("rate_hz", fast))
+
+
+@query(f"SELECT group_id, count(*)::DOUBLE AS detections, {r('max((b - a) / hz)')} AS widest_s, {r('avg((b - a) / hz)')} AS width_mean, {r('sum((b - a) / hz) / (64 / any_value(hz))')} AS duty FROM det GROUP BY group_id", S, RATES, RATED)
+def rates_detections(spark, d):
+    run = pipeline.run_groups(_rates(spark, d), [pipeline.Stage("threshold", {"level": 0.1}), pipeline.Stage("pulse_metrics")])
+    m = run.metrics.groupBy("group_id").pivot("name", ["detections", "widest_s", "width_mean", "duty"]).agg(F.first("value"))
+    return rounded(m, "widest_s", "width_mean", "duty")
+
+
+@query(f"SELECT group_id, signal_id, {r('arg_max(k, (p, -k)) * any_value(hz) / 64')} AS peak_hz FROM (SELECT group_id, signal_id, k, any_value(hz) AS hz, round((pow(sum(value * cos(2 * pi() * k * idx / 64)), 2) + pow(sum(value * sin(2 * pi() * k * idx / 64)), 2)) * CASE WHEN k IN (0, 32) THEN 0.25 ELSE 1 END, 9) AS p FROM q CROSS JOIN range(0, 33) x(k) GROUP BY group_id, signal_id, k) GROUP BY group_id, signal_id", S, RATES)
+def rates_spectrum(spark, d):
+    run = pipeline.run_groups(_rates(spark, d), [pipeline.Stage("fft", {"window": "rect"})])
+    return rounded(stages.spectrum_metrics(run.artifacts[0, "spectrum"]).select("group_id", "signal_id", "peak_hz"), "peak_hz")
+
+
+@query(f"SELECT group_id, signal_id, count(*) AS symbols, {r('max(t)')} AS last_s, count(*) FILTER (value > 0) AS ones FROM (SELECT *, idx / hz AS t, hz / 16 AS ratio FROM q) WHERE floor((ceil(idx / ratio - 0.5) + 0.5) * ratio) = idx GROUP BY group_id, signal_id", S, RATES)
+def rates_symbols(spark, d):
+    """Sixteen symbols a second, of which signals at twice the rate have half as many."""
+    run = pipeline.run_groups(_rates(spark, d), [pipeline.Stage("symbols", {"symbol_rate_hz": 16.0, "align": "start"})])
+    out = run.artifacts[0, "symbols"].groupBy("group_id", "signal_id").agg(F.count("*").alias("symbols"), F.max("t_s").alias("last_s"), F.sum("symbol").alias("ones"))
+    return rounded(out, "last_s")
+
+
+@query("SELECT group_id, signal_id, count(*) AS peaks, round(min(idx / hz), 6)::DOUBLE AS first_s FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM q WINDOW w AS (PARTITION BY signal_id ORDER BY idx)) WHERE a < value AND b < value GROUP BY group_id, signal_id", S, RATES)
+def rates_peaks(spark, d):
+    run = pipeline.run_groups(_rates(spark, d), [pipeline.Stage("peaks")])
+    return rounded(run.artifacts[0, "peaks"].groupBy("group_id", "signal_id").agg(F.count("*").alias("peaks"), F.min("time_s").alias("first_s")), "first_s")
+
+
+@query(f"SELECT group_id, signal_id, {r('sum(value)')} AS total FROM (SELECT group_id, signal_id, value * CASE WHEN group_id % 2 = 1 THEN b128 ELSE b64 END AS value FROM q, (SELECT (1 - cos(2 * pi() * 8 / 64)) / 2 / (1 + sin(2 * pi() * 8 / 64) / sqrt(2)) AS b64, (1 - cos(2 * pi() * 8 / 128)) / 2 / (1 + sin(2 * pi() * 8 / 128) / sqrt(2)) AS b128) WHERE idx = 0) GROUP BY group_id, signal_id", S, RATES)
+def rates_filter(spark, d):
+    """The first output of each signal is its first sample times the first coefficient for the signal's own rate."""
+    run = pipeline.run_groups(_rates(spark, d), [pipeline.Stage("filter", {"cutoff_hz": 8.0})])
+    return rounded(run.last.samples.where("idx = 0").select("group_id", "signal_id", F.col("value").alias("total")), "total")
+
+
+@query("SELECT signal_id, idx, bit FROM (SELECT signal_id, idx, coalesce(last_value(CASE WHEN value > 0.07 THEN 1 WHEN value < -0.03 THEN 0 END IGNORE NULLS) OVER (PARTITION BY signal_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 0)::INTEGER AS bit FROM s)", S)
+def slice_blocks(spark, d):
+    """Levels sliced in blocks of eight samples, each taking over what the blocks before leave."""
+    return stages.slice_levels(samples(spark, d), 0.02, 0.1, block=8).select("signal_id", "idx", "bit")
