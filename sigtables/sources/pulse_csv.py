@@ -6,6 +6,7 @@ import csv
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,43 +72,194 @@ def _renamed(labels: list[str], keys: list[str], rules: Mapping[str, Rule]) -> l
     return [None if r.skip else r.key or k for r, k in zip(own, keys, strict=True)]
 
 
+#: Files up to so many bytes are framed as a whole, each by one task; longer ones in splits.
+SMALL = 64 << 20
+#: Rows that leave a task at once.
+BATCH = 20_000
+ROWS = pa.schema([("path", pa.string()), ("group_ord", pa.int32()), ("row", pa.int32()), ("line", pa.int64()), ("offset", pa.int64()), ("declared", pa.int32()), ("attributes", pa.map_(pa.string(), pa.string())), ("fields", pa.map_(pa.string(), pa.string())), ("name", pa.string()), ("time", pa.string()), ("time_label", pa.string()), ("time_key", pa.string())])
+ROWS_DDL = "path string, group_ord int, row int, line long, offset long, declared int, attributes map<string,string>, fields map<string,string>, name string, time string, time_label string, time_key string"
+
+
+@dataclass(frozen=True)
+class Header:
+    """What a file's two headers say: delimiter, labels and keys (None: left out) of both kinds of rows, and the columns of count, name and time."""
+
+    sep: str
+    attributes: list[str | None]
+    pulse_labels: list[str]
+    fields: list[str | None]
+    count: int | None
+    name: int | None
+    time: int | None
+    wrong: str | None
+
+    @staticmethod
+    def read(group: str, pulse: str, profile: Profile) -> Header:
+        sep = max(DELIMITERS, key=lambda d: (len(cells(group, d)), -DELIMITERS.index(d)))
+        labels, pulse_labels = cells(group, sep), cells(pulse, sep)
+        keys, pulse_keys = [_key(x) for x in labels], [_key(x) for x in pulse_labels]
+        count = _place(keys, labels, profile.count, COUNT)
+        name = _place(keys, labels, profile.name, NAME, count)
+        time = _place(pulse_keys, pulse_labels, profile.time, TIME)
+        wrong = "no count column" if count is None else "no time column" if time is None else "a column without a name" if "" in keys + pulse_keys else None
+        return Header(sep, _told_apart(_renamed(labels, keys, profile.group_rules)), pulse_labels, _told_apart(_renamed(pulse_labels, pulse_keys, profile.pulse_rules)), count, name, time, wrong)
+
+
+def _told_apart(keys: list[str | None]) -> list[str | None]:
+    """keys, of which the second of a kind gets _2, the third _3, so that no column is lost."""
+    out: list[str | None] = []
+    for k in keys:
+        n, new = 1, k
+        while new is not None and new in out:
+            n += 1
+            new = f"{k}_{n}"
+        out.append(new)
+    return out
+
+
+def line_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) of each line of a text; ends are LF, CRLF or CR."""
+    feed, back = np.flatnonzero(data == 10), np.flatnonzero(data == 13)
+    lone = back[(back + 1 == len(data)) | (data[np.minimum(back + 1, len(data) - 1)] != 10)]
+    at = np.sort(np.concatenate([feed, lone]))
+    start = np.concatenate([[0], at + 1])
+    end = np.append(at - ((data[at] == 10) & (at > 0) & (data[np.maximum(at - 1, 0)] == 13)), len(data))
+    return (start, end) if start[-1] < len(data) else (start[:-1], end[:-1])
+
+
+def framed(path: str, content: bytes, profile: Profile, most_lines: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of one file, in order. Errors name the byte where the file begins to be something else."""
+    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        raise ValueError(f"{path}, byte 0: UTF-16")
+    first = 3 if content.startswith(b"\xef\xbb\xbf") else 0
+    start, end = line_ends(np.frombuffer(content, np.uint8)[first:])
+    header: Header | None = None
+    begun, seen, group, row, take = "", 0, -1, 0, 0
+    out: list[list] = [[] for _ in ROWS]
+    maps = {"attributes": ([0], [], []), "fields": ([0], [], [])}
+    wanted: dict[str, list[tuple[int, str]]] = {}
+
+    def batch() -> pa.RecordBatch:
+        made = {n: pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(k, pa.string()), pa.array(v, pa.string())) for n, (at, k, v) in maps.items()}
+        whole = pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.array(c, f.type) for f, c in zip(ROWS, out, strict=True)], schema=ROWS)
+        for c in out:
+            c.clear()
+        maps.update({"attributes": ([0], [], []), "fields": ([0], [], [])})
+        return whole
+
+    for number, (a, b) in enumerate(zip((start + first).tolist(), (end + first).tolist(), strict=True), 1):
+        try:
+            text = content[a:b].decode()
+        except UnicodeDecodeError as e:
+            raise ValueError(f"{path}, line {number}, byte {a + e.start}: not UTF-8") from e
+        bare = text.strip(" ")
+        if number <= profile.preamble or not bare or bare[0] == "#":
+            continue
+        if most_lines is not None and seen >= most_lines:
+            break
+        seen += 1
+        if seen == 1:
+            begun = text
+            continue
+        if header is None:
+            header = Header.read(begun, text, profile)
+            if header.wrong:
+                raise ValueError(f"{path}: {header.wrong}")
+            wanted = {n: [(i, k) for i, k in enumerate(keys) if k is not None] for n, keys in (("attributes", header.attributes), ("fields", header.fields))}
+            width, time_label, time_key = len(header.pulse_labels), header.pulse_labels[header.time], header.fields[header.time]
+            continue
+        cell = cells(text, header.sep)
+        if own := group < 0 or row == take or len(cell) != width:
+            told = cell[header.count].strip() if header.count < len(cell) else ""
+            take = int(told) if told.isascii() and told.isdigit() and len(told) <= 9 else None
+            group, row = group + 1, 0
+        kind, other = ("attributes", "fields") if own else ("fields", "attributes")
+        at, keys, values = maps[kind]
+        for i, k in wanted[kind]:
+            if i < len(cell):
+                keys.append(k)
+                values.append(cell[i])
+        at.append(len(keys))
+        maps[other][0].append(maps[other][0][-1])
+        fixed = (path, group, -1 if own else row, number, a, take if own else None, None, None, (cell[header.name] if header.name is not None and header.name < len(cell) else None) if own else None, None if own else cell[header.time], time_label, time_key)
+        for c, v in zip(out, fixed, strict=True):
+            c.append(v)
+        row += not own
+        if len(out[0]) >= BATCH:
+            yield batch()
+    if out[0]:
+        yield batch()
+
+
 def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, block, line (from 1) and value of each line; large files are read in splits. Ends are LF, CRLF or CR.
+    """path, block, line (from 1), offset (its first byte) and value of each line; large files are read in splits. Ends are LF, CRLF or CR.
 
-    A file in UTF-16 or a line that isn't UTF-8 is an error that names the line.
+    A file in UTF-16 or a line that isn't UTF-8 is an error that names the line and its byte. A task counts the lines and
+    bytes of its split; what stands before a split is added from those counts, a row for each split.
     """
-    meta, v = F.col("_metadata"), F.col("value")
-    good = F.is_valid_utf8(v)
-    raw = spark.read.text(paths).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), good.alias("good"), F.when(v.startswith("\ufeff"), F.substring(v, 2, 1 << 30)).otherwise(v).alias("value"))
-    d = numbered(raw, "line").withColumn("line", F.col("line") + 1)
-    wrong = F.raise_error(F.format_string("%s, line %d: not UTF-8", F.col("path"), F.col("line"))).cast("string")
-    return d.withColumn("value", F.when(~F.col("good"), wrong).otherwise(F.col("value"))).drop("good")
+    meta = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n").text(paths).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"), F.col("value").cast("binary").alias("value"))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, line, byte = None, 0, 0
+        for batch in batches:
+            rows = []
+            for path, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (path, block) != where:
+                    where, line, byte = (path, block), 0, 0
+                pieces = value.removesuffix(b"\r").split(b"\r")
+                at = byte
+                for x in pieces:
+                    rows.append((path, block, line, at, x))
+                    line, at = line + 1, at + len(x) + 1
+                byte += len(value) + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["path", "block", "_line", "_byte", "value"])
+
+    own = raw.drop("size").mapInArrow(local, "path string, block long, _line long, _byte long, value binary")
+    sizes = raw.groupBy("path", "block").agg(F.sum(F.octet_length("value") + 1).alias("_bytes"), F.sum(F.size(F.split(F.regexp_replace(F.decode("value", "ISO-8859-1"), "\r$", ""), "\r"))).alias("_lines"), F.max("size").alias("_size"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    # Spark's reader leaves out a byte order mark, which shows in the bytes that a file has beyond its lines (its last end may lack)
+    mark = F.when(F.col("_size") - F.sum("_bytes").over(W.partitionBy("path")) >= 2, 3).otherwise(0)
+    starts = sizes.select("path", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_lines", "_bytes")))
+    starts = starts.join(sizes.select("path", "block", mark.alias("_mark")), ["path", "block"])
+    d = own.join(F.broadcast(starts), ["path", "block"])
+    d = d.select("path", "block", (F.col("_line") + F.col("_lines_before") + 1).alias("line"), (F.col("_byte") + F.col("_bytes_before") + F.col("_mark")).alias("offset"), "value")
+    wrong = F.raise_error(F.format_string("%s, line %d, byte %d: not UTF-8", "path", "line", "offset")).cast("string")
+    return d.withColumn("value", F.when(F.is_valid_utf8(F.col("value").cast("string")), F.col("value").cast("string")).otherwise(wrong))
 
 
 def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_lines: int | None = None) -> DataFrame:
-    """path, group_ord, row (-1: a group's own), line, declared, attributes, fields and, as they stand, cells and labels, of all rows.
+    """path, group_ord, row (-1: a group's own), line, offset, declared, attributes, fields, name, time and the time's label and key, of all rows.
 
     A row of another width than the pulse header ends a block early and begins the next group; a count that can't be
-    read means: up to the next such row. Files are framed in parallel, a bucket of lines a task. most_lines: only the first
-    lines of each file that are neither empty nor comments, headers included, for a look at it.
+    read means: up to the next such row. Files of up to SMALL bytes are framed whole, each by one task; longer ones in splits, a
+    bucket of lines a task. most_lines: only the first lines of each file that are neither empty nor comments, headers
+    included, for a look at it.
     """
+    files = spark.read.format("binaryFile").load(paths)
+    large = [r.path for r in files.where(F.col("length") > SMALL).select("path").collect()]  # names, as a listing has them
+
+    def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from framed(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), profile, most_lines)
+
+    small = files.where(F.col("length") <= SMALL).select("path", "content").mapInArrow(frame, ROWS_DDL)
+    return small.unionByName(rows_in_splits(spark, large, profile, most_lines)) if large else small
+
+
+def rows_in_splits(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_lines: int | None = None) -> DataFrame:
+    """read_rows() of files of any length, each read and framed by many tasks."""
     body = lines_of(spark, paths).where((F.col("line") > profile.preamble) & (F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     body = numbered(body, "n").drop("block").where(F.lit(True) if most_lines is None else F.col("n") < most_lines)
     heads = body.where("n < 2").groupBy("path").agg(F.max(F.when(F.col("n") == 0, F.col("value"))).alias("g"), F.max(F.when(F.col("n") == 1, F.col("value"))).alias("p"))
 
-    @F.pandas_udf("sep string, labels array<string>, attributes array<string>, pulse_labels array<string>, fields array<string>, count int, name int, time int, wrong string")
+    @F.pandas_udf("sep string, attributes array<string>, pulse_labels array<string>, fields array<string>, count int, name int, time int, wrong string")
     def resolved(group: pd.Series, pulse: pd.Series) -> pd.DataFrame:
-        out = []
-        for g, p in zip(group, pulse, strict=True):
-            sep = max(DELIMITERS, key=lambda d: (len(cells(g, d)), -DELIMITERS.index(d)))
-            labels, pulse_labels = cells(g, sep), cells(p, sep)
-            keys, pulse_keys = [_key(x) for x in labels], [_key(x) for x in pulse_labels]
-            count = _place(keys, labels, profile.count, COUNT)
-            name = _place(keys, labels, profile.name, NAME, count)
-            time = _place(pulse_keys, pulse_labels, profile.time, TIME)
-            wrong = "no count column" if count is None else "no time column" if time is None else "a column without a name" if "" in keys + pulse_keys else None
-            out.append((sep, labels, _renamed(labels, keys, profile.group_rules), pulse_labels, _renamed(pulse_labels, pulse_keys, profile.pulse_rules), count, name, time, wrong))
-        return pd.DataFrame(out, columns=["sep", "labels", "attributes", "pulse_labels", "fields", "count", "name", "time", "wrong"]).astype({c: "Int32" for c in ("count", "name", "time")})
+        out = [Header.read(g, p, profile) for g, p in zip(group, pulse, strict=True)]
+        names = ("sep", "attributes", "pulse_labels", "fields", "count", "name", "time", "wrong")
+        return pd.DataFrame([[getattr(h, n) for n in names] for h in out], columns=names).astype({c: "Int32" for c in ("count", "name", "time")})
 
     @F.pandas_udf("array<string>")
     def split(value: pd.Series, sep: pd.Series) -> pd.Series:
@@ -127,7 +279,7 @@ def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Pr
     none = F.create_map().cast("map<string,string>")
     own = F.col("row") < 0
     return d.select(
-        "path", "group_ord", "row", "line", F.when(own, F.col("declared")).alias("declared"),
+        "path", "group_ord", "row", "line", "offset", F.when(own, F.col("declared")).alias("declared"),
         F.when(own, keyed(F.col("h.attributes"))).otherwise(none).alias("attributes"), F.when(~own, keyed(F.col("h.fields"))).otherwise(none).alias("fields"),
         F.when(own, F.get("cells", F.col("h.name"))).alias("name"), F.when(~own, F.get("cells", F.col("h.time"))).alias("time"),
         F.get("h.pulse_labels", F.col("h.time")).alias("time_label"), F.get("h.fields", F.col("h.time")).alias("time_key"),
@@ -135,21 +287,22 @@ def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Pr
 
 
 def read_pulse_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups, pulses, diagnostics). Missing and unreadable cells are NaN; diagnostics has count mismatches and unreadable cells.
+    """(groups, pulses, diagnostics). Missing and unreadable cells are NaN; diagnostics has count mismatches and unreadable cells,
+    with the line and the byte at which it begins.
 
     If strict, a count mismatch or an unreadable time is an error before anything is returned; an unreadable field never is.
     """
     rows = read_rows(spark, paths, profile)
-    pulses = rows.where("row >= 0").select("path", "group_ord", F.col("row").alias("idx"), (cell_number(F.col("time")) * UNIT_S[profile.toa_unit]).alias("toa_s"), "fields", "line")
+    pulses = rows.where("row >= 0").select("path", "group_ord", F.col("row").alias("idx"), (cell_number(F.col("time")) * UNIT_S[profile.toa_unit]).alias("toa_s"), "fields", "line", "offset")
     actual = pulses.groupBy("path", "group_ord").agg(F.count("*").alias("actual_count"), F.min_by("toa_s", "idx").alias("t0_s"))
-    groups = rows.where("row < 0").select("path", "group_ord", "name", "declared", "attributes", "line").join(actual, ["path", "group_ord"], "left")
+    groups = rows.where("row < 0").select("path", "group_ord", "name", "declared", "attributes", "line", "offset").join(actual, ["path", "group_ord"], "left")
     groups = groups.withColumn("actual_count", F.coalesce("actual_count", F.lit(0).cast("long"))).withColumn("declared_count", F.coalesce("declared", "actual_count")).drop("declared")
-    counts = groups.where("declared_count != actual_count").select("path", "group_ord", "line", F.lit(None).cast("string").alias("column"), F.format_string("declares %d pulses and has %d", F.col("declared_count"), F.col("actual_count")).alias("message"))
+    counts = groups.where("declared_count != actual_count").select("path", "group_ord", "line", "offset", F.lit(None).cast("string").alias("column"), F.format_string("declares %d pulses and has %d", F.col("declared_count"), F.col("actual_count")).alias("message"))
     text = [k for label, r in profile.pulse_rules.items() if r.text for k in (r.key, _key(label)) if k]
     entry = F.explode(F.map_entries("fields")).alias("e")
-    bad = rows.where("row >= 0").select("path", "group_ord", "line", "time_key", entry).where(cell_unreadable(F.col("e.value")) & (~F.col("e.key").isin(text) if text else F.lit(True)))
+    bad = rows.where("row >= 0").select("path", "group_ord", "line", "offset", "time_key", entry).where(cell_unreadable(F.col("e.value")) & (~F.col("e.key").isin(text) if text else F.lit(True)))
     kind = F.when(F.col("e.key") == F.col("time_key"), "unreadable time ").otherwise("unreadable field ")
-    found = bad.select("path", "group_ord", "line", F.col("e.key").alias("column"), F.concat(kind, "e.value").alias("message"))
+    found = bad.select("path", "group_ord", "line", "offset", F.col("e.key").alias("column"), F.concat(kind, "e.value").alias("message"))
     wrong = counts.unionByName(found)
     if strict and (first := wrong.where("message NOT LIKE 'unreadable field%'").agg(F.min_by(F.struct("path", "line", "message"), F.struct("path", "line")).alias("w")).first().w):
         raise ValueError(f"{first.path}, line {first.line}: {first.message}")

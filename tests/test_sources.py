@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sigtables.functions.scalars import cell_number, normalise_key, to_seconds
 from sigtables.operators import catalog, generate, profile, regress, stages
@@ -24,6 +25,41 @@ def test_csv_framing(spark, tmp_path):
             pulse_csv.read_rows(spark, str(tmp_path / "bad.csv")).collect()
 
 
+def test_csv_small_and_large_files_are_framed_alike(spark, tmp_path, monkeypatch):
+    rnd = random.Random(7)
+    for k, (end, bom) in enumerate((("\n", ""), ("\r\n", "\ufeff"), ("\r", ""), ("\n", "\ufeff"))):
+        lines = ["preamble é", "# no", "Name;NRec;note;note", "TOA;level;level;lévél"]
+        for _ in range(60):
+            lines.append(rnd.choice(["# c", "", "   ", "g;3;a;b", "g;x;a;b", "g;2;a", f"1;2;{rnd.random()};x", "2;na;\"q;\"\"é\";4", "3;1_0;5;6", "4;5;6;7"]))
+        (tmp_path / f"f{k}.csv").write_bytes((bom + end.join(lines) + end * (k % 2)).encode())
+    read = lambda f: sorted(map(str, f(spark, str(tmp_path)).withColumn("path", F.substring_index("path", "/", -1)).collect()))
+    whole = read(pulse_csv.read_rows)
+    monkeypatch.setattr(pulse_csv, "SMALL", 0)
+    assert read(pulse_csv.read_rows) == whole and len(whole) > 100
+    rows = pulse_csv.read_rows(spark, str(tmp_path))
+    for r in rows.where("row >= 0").collect():
+        raw = (tmp_path / r.path.rsplit("/", 1)[1]).read_bytes()
+        assert raw[r.offset :].decode().startswith(r.time)
+    assert {k for r in rows.collect() for k in r.fields} == {"toa", "level", "level_2", "l_v_l"} and {k for r in rows.collect() for k in r.attributes} == {"name", "nrec", "note", "note_2"}
+
+
+def test_csv_errors_name_the_byte(spark, tmp_path, monkeypatch):
+    good = b"x\nid,n\ntoa,v\ng,1\n1,2\n"
+    (tmp_path / "a.csv").write_bytes(good + b"g,2\n1,\xff\n")
+    (tmp_path / "b.csv").write_bytes(b"\xff\xfe" + good)
+    (tmp_path / "c.csv").write_bytes(good + b"h,1\n1,2d\n")
+    with pytest.raises(Exception, match=f"line 7, byte {len(good) + 6}: not UTF-8"):
+        pulse_csv.read_rows(spark, str(tmp_path / "a.csv")).collect()
+    with pytest.raises(Exception, match="byte 0: UTF-16"):
+        pulse_csv.read_rows(spark, str(tmp_path / "b.csv")).collect()
+    wrong = pulse_csv.read_pulse_csv(spark, str(tmp_path / "c.csv"))[2].collect()
+    assert [(r.line, r.offset, r.column) for r in wrong] == [(7, len(good) + 4, "v")]
+    monkeypatch.setattr(pulse_csv, "SMALL", 0)
+    assert pulse_csv.read_pulse_csv(spark, str(tmp_path / "c.csv"))[2].collect()[0].offset == len(good) + 4
+    with pytest.raises(Exception, match="not UTF-8"):
+        pulse_csv.read_rows(spark, str(tmp_path / "a.csv")).collect()
+
+
 def test_csv_strict_and_sniff(spark, tmp_path):
     (tmp_path / "a.csv").write_text(FILE)
     with pytest.raises(ValueError, match="declares 4"):
@@ -84,7 +120,7 @@ def test_peaks(spark):
 def test_pipeline_checks():
     P = pipeline.Stage
     assert pipeline.issues([P("gain", {"x": 1}), P("none"), P("am")]) == ["stage 0: no parameter x", "stage 1: no kind none", "stage 2: carrier_hz is missing", "stage 2: depth is missing"]
-    wrong = [P("gain", {"gain": "2"}), P("filter", {"cutoff_hz": -1.0, "rate_hz": 8.0, "sections": 9, "response": "comb"}), P("pulse_metrics", {"rate_hz": 8.0}), P("gain", {"gain": True}, retention="now")]
+    wrong = [P("gain", {"gain": "2"}), P("filter", {"cutoff_hz": -1.0, "sections": 9, "response": "comb"}), P("pulse_metrics"), P("gain", {"gain": True}, retention="now")]
     assert pipeline.issues(wrong) == ["stage 0: gain: a float is needed", "stage 1: response: one of low, high, band, notch", "stage 1: cutoff_hz: out of range", "stage 1: sections: out of range", "stage 2: needs detections, which no stage before it gives", "stage 3: gain: a float is needed", "stage 3: retention: always, on_failure or never"]
     assert pipeline.issues([P("gain", enabled=False)]) == ["no stage is enabled"]
     assert pipeline.stage_keys([P("gain")]) == pipeline.stage_keys([P("gain", {"gain": 1.0})]) and pipeline.pipeline_hash([P("gain")]) != pipeline.pipeline_hash([P("gain", {"gain": 2.0})])
