@@ -5,6 +5,9 @@ whose anchor stands at more than one place are sorted at all. Runs of neighbouri
 of that anchor as one piece of text, so that all suffixes that can be equal up to the threshold meet there. There the ranks
 of 8-byte prefixes are doubled: positions are ranked by pairs of ranks at offsets 8, 16 and so on up to the threshold, and
 positions whose rank is unique drop out.
+
+An anchor with more than HOT different runs, as one inside a passage that a large share of the documents have, would fill its
+part with them. Its strings are sent one by one, each to the part of its own hash, where only equal strings meet.
 """
 
 from __future__ import annotations
@@ -23,9 +26,15 @@ from sigtables.llm._text import BYTE_CODE, anchors, blocks, mix, powers, rolling
 
 CHUNK = 4 << 20
 GRAM = 16
+#: Different runs of an anchor that may meet in one part; 50,000 take some 400 MB there.
+HOT = 50_000
 
+KEYS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
+KEYS_DDL = "part int, chunk int, keys binary, times binary"
+REPEATED = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
 SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("strings", pa.binary()), ("runs", pa.binary()), ("owners", pa.binary()), ("anchors", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("size", pa.int64())])
-EARLIER = pa.schema([("chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("masks", pa.binary())])
+EARLIER = pa.schema([("chunk", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("masks", pa.binary()), ("part", pa.int32()), ("hot", pa.binary())])
+EARLIER_DDL = "chunk int, first binary, second binary, masks binary, part int, hot binary"
 
 
 class Runs:
@@ -52,14 +61,30 @@ class Runs:
         self.start = np.flatnonzero(new & inside)
         self.count = breaks[np.searchsorted(breaks, self.start, side="right")] - self.start if m else self.start
         self.text, self.value = text[self.start], value[self.start]
-        end = self.start + self.count + length - 1
-        keys = []
+        self.length, self.codes = length, codes
+        self.first, self.second = self.keys(self.start, self.count)
+        self.end = self.start + self.count + length - 1
+
+    def keys(self, start: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of the bytes that runs cover."""
+        n, end, out = len(self.data), start + count + self.length - 1, []
         for which in (0, 1):
             total = np.zeros(n + 1, np.uint64)
-            np.cumsum(codes * powers(n, which), out=total[1:])
-            keys.append(mix((total[end] - total[self.start]) * powers(n + 1, which, True)[self.start] + self.count.astype(np.uint64)))
-        self.first, self.second = keys
-        self.end = end
+            np.cumsum(self.codes * powers(n, which), out=total[1:])
+            out.append(mix((total[end] - total[start]) * powers(n + 1, which, True)[start] + count.astype(np.uint64)))
+        return out
+
+    def cut(self, hot: np.ndarray) -> None:
+        """Makes a run of each string of hot runs, with the string's own hash for an anchor; the others come first."""
+        if not hot.any():
+            return
+        count = self.count[hot]
+        start = np.repeat(self.start[hot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        one = np.ones(len(start), self.count.dtype)
+        first, second = self.keys(start, one)
+        more = {"start": start, "count": one, "text": np.repeat(self.text[hot], count), "value": first, "first": first, "second": second, "end": start + self.length}
+        for name, x in more.items():
+            setattr(self, name, np.concatenate([getattr(self, name)[~hot], x]))
 
 
 def doubled_ranks(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +174,35 @@ def compare(table: pa.Table, length: int) -> pa.Table:
     for c, a, b in zip(table.column("chunk").to_pylist(), edges, edges[1:], strict=False):
         k = np.flatnonzero(masks[a:b]) + a
         if len(k):
-            out.append((c, first[k].tobytes(), second[k].tobytes(), masks[k].tobytes()))
+            out.append((c, first[k].tobytes(), second[k].tobytes(), masks[k].tobytes(), -1, b""))
     return X.table_of(EARLIER, out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) -> DataFrame:
+def repeated(table: pa.Table, hot: int) -> pa.Table:
+    """chunk, part, keys and hot: of the anchors that each chunk sent, those with several different runs in all chunks, and of these those with more than `hot`."""
+    sent, times = X.joined(table, "keys", "<u4"), X.joined(table, "times", "<u2")
+    keys, at = np.unique(sent, return_inverse=True)
+    total = np.bincount(at, weights=times, minlength=len(keys))[at]
+    edges, rows = np.cumsum([0, *(len(x) // 4 for x in table.column("keys").to_pylist())]), []
+    for c, p, a, b in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), edges, edges[1:], strict=False):
+        own, n = sent[a:b], total[a:b]
+        rows.append((c, p, own[n > 1].tobytes(), own[n > hot].tobytes()))
+    return X.table_of(REPEATED, (r for r in rows if r[2]))
+
+
+def hot_keys(answers: pa.Table) -> np.ndarray:
+    rows = zip(answers.column("part").to_pylist(), answers.column("hot").to_pylist(), strict=True)
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(X.numbers(k, "<u4").astype(np.uint64) | (np.uint64(part) << np.uint64(32)) for part, k in rows if k)]))
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False, most_runs: int = HOT) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay; text itself is unchanged.
 
     A byte of a text's UTF-8 goes if a string of `length` bytes covers it that also starts in a document with a smaller
     doc_id, judged on the input. n_spans counts maximal removed runs. kept is binary, as a cut may part a character; if `readable`, it is a string without the characters that
-    a cut parts.
+    a cut parts. An anchor with more than `most_runs` different runs has its strings sent one by one.
 
-    A null text counts as empty; texts under `length` bytes are untouched; a null doc_id counts as larger than any; rows
+    A null text counts as empty; an empty table stays empty; texts under `length` bytes are untouched; a null doc_id counts as larger than any; rows
     with equal ids don't count as each other's repeats. Columns of docs of these names are replaced.
     """
     if not GRAM < length <= GRAM + 63 - 12:
@@ -176,14 +218,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
             yield Runs(own[lo:hi], length), who[lo:hi], own[lo:hi]
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        return X.send_keys(table.column("chunk")[0].as_py(), np.concatenate([r.value for r, _, _ in runs_of(table)]), key_parts)
+        """The anchors of a chunk and how many different runs of it each has."""
+        value, first, second = (np.concatenate(c) for c in zip(*((r.value, r.first, r.second) for r, _, _ in runs_of(table)), strict=True))
+        order = np.lexsort((second, first))
+        edge = np.ones(len(order), bool)
+        edge[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+        keys, times = np.unique(X.coded(value[order[edge]], key_parts), return_counts=True)
+        columns = [keys.astype(np.uint32), np.minimum(times, 65535).astype(np.uint16)]
+        return X.table_of(KEYS, ((part, table.column("chunk")[0].as_py(), k.tobytes(), t.tobytes()) for part, (k, t) in X.dealt(keys >> np.uint64(32), key_parts, columns)))
 
     def send_runs(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
             return SENT.empty_table()
-        known, held = X.known(answers), []
+        known, hot, held = X.known(answers), hot_keys(answers), []
         for r, who, _ in runs_of(docs_):
-            k = np.flatnonzero(X.among(X.coded(r.value, key_parts), known))
+            codes = X.coded(r.value, key_parts)
+            asked, of_hot = X.among(codes, known), X.among(codes, hot)
+            r.cut(of_hot)
+            k = np.flatnonzero(np.append(asked[~of_hot], np.ones(len(r.start) - int((~of_hot).sum()), bool)))
             strings = np.array([r.raw[a:b] for a, b in zip(r.start[k].tolist(), r.end[k].tolist(), strict=True)], object)
             held.append((strings, r.count[k].astype(np.uint8), who[r.text[k]], r.value[k], r.first[k], r.second[k].astype(np.uint32)))
         strings, count, owner, value, first, second = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -205,11 +257,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
     out = T.StructType([*chunked.drop("chunk").schema, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if readable else T.BinaryType())])
 
     def remove(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        held = list(runs_of(docs_))
+        held, hot = list(runs_of(docs_)), hot_keys(answers)
+        for r, _, _ in held:
+            r.cut(X.among(X.coded(r.value, key_parts), hot))
+            r.codes = None  # not needed from here on
         first, second, owner = (np.concatenate(c) if held else np.zeros(0, np.uint64) for c in (([r.first for r, _, _ in held]), [r.second for r, _, _ in held], [w[r.text] for r, w, _ in held]))
         count = np.concatenate([r.count for r, _, _ in held]) if held else np.zeros(0, np.int64)
         masks = np.zeros(len(first), np.uint64)
-        if answers.num_rows:
+        if len(X.joined(answers, "first")):
             a, b, m = X.joined(answers, "first"), X.joined(answers, "second", "<u4"), X.joined(answers, "masks")
             order = np.argsort(a)
             pos = order[np.minimum(np.searchsorted(a[order], first), len(a) - 1)]
@@ -239,9 +294,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, readable: bool = False) ->
             table = table.append_column(name, pa.array(values, kind))
         return table
 
-    anchored = X.repeated(chunked.groupBy("chunk").applyInArrow(send_anchors, "part int, chunk int, keys binary, often binary"))
+    anchored = chunked.groupBy("chunk").applyInArrow(send_anchors, KEYS_DDL).groupBy("part").applyInArrow(lambda t: repeated(t, most_runs), "chunk int, part int, keys binary, hot binary")
     sent = X.with_answers(chunked, anchored, send_runs, "part int, chunk int, strings binary, runs binary, owners binary, anchors binary, first binary, second binary, size long")
-    gone = sent.groupBy("part").applyInArrow(lambda t: compare(t, length), "chunk int, first binary, second binary, masks binary")
+    gone = sent.groupBy("part").applyInArrow(lambda t: compare(t, length), EARLIER_DDL)
+    none = [F.lit(b"").alias(c) for c in ("first", "second", "masks")]
+    gone = gone.unionByName(anchored.where(F.octet_length("hot") > 0).select("chunk", *none, "part", "hot"))
     return X.answered(docs, X.with_answers(chunked, gone, remove, out), ["n_bytes", "n_removed", "n_spans", "kept"])
 
 

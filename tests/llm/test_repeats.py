@@ -41,6 +41,9 @@ def test_bytes_against_brute_force(spark, seed):
         want.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     got = repeated_bytes.digest(spark.createDataFrame([(d, t, "k", "c") for d, t in rows], SCHEMA)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+    many = spark.createDataFrame([(d, t, "k", "c") for d, t in rows], SCHEMA)
+    plain, strings = (repeated_bytes.remove_repeats(many, most_runs=n).select("doc_id", "n_removed", "n_spans", "kept").collect() for n in (repeated_bytes.HOT, 2))
+    assert sorted(map(str, plain)) == sorted(map(str, strings))
 
 
 @pytest.mark.parametrize("seed", [1, 2])
