@@ -160,12 +160,13 @@ def links_of(found: list[tuple[bytes, bytes]]) -> pa.Table:
 
 
 def _star(table: pa.Table) -> pa.Table:
-    """Links between the text of side 0 and those of side 1."""
+    """Links between the text of side 0 (each of them, if a hash confuses two) and the others."""
     sides, nodes = table.column("side").to_pylist(), table.column("node").to_pylist()
-    if 0 not in sides or 1 not in sides:
+    middle = [i for i, s in enumerate(sides) if s == 0]
+    if not middle or len(sides) < 2:
         return LINKS.empty_table()
-    own, middle = list(words_of(unpacked(table))), sides.index(0)
-    return links_of([(nodes[middle], nodes[i]) for i, s in enumerate(sides) if s == 1 and similarity(own[i], own[middle]) >= SIMILAR - 1e-9])
+    own = list(words_of(unpacked(table)))
+    return links_of([(nodes[m], nodes[i]) for m in middle for i, s in enumerate(sides) if (s == 1 or i > m) and similarity(own[i], own[m]) >= SIMILAR - 1e-9])
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -299,24 +300,26 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     texts = docs.select("node", "text")
     sketched = kept(texts.mapInArrow(_sketched, "node binary, bytes long, sketches array<long>, body binary").groupBy("node").agg(*(F.first(c).alias(c) for c in ("bytes", "sketches", "body"))))
-    placed = sketched.select("node", "bytes", F.explode("sketches").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min_by("node", F.xxhash64("node")).alias("center")).where("n > 1")
+    # candidates go by a 64-bit hash of the node: two nodes that it confuses only get each other's candidates too
+    sketched = sketched.withColumn("h", F.xxhash64("node"))
+    placed = sketched.select("h", "bytes", F.explode("sketches").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("h").alias("center")).where("n > 1")
     # a center's texts are those of its buckets, at most 2 * BLOCK to a block, fewer where its buckets overlap
     k = F.ceil(F.greatest(F.sum("n") / (2 * BLOCK), F.sum("bytes") / (2 * BLOCK_BYTES)))
     shared = shared.select("bucket", "n", "center").join(shared.groupBy("center").agg(k.alias("k")), "center")
-    places = placed.join(shared, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "center", "n", "k")).alias("places"))
+    places = placed.select("h", "bucket").join(shared, "bucket").groupBy("h").agg(F.collect_list(F.struct("bucket", "center", "n", "k")).alias("places"))
     # a row a text from here on: its places, SKETCHES at most, are taken apart only after it has met its text or component
-    bodies = kept(sketched.select("node", "bytes", "body").join(places, "node"))
+    bodies = kept(sketched.select("h", "node", "bytes", "body").join(places, "h"))
 
-    stars = bodies.select("node", "body", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["center"].alias("center"), p["k"].alias("k"))))).alias("star"))
-    stars = stars.select("star.*", "node", "body")
-    own = stars.where("center = node").select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), "node", F.lit(0).alias("side"), "body")
-    others = stars.where("center != node").select("center", F.pmod(F.xxhash64("node"), "k").alias("salt"), "node", F.lit(1).alias("side"), "body")
+    stars = bodies.select("h", "node", "body", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["center"].alias("center"), p["k"].alias("k"))))).alias("star"))
+    stars = stars.select("star.*", "h", "node", "body")
+    own = stars.where("center = h").select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), "node", F.lit(0).alias("side"), "body")
+    others = stars.where("center != h").select("center", F.pmod("h", "k").alias("salt"), "node", F.lit(1).alias("side"), "body")
     links = kept(own.union(others).groupBy("center", "salt").applyInArrow(_star, "a binary, b binary"))
 
     first = components(links)
-    named = bodies.select("node", "bytes", "places").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = named.select("node", "bytes", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("node")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "bytes", "component")
+    named = bodies.select("h", "node", "bytes", "places").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = named.select("node", "bytes", "component", F.explode(F.filter("places", lambda p: (p["center"] != F.col("h")) & (p["n"] > 2))).alias("p")).select("p.bucket", "node", "bytes", "component")
     dealt = meetings(left, BLOCK, BLOCK_BYTES)
     more = dealt.join(bodies.select("node", "body"), "node").groupBy("bucket", "kind", "i", "j").applyInArrow(_compare, "a binary, b binary")
     second = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
