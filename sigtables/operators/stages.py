@@ -242,6 +242,70 @@ def spectrum(signals: DataFrame, rate_hz: float | str, window: str = "hann", siz
     return found.select(*KEY, F.inline(F.arrays_zip("k", "freq_hz", "magnitude_db", "phase_rad")))
 
 
+def window_at(name: str, k: np.ndarray, n: int) -> np.ndarray:
+    """The window of n samples at places k."""
+    return sum((-1) ** i * a * np.cos(i * (2 * np.pi / n) * k) for i, a in enumerate(WINDOWS[name]))
+
+
+def window_sum(name: str, n: int) -> float:
+    """The cosines of a whole number of turns, of more samples than terms, add up to nothing."""
+    return float(window_values(name, n).sum()) if n <= 8 else WINDOWS[name][0] * n
+
+
+def long_spectrum(samples: DataFrame, rate_hz: float | str, window: str = "hann", size: int = 0, columns: int = 256) -> DataFrame:
+    """spectrum() of samples (idx without gaps), for signals of any length: no task holds a whole one.
+
+    A transform of a * b points, a and b powers of two, is a matrix of a rows of b samples. Tasks take `columns` of its columns and
+    transform them, times the turns that lead from columns to rows; one shuffle deals the results out by rows; tasks then
+    transform rows, whose number k and place m are the point k + a * m.
+    """
+    keys = [samples.schema[c] for c in KEY]
+    spans = samples.groupBy(*KEY).agg((F.max("idx") + 1).alias("_n"))
+    used = F.least(F.lit(size), F.col("_n")) if size else F.col("_n")
+    spans = spans.withColumn("_used", used.cast("long"))
+    spans = spans.withColumn("_power", F.when(F.col("_used") > 1, F.length(F.bin(F.col("_used") - 1))).otherwise(0).cast("int"))
+    spans = spans.withColumn("_b", F.expr("shiftleft(1L, _power - _power div 2)"))
+    d = samples.withColumn("_rate", rate_column(rate_hz)).join(spans.drop("_n"), list(KEY)).where(F.col("idx") < F.col("_used"))
+    d = d.select(*KEY, F.expr(f"(idx % _b) div {columns}").alias("_part"), "idx", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"), "_used", "_power", "_rate")
+    middle = T.StructType([*keys, *(T.StructField(c, t) for c, t in (("_rows", T.LongType()), ("_part", T.LongType()), ("_used", T.LongType()), ("_power", T.IntegerType()), ("_rate", T.DoubleType()), ("cells", T.BinaryType())))])
+
+    def by_columns(table: pa.Table) -> pa.Table:
+        used, power, part, rate = (table.column(c)[0].as_py() for c in ("_used", "_power", "_part", "_rate"))
+        a, b = 1 << power // 2, 1 << power - power // 2
+        idx, value = table.column("idx").to_numpy(), table.column("value").to_numpy()
+        first, wide = part * columns, min(columns, b - part * columns)
+        x = np.zeros((a, wide))
+        x[idx // b, idx % b - first] = value * window_at(window, idx, used)
+        turned = np.fft.fft(x, axis=0) * np.exp(-2j * np.pi / (1 << power) * (np.arange(a)[:, None] * (first + np.arange(wide))[None, :]))
+        rows = range(0, a, columns)
+        n = len(rows)
+        own = [pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in KEY]
+        return pa.Table.from_arrays([*own, *(pa.array(v, t) for v, t in ((range(n), pa.int64()), ([part] * n, pa.int64()), ([used] * n, pa.int64()), ([power] * n, pa.int32()), ([rate] * n, pa.float64()), ([turned[r : r + columns].tobytes() for r in rows], pa.binary())))], [*KEY, "_rows", "_part", "_used", "_power", "_rate", "cells"])
+
+    out = T.StructType([*keys, *(T.StructField(c, t) for c, t in (("k", T.IntegerType()), ("freq_hz", T.DoubleType()), ("magnitude_db", T.DoubleType()), ("phase_rad", T.DoubleType())))])
+
+    def by_rows(table: pa.Table) -> pa.Table:
+        used, power, rows, rate = (table.column(c)[0].as_py() for c in ("_used", "_power", "_rows", "_rate"))
+        a, b = 1 << power // 2, 1 << power - power // 2
+        tall = min(columns, a - rows * columns)
+        x = np.zeros((tall, b), complex)
+        for part, cells in zip(table.column("_part").to_pylist(), table.column("cells").to_pylist(), strict=True):
+            block = np.frombuffer(cells, complex).reshape(tall, -1)
+            x[:, part * columns : part * columns + block.shape[1]] = block
+        x = np.fft.fft(x, axis=1)
+        k = (rows * columns + np.arange(tall))[:, None] + a * np.arange(b)[None, :]
+        half = k <= (1 << power) // 2
+        x, k = x[half], k[half]
+        size_db = np.abs(x) / window_sum(window, used)
+        size_db[(k > 0) & (k < (1 << power) / 2)] *= 2
+        db = np.maximum(20 * np.log10(np.maximum(size_db, 1e-300)), -300)
+        own = [pa.array([table.column(c)[0].as_py()] * len(k), table.schema.field(c).type) for c in KEY]
+        return pa.Table.from_arrays([*own, pa.array(k, pa.int32()), pa.array(k * (rate / (1 << power))), pa.array(db), pa.array(np.angle(x))], out.fieldNames())
+
+    turned = d.groupBy(*KEY, "_part").applyInArrow(by_columns, middle)
+    return turned.groupBy(*KEY, "_rows").applyInArrow(by_rows, out)
+
+
 def spectrum_metrics(spectra: DataFrame) -> DataFrame:
     """peak_hz, peak_db, peak_phase_rad and fft_size of each signal's spectrum; of equal peaks the lowest."""
     best = F.max_by(F.struct("freq_hz", "magnitude_db", "phase_rad"), F.struct("magnitude_db", (-F.col("k")).alias("k")))

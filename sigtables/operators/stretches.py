@@ -66,10 +66,11 @@ def carried(state: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def runs_of(decide: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Describe:
-    """Describes stretches of t_s and value by the stays in state 1: head, first_on, last_on, runs.
+    """Describes stretches of t_s and value by the stays in state 1: head, first_on, last_on, left, right, inner.
 
     decide(values) gives (what is measured, decision: 1, 0 or -1 for as before). head: the samples before the first decision,
-    whose state is that in which the stretch begins; runs: the stays after it.
+    whose state is that in which the stretch begins; left: the stay that follows it at once, or that begins the stretch; right:
+    another one that ends the stretch; inner: those between, which are whole.
     """
 
     def describe(first: np.ndarray, data: list[np.ndarray]) -> list[pa.Array]:
@@ -83,42 +84,49 @@ def runs_of(decide: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> De
         top = np.maximum.reduceat(np.where(np.isnan(values), -np.inf, values), piece)
         of = np.searchsorted(first, piece, side="right") - 1
         low, high = np.searchsorted(of, np.arange(len(first))), np.searchsorted(of, np.arange(len(first)), side="right") - 1
-        fields = [times[piece], times[end], top]
         head = kind[low] == -1
         begun = np.where(head, np.minimum(low + 1, len(kind) - 1), low)
         decided = ~head | (high > low)
-        on = kind == 1
-        edges = np.concatenate([[0], np.cumsum(on)])[np.append(low, len(kind))]
+        first_on, last_on = (kind[begun] == 1) & decided, (kind[high] == 1) & decided
+        inner = kind == 1
+        inner[begun[first_on]] = False
+        inner[high[last_on]] = False
+        edges = np.concatenate([[0], np.cumsum(inner)])[np.append(low, len(kind))]
+
+        def stay(at: np.ndarray, there: np.ndarray | None = None) -> pa.StructArray:
+            return pa.StructArray.from_arrays([pa.array(f[at]) for f in (times[piece], times[end], top)], ["start_s", "end_s", "peak"], mask=None if there is None else pa.array(~there))
+
         return [
-            pa.StructArray.from_arrays([pa.array(f[low]) for f in fields], ["start_s", "end_s", "peak"], mask=pa.array(~head)),
-            pa.array(kind[begun] == 1, mask=~decided),
-            pa.array(kind[high] == 1, mask=~decided),
-            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(f[on]) for f in fields], ["start_s", "end_s", "peak"])),
-        ]
+            stay(low, head), pa.array(first_on, mask=~decided), pa.array(last_on, mask=~decided), stay(begun, first_on), stay(high, last_on & ~(first_on & (begun == high))),
+            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), stay(inner)),
+        ]
 
     return describe
 
 
 STAY = "struct<start_s:double,end_s:double,peak:double>"
-RUNS = f"head {STAY}, first_on boolean, last_on boolean, runs array<{STAY}>"
+RUNS = f"head {STAY}, first_on boolean, last_on boolean, left {STAY}, right {STAY}, inner array<{STAY}>"
 
 
 def stays(stretches: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, start_s, end_s and peak of each stay in state 1, from stretches that runs_of() describes; signals begin in state 0.
 
-    The state in which a stretch begins is the last that stretches before it leave. Stays inside a stretch are whole; only those
-    that meet an end of theirs, three a stretch at most, are put together along the signal.
+    The state in which a stretch begins is the last that stretches before it leave. Only stays that meet an end of theirs, three a
+    stretch at most, are put together along the signal; whole ones stand apart, in a part for each stretch, so that a signal
+    of many stays is many parts. One shuffle of stays serves all.
     """
-    d = stretches.withColumn("_in", F.coalesce(F.last("last_on", ignorenulls=True).over(W.partitionBy(*by).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(False)))
-    joins = F.col("_in") & F.coalesce("first_on", F.lit(True))
-    head = F.struct(F.lit(-1).alias("n"), F.col("head").alias("stay"), F.lit(True).alias("goes_on"), F.coalesce("first_on", F.lit(True)).alias("open"))
-    inner = F.transform("runs", lambda x, i: F.struct(i.alias("n"), x.alias("stay"), ((i == 0) & F.col("first_on") & joins).alias("goes_on"), ((i == F.size("runs") - 1) & F.col("last_on")).alias("open")))
-    pieces = F.concat(F.when(F.col("_in") & F.col("head").isNotNull(), F.array(head)).otherwise(F.array().cast(f"array<struct<n:int,stay:{STAY},goes_on:boolean,open:boolean>>")), inner)
-    d = d.select(*by, "at", F.explode(pieces).alias("p")).select(*by, "at", "p.n", "p.stay.*", "p.goes_on", "p.open")
-    whole = d.where("NOT goes_on AND NOT open").select(*by, "start_s", "end_s", "peak")
-    edges = d.where("goes_on OR open").withColumn("_id", F.sum((~F.col("goes_on")).cast("int")).over(W.partitionBy(*by).orderBy("at", "n").rowsBetween(W.unboundedPreceding, 0)))
-    met = edges.groupBy(*by, "_id").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("peak").alias("peak")).drop("_id")
-    return whole.unionByName(met)
+    outer = ("head", "first_on", "last_on", "left", "right")
+    kinds = {c: stretches.schema[c].dataType for c in outer}
+    edge = F.struct(F.lit(-1).cast("long").alias("part"), F.lit(None).cast(STAY).alias("stay"), *outer)
+    whole = F.transform("inner", lambda x: F.struct(F.col("at").alias("part"), x.alias("stay"), *(F.lit(None).cast(kinds[c]).alias(c) for c in outer)))
+    d = stretches.select(*by, "at", F.explode(F.concat(F.array(edge), whole)).alias("x")).select(*by, "at", "x.*")
+    w = W.partitionBy(*by, "part")
+    d = d.withColumn("_in", F.coalesce(F.last("last_on", ignorenulls=True).over(w.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(False)))
+    pieces = [(F.when(F.col("_in"), F.col("head")), F.lit(True)), (F.col("left"), F.col("_in")), (F.col("right"), F.lit(False)), (F.col("stay"), F.lit(False))]
+    found = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), p.alias("stay"), on.alias("goes_on")) for n, (p, on) in enumerate(pieces))), lambda p: p["stay"].isNotNull())
+    d = d.select(*by, "part", "at", F.explode(found).alias("p")).select(*by, "part", "at", "p.n", "p.stay.*", "p.goes_on")
+    d = d.withColumn("_id", F.sum((~F.col("goes_on")).cast("int")).over(w.orderBy("at", "n").rowsBetween(W.unboundedPreceding, 0)))
+    return d.groupBy(*by, "part", "_id").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("peak").alias("peak")).drop("part", "_id")
 
 
 def changes(first: np.ndarray, data: list[np.ndarray]) -> list[pa.Array]:

@@ -18,6 +18,8 @@ from sigtables.operators import generate, stages
 from sigtables.operators.profile import summarise
 
 KEY = ["group_id", "signal_id"]
+#: Samples from which a signal is transformed by many tasks.
+LONG = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -210,9 +212,12 @@ def _filter(b: Bundle, response: str, cutoff_hz: float, q: float, sections: int)
 
 
 def _fft(b: Bundle, signal: str, window: str, size: int) -> Outputs:
-    regular = b.signals.where("rate_hz IS NOT NULL")
-    arrays = stages.to_blocks(_rated(_of(b, signal), regular), 1 << 40, "_rate").select(*KEY, "values", "_rate")
-    spectra = stages.spectrum(arrays, "_rate", window, size)
+    """Signals of up to LONG samples are transformed in one row each, longer ones by many tasks."""
+    rated = _rated(_of(b, signal), b.signals.where("rate_hz IS NOT NULL"))
+    spans = rated.groupBy(*KEY).agg((F.max("idx") >= LONG).alias("_long"))
+    rated = rated.join(spans, KEY)
+    arrays = stages.to_blocks(rated.where("NOT _long"), 1 << 40, "_rate").select(*KEY, "values", "_rate")
+    spectra = stages.spectrum(arrays, "_rate", window, size).unionByName(stages.long_spectrum(rated.where("_long").drop("_long"), "_rate", window, size))
     return Outputs(artifacts={"spectrum": spectra}, metrics=named(long(stages.spectrum_metrics(spectra), "peak_hz", "peak_db", "peak_phase_rad", "fft_size"), b.signals), failed=_without(b, signal), notes=_irregular(b.signals, "no spectrum was computed"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sigtables.functions.expressions import expression
 from sigtables.functions.scalars import normalise_key, r6
 from sigtables.model import RATE_HZ, pulses, samples, shared_folder, signals, table
-from sigtables.operators import catalog, generate, library, profile, regress, specs, stages
+from sigtables.operators import catalog, generate, library, profile, regress, specs, stages, transaction
 from sigtables.plans import comparison, pipeline
 from sigtables.sources import pulse_csv
 from sigtables.streaming import events as streaming
@@ -138,6 +138,13 @@ def spectrum(spark, d):
     return out.select("signal_id", "k", "freq_hz", (F.round("magnitude_db", 3) + F.lit(0.0)).alias("magnitude_db"))
 
 
+@query("SELECT signal_id, k::INTEGER AS k, k::DOUBLE AS freq_hz, round(20 * log10(greatest(sqrt(pow(sum(value * w * cos(2 * pi() * k * idx / 64)), 2) + pow(sum(value * w * sin(2 * pi() * k * idx / 64)), 2)) / 32 * (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END), 1e-15)), 3) + 0.0::DOUBLE AS magnitude_db FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * idx / 64) AS w FROM s) CROSS JOIN range(0, 33) b(k) GROUP BY signal_id, k", S)
+def spectrum_long(spark, d):
+    """By tasks that hold two columns or rows of a signal's matrix each."""
+    out = stages.long_spectrum(samples(spark, d), RATE_HZ, columns=2)
+    return out.select("signal_id", "k", "freq_hz", (F.round("magnitude_db", 3) + F.lit(0.0)).alias("magnitude_db"))
+
+
 def _window_sql(window: str) -> str:
     w = " + ".join(f"({(-1) ** i * a!r})::DOUBLE * cos(2 * pi() * {i} * idx / 64)" for i, a in enumerate(stages.WINDOWS[window]))
     half = "(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END)"
@@ -1071,3 +1078,54 @@ def rates_filter(spark, d):
 def slice_blocks(spark, d):
     """Levels sliced in blocks of eight samples, each taking over what the blocks before leave."""
     return stages.slice_levels(samples(spark, d), 0.02, 0.1, block=8).select("signal_id", "idx", "bit")
+
+
+@query("SELECT 'user, \"' || user_id || '\"' AS name, count(*) AS pulses, 1::BIGINT AS failed FROM events GROUP BY user_id")
+def stream_ingest(spark, d):
+    """A watched folder with a file that can't be read among others: seen at the first look, read at the second."""
+    folder, rules = _csv(spark, d)
+    spark.createDataFrame([("x",), ("a,b",), ("c,d",)], "value string").coalesce(1).write.mode("append").text(folder)
+    at = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    for _ in range(2):
+        ledger = streaming.scan_folder(spark, folder, f"{at}/ledger", f"{at}/out", rules)
+    failed = ledger.agg(F.count_if(F.col("state") == "failed").alias("failed"))
+    names = spark.read.parquet(f"{at}/out/groups").select("path", "group_ord", "name")
+    return spark.read.parquet(f"{at}/out/pulses").join(names, ["path", "group_ord"]).groupBy("name").agg(F.count("*").alias("pulses")).crossJoin(F.broadcast(failed))  # one row
+
+
+@query("SELECT user_id::VARCHAR AS name, event_type AS type, count(*) AS n FROM events GROUP BY user_id, event_type")
+def csv_headers(spark, d):
+    """Another delimiter, and columns of count, time and name that are found by what they are called."""
+    p = pulses(spark, d).withColumn("idx", F.row_number().over(W.partitionBy("group_id").orderBy("toa_s", "pulse_id")) - 1).withColumnRenamed("group_id", "group_ord").withColumn("ms", F.col("toa_s") * 1000)
+    groups = p.select("group_ord", F.col("group_ord").cast("string").alias("name")).distinct()
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    pulse_csv.write_pulse_csv(groups, p, folder, ["event_type"], time="ms", whole=True, sep=";", labels=("Group ID", "Num. Pulses", "Time of Arrival"))
+    own, found, _ = pulse_csv.read_pulse_csv(spark, folder, pulse_csv.Profile(toa_unit="ms", pulse_rules={"event_type": pulse_csv.Rule(text=True)}))
+    return found.join(own.select("path", "group_ord", "name"), ["path", "group_ord"]).groupBy("name", F.col("fields")["event_type"].alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 'd' AS dataset, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS train, user_id AS group_id, dense_rank() OVER (PARTITION BY user_id % 2 ORDER BY user_id)::INTEGER - 1 AS group_ord, count(*) AS pulses, {r('max(value)')} AS high FROM events GROUP BY user_id")
+def library_commit(spark, d):
+    """A dataset with two trains, published at once; a later commit that fails on its second table shows nothing of its first."""
+    path = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+    p = pulses(spark, d).withColumn("idx", F.row_number().over(W.partitionBy("group_id").orderBy("toa_s", "pulse_id")) - 1)
+    transaction.add_dataset(spark, path, "d", p.withColumn("train", F.when(F.col("group_id") % 2 == 0, "even").otherwise("odd")), ("value",))
+    there = transaction.tables(spark, path)
+    try:
+        transaction.commit(spark, path, {"groups": there["groups"], "fields": there["fields"].withColumn("low", F.raise_error(F.lit("broken")).cast("double"))})
+    except Exception as e:  # the failure is what is shown here
+        assert "broken" in str(e)
+    there = transaction.tables(spark, path)
+    high = there["fields"].select("group_id", "high")
+    return rounded(there["groups"].join(high, "group_id").select("dataset", "train", "group_id", "group_ord", "pulses", "high"), "high")
+
+
+@query("SELECT signal_id, word, bits, printf('%02x', value) AS hex, value FROM (SELECT signal_id, idx // 8 AS word, string_agg((value > 0)::INTEGER::VARCHAR, '' ORDER BY idx) AS bits, sum((value > 0)::BIGINT << (7 - idx % 8)::INTEGER)::BIGINT AS value FROM s GROUP BY signal_id, idx // 8)", S)
+def bitpack_hex(spark, d):
+    sign = samples(spark, d).select("group_id", "signal_id", F.col("idx").alias("k"), (F.col("value") > 0).cast("int").alias("symbol"))
+    return stages.pack_bits(sign, 8).select("signal_id", "word", "bits", "hex", "value")
+
+
+@query("SELECT group_id, signal_id, idx, round(t_s, 6)::DOUBLE AS t_s, round(value, 6)::DOUBLE + 0.0::DOUBLE AS value FROM s", S)
+def passthrough(spark, d):
+    return rounded(pipeline.run(samples(spark, d), [pipeline.Stage("passthrough")]), "t_s", "value").select("group_id", "signal_id", "idx", "t_s", "value")

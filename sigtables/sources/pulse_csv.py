@@ -229,13 +229,14 @@ def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return d.withColumn("value", F.when(F.is_valid_utf8(F.col("value").cast("string")), F.col("value").cast("string")).otherwise(wrong))
 
 
-def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_lines: int | None = None) -> DataFrame:
+def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_lines: int | None = None, noted: bool = False) -> DataFrame:
     """path, group_ord, row (-1: a group's own), line, offset, declared, attributes, fields, name, time and the time's label and key, of all rows.
 
     A row of another width than the pulse header ends a block early and begins the next group; a count that can't be
     read means: up to the next such row. Files of up to SMALL bytes are framed whole, each by one task; longer ones in splits, a
     bucket of lines a task. most_lines: only the first lines of each file that are neither empty nor comments, headers
-    included, for a look at it.
+    included, for a look at it. noted: a column error, with which a file of up to SMALL bytes that can't be read has a row
+    (after those before its error), instead of an error.
     """
     files = spark.read.format("binaryFile").load(paths)
     large = [r.path for r in files.where(F.col("length") > SMALL).select("path").collect()]  # names, as a listing has them
@@ -243,10 +244,22 @@ def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Pr
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from framed(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), profile, most_lines)
-
-    small = files.where(F.col("length") <= SMALL).select("path", "content").mapInArrow(frame, ROWS_DDL)
-    return small.unionByName(rows_in_splits(spark, large, profile, most_lines)) if large else small
+                path, error = batch.column(0)[i].as_py(), None
+                try:
+                    for rows in framed(path, batch.column(1)[i].as_py(), profile, most_lines):
+                        yield rows.append_column("error", pa.nulls(rows.num_rows, pa.string())) if noted else rows
+                except ValueError as e:
+                    if not noted:
+                        raise
+                    error = str(e)
+                if error:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.nulls(1, f.type) for f in ROWS if f.name != "path"), pa.array([error])], [*ROWS.names, "error"])
+
+    small = files.where(F.col("length") <= SMALL).select("path", "content").mapInArrow(frame, ROWS_DDL + (", error string" if noted else ""))
+    if not large:
+        return small
+    split = rows_in_splits(spark, large, profile, most_lines)
+    return small.unionByName(split.withColumn("error", F.lit(None).cast("string")) if noted else split)
 
 
 def rows_in_splits(spark: SparkSession, paths: str | list[str], profile: Profile = Profile(), most_lines: int | None = None) -> DataFrame:
@@ -292,7 +305,11 @@ def read_pulse_csv(spark: SparkSession, paths: str | list[str], profile: Profile
 
     If strict, a count mismatch or an unreadable time is an error before anything is returned; an unreadable field never is.
     """
-    rows = read_rows(spark, paths, profile)
+    return tables_of(read_rows(spark, paths, profile), profile, strict)
+
+
+def tables_of(rows: DataFrame, profile: Profile = Profile(), strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, pulses, diagnostics) of read_rows()."""
     pulses = rows.where("row >= 0").select("path", "group_ord", F.col("row").alias("idx"), (cell_number(F.col("time")) * UNIT_S[profile.toa_unit]).alias("toa_s"), "fields", "line", "offset")
     actual = pulses.groupBy("path", "group_ord").agg(F.count("*").alias("actual_count"), F.min_by("toa_s", "idx").alias("t0_s"))
     groups = rows.where("row < 0").select("path", "group_ord", "name", "declared", "attributes", "line", "offset").join(actual, ["path", "group_ord"], "left")
@@ -360,10 +377,11 @@ def sniff_csv(spark: SparkSession, paths: str | list[str], profile: Profile = Pr
     return kinds.select("path", "column", F.when(F.col("whole"), "integer").when(F.col("number"), "number").otherwise("text").alias("kind"))
 
 
-def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: list[str], preamble: str = "# pulses", time: str = "toa_us", unit: str = "us", whole: bool = False) -> None:
+def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: list[str], preamble: str = "# pulses", time: str = "toa_us", unit: str = "us", whole: bool = False, sep: str = ",", labels: tuple[str, str, str] = ("name", "count", "time")) -> None:
     """groups(group_ord, name) and pulses(group_ord, idx, a time, fields) as text whose parts, in order, are one file.
 
-    whole: each part is a file of its own instead, with the preamble and the headers before its groups.
+    whole: each part is a file of its own instead, with the preamble and the headers before its groups. labels: of the
+    columns of name, count and time.
 
     The time is a column in the file's unit, or toa_s in seconds, written with as few decimals as read back the same. Null
     and NaN are empty cells, whole numbers have no fraction, and what would be read otherwise stands in quotes.
@@ -372,12 +390,12 @@ def write_pulse_csv(groups: DataFrame, pulses: DataFrame, path: str, fields: lis
     types = dict(pulses.dtypes)
 
     def text(c: str) -> Column:
-        return F.coalesce(quoted(F.col(c)) if types[c] == "string" else cell_text(F.col(c).cast("double")), F.lit(""))
+        return F.coalesce(quoted(F.col(c), sep) if types[c] == "string" else cell_text(F.col(c).cast("double")), F.lit(""))
 
     first = F.coalesce(shortest_time(F.col(time), UNIT_S[unit]), F.lit("")) if time == "toa_s" else text(time)
-    own = groups.join(n, "group_ord", "left").select("group_ord", F.lit(-1).alias("idx"), F.concat(F.coalesce(quoted(F.col("name")), F.lit("")), F.lit(","), F.coalesce("n", F.lit(0)).cast("string")).alias("value"))
-    rows = pulses.select("group_ord", F.col("idx").cast("int").alias("idx"), F.concat_ws(",", first, *[text(c) for c in fields]).alias("value"))
-    lines = [preamble, "name,count", ",".join(["time", *fields])]
+    own = groups.join(n, "group_ord", "left").select("group_ord", F.lit(-1).alias("idx"), F.concat(F.coalesce(quoted(F.col("name"), sep), F.lit("")), F.lit(sep), F.coalesce("n", F.lit(0)).cast("string")).alias("value"))
+    rows = pulses.select("group_ord", F.col("idx").cast("int").alias("idx"), F.concat_ws(sep, first, *[text(c) for c in fields]).alias("value"))
+    lines = [preamble, sep.join(labels[:2]), sep.join([labels[2], *fields])]
     if whole:
 
         def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

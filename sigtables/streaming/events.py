@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sigtables.model import kept
 from sigtables.operators.catalog import search_pulses
-from sigtables.sources.pulse_csv import Profile, read_pulse_csv
+from sigtables.sources.pulse_csv import Profile, read_rows, tables_of
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +107,7 @@ def scan_folder(spark: SparkSession, folder: str, ledger: str, out: str, profile
     """One look at a watched folder: takes in the files that have settled and returns the new ledger.
 
     Only csv, txt and tsv files of the folder itself count. Files older than adopt_before are adopted without being read. A
-    file is read when its length and time are what they were at the last look; its groups and pulses are appended under
+    file is read when its length and time are what they were at the last look, all such files by one job; its groups and pulses are appended under
     out. One that fails is noted with its message and doesn't keep others from being read; one that vanishes is
     forgotten, so that it counts as new when it comes back. The ledger (path, length, modified, state, message) is a
     table of its own for each look, the latest of which counts.
@@ -122,22 +123,21 @@ def scan_folder(spark: SparkSession, folder: str, ledger: str, out: str, profile
     same = (F.col("length") == F.col("_l")) & (F.col("modified") == F.col("_m"))
     adopted = F.lit(False) if adopt_before is None else F.col("_s").isNull() & (F.col("modified") < F.lit(adopt_before))
     state = F.when(adopted, "adopted").when(F.col("_s").isin("adopted", "read", "failed") & same, F.col("_s")).when(same & (F.col("_s") == "seen"), "settled").otherwise("seen")
-    now = seen.join(old, "path", "left").select("path", "length", "modified", state.alias("state"), "message").collect()  # a row a file of one folder
-    rows = []
-    for f in now:
-        message, kind = f.message, f.state
-        if kind == "settled":
-            try:
-                groups, pulses, _ = read_pulse_csv(spark, f.path, profile)
-                groups.write.mode("append").parquet(f"{out}/groups")
-                pulses.write.mode("append").parquet(f"{out}/pulses")
-                kind, message = "read", None
-            except Exception as e:  # a bad file is its own failure, the others are still read
-                kind, message = "failed", str(e).split("\n")[0][:500]
-        rows.append((f.path, f.length, f.modified, kind, message))
-    table = spark.createDataFrame(rows, LEDGER)
-    table.coalesce(1).write.parquet(f"{ledger}/{looks[-1] + 1 if looks else 0}")
-    return table
+    now = kept(seen.join(old, "path", "left").select("path", "length", "modified", state.alias("state"), "message"))
+    settled = [r.path for r in now.where("state = 'settled'").select("path").collect()]  # names, as a listing has them
+    told = spark.createDataFrame([], "path string, error string")
+    if settled:
+        rows = kept(read_rows(spark, settled, profile, noted=True))
+        told = rows.where("error IS NOT NULL").select("path", "error")
+        groups, pulses, _ = tables_of(rows.join(told.select("path"), "path", "left_anti"), profile)
+        groups.write.mode("append").parquet(f"{out}/groups")
+        pulses.write.mode("append").parquet(f"{out}/pulses")
+    done = F.when(F.col("state") != "settled", F.col("state")).when(F.col("error").isNull(), "read").otherwise("failed")
+    message = F.when(F.col("state") != "settled", F.col("message")).otherwise(F.substring("error", 1, 500))
+    table = now.join(told, "path", "left").select("path", "length", "modified", done.alias("state"), message.alias("message"))
+    number = looks[-1] + 1 if looks else 0
+    table.coalesce(1).write.parquet(f"{ledger}/{number}")
+    return spark.read.schema(LEDGER).parquet(f"{ledger}/{number}")
 
 
 def stream_pulse_csv(spark: SparkSession, folder: str, checkpoint: str, out: str, every: str = "10 seconds", profile: Profile = Profile(), adopt_before: datetime | None = None) -> StreamingQuery:

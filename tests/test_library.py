@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sigtables.functions.expressions import expression
 from sigtables.functions.scalars import cell_text, narrowed, quoted, shortest_time
-from sigtables.operators import catalog, generate, library, profile, regress, specs, stages
+from sigtables.operators import catalog, generate, library, profile, regress, specs, stages, transaction
 from sigtables.plans import pipeline
 from sigtables.sources import framing, pulse_csv
 from sigtables.streaming import events as streaming
@@ -489,6 +489,47 @@ def test_a_watched_folder(spark, tmp_path):
     assert look()["new.csv"] == "seen"
 
 
+def test_commits_show_all_tables_or_none(spark, tmp_path):
+    path, one = str(tmp_path / "lib"), spark.createDataFrame([(1,)], "a long")
+    assert transaction.tables(spark, path) == {} == transaction.versions(spark, path)
+    assert transaction.commit(spark, path, {"x": one, "y": one}) == 1
+    with pytest.raises(Exception, match="broken"):
+        transaction.commit(spark, path, {"x": one, "y": one.select(F.raise_error(F.lit("broken")).cast("long").alias("a"))})
+    assert {n: t.count() for n, t in transaction.tables(spark, path).items()} == {"x": 1, "y": 1} and len(transaction.abandoned(spark, path)) == 1
+    assert transaction.commit(spark, path, {"x": one}) == 2 and transaction.commit(spark, path, {"x": one}, replace=("x",)) == 3
+    assert {v: transaction.tables(spark, path, v)["x"].count() for v in (1, 2, 3)} == {1: 1, 2: 2, 3: 1}
+    (tmp_path / "lib/_commits/4.json").write_text('{"x": [')  # one that isn't whole yet
+    assert max(transaction.versions(spark, path)) == 3
+    (tmp_path / "lib/_commits/4.json").unlink()
+    pulses = spark.createDataFrame([("t", 1, 0, 0.5, 2.0), ("t", 1, 1, 0.7, float("nan")), ("u", 2, 0, 0.1, 5.0)], "train string, group_id long, idx long, toa_s double, v double")
+    transaction.add_dataset(spark, path, "d", pulses, ("v",))
+    there = transaction.tables(spark, path)
+    assert sorted((r.train, r.group_id, r.pulses, r.t0_s) for r in there["groups"].collect()) == [("t", 1, 2, 0.5), ("u", 2, 1, 0.1)]
+    assert sorted((r.group_id, r.low, r.high, r.n) for r in there["fields"].collect()) == [(1, 2.0, 2.0, 1), (2, 5.0, 5.0, 1)]
+    with pytest.raises(ValueError, match="there already"):
+        transaction.add_dataset(spark, path, "d", pulses, ("v",))
+
+
+def test_spectra_of_long_signals(spark):
+    rng = np.random.default_rng(5)
+    rows = {(0, 1): rng.normal(size=5000), (0, 2): rng.normal(size=4096), (1, 3): rng.normal(size=3), (1, 4): np.ones(1)}
+    s = spark.createDataFrame([(g, k, i, i / 64, float(v)) for (g, k), x in rows.items() for i, v in enumerate(x)], SAMPLES).withColumn("hz", F.when(F.col("group_id") == 1, 128.0).otherwise(64.0)).repartition(5)
+    for window, size in (("hann", 0), ("rect", 3000), ("flat-top", 0)):
+        got = {}
+        for r in stages.long_spectrum(s, "hz", window, size, columns=16).collect():
+            got.setdefault((r.group_id, r.signal_id), {})[r.k] = (r.freq_hz, r.magnitude_db, r.phase_rad)
+        for key, x in rows.items():
+            arrays = spark.createDataFrame([(*key, x.tolist())], "group_id long, signal_id long, values array<double>")
+            want = {r.k: (r.freq_hz, r.magnitude_db, r.phase_rad) for r in stages.spectrum(arrays, 128.0 if key[0] else 64.0, window, size).collect()}
+            mine = got[key]
+            assert mine.keys() == want.keys()
+            for k, (f, db, phase) in want.items():
+                assert mine[k][0] == f and (abs(mine[k][1] - db) < 1e-6 or db != db and mine[k][1] != mine[k][1])
+                if db != db:
+                    continue
+                assert db < -200 or abs(math.remainder(mine[k][2] - phase, 2 * math.pi)) < 1e-6 or abs(abs(mine[k][2]) - math.pi) < 1e-9
+
+
 def test_stream_of_samples_in_several_batches(spark, tmp_path):
     v = [0.0, 2.0, 2.0, 0.0, 3.0, 0.5, 1.5, 1.5]
     rows = [(0, 1, i / 4, x) for i, x in enumerate(v)]
