@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigtables.functions.scalars import r6
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, as in tests, a folder of this machine."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, as in tests on one machine, a folder of its own; on a cluster an error."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir: a folder that all executors share is needed")
     warnings.warn("spark.checkpoint.dir is not set: using a folder that only this machine has", stacklevel=2)
     return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
@@ -33,6 +37,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def placed(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with each row's place (from 0) in an order of all rows, found by ranges.
+
+    Rows are sorted in ranges and written once; a row's place is what stands before it in its range and, by a count of each
+    range, in earlier ones. No task holds more than a range, and only counts meet in one.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_nth", F.monotonically_increasing_id())
+    ranged = kept(ranged).withColumn("_range", F.shiftright("_nth", 33))
+    sizes = ranged.groupBy("_range").agg(F.min("_nth").alias("_first"), F.count("*").alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_range", (before - F.col("_first")).alias("_shift"))
+    return ranged.join(F.broadcast(shifts), "_range").withColumn(name, F.col("_nth") + F.col("_shift")).drop("_nth", "_range", "_shift")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """group_id, signal_id, idx, t_s and value: each embedding is a signal at 64 Hz."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group_id"), F.col("vec_id").alias("signal_id"), F.posexplode("embedding").alias("idx", "value"))

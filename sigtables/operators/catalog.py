@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtables.functions.scalars import finite
+from sigtables.model import placed
 
 
 def search_pulses(pulses: DataFrame, predicates: Sequence[tuple[str, float | None, float | None]]) -> DataFrame:
@@ -151,6 +152,12 @@ def sort_signals(signals: DataFrame, column: str, ascending: bool = True) -> Dat
     return signals.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_first())
 
 
+def places(signals: DataFrame, column: str, ascending: bool = True, *ties: str) -> DataFrame:
+    """signals with place, from 0 in the order of sort_signals(), ties by other columns; no task holds the whole table."""
+    c = F.lower(column) if dict(signals.dtypes)[column] == "string" else F.col(column)
+    return placed(signals, "place", c.asc_nulls_last() if ascending else c.desc_nulls_first(), *ties)
+
+
 def content_classes(signals: DataFrame) -> DataFrame:
     """digest, copies and first signal of each distinct content; the digest is of the values' exact shortest texts."""
     text = F.array_join(F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("null"))), ",")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigtables.functions.scalars import finite
+from sigtables.model import placed
 from sigtables.operators.stretches import by_stretch, changes
 
 #: Samples in a cell of pyramid level 0.
@@ -48,7 +49,11 @@ def pyramid(samples: DataFrame, base: int, levels: int | None, *by: str) -> Data
     aggregation: two shuffles, the second of a base-th of the rows, however many levels there are.
     """
     v = F.when(finite(F.col("value")), F.col("value"))
-    cells = samples.groupBy(*by, F.floor(F.col("idx") / base).alias("cell")).agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    return rolled_up(samples.groupBy(*by, F.floor(F.col("idx") / base).alias("cell")).agg(F.min(v).alias("low"), F.max(v).alias("high")), levels, *by)
+
+
+def rolled_up(cells: DataFrame, levels: int | None, *by: str) -> DataFrame:
+    """A pyramid of level 0's cells (cell, low, high), as a stream writes them too."""
     if levels is None:
         last = F.max("cell").over(W.partitionBy(*by))
         top = F.when(last > 0, F.floor(F.log2(last)).cast("int") + 1).otherwise(0)
@@ -118,13 +123,9 @@ def logic_lane(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.withColumn("lane", F.when(F.col("low").isNull(), "unknown").when(F.col("low") >= threshold, "high").when(F.col("high") < threshold, "low").otherwise("transition"))
 
 
-def numbered_groups(groups: DataFrame, bucket: int = 1 << 16) -> DataFrame:
-    """group_id (whole numbers) and place, from 0 in their order: buckets of the id's range are numbered apart, then shifted by counts."""
-    d = groups.select("group_id").distinct().withColumn("_b", F.floor(F.col("group_id") / bucket))
-    sizes = d.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"))
-    at = F.row_number().over(W.partitionBy("_b").orderBy("group_id")) - 1
-    return d.withColumn("_at", at).join(before, "_b").select("group_id", (F.col("_before") + F.col("_at")).alias("place"))
+def numbered_groups(groups: DataFrame) -> DataFrame:
+    """group_id and place, from 0 in the order of ids of any kind (see model.placed)."""
+    return placed(groups.select("group_id").distinct(), "place", "group_id")
 
 
 def metric_curve(metrics: DataFrame, rungs: DataFrame) -> DataFrame:

@@ -434,18 +434,17 @@ def read_record(spark, d):
 
 @query("SELECT p_partkey AS id, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS place FROM part")
 def sort_by_text(spark, d):
-    return _placed(catalog.sort_signals(table(spark, d, "part"), "p_name", False), [F.lower("p_name").desc()])
+    return _numbered(catalog.places(table(spark, d, "part"), "p_name", False, "p_partkey"))
 
 
 @query("SELECT p_partkey AS id, row_number() OVER (ORDER BY CASE WHEN p_size % 7 <> 0 THEN p_size END ASC NULLS LAST, p_partkey) AS place FROM part")
 def sort_by_number(spark, d):
     part = table(spark, d, "part").withColumn("p_size", F.when(F.col("p_size") % 7 != 0, F.col("p_size")))
-    return _placed(catalog.sort_signals(part, "p_size"), [F.col("p_size").asc_nulls_last()])
+    return _numbered(catalog.places(part, "p_size", True, "p_partkey"))
 
 
-def _placed(df, order):
-    """Places in a sorted table, ties by id; one window, as a place in the whole order is the result."""
-    return df.select(F.col("p_partkey").alias("id"), F.row_number().over(W.orderBy(*order, "p_partkey")).alias("place"))
+def _numbered(df):
+    return df.select(F.col("p_partkey").alias("id"), (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT o_orderkey AS group_id, o_custkey AS train_id, c_nationkey AS train_ord FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -1129,3 +1128,25 @@ def bitpack_hex(spark, d):
 @query("SELECT group_id, signal_id, idx, round(t_s, 6)::DOUBLE AS t_s, round(value, 6)::DOUBLE + 0.0::DOUBLE AS value FROM s", S)
 def passthrough(spark, d):
     return rounded(pipeline.run(samples(spark, d), [pipeline.Stage("passthrough")]), "t_s", "value").select("group_id", "signal_id", "idx", "t_s", "value")
+
+
+@query(f"SELECT 'g' || group_id AS group_id, metric, (dense_rank() OVER (ORDER BY 'g' || group_id) - 1)::DOUBLE AS x, {r('value')} AS value FROM m", S, M)
+def metric_curve_text(spark, d):
+    """Groups that have texts for ids, in their order."""
+    m = _metrics(samples(spark, d)).withColumn("group_id", F.concat(F.lit("g"), F.col("group_id").cast("string")))
+    rungs = m.select("group_id").distinct().where("group_id != 'g0'").select("group_id", F.lit("snr_db").alias("key"), F.lit(0.5).alias("rung"))
+    return rounded(profile.metric_curve(m, rungs), "value")
+
+
+@query(f"SELECT group_id, signal_id, level, cell, {r('min(value)')} AS low, {r('max(value)')} AS high FROM (SELECT s.*, l AS level, idx // (8 << l)::INTEGER AS cell FROM s CROSS JOIN range(0, 4) x(l)) GROUP BY group_id, signal_id, level, cell", S)
+def stream_pyramid(spark, d):
+    """Cells of level 0 from a stream of samples, closed by the watermark and rolled up as a batch; a late sample of no signal closes the last."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    s = samples(spark, d)
+    end = s.agg(F.lit(-1).cast(s.schema["group_id"].dataType).alias("group_id"), F.lit(-1).cast(s.schema["signal_id"].dataType).alias("signal_id"), F.lit(1 << 20).cast("long").alias("idx"), F.lit(0.0).alias("t_s"), F.lit(0.0).alias("value"))
+    s.write.parquet(f"{folder}/in")
+    cells = streaming.pyramid_cells(spark.readStream.schema(s.schema).parquet(f"{folder}/in"), 8, RATE_HZ)
+    streaming.run_now(cells, f"{folder}/checkpoint", f"{folder}/out")
+    end.select(s.columns).write.mode("append").parquet(f"{folder}/in")
+    found = streaming.run_now(streaming.pyramid_cells(spark.readStream.schema(s.schema).parquet(f"{folder}/in"), 8, RATE_HZ), f"{folder}/checkpoint", f"{folder}/out")
+    return rounded(profile.rolled_up(found.where("signal_id >= 0"), None, "group_id", "signal_id"), "low", "high").select("group_id", "signal_id", F.col("level").cast("long").alias("level"), "cell", "low", "high")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sigtables.functions.scalars import finite
 from sigtables.model import kept
 from sigtables.operators.catalog import search_pulses
 from sigtables.sources.pulse_csv import Profile, read_rows, tables_of
@@ -29,6 +30,18 @@ def windowed_stats(events: DataFrame, width: str = "1 hour", late: str = "10 min
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
 
 
+def pyramid_cells(samples: DataFrame, base: int, rate_hz: float, late: str = "10 seconds") -> DataFrame:
+    """group_id, signal_id, cell, low and high of a pyramid's level 0, of a stream of samples (idx, value) at a rate.
+
+    A cell's time is that of its end. In append mode it is written once, when the watermark, `late` behind the latest
+    cell, has passed it, and its state goes; so only open cells are kept. profile.rolled_up() makes the levels of what is written.
+    """
+    v = F.when(finite(F.col("value")), F.col("value"))
+    d = samples.withColumn("cell", F.floor(F.col("idx") / base))
+    d = d.withColumn("at", F.timestamp_micros(((F.col("cell") + 1) * (base / rate_hz * 1e6)).cast("long"))).withWatermark("at", late)
+    return d.groupBy("group_id", "signal_id", "cell", "at").agg(F.min(v).alias("low"), F.max(v).alias("high")).drop("at")
+
+
 def matching(events: DataFrame, predicates) -> DataFrame:
     """Pulses inside all ranges, as they arrive; nothing is kept."""
     return search_pulses(events, predicates)
