@@ -139,7 +139,9 @@ class Descriptor:
     """A stage's kind: its function of (bundle, parameters), parameters, artifacts it needs and gives, version, and whether equal input gives equal output.
 
     domains: those of signals that it reads, one of which there must be (none: any signals); adds: those that it adds; summaries:
-    whether it reads the bundle's summaries.
+    whether it reads the bundle's summaries. begin(bundle, parameters) is called before a run's stages; end(bundle that the stage
+    left, parameters) gives artifacts of the run as a whole, by port. salt: more that a stage's results depend on, as a version of
+    what it loads.
     """
 
     kind: str
@@ -152,6 +154,9 @@ class Descriptor:
     domains: tuple[str, ...] = ()
     adds: tuple[str, ...] = ()
     summaries: bool = False
+    begin: Callable[..., None] | None = None
+    end: Callable[..., Mapping[str, DataFrame]] | None = None
+    salt: str = ""
 
 
 def named(metrics: DataFrame, signals: DataFrame) -> DataFrame:
@@ -307,11 +312,11 @@ STAGES: dict[str, Descriptor] = {
 }
 
 
-def register_stage(kind: str, run: Callable[..., Outputs], params: Sequence[Param] = (), needs: Sequence[str] = (), gives: Sequence[str] = (), version: int = 1, pure: bool = True, domains: Sequence[str] = (), adds: Sequence[str] = ()) -> None:
+def register_stage(kind: str, run: Callable[..., Outputs], params: Sequence[Param] = (), needs: Sequence[str] = (), gives: Sequence[str] = (), version: int = 1, pure: bool = True, domains: Sequence[str] = (), adds: Sequence[str] = (), begin: Callable[..., None] | None = None, end: Callable[..., Mapping[str, DataFrame]] | None = None, salt: str = "") -> None:
     """A user's stage, from a bundle and parameters to outputs; its kind begins with ext. and is new."""
     if not kind.startswith("ext.") or kind in STAGES:
         raise ValueError(f"{kind}: a user's stage begins with ext. and is new")
-    STAGES[kind] = Descriptor(kind, run, tuple(params), tuple(needs), tuple(gives), version, pure, tuple(domains), tuple(adds))
+    STAGES[kind] = Descriptor(kind, run, tuple(params), tuple(needs), tuple(gives), version, pure, tuple(domains), tuple(adds), False, begin, end, salt)
 
 
 def per_group(kind: str, function: Callable, schema: str, params: Sequence[Param] = (), version: int = 1) -> None:
@@ -401,7 +406,7 @@ def stage_keys(pipeline: Sequence[Stage], salt: str = "") -> list[str]:
         if s.enabled:
             d = STAGES[s.kind]
             pure = pure and d.pure
-            above = hashlib.sha256(json.dumps([above, s.kind, d.version, resolved(s)[0]], sort_keys=True).encode()).hexdigest()
+            above = hashlib.sha256(json.dumps([above, s.kind, d.version, resolved(s)[0], *([d.salt] if d.salt else [])], sort_keys=True).encode()).hexdigest()
             out.append(above if pure else "")
     return out
 
@@ -416,7 +421,7 @@ class Run:
 
     groups: group_id, status, failed_stage, message; signals: stage_ordinal, group_id, signal_id, ordinal, name, disposition and
     a summary; metrics: stage_ordinal, group_id, name, value; notes: stage_ordinal, group_id, message; artifacts by stage;
-    bundles: what each stage left to the next.
+    bundles: what each stage left to the next; whole: artifacts of the run as a whole, by stage and port.
     """
 
     last: Bundle
@@ -427,6 +432,7 @@ class Run:
     artifacts: Mapping[tuple[int, str], DataFrame]
     bundles: Mapping[int, Bundle]
     keys: Sequence[str] = ()
+    whole: Mapping[tuple[int, str], DataFrame] = field(default_factory=dict)
 
 
 SUMMARY = ("min", "max", "mean", "rms", "peak_to_peak")
@@ -457,9 +463,12 @@ def run_groups(bundle: Bundle, pipeline: Sequence[Stage], joining: Mapping[int,
         domains = [r[0] for b in (bundle, *joining.values()) for r in b.signals.select("domain").distinct().collect()]
     if found := issues(pipeline, tuple({k for b in (bundle, *joining.values()) for k in b.artifacts}), domains):
         raise ValueError("; ".join(found))
+    for s in enabled:
+        if STAGES[s.kind].begin:
+            STAGES[s.kind].begin(bundle, **resolved(s)[0])
     everyone = union([b.signals.select("group_id") for b in (bundle, *joining.values())]).distinct()
     source = bundle.signals.select(*KEY, "ordinal", "name", F.lit("source").alias("disposition"))
-    records, metrics, notes, failures, artifacts, bundles = [_recorded(-1, source, bundle)], [], [], [], {}, {-1: bundle}
+    records, metrics, notes, failures, artifacts, bundles, whole = [_recorded(-1, source, bundle)], [], [], [], {}, {-1: bundle}, {}
     if -1 in joining:
         bundle = bundle.and_of(joining[-1])
     for i, s in enumerate(enabled):
@@ -492,10 +501,12 @@ def run_groups(bundle: Bundle, pipeline: Sequence[Stage], joining: Mapping[int,
         bundles[i] = bundle
         if i in joining:
             bundle = bundle.and_of(joining[i])
+        if STAGES[s.kind].end:
+            whole |= {(i, k): v for k, v in STAGES[s.kind].end(bundle, **resolved(s)[0]).items()}
     failed = union(failures)
     groups = everyone.join(failed, "group_id", "left") if failed is not None else everyone.withColumns({"message": F.lit(None).cast("string"), "failed_stage": F.lit(None).cast("int")})
     groups = groups.select("group_id", F.when(F.col("failed_stage").isNull(), "ok").otherwise("failed").alias("status"), "failed_stage", "message")
-    return Run(bundle, groups, union(records), union(metrics), union(notes), artifacts, bundles, stage_keys(pipeline))
+    return Run(bundle, groups, union(records), union(metrics), union(notes), artifacts, bundles, stage_keys(pipeline), whole)
 
 
 TABLES = ("groups", "signals", "metrics", "notes", "artifacts", "samples", "states", "properties", "keys")
@@ -505,7 +516,7 @@ def write_run(result: Run, path: str, run_id: str, pipeline: Sequence[Stage], ha
     """Appends a run's records under path, partitioned by run_id: run_groups, run_signals, run_metrics, run_notes, run_artifacts,
     run_samples, run_states (the signals that a stage left), run_properties and run_keys.
 
-    Artifacts are rows of JSON by port, with their schema. Samples, states and properties of a stage are written as its
+    Artifacts are rows of JSON by port, with their schema; those of the run as a whole have no group. Samples, states and properties of a stage are written as its
     retention says: always, on_failure (of groups that failed) or never; the records of signals stay whatever happens to
     samples. hashes: input_hashes() of the source; with them run_keys says from which stages another run can go on. copied:
     more records of some tables, by name, as another run has them; begun: group_id and stage of groups that began after a stage.
@@ -524,6 +535,9 @@ def write_run(result: Run, path: str, run_id: str, pipeline: Sequence[Stage], ha
         rest = [c for c in df.columns if c != "group_id"]
         kind = df.select(*rest).schema.simpleString()
         add("artifacts", df.select("group_id", F.lit(stage).alias("stage_ordinal"), F.lit(port).alias("port"), F.to_json(F.struct(*rest)).alias("payload"), F.lit(kind).alias("schema")))
+    for (stage, port), df in result.whole.items():
+        none = F.lit(None).cast(result.groups.schema["group_id"].dataType).alias("group_id")
+        add("artifacts", df.select(none, F.lit(stage).alias("stage_ordinal"), F.lit(port).alias("port"), F.to_json(F.struct(*df.columns)).alias("payload"), F.lit(df.schema.simpleString()).alias("schema")))
     bad = result.groups.where("status = 'failed'").select("group_id")
     policies = {-1: "never"} | {i: s.retention for i, s in enumerate(s for s in pipeline if s.enabled)}
     for stage, bundle in result.bundles.items():

@@ -390,6 +390,23 @@ def test_ports_know_domains(spark):
     assert pipeline.issues([pipeline.Stage("ext.logic")]) == [] != pipeline.issues([pipeline.Stage("ext.logic")], domains=["analog"])
 
 
+def test_hooks_of_a_run(spark, tmp_path):
+    seen = []
+    if "ext.curve" not in pipeline.STAGES:
+        count = lambda b, top: {"curve": b.samples.groupBy((F.col("value") >= top).alias("above")).agg(F.count("*").alias("n"))}
+        pipeline.register_stage("ext.curve", lambda b, top: pipeline.Outputs(), [pipeline.Param("top", default=1.0)], begin=lambda b, top: seen.append(top), end=count, salt="v1")
+    b, plan = bundle(spark, [(1, 0, [0.0, 1.0]), (2, 0, [3.0, 4.0])]), [pipeline.Stage("gain", {"gain": 2.0}), pipeline.Stage("ext.curve", {"top": 2.0})]
+    r = pipeline.run_groups(b, plan)
+    assert seen == [2.0] and {(x.above, x.n) for x in r.whole[1, "curve"].collect()} == {(True, 3), (False, 1)}
+    pipeline.write_run(r, str(tmp_path), "r", plan)
+    assert {(x.group_id, x.port, x.stage_ordinal) for x in spark.read.parquet(str(tmp_path / "run_artifacts")).collect()} == {(None, "curve", 1)}
+    keys = pipeline.stage_keys(plan)
+    d = pipeline.STAGES["ext.curve"]
+    pipeline.STAGES["ext.curve"] = pipeline.replace(d, salt="v2")
+    assert [a == c for a, c in zip(keys, pipeline.stage_keys(plan), strict=True)] == [True, False]
+    pipeline.STAGES["ext.curve"] = d
+
+
 def test_plans_grow_with_the_stages_only(spark):
     b = bundle(spark, [(1, 0, [1.0, 2.0])])
 
