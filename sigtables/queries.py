@@ -930,7 +930,9 @@ CENTRED = "c AS (SELECT group_id, signal_id, idx, t_s, value - avg(value) OVER (
 
 @query(f"SELECT group_id, count(*)::DOUBLE AS pulses, {r('avg(end_s - start_s)')} AS width_mean, {r('sum(end_s - start_s)')} AS duty, {r('max(peak)')} AS peak_max FROM det GROUP BY group_id", S, CENTRED, DET.replace("FROM s)", "FROM c)"))
 def detect_chain(spark, d):
-    run = pipeline.run_groups(_bundle(spark, d), [pipeline.Stage(k, p) for k, p in CHAIN])
+    b = _bundle(spark, d)
+    own = pipeline.Bundle(b.samples, b.signals.withColumn("rate_hz", F.lit(RATE_HZ)))  # that of the samples' times, in all groups
+    run = pipeline.run_groups(own, [pipeline.Stage(k, p) for k, p in CHAIN])
     m = run.metrics.where("stage_ordinal = 2").groupBy("group_id").pivot("name", ["pulses", "width_mean", "duty", "peak_max"]).agg(F.first("value"))
     return rounded(m, "width_mean", "duty", "peak_max")
 
