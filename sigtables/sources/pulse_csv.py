@@ -151,7 +151,7 @@ def framed(path: str, content: bytes, profile: Profile, most_lines: int | None)
         try:
             text = content[a:b].decode()
         except UnicodeDecodeError as e:
-            raise ValueError(f"{path}, line {number}, byte {a + e.start}: not UTF-8") from e
+            raise ValueError(f"{path}, line {number}: not UTF-8 (byte {a + e.start})") from e
         bare = text.strip(" ")
         if number <= profile.preamble or not bare or bare[0] == "#":
             continue
@@ -225,7 +225,7 @@ def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     starts = starts.join(sizes.select("path", "block", mark.alias("_mark")), ["path", "block"])
     d = own.join(F.broadcast(starts), ["path", "block"])
     d = d.select("path", "block", (F.col("_line") + F.col("_lines_before") + 1).alias("line"), (F.col("_byte") + F.col("_bytes_before") + F.col("_mark")).alias("offset"), "value")
-    wrong = F.raise_error(F.format_string("%s, line %d, byte %d: not UTF-8", "path", "line", "offset")).cast("string")
+    wrong = F.raise_error(F.format_string("%s, line %d: not UTF-8 (begins at byte %d)", "path", "line", "offset")).cast("string")
     return d.withColumn("value", F.when(F.is_valid_utf8(F.col("value").cast("string")), F.col("value").cast("string")).otherwise(wrong))
 
 

@@ -48,7 +48,7 @@ def test_csv_errors_name_the_byte(spark, tmp_path, monkeypatch):
     (tmp_path / "a.csv").write_bytes(good + b"g,2\n1,\xff\n")
     (tmp_path / "b.csv").write_bytes(b"\xff\xfe" + good)
     (tmp_path / "c.csv").write_bytes(good + b"h,1\n1,2d\n")
-    with pytest.raises(Exception, match=f"line 7, byte {len(good) + 6}: not UTF-8"):
+    with pytest.raises(Exception, match=rf"line 7: not UTF-8 \(byte {len(good) + 6}\)"):
         pulse_csv.read_rows(spark, str(tmp_path / "a.csv")).collect()
     with pytest.raises(Exception, match="byte 0: UTF-16"):
         pulse_csv.read_rows(spark, str(tmp_path / "b.csv")).collect()
