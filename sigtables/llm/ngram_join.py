@@ -141,7 +141,7 @@ def described(docs: DataFrame) -> DataFrame:
     chunks. A set whose share of tokens of its own is too large has no similar set and sends no prefix.
     """
     size = text_bytes(docs)
-    parts = pieces(size, 64 << 20, 12)
+    parts = pieces(size, 16 << 20, 12)  # a part sorts the tokens of so many bytes of text
     chunked = X.by_chunk(docs, pieces(size, CHUNK, 12))
 
     def sets_of(table: pa.Table):
