@@ -37,6 +37,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly to as many tasks as shuffles have: for rows of which each becomes many, as a read's tasks are dealt by the bytes before that."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def placed(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with each row's place (from 0) in an order of all rows, found by ranges.
 

@@ -12,15 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigtables.model import spread
 from sigtables.operators.stages import by_signal, uniform
 
 
 def grid(specs: DataFrame, rate_hz: float, duration_s: float) -> DataFrame:
-    """Each spec's row once for each sample, with idx and t_s."""
+    """Each spec's row once for each sample, with idx and t_s. Specs are dealt out first: a few bytes of them make many samples."""
     n = round(duration_s * rate_hz)
     if n < 1:
         raise ValueError("duration_s: at least one sample")
-    d = specs.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    d = spread(specs).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return d.withColumn("t_s", F.col("idx") / rate_hz)
 
 
@@ -122,7 +123,7 @@ def pulse_train(specs: DataFrame, count: int, intervals_s: Sequence[float], drif
     n, sums = len(intervals_s), [sum(intervals_s[:k]) for k in range(len(intervals_s))]
     i = F.col("pulse_idx")
     start = F.floor(i / n) * sum(intervals_s) + F.element_at(F.array(*map(F.lit, sums)), (i % n + 1).cast("int")) + drift_s * i * (i - 1) / 2
-    out = specs.withColumn("pulse_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    out = spread(specs).withColumn("pulse_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
     return out.withColumn("toa_s", start + jitter_s * (2 * uniform(F.col("group_id"), i, 7) - 1) if jitter_s else start)
 
 

@@ -560,3 +560,11 @@ def test_stream_of_samples_in_several_batches(spark, tmp_path):
     got = sorted((r.start_s, r.end_s, r.peak) for r in out.where("signal_id = 1").collect())
     s = spark.createDataFrame([(0, 1, i, i / 4, x) for i, x in enumerate(v)], SAMPLES)
     assert got == sorted((r.start_s, r.end_s, r.peak) for r in stages.threshold(s, 1.0, 0.25, period_s=0.25).collect())
+
+
+def test_sources_are_made_by_many_tasks(spark):
+    """A few specs in one part of a file make many samples, in more than one task."""
+    one = spark.range(0, 64, 1, 1).select(F.col("id").alias("signal_id"), F.lit(1).alias("group_id"))
+    for made in (generate.grid(one, 64.0, 1.0), generate.pulse_train(one, 50, [0.1])):
+        rows = made.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(rows) > 1 and max(r["count"] for r in rows) <= sum(r["count"] for r in rows) / 2
