@@ -245,7 +245,7 @@ def prbs(specs: DataFrame, order: int, samples: int, rate_hz: float, taps: int |
     Blocks of samples are made apart from each other: a block's register comes from a jump, so tasks share nothing.
     """
     lags = prbs_lags(order, taps)
-    blocks = specs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((samples - 1) // block).cast("long"))))
+    blocks = spread(specs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((samples - 1) // block).cast("long")))))
 
     @F.pandas_udf("array<double>")
     def bits(column: pd.Series) -> pd.Series:

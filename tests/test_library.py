@@ -565,6 +565,6 @@ def test_stream_of_samples_in_several_batches(spark, tmp_path):
 def test_sources_are_made_by_many_tasks(spark):
     """A few specs in one part of a file make many samples, in more than one task."""
     one = spark.range(0, 64, 1, 1).select(F.col("id").alias("signal_id"), F.lit(1).alias("group_id"))
-    for made in (generate.grid(one, 64.0, 1.0), generate.pulse_train(one, 50, [0.1])):
+    for made in (generate.grid(one, 64.0, 1.0), generate.prbs(one, 7, 200, 64.0, block=64), generate.pulse_train(one, 50, [0.1])):
         rows = made.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
         assert len(rows) > 1 and max(r["count"] for r in rows) <= sum(r["count"] for r in rows) / 2
