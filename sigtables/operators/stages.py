@@ -161,10 +161,9 @@ def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz:
     @F.pandas_udf("array<double>")
     def from_rest(values: pd.Series, x1: pd.Series, x2: pd.Series, rates: pd.Series) -> pd.Series:
         out = [None] * len(values)
-        kinds = pd.MultiIndex.from_arrays([values.map(len), rates])
-        for n, rate in kinds.unique():  # blocks of one length and rate side by side, a sample at a time
+        kinds = pd.DataFrame({"n": values.map(len).to_numpy(), "rate": rates.to_numpy()})
+        for (n, rate), rows in kinds.groupby(["n", "rate"]).indices.items():  # blocks of one length and rate side by side, a sample at a time
             b0, b1, b2, a1, a2 = biquad_coefficients(response, cutoff_hz, rate, q)
-            rows = np.flatnonzero(kinds == (n, rate))
             x = np.zeros((n + 2, len(rows)))
             x[2:] = np.array([values.iloc[i] for i in rows], float).T
             x[1], x[0] = x1.to_numpy()[rows], x2.to_numpy()[rows]
@@ -176,15 +175,21 @@ def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz:
                 out[i] = row.tolist()
         return pd.Series(out, dtype=object)
 
-    def carried(table: pd.DataFrame) -> pd.DataFrame:
-        """The two outputs before each block of a signal."""
-        table = table.sort_values("block")
-        goes_on = going_on(response, cutoff_hz, float(table["_rate"].iloc[0]), q, block)
-        before, s = [], np.zeros(2)
-        for n, e1, e2 in zip(table["n"], table["e1"], table["e2"], strict=True):
-            before.append(s)
-            s = np.array([e1 + goes_on[n - 1] @ s, e2 + (goes_on[n - 2] @ s if n > 1 else s[0])])
-        return table[[*KEY, "block"]].assign(s1=[b[0] for b in before], s2=[b[1] for b in before])
+    @F.pandas_udf("s1 array<double>, s2 array<double>")
+    def carried(sizes: pd.Series, e1: pd.Series, e2: pd.Series, rates: pd.Series) -> pd.DataFrame:
+        """The two outputs before each block of a signal; signals of as many blocks and one rate side by side, a block at a time."""
+        out = np.empty((len(sizes), 2), object)
+        kinds = pd.DataFrame({"n": sizes.map(len).to_numpy(), "rate": rates.to_numpy()})
+        for (count, rate), rows in kinds.groupby(["n", "rate"]).indices.items():
+            goes_on = np.concatenate([[[1.0, 0.0]], going_on(response, cutoff_hz, rate, q, block)])  # row n: the output n - 1 after a block's start
+            n, last, before = (np.array([c.iloc[i] for i in rows]).T for c in (sizes, e1, e2))
+            s, states = np.zeros((len(rows), 2)), np.zeros((2, len(rows), count))
+            for i in range(count):
+                states[:, :, i] = s.T
+                s = np.stack([last[i] + (goes_on[n[i]] * s).sum(1), before[i] + (goes_on[n[i] - 1] * s).sum(1)], 1)
+            for i, a, b in zip(rows, *states, strict=True):
+                out[i] = a, b
+        return pd.DataFrame({"s1": out[:, 0], "s2": out[:, 1]})
 
     @F.pandas_udf("array<double>")
     def added(values: pd.Series, s1: pd.Series, s2: pd.Series, rates: pd.Series) -> pd.Series:
@@ -192,7 +197,6 @@ def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz:
         return pd.Series([(np.asarray(v) + going_on(response, cutoff_hz, r, q, block)[: len(v)] @ np.array([a, b])).tolist() for v, a, b, r in rows], dtype=object)
 
     blocks, zero = to_blocks(samples.withColumn("_rate", rate_column(rate_hz)), block, "_rate"), F.lit(0.0)
-    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in KEY)
     for _ in range(sections):
         last, w = F.slice("values", F.greatest(F.size("values") - 1, F.lit(1)), 2), W.partitionBy(*KEY).orderBy("block")
         d = blocks.withColumn("_last", F.lag(last).over(w))
@@ -200,7 +204,9 @@ def filter_samples(samples: DataFrame, response: str, cutoff_hz: float, rate_hz:
         d = kept(d.withColumn("values", from_rest("values", x1, x2, "_rate")).drop("_last"))
         size = F.size("values")
         ends = d.select(*KEY, "block", "_rate", size.alias("n"), F.get("values", size - 1).alias("e1"), F.coalesce(F.get("values", size - 2), zero).alias("e2"))
-        starts = ends.groupBy(*KEY).applyInPandas(carried, f"{kinds}, block long, s1 double, s2 double")
+        of = ends.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("block", "n", "e1", "e2"))).alias("b"), F.first("_rate").alias("_rate"))
+        starts = of.select(*KEY, F.col("b.block").alias("block"), carried("b.n", "b.e1", "b.e2", "_rate").alias("s"))
+        starts = starts.select(*KEY, F.inline(F.arrays_zip("block", F.col("s.s1").alias("s1"), F.col("s.s2").alias("s2"))))
         blocks = d.join(starts, [*KEY, "block"]).withColumn("values", added("values", "s1", "s2", "_rate")).drop("s1", "s2")
     return from_blocks(blocks, "_rate")
 

@@ -568,3 +568,24 @@ def test_sources_are_made_by_many_tasks(spark):
     for made in (generate.grid(one, 64.0, 1.0), generate.prbs(one, 7, 200, 64.0, block=64), generate.pulse_train(one, 50, [0.1])):
         rows = made.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
         assert len(rows) > 1 and max(r["count"] for r in rows) <= sum(r["count"] for r in rows) / 2
+
+
+def test_filter_carries_states_of_many_signals_at_once(spark, monkeypatch):
+    """Signals of several lengths and rates in blocks of 4, against one pass; no Python group is made for a signal."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", lambda *_: pytest.fail("a Python group for each signal"))
+    rnd = random.Random(5)
+    signals = {(g, s): [rnd.random() for _ in range(n)] for s, (g, n) in enumerate([(0, 1), (0, 4), (1, 5), (1, 13), (0, 13), (1, 4)])}
+    rows = [(g, s, i, i / 64, v, 64.0 + 64 * g) for (g, s), x in signals.items() for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, SAMPLES + ", rate double")
+    got = {(r.group_id, r.signal_id, r.idx): r.value for r in stages.filter_samples(d, "notch", 9.0, "rate", 0.8, 2, block=4).collect()}
+    assert len(got) == len(rows)
+    for (g, s), x in signals.items():
+        b0, b1, b2, a1, a2 = stages.biquad_coefficients("notch", 9.0, 64.0 + 64 * g, 0.8)
+        for _ in range(2):
+            y = []
+            for i, v in enumerate(x):
+                y.append(b0 * v + (b1 * x[i - 1] - a1 * y[i - 1] if i else 0) + (b2 * x[i - 2] - a2 * y[i - 2] if i > 1 else 0))
+            x = y
+        assert np.allclose([got[g, s, i] for i in range(len(x))], x, atol=1e-12)
