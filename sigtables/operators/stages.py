@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -258,6 +259,42 @@ def window_sum(name: str, n: int) -> float:
     return float(window_values(name, n).sum()) if n <= 8 else WINDOWS[name][0] * n
 
 
+def in_whole_groups(df: DataFrame, by: list[str], function: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """function(table, first row of each group) over tables of many whole groups: for groups that are many and small, or a few long ones.
+
+    Groups lie in order in a partition. Tables are as large as batches; only a group that is longer is put together of several.
+    """
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.ones(table.num_rows, bool)
+        new[1:] = False
+        for c in by:
+            code = pc.dictionary_encode(table.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # of one group, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            ends = begins(table)[1:]
+            if held and len(begins(pa.concat_tables([held[-1].slice(0, 1), table.slice(0, 1)]))) > 1:
+                ends = np.append(0, ends)
+            if len(ends):
+                whole = pa.concat_tables([*held, table.slice(0, ends[-1])]).combine_chunks()
+                held, table = [], table.slice(ends[-1])
+                if whole.num_rows:
+                    yield from function(whole, begins(whole))
+            held.append(table)
+        if held:
+            whole = pa.concat_tables(held).combine_chunks()
+            yield from function(whole, begins(whole))
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
 def long_spectrum(samples: DataFrame, rate_hz: float | str, window: str = "hann", size: int = 0, columns: int = 256) -> DataFrame:
     """spectrum() of samples (idx without gaps), for signals of any length: no task holds a whole one.
 
@@ -275,41 +312,54 @@ def long_spectrum(samples: DataFrame, rate_hz: float | str, window: str = "hann"
     d = d.select(*KEY, F.expr(f"(idx % _b) div {columns}").alias("_part"), "idx", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"), "_used", "_power", "_rate")
     middle = T.StructType([*keys, *(T.StructField(c, t) for c, t in (("_rows", T.LongType()), ("_part", T.LongType()), ("_used", T.LongType()), ("_power", T.IntegerType()), ("_rate", T.DoubleType()), ("cells", T.BinaryType())))])
 
-    def by_columns(table: pa.Table) -> pa.Table:
-        used, power, part, rate = (table.column(c)[0].as_py() for c in ("_used", "_power", "_part", "_rate"))
-        a, b = 1 << power // 2, 1 << power - power // 2
+    def by_columns(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         idx, value = table.column("idx").to_numpy(), table.column("value").to_numpy()
-        first, wide = part * columns, min(columns, b - part * columns)
-        x = np.zeros((a, wide))
-        x[idx // b, idx % b - first] = value * window_at(window, idx, used)
-        turned = np.fft.fft(x, axis=0) * np.exp(-2j * np.pi / (1 << power) * (np.arange(a)[:, None] * (first + np.arange(wide))[None, :]))
-        rows = range(0, a, columns)
-        n = len(rows)
-        own = [pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in KEY]
-        return pa.Table.from_arrays([*own, *(pa.array(v, t) for v, t in ((range(n), pa.int64()), ([part] * n, pa.int64()), ([used] * n, pa.int64()), ([power] * n, pa.int32()), ([rate] * n, pa.float64()), ([turned[r : r + columns].tobytes() for r in rows], pa.binary())))], [*KEY, "_rows", "_part", "_used", "_power", "_rate", "cells"])
+        part, used, power = (table.column(c).to_numpy()[first] for c in ("_part", "_used", "_power"))
+        wide = np.minimum(columns, (1 << power.astype(np.int64) - power // 2) - part * columns)
+        of = np.repeat(np.arange(len(first)), np.diff([*first, len(idx)]))
+        for n, w in {*zip(power.tolist(), wide.tolist(), strict=True)}:  # parts of one shape side by side
+            a, b, own = 1 << n // 2, 1 << n - n // 2, np.flatnonzero((power == n) & (wide == w))
+            place = np.full(len(first), -1)
+            place[own] = np.arange(len(own))
+            rows = np.flatnonzero(place[of] >= 0)
+            o, i = of[rows], idx[rows]
+            x = np.zeros((len(own), a, w))
+            x[place[o], i // b, i % b - part[o] * columns] = value[rows] * window_at(window, i, used[o])
+            at = part[own, None] * columns + np.arange(w)
+            turned = np.fft.fft(x, axis=1) * np.exp(-2j * np.pi / (1 << n) * (np.arange(a)[None, :, None] * at[:, None, :]))
+            kept_ = table.take(pa.array(first[own])).select([*KEY, "_part", "_used", "_power", "_rate"])
+            for r in range(0, a, columns):
+                cells = pa.array([c.tobytes() for c in turned[:, r : r + columns]], pa.binary())
+                made = kept_.append_column("_rows", pa.array([r // columns] * len(own), pa.int64())).append_column("cells", cells)
+                yield from made.select(middle.fieldNames()).to_batches()
 
     out = T.StructType([*keys, *(T.StructField(c, t) for c, t in (("k", T.IntegerType()), ("freq_hz", T.DoubleType()), ("magnitude_db", T.DoubleType()), ("phase_rad", T.DoubleType())))])
 
-    def by_rows(table: pa.Table) -> pa.Table:
-        used, power, rows, rate = (table.column(c)[0].as_py() for c in ("_used", "_power", "_rows", "_rate"))
-        a, b = 1 << power // 2, 1 << power - power // 2
-        tall = min(columns, a - rows * columns)
-        x = np.zeros((tall, b), complex)
-        for part, cells in zip(table.column("_part").to_pylist(), table.column("cells").to_pylist(), strict=True):
-            block = np.frombuffer(cells, complex).reshape(tall, -1)
-            x[:, part * columns : part * columns + block.shape[1]] = block
-        x = np.fft.fft(x, axis=1)
-        k = (rows * columns + np.arange(tall))[:, None] + a * np.arange(b)[None, :]
-        half = k <= (1 << power) // 2
-        x, k = x[half], k[half]
-        size_db = np.abs(x) / window_sum(window, used)
-        size_db[(k > 0) & (k < (1 << power) / 2)] *= 2
-        db = np.maximum(20 * np.log10(np.maximum(size_db, 1e-300)), -300)
-        own = [pa.array([table.column(c)[0].as_py()] * len(k), table.schema.field(c).type) for c in KEY]
-        return pa.Table.from_arrays([*own, pa.array(k, pa.int32()), pa.array(k * (rate / (1 << power))), pa.array(db), pa.array(np.angle(x))], out.fieldNames())
-
-    turned = d.groupBy(*KEY, "_part").applyInArrow(by_columns, middle)
-    return turned.groupBy(*KEY, "_rows").applyInArrow(by_rows, out)
+    def by_rows(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part, cells = table.column("_part").to_numpy(), table.column("cells")
+        used, power, rows, rate = (table.column(c).to_numpy()[first] for c in ("_used", "_power", "_rows", "_rate"))
+        tall, ends = np.minimum(columns, (1 << power.astype(np.int64) // 2) - rows * columns), [*first[1:], len(part)]
+        for n, t in {*zip(power.tolist(), tall.tolist(), strict=True)}:
+            a, b, own = 1 << n // 2, 1 << n - n // 2, np.flatnonzero((power == n) & (tall == t))
+            x = np.zeros((len(own), t, b), complex)
+            for i, g in enumerate(own):
+                for j in range(first[g], ends[g]):
+                    block = np.frombuffer(cells[j].as_buffer(), complex).reshape(t, -1)
+                    x[i, :, part[j] * columns : part[j] * columns + block.shape[1]] = block
+            x = np.fft.fft(x, axis=2)
+            k = (rows[own, None] * columns + np.arange(t))[:, :, None] + a * np.arange(b)
+            half = k <= (1 << n) // 2
+            of, x, k = own[np.nonzero(half)[0]], x[half], k[half]
+            size_db = np.abs(x) / np.array([window_sum(window, u) for u in used.tolist()])[of]
+            size_db[(k > 0) & (k < (1 << n) / 2)] *= 2
+            db = np.maximum(20 * np.log10(np.maximum(size_db, 1e-300)), -300)
+            found = table.select(list(KEY)).take(pa.array(first[of]))
+            for name, c in (("k", pa.array(k, pa.int32())), ("freq_hz", pa.array(k * (rate[of] / (1 << n)))), ("magnitude_db", pa.array(db)), ("phase_rad", pa.array(np.angle(x)))):
+                found = found.append_column(name, c)
+            yield from found.to_batches()
+
+    turned = in_whole_groups(d, [*KEY, "_part"], by_columns, middle)
+    return in_whole_groups(turned, [*KEY, "_rows"], by_rows, out)
 
 
 def spectrum_metrics(spectra: DataFrame) -> DataFrame:

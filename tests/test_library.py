@@ -589,3 +589,21 @@ def test_filter_carries_states_of_many_signals_at_once(spark, monkeypatch):
                 y.append(b0 * v + (b1 * x[i - 1] - a1 * y[i - 1] if i else 0) + (b2 * x[i - 2] - a2 * y[i - 2] if i > 1 else 0))
             x = y
         assert np.allclose([got[g, s, i] for i in range(len(x))], x, atol=1e-12)
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_long_spectra_of_many_signals_at_once(spark, monkeypatch, batch):
+    """Signals of several lengths and rates, in batches that cut through groups; no Python group is made for a part of a signal."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", lambda *_: pytest.fail("a Python group for each part"))
+    rnd = random.Random(6)
+    made = [(g, s, [rnd.random() for _ in range(n)], 64.0 + s) for s, (g, n) in enumerate([(2, 1), (0, 2), (0, 40), (2, 64), (1, 64), (1, 100)])]
+    samples = spark.createDataFrame([(g, s, i, i / 64, v, hz) for g, s, x, hz in made for i, v in enumerate(x)], SAMPLES + ", rate double")
+    arrays = spark.createDataFrame(made, "group_id long, signal_id long, values array<double>, rate double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got, want = ({(r.group_id, r.signal_id, r.k): (r.freq_hz, r.magnitude_db) for r in d.collect()} for d in (stages.long_spectrum(samples, "rate", columns=2), stages.spectrum(arrays, "rate")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-6, equal_nan=True) for k in want)
