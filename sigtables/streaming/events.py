@@ -48,63 +48,95 @@ def matching(events: DataFrame, predicates) -> DataFrame:
 
 
 DETECTIONS = "group_id long, signal_id long, start_s double, end_s double, peak double"
-#: What is kept of a signal: is a detection open, its start, peak and last time, how far samples were used, and samples not yet used.
-STATE = "open boolean, start double, peak double, last double, used double, times array<double>, values array<double>, at array<double>"
+#: What is kept of a bucket of signals: of each its key, is a detection open, its start, peak and last time, how far samples were used and until when
+#: (in seconds of the watermark) that is kept; of samples not yet used their signal's place, time, value and event time.
+STATE = "nulls array<int>, groups array<long>, signals array<long>, open array<boolean>, start array<double>, peak array<double>, last array<double>, used array<double>, until array<double>, of array<int>, times array<double>, values array<double>, at array<double>"
+#: Seconds of the watermark for which a signal without samples is kept.
+KEPT_S = 3600.0
 
 
-def detections(samples: DataFrame, level: float, hysteresis: float, period_s: float, late: str = "10 seconds") -> DataFrame:
+def detections(samples: DataFrame, level: float, hysteresis: float, period_s: float, late: str = "10 seconds", buckets: int = 1 << 10) -> DataFrame:
     """Detections of a stream of samples (group_id, signal_id, t_s, value, ts), as stages.threshold() finds them in a table.
 
     Samples are used in the order of t_s once the watermark on ts has passed them, whatever order they come in; those that
     come later than that are left out (the query's progress counts them). A detection is written when it ends, or when the
     watermark has passed the last sample that its signal has. Between batches a signal keeps one open detection and the
-    samples that the watermark hasn't passed.
+    samples that the watermark hasn't passed. Signals are dealt to `buckets` by the hash of their keys; a bucket is one state,
+    so that many short signals don't each cost a call; more buckets for states that are too large for a row.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_, start, peak, last, used, times, values, at = state.get if state.exists else (False, 0.0, 0.0, 0.0, float("-inf"), [], [], [])
-        times, values, at, out = list(times), list(values), list(at), []
+        mark, out = state.getCurrentWatermarkMs() / 1000, []
+        nulls, groups, signals, *machine, until, of, times, values, at = (list(c) for c in state.get) if state.exists else ([] for _ in range(13))
+        machines, fresh = [list(m) for m in zip(*machine, strict=True)], set()  # open, start, peak, last, used
+        place = {k: i for i, k in enumerate(zip(nulls, groups, signals, strict=True))}
         for f in frames:
-            for t, v, ts in zip(f["t_s"], f["value"], f["ts"], strict=True):
-                if t > used:
+            event_s = f["ts"].map(lambda x: x.timestamp())
+            for n, g, s, t, v, ts in zip(*(c.tolist() for c in (f["nulls"], f["group_id"], f["signal_id"], f["t_s"], f["value"], event_s)), strict=True):
+                i = place.setdefault((n, g, s), len(machines))
+                if i == len(machines):
+                    machines.append([False, 0.0, 0.0, 0.0, float("-inf")])
+                    until.append(0.0)
+                fresh.add(i)
+                if t > machines[i][4]:
+                    of.append(i)
                     times.append(t)
                     values.append(v)
-                    at.append(ts.timestamp())
-        mark = state.getCurrentWatermarkMs() / 1000
-        order = sorted(range(len(times)), key=times.__getitem__)
-        ready = [i for i in order if at[i] <= mark]
-        for i in ready:
-            t, v = times[i], values[i]
+                    at.append(ts)
+        keys, waiting, due = list(place), {}, []
+
+        def ended(i: int) -> None:
+            m = machines[i]
+            out.append((keys[i], m[1], m[3] + period_s, m[2]))
+            m[0] = False
+
+        for j in sorted(range(len(times)), key=times.__getitem__):
+            i, t, v = of[j], times[j], values[j]
+            if at[j] > mark:
+                waiting.setdefault(i, []).append(j)
+                continue
+            m = machines[i]
             nan = v is None or v != v
-            ends = nan or (v < level if hysteresis == 0 else v <= level - hysteresis)
-            if open_ and ends:
-                out.append((start, last + period_s, peak))
-                open_ = False
-            elif open_:
-                peak, last = max(peak, v), t
+            if m[0] and (nan or (v < level if hysteresis == 0 else v <= level - hysteresis)):
+                ended(i)
+            elif m[0]:
+                m[2], m[3] = max(m[2], v), t
             elif not nan and v >= level:
-                open_, start, peak, last = True, t, v, t
-            used = t
-        waiting = sorted(set(range(len(times))) - set(ready), key=times.__getitem__)
-        if not waiting and open_:
-            out.append((start, last + period_s, peak))
-            open_ = False
-        times, values, at = ([x[i] for i in waiting] for x in (times, values, at))
-        if waiting:
-            state.update((open_, start, peak, last, used, times, values, at))
-            state.setTimeoutTimestamp(int(max(max(at), mark) * 1000) + 1)
-        elif not state.hasTimedOut:
-            state.update((open_, start, peak, last, used, times, values, at))
-            state.setTimeoutTimestamp(int(max(mark, 0) * 1000) + 3_600_000)
-        else:
+                m[:4] = True, t, v, t
+            m[4] = t
+        stay = []
+        for i, m in enumerate(machines):
+            if i in waiting:
+                due.append(max(at[j] for j in waiting[i]))
+                until[i] = 0.0
+            else:
+                if m[0]:
+                    ended(i)
+                if i in fresh:
+                    until[i] = max(mark, 0) + KEPT_S
+                if until[i] <= mark:
+                    continue
+                due.append(until[i])
+            stay.append(i)
+        if stay:
+            left = [(n, j) for n, i in enumerate(stay) for j in waiting.get(i, [])]
+            of = [n for n, _ in left]
+            times, values, at = ([x[j] for _, j in left] for x in (times, values, at))
+            own = ([c[i] for i in stay] for c in (*map(list, zip(*keys, strict=True)), *map(list, zip(*machines, strict=True)), until))
+            state.update((*own, of, times, values, at))
+            state.setTimeoutTimestamp(int(max(min(due), mark) * 1000) + 1)
+        elif state.exists:
             state.remove()
-        rows = pd.DataFrame(out, columns=["start_s", "end_s", "peak"])
-        rows.insert(0, "signal_id", key[1])
-        rows.insert(0, "group_id", key[0])
-        yield rows
-
-    marked = samples.withWatermark("ts", late).groupBy("group_id", "signal_id")
-    return marked.applyInPandasWithState(step, DETECTIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        found = {c: pd.array([None if k[0] & bit else k[at] for k, *_ in out], dtype="Int64") for c, bit, at in (("group_id", 1, 1), ("signal_id", 2, 2))}
+        yield pd.DataFrame(found | {c: pd.Series([r[n] for r in out], dtype=float) for n, c in enumerate(("start_s", "end_s", "peak"), 1)})
+
+    none = F.lit(0).cast("long")
+    marked = samples.withWatermark("ts", late).select(
+        F.pmod(F.xxhash64("group_id", "signal_id"), F.lit(buckets)).alias("bucket"),
+        (F.col("group_id").isNull().cast("int") + 2 * F.col("signal_id").isNull().cast("int")).alias("nulls"),
+        F.coalesce(F.col("group_id").cast("long"), none).alias("group_id"), F.coalesce(F.col("signal_id").cast("long"), none).alias("signal_id"), "t_s", "value", "ts",
+    )
+    return marked.groupBy("bucket").applyInPandasWithState(step, DETECTIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_now(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:

@@ -607,3 +607,36 @@ def test_long_spectra_of_many_signals_at_once(spark, monkeypatch, batch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-6, equal_nan=True) for k in want)
+
+
+def test_stream_detections_of_many_signals_share_calls(spark, tmp_path, monkeypatch):
+    """Signals that share a bucket, some without a group, over two batches: as in a table, and a state isn't a signal's own."""
+    frame = type(spark.range(1))
+    calls, of = [], frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *by: calls.append(by) or of(self, *by))
+    rnd = random.Random(7)
+    rows = [(g, s, i, i / 64, rnd.choice([rnd.random(), float("nan"), None]) if rnd.random() < 0.3 else rnd.random()) for g, s in [(None, 1), (0, 1), (1, 2), (1, 3), (2**60 + 1, 4)] for i in range(60)]
+    table = spark.createDataFrame(rows, SAMPLES).withColumn("ts", F.timestamp_micros(((F.col("t_s") + 86400) * 1e6).cast("long")))
+    beat = spark.createDataFrame([(-1, -1, 0, 9e5, 0.0)], SAMPLES).withColumn("ts", F.timestamp_micros((F.col("t_s") * 1e6).cast("long")))
+    names = ["group_id", "signal_id", "t_s", "value", "ts"]
+    folder, out = str(tmp_path / "in"), []
+    for part in (table.where("idx % 3 = 0 AND idx < 40"), table.where("idx % 3 != 0 OR idx >= 40").union(beat)):
+        part.select(names).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(table.select(names).schema).parquet(folder)
+        out = streaming.run_now(streaming.detections(stream, 0.5, 0.1, 1 / 64, late="1 hour", buckets=2), str(tmp_path / "c"), str(tmp_path / "out")).where("signal_id >= 0").collect()
+    assert calls and all(by == ("bucket",) for by in calls)
+    want = []
+    for key in {r[:2] for r in rows}:
+        now = None
+        for _, _, _, t, v in sorted((r for r in rows if r[:2] == key), key=lambda r: r[2]):
+            nan = v is None or v != v
+            if now and (nan or v <= 0.4):
+                want.append((*key, *now))
+                now = None
+            elif now:
+                now = (now[0], t + 1 / 64, max(now[2], v))
+            elif not nan and v >= 0.5:
+                now = (t, t + 1 / 64, v)
+        want += [(*key, *now)] if now else []
+    told = lambda found: sorted((str(g), s, round(a, 9), round(b, 9), round(p, 9)) for g, s, a, b, p in found)
+    assert told(out) == told(want)
