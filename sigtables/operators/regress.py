@@ -282,15 +282,14 @@ def payload_schema(rows: DataFrame, id_column: str, json_column: str) -> DataFra
     tvf = rows.sparkSession.tvf
     d = rows.select(F.col(id_column).alias("id"), F.try_parse_json(F.col(json_column)).alias("_j")).where(F.schema_of_variant("_j").startswith("OBJECT"))
     d = d.lateralJoin(tvf.variant_explode(F.col("_j").outer())).select("id", F.col("key").alias("field"), "value")
-    d = d.withColumn("_s", F.schema_of_variant("value"))
-    scalars = d.where(~F.col("_s").startswith("ARRAY")).select("id", "field", F.lit(0).alias("pos"), F.col("value").alias("entry"))
-    arrays = d.where(F.col("_s").startswith("ARRAY"))
-    entries = arrays.lateralJoin(tvf.variant_explode(F.col("value").outer()).select("pos", F.col("value").alias("entry")))
-    entries = scalars.unionByName(entries.select("id", "field", "pos", "entry")).withColumn("_e", F.schema_of_variant("entry")).where("_e != 'VOID'")
+    d = d.withColumn("_array", F.schema_of_variant("value").startswith("ARRAY"))
+    entries = d.lateralJoin(tvf.variant_explode_outer(F.when(F.col("_array"), F.col("value")).outer()).select("pos", F.col("value").alias("_v")))
+    entries = entries.select("id", "field", F.coalesce("pos", F.lit(0)).alias("pos"), F.when(F.col("_array"), F.col("_v")).otherwise(F.col("value")).alias("entry")).withColumn("_e", F.schema_of_variant("entry"))
     pair = F.col("_e").startswith("ARRAY") & F.try_variant_get("entry", "$[1]", "double").isNotNull() & F.try_variant_get("entry", "$[0]", "double").isNotNull() & F.try_variant_get("entry", "$[2]", "string").isNull()
     kind = F.when(F.col("_e") == "BOOLEAN", "bool").when(F.col("_e") == "STRING", "text").when(F.col("_e") == "BIGINT", "int").when(F.col("_e").rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").when(pair, "span").when(F.col("_e").startswith("ARRAY"), "array").otherwise("json")
-    first = entries.groupBy("id", "field").agg(F.min_by(kind, "pos").alias("kind"))
-    return d.select("id", "field").join(first, ["id", "field"], "left").select("id", "field", F.coalesce("kind", F.lit("float")).alias("kind"))
+    told = F.coalesce(F.col("_e") != "VOID", F.lit(False))
+    found = entries.groupBy("id", "field").agg(F.min_by(kind, F.when(told, F.col("pos"))).alias("kind"), F.count_if(F.col("pos") == 0).cast("int").alias("_rows"))
+    return found.select("id", "field", F.coalesce("kind", F.lit("float")).alias("kind"), F.explode(F.array_repeat(F.lit(0), F.col("_rows"))).alias("_row")).drop("_row")
 
 
 def nearest_artifact(published: DataFrame, value: str, order: Sequence[str], *by: str) -> DataFrame:

@@ -640,3 +640,13 @@ def test_stream_detections_of_many_signals_share_calls(spark, tmp_path, monkeypa
         want += [(*key, *now)] if now else []
     told = lambda found: sorted((str(g), s, round(a, 9), round(b, 9), round(p, 9)) for g, s, a, b, p in found)
     assert told(out) == told(want)
+
+
+def test_payload_kinds_come_from_one_pass(spark):
+    """Objects, empty arrays, nulls, nested pairs and a repeated id; the table is read once."""
+    rows = [(1, '{"a": {"x": [1]}, "b": [], "c": null, "d": [null, "t"], "e": [[1, 2]], "f": [null]}'), (2, '{"a": 1}'), (2, '{"a": "s"}'), (3, "{}"), (4, "[1]"), (5, "no")]
+    made = regress.payload_schema(spark.createDataFrame(rows, "id long, payload string"), "id", "payload")
+    got = sorted(map(tuple, made.collect()))
+    assert [r for r in got if r[0] != 2] == [(1, "a", "json"), (1, "b", "float"), (1, "c", "float"), (1, "d", "text"), (1, "e", "span"), (1, "f", "float")]
+    assert len([r for r in got if r[0] == 2]) == 2
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
