@@ -369,11 +369,12 @@ def spectrum_metrics(spectra: DataFrame) -> DataFrame:
     return out.select(*KEY, F.col("b.freq_hz").alias("peak_hz"), F.col("b.magnitude_db").alias("peak_db"), F.col("b.phase_rad").alias("peak_phase_rad"), F.greatest(F.col("top") * 2, F.lit(1)).alias("fft_size"))
 
 
-def threshold(samples: DataFrame, level: float, hysteresis: float = 0.0, min_width_s: float = 0.0, period_s: float | str | None = None, falling: bool = False) -> DataFrame:
+def threshold(samples: DataFrame, level: float, hysteresis: float = 0.0, min_width_s: float = 0.0, period_s: float | str | DataFrame | None = None, falling: bool = False) -> DataFrame:
     """Detections: start_s, end_s and peak of each stay at or past `level`, left past level less hysteresis; NaN ends one.
 
-    period_s: what the last sample lasts, a number or a column with each signal's own (null: nothing). Samples aren't shuffled;
-    a long signal is read by many tasks (see stretches.stays).
+    period_s: what the last sample lasts, a number, a column with each signal's own (null: nothing) or a table of the signals
+    (group_id, signal_id, period_s) that counts for those alone. Samples aren't shuffled, unless for such a column; a long
+    signal is read by many tasks (see stretches.stays).
     """
     s = -1.0 if falling else 1.0
 
@@ -387,7 +388,9 @@ def threshold(samples: DataFrame, level: float, hysteresis: float = 0.0, min_wid
 
     found = stays(by_stretch(samples, KEY, ["t_s", "value"], runs_of(decide), RUNS), KEY)
     if isinstance(period_s, str):
-        found = found.join(samples.groupBy(*KEY).agg(F.first(period_s).alias("_p")), list(KEY)).withColumn("end_s", F.col("end_s") + F.coalesce("_p", F.lit(0.0))).drop("_p")
+        period_s = samples.groupBy(*KEY).agg(F.first(period_s).alias("period_s"))
+    if isinstance(period_s, DataFrame):
+        found = found.join(period_s.select(*KEY, F.col("period_s").alias("_p")), list(KEY)).withColumn("end_s", F.col("end_s") + F.coalesce("_p", F.lit(0.0))).drop("_p")
     elif period_s is not None:
         found = found.withColumn("end_s", F.col("end_s") + period_s)
     return found.withColumn("peak", F.col("peak") * s).where(F.col("end_s") - F.col("start_s") + 1e-12 >= min_width_s)

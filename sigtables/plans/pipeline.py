@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -13,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigtables.model import kept
+from sigtables.model import kept, stored
 from sigtables.operators import generate, stages
 from sigtables.operators.profile import summarise
 
 KEY = ["group_id", "signal_id"]
 #: Samples from which a signal is transformed by many tasks.
 LONG = 1 << 18
+#: A table that is told of artifacts by kind.
+Told = Callable[[Mapping[str, DataFrame]], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,8 @@ class Outputs:
     """What a stage did. A signal is replaced (samples; all signals unless `only` has their keys), dropped or passed through.
 
     added: group_id, name, domain, idx, t_s, value; attributes: group_id, signal_id, set, remove; metrics: group_id, name,
-    value; failed: group_id, message of groups that stop here; notes: group_id, message.
+    value; failed: group_id, message of groups that stop here; notes: group_id, message. metrics and properties may be functions
+    of the artifacts instead, so that what they tell of is computed once.
     """
 
     replaced: DataFrame | None = None
@@ -67,12 +71,16 @@ class Outputs:
     dropped: DataFrame | None = None
     added: DataFrame | None = None
     attributes: DataFrame | None = None
-    properties: DataFrame | None = None
+    properties: DataFrame | Told | None = None
     artifacts: Mapping[str, DataFrame] = field(default_factory=dict)
-    metrics: DataFrame | None = None
+    metrics: DataFrame | Told | None = None
     failed: DataFrame | None = None
     notes: DataFrame | None = None
 
+    def settled(self) -> Outputs:
+        """Outputs without functions."""
+        return replace(self, **{n: told(self.artifacts) for n in ("metrics", "properties") if callable(told := getattr(self, n))})
+
 
 def apply_outputs(bundle: Bundle, out: Outputs) -> tuple[Bundle, DataFrame]:
     """(what the next stage sees, dispositions). dispositions: group_id, signal_id, ordinal, name, disposition.
@@ -81,7 +89,7 @@ def apply_outputs(bundle: Bundle, out: Outputs) -> tuple[Bundle, DataFrame]:
     ones come after them by name, with the timebase of the group's first signal and an id from the hash of group and
     name; dropped ones are last among the dispositions. Attributes are first removed, then set.
     """
-    s = bundle.signals
+    s, out = bundle.signals, out.settled()
     kind = F.lit("passthrough")
     if out.replaced is not None:
         s = s.join(out.only.select(*KEY).distinct().withColumn("_r", F.lit(True)), KEY, "left") if out.only is not None else s.withColumn("_r", F.lit(True))
@@ -223,7 +231,8 @@ def _fft(b: Bundle, signal: str, window: str, size: int) -> Outputs:
     rated = rated.join(spans, KEY)
     arrays = stages.to_blocks(rated.where("NOT _long"), 1 << 40, "_rate").select(*KEY, "values", "_rate")
     spectra = stages.spectrum(arrays, "_rate", window, size).unionByName(stages.long_spectrum(rated.where("_long").drop("_long"), "_rate", window, size))
-    return Outputs(artifacts={"spectrum": spectra}, metrics=named(long(stages.spectrum_metrics(spectra), "peak_hz", "peak_db", "peak_phase_rad", "fft_size"), b.signals), failed=_without(b, signal), notes=_irregular(b.signals, "no spectrum was computed"))
+    metrics = lambda a: named(long(stages.spectrum_metrics(a["spectrum"]), "peak_hz", "peak_db", "peak_phase_rad", "fft_size"), b.signals)
+    return Outputs(artifacts={"spectrum": spectra}, metrics=metrics, failed=_without(b, signal), notes=_irregular(b.signals, "no spectrum was computed"))
 
 
 def _statistics(b: Bundle, write_back: bool) -> Outputs:
@@ -235,11 +244,16 @@ def _statistics(b: Bundle, write_back: bool) -> Outputs:
 
 def _threshold(b: Bundle, level: float, polarity: str, hysteresis: float, min_width_s: float) -> Outputs:
     """A detection lasts to the end of its last sample, by the signal's own rate; in an irregular signal to its time."""
-    d = stages.threshold(_rated(b.samples, b.signals).withColumn("_period", 1 / F.col("_rate")), level, hysteresis, min_width_s, "_period", polarity == "falling")
-    m = d.groupBy("group_id").agg(F.count("*").alias("detections"), F.max(F.col("end_s") - F.col("start_s")).alias("widest_s"))
-    m = b.signals.select("group_id").distinct().join(m, "group_id", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
-    count = m.select("group_id", F.lit("detection_count").alias("key"), F.col("detections").cast("double").alias("value"))
-    return Outputs(artifacts={"detections": d}, metrics=long(m, "detections", "widest_s", by=["group_id"]).withColumnRenamed("metric", "name"), properties=count)
+    periods = b.signals.select(*KEY, (1 / F.col("rate_hz")).alias("period_s"))
+    d = stages.threshold(b.samples, level, hysteresis, min_width_s, periods, polarity == "falling")
+
+    def totals(artifacts: Mapping[str, DataFrame]) -> DataFrame:
+        m = artifacts["detections"].groupBy("group_id").agg(F.count("*").alias("detections"), F.max(F.col("end_s") - F.col("start_s")).alias("widest_s"))
+        return b.signals.select("group_id").distinct().join(m, "group_id", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
+
+    count = lambda a: totals(a).select("group_id", F.lit("detection_count").alias("key"), F.col("detections").cast("double").alias("value"))
+    metrics = lambda a: long(totals(a), "detections", "widest_s", by=["group_id"]).withColumnRenamed("metric", "name")
+    return Outputs(artifacts={"detections": d}, metrics=metrics, properties=count)
 
 
 def _peaks(b: Bundle, polarity: str, min_prominence: float, min_distance_s: float, max_count: int, window_s: float) -> Outputs:
@@ -248,8 +262,8 @@ def _peaks(b: Bundle, polarity: str, min_prominence: float, min_distance_s: floa
     times = rated.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "t_s"))), lambda x: x["t_s"]).alias("times"))
     arrays = stages.to_blocks(rated, 1 << 40, "_rate").select(*KEY, "values", "_rate").join(times, KEY)
     p = stages.peaks(arrays, "_rate", min_prominence, min_distance_s, max_count or None, polarity == "falling", window_s or None)
-    m = p.groupBy("group_id").agg(F.count("*").alias("peaks"), F.max("prominence").alias("strongest"))
-    return Outputs(artifacts={"peaks": p}, metrics=long(m, "peaks", "strongest", by=["group_id"]).withColumnRenamed("metric", "name"))
+    m = lambda a: a["peaks"].groupBy("group_id").agg(F.count("*").alias("peaks"), F.max("prominence").alias("strongest"))
+    return Outputs(artifacts={"peaks": p}, metrics=lambda a: long(m(a), "peaks", "strongest", by=["group_id"]).withColumnRenamed("metric", "name"))
 
 
 def _slice(b: Bundle, level: float, hysteresis: float, invert: bool, name: str, signal: str) -> Outputs:
@@ -271,8 +285,8 @@ def _symbols(b: Bundle, symbol_rate_hz: float, format: str, level: float, spacin
     failed = b.signals.select("group_id", slow.alias("message")).where("message IS NOT NULL")
     good = b.signals.where(F.col("rate_hz") >= symbol_rate_hz)
     d = stages.symbols(_rated(b.samples, good), symbol_rate_hz, "_rate", nominals, phase, align)
-    m = d.groupBy(*KEY).agg(F.count("*").alias("symbols"), F.min("margin").alias("worst_margin"), F.avg("margin").alias("mean_margin"))
-    return Outputs(artifacts={"symbols": d}, metrics=named(long(m, "symbols", "worst_margin", "mean_margin"), b.signals), failed=failed)
+    m = lambda a: a["symbols"].groupBy(*KEY).agg(F.count("*").alias("symbols"), F.min("margin").alias("worst_margin"), F.avg("margin").alias("mean_margin"))
+    return Outputs(artifacts={"symbols": d}, metrics=lambda a: named(long(m(a), "symbols", "worst_margin", "mean_margin"), b.signals), failed=failed)
 
 
 def _bits(b: Bundle, width: int, bits_per_symbol: int, msb_first: bool, invert: bool) -> Outputs:
@@ -283,7 +297,7 @@ def _pulse_metrics(b: Bundle, write_back: bool) -> Outputs:
     m = stages.pulse_metrics(b.artifacts["detections"], stages.longest_signal(_rated(b.samples, b.signals), "_rate"))
     names = [c for c in m.columns if c != "group_id"]
     rows = long(m, *names, by=["group_id"]).withColumnRenamed("metric", "name")
-    return Outputs(artifacts={"metrics": rows}, metrics=rows, properties=stages.pulse_properties(m) if write_back else None)
+    return Outputs(artifacts={"metrics": rows}, metrics=lambda a: a["metrics"], properties=stages.pulse_properties(m) if write_back else None)
 
 
 POLARITY = Param("polarity", "enum", "rising", options=("rising", "falling"))
@@ -474,24 +488,27 @@ def run_groups(bundle: Bundle, pipeline: Sequence[Stage], joining: Mapping[int,
     for i, s in enumerate(enabled):
         if STAGES[s.kind].summaries and bundle.summaries is None:
             sums = summarise(bundle.samples, *KEY)
-            bundle = replace(bundle, summaries=kept(sums) if keep else sums)
+            bundle = replace(bundle, summaries=stored(sums) if keep else sums)
         out = STAGES[s.kind].run(bundle, **resolved(s)[0])
+        left = lambda df: df
         if out.failed is not None:
             bad = out.failed.groupBy("group_id").agg(F.min("message").alias("message"), F.lit(i).alias("failed_stage"))
-            bad = kept(bad) if keep else bad
+            bad = stored(bad) if keep else bad
             failures.append(bad)
             bundle = bundle.of_groups_without(bad)
 
             def left(df: DataFrame | None, bad: DataFrame = bad) -> DataFrame | None:
                 return None if df is None else df.join(bad.select("group_id"), "group_id", "left_anti")
 
-            out = replace(out, **{n: left(getattr(out, n)) for n in ("replaced", "only", "dropped", "added", "attributes", "properties", "metrics", "notes")}, artifacts={k: left(v) for k, v in out.artifacts.items()})
-        if keep:
-            out = replace(out, artifacts={k: kept(v) for k, v in out.artifacts.items()})
+        artifacts_ = {k: left(v) for k, v in out.artifacts.items()}
+        out = replace(out, artifacts={k: kept(v) for k, v in artifacts_.items()} if keep else artifacts_).settled()
+        out = replace(out, **{n: left(getattr(out, n)) for n in ("replaced", "only", "dropped", "added", "attributes", "properties", "metrics", "notes")})
+        if keep and out.properties is not None:
+            out = replace(out, properties=stored(out.properties))
         changed = out.replaced is not None or out.added is not None or out.dropped is not None or out.failed is not None
         bundle, dispositions = apply_outputs(bundle, out)
         if changed and keep:
-            bundle = replace(bundle, samples=kept(bundle.samples), signals=kept(bundle.signals))
+            bundle = replace(bundle, samples=stored(bundle.samples), signals=stored(bundle.signals))
         records.append(_recorded(i, dispositions, bundle))
         artifacts |= {(i, k): v for k, v in out.artifacts.items()}
         if out.metrics is not None:
@@ -555,17 +572,23 @@ def write_run(result: Run, path: str, run_id: str, pipeline: Sequence[Stage], ha
     for name, parts in found.items():
         parts = [*parts, *([copied[name]] if name in copied else [])]
         if parts:
-            union(parts).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/run_{name}")
+            rows = union(parts)
+            if re.fullmatch(r"[\w.-]+", run_id, re.ASCII):  # one run's folder by its name: partitionBy would sort all rows by one value
+                rows.write.mode("append").parquet(f"{path}/run_{name}/run_id={run_id}")
+            else:  # Spark knows how to write such a name
+                rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/run_{name}")
 
 
 def input_hashes(bundle: Bundle) -> DataFrame:
     """group_id and input_hash: of the names and exact contents of a group's signals and of the artifacts that come with it.
 
-    An irregular signal's contents are its times too. Samples are hashed by sums that don't depend on order, so no group is gathered; artifacts by the same of their rows.
+    An irregular signal's contents are its times too; samples meet their signals only where there is one. Samples are hashed by sums that don't depend on order, so no group is gathered; artifacts by the same of their rows.
     """
-    what = ["idx", F.coalesce(F.col("value").cast("string"), F.lit("null")), F.when(F.col("_rate").isNull(), F.col("t_s").cast("string"))]
+    what, samples = ["idx", F.coalesce(F.col("value").cast("string"), F.lit("null"))], bundle.samples
+    if not bundle.signals.where("rate_hz IS NULL").isEmpty():
+        what, samples = [*what, F.when(F.col("_rate").isNull(), F.col("t_s").cast("string"))], _rated(samples, bundle.signals)
     bits, more = F.xxhash64(*what), F.xxhash64(F.lit(17), *what)
-    content = _rated(bundle.samples, bundle.signals).groupBy(*KEY).agg(F.bit_xor(bits).alias("x"), F.sum(more.cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    content = samples.groupBy(*KEY).agg(F.bit_xor(bits).alias("x"), F.sum(more.cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
     rows = bundle.signals.join(content, KEY, "left").select("group_id", F.xxhash64("name", "ordinal", "domain", "rate_hz", "t0_s", "x", "s", "n").alias("h"))
     for kind, df in sorted(bundle.artifacts.items()):
         rest = [c for c in df.columns if c != "group_id"]
@@ -610,8 +633,7 @@ def stored_bundle(read: Callable[[str], DataFrame | None], chosen: DataFrame, st
     here = lambda df: df.where(F.col("stage_ordinal") == stage).drop("stage_ordinal")
     artifacts = {}
     if rows is not None:  # of a port the last stage that gave it counts; ports and their schemas are a few
-        last = W.partitionBy("group_id", "port")
-        rows = rows.withColumn("_last", F.max("stage_ordinal").over(last)).where("stage_ordinal = _last")
+        rows = rows.join(rows.groupBy("group_id", "port").agg(F.max("stage_ordinal").alias("stage_ordinal")), ["group_id", "port", "stage_ordinal"], "left_semi")
         for port, kind in rows.select("port", "schema").distinct().collect():
             artifacts[port] = rows.where(F.col("port") == port).select("group_id", F.from_json("payload", kind, {"allowNonNumericNumbers": "true"}).alias("p")).select("group_id", "p.*")
     return Bundle(here(samples), here(states), artifacts, None if properties is None else here(properties))
@@ -625,7 +647,7 @@ def run_incremental(bundle: Bundle, pipeline: Sequence[Stage], path: str, run_id
     later join in at their stage. Records of the stages that aren't run are copied, so that the new run (run_id) has them all.
     The result holds the groups that were run.
     """
-    spark, hashes = bundle.samples.sparkSession, kept(input_hashes(bundle))
+    spark, hashes = bundle.samples.sparkSession, stored(input_hashes(bundle))
 
     def read(name: str) -> DataFrame | None:
         try:
@@ -634,8 +656,8 @@ def run_incremental(bundle: Bundle, pipeline: Sequence[Stage], path: str, run_id
             return None
 
     keys, recorded = stage_keys(pipeline), read("keys")
-    none = spark.createDataFrame([], f"group_id {bundle.signals.schema['group_id'].dataType.simpleString()}, stage int, run_id string")
-    found = kept(resumable(hashes, keys, recorded)) if recorded is not None else none
+    none = hashes.where("false").select("group_id", F.lit(None).cast("int").alias("stage"), F.lit(None).cast("string").alias("run_id"))
+    found = stored(resumable(hashes, keys, recorded)) if recorded is not None else none
     begins = [r[0] for r in found.select("stage").distinct().collect()]  # a number of stages at most
     last = len(keys) - 1
     joining = {k: stored_bundle(read, found.where(F.col("stage") == k).select("group_id", "run_id"), k) for k in begins if k < last}
@@ -644,9 +666,9 @@ def run_incremental(bundle: Bundle, pipeline: Sequence[Stage], path: str, run_id
     if begins:
         for name in ("signals", "metrics", "notes", "artifacts", "samples", "states", "properties"):
             if (df := read(name)) is not None:
-                copied[name] = kept(df.join(found, ["group_id", "run_id"]).where(F.col("stage_ordinal") <= F.col("stage")).drop("stage", "run_id"))
+                copied[name] = df.join(found, ["group_id", "run_id"]).where(F.col("stage_ordinal") <= F.col("stage")).drop("stage", "run_id")
         reused = cache_keys(hashes, keys).join(found, "group_id").where(F.col("stage_ordinal") <= F.col("stage"))
-        copied["keys"] = kept(reused.join(recorded.select("cache_key").distinct(), "cache_key", "left_semi").select("group_id", "stage_ordinal", "cache_key"))
+        copied["keys"] = reused.join(recorded.select("cache_key").distinct(), "cache_key", "left_semi").select("group_id", "stage_ordinal", "cache_key")
         copied["groups"] = found.where(F.col("stage") == last).select("group_id", F.lit("ok").alias("status"), F.lit(None).cast("int").alias("failed_stage"), F.lit(None).cast("string").alias("message"))
     write_run(result, path, run_id, pipeline, hashes.join(found.where(F.col("stage") == last), "group_id", "left_anti"), copied, found)
     return result

@@ -419,6 +419,31 @@ def test_plans_grow_with_the_stages_only(spark):
     assert "Window" not in stats.artifacts[1, "statistics"]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_what_is_found_in_a_run_is_found_once(spark, tmp_path):
+    b = bundle(spark, [(1, 0, [0.0, 1.0, 1.0, 0.0]), (2, 0, [0.0, 0.0, 0.0, 0.0])])
+    plan = [pipeline.Stage("gain"), pipeline.Stage("threshold", {"level": 0.5}), pipeline.Stage("gain")]
+    r = pipeline.run_groups(b, plan)
+    told = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (r.metrics, r.last.properties, r.artifacts[1, "detections"]):
+        assert "MapInArrow" not in told(df)
+    assert {(x.group_id, x.value) for x in r.last.properties.collect()} == {(1, 1.0), (2, 0.0)}
+    assert "Join" not in told(r.last.samples) and "Aggregate" not in told(r.last.samples)
+    some = pipeline.Bundle(b.samples, b.signals.where("group_id = 1"))
+    assert {x.group_id for x in pipeline.STAGES["threshold"].run(some, 0.0, "rising", 0.0, 0.0).artifacts["detections"].collect()} == {1}
+    for name in ("r 1/2", "r1"):
+        pipeline.write_run(r, str(tmp_path), name, plan)
+    kept = {n: spark.read.parquet(str(tmp_path / f"run_{n}")) for n in ("samples", "signals", "metrics", "properties", "artifacts")}
+    for df in kept.values():
+        assert len({x["count"] for x in df.groupBy("run_id").count().collect()}) == 1 and {x.run_id for x in df.select("run_id").distinct().collect()} == {"r 1/2", "r1"}
+
+
+def test_an_irregular_signal_leaves_the_hashes_of_others(spark):
+    b = bundle(spark, [(1, 0, [1.0, 2.0]), (2, 0, [1.0, 2.0])])
+    mixed = pipeline.Bundle(b.samples, b.signals.withColumn("rate_hz", F.when(F.col("group_id") == 1, F.col("rate_hz"))))
+    one, two = ({r.group_id: r.input_hash for r in pipeline.input_hashes(x).collect()} for x in (b, mixed))
+    assert one[1] == two[1] and one[2] != two[2]
+
+
 def test_stays_along_a_signal_in_any_order(spark):
     rnd = random.Random(4)
     rows = []
