@@ -74,6 +74,8 @@ def _renamed(labels: list[str], keys: list[str], rules: Mapping[str, Rule]) -> l
 
 #: Files up to so many bytes are framed as a whole, each by one task; longer ones in splits.
 SMALL = 64 << 20
+#: Bytes of a file framed whole in which lines are looked for at once.
+PIECE = 1 << 20
 #: Rows that leave a task at once.
 BATCH = 20_000
 ROWS = pa.schema([("path", pa.string()), ("group_ord", pa.int32()), ("row", pa.int32()), ("line", pa.int64()), ("offset", pa.int64()), ("declared", pa.int32()), ("attributes", pa.map_(pa.string(), pa.string())), ("fields", pa.map_(pa.string(), pa.string())), ("name", pa.string()), ("time", pa.string()), ("time_label", pa.string()), ("time_key", pa.string())])
@@ -117,22 +119,32 @@ def _told_apart(keys: list[str | None]) -> list[str | None]:
     return out
 
 
-def line_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, byte after the last) of each line of a text; ends are LF, CRLF or CR."""
-    feed, back = np.flatnonzero(data == 10), np.flatnonzero(data == 13)
-    lone = back[(back + 1 == len(data)) | (data[np.minimum(back + 1, len(data) - 1)] != 10)]
-    at = np.sort(np.concatenate([feed, lone]))
-    start = np.concatenate([[0], at + 1])
-    end = np.append(at - ((data[at] == 10) & (at > 0) & (data[np.maximum(at - 1, 0)] == 13)), len(data))
-    return (start, end) if start[-1] < len(data) else (start[:-1], end[:-1])
+def line_ends(data: np.ndarray, first: int = 0) -> Iterator[tuple[int, int]]:
+    """(first byte, byte after the last) of each line of a text from byte `first` on; ends are LF, CRLF or CR.
 
-
-def framed(path: str, content: bytes, profile: Profile, most_lines: int | None) -> Iterator[pa.RecordBatch]:
-    """The rows of one file, in order. Errors name the byte where the file begins to be something else."""
-    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+    They are looked for in pieces of PIECE bytes, so that what is held doesn't grow with the text.
+    """
+    begun = first
+    for low in range(first, len(data), PIECE):
+        piece = data[low : low + PIECE]
+        feed, back = np.flatnonzero(piece == 10) + low, np.flatnonzero(piece == 13) + low
+        lone = back[(back + 1 == len(data)) | (data[np.minimum(back + 1, len(data) - 1)] != 10)]
+        at = np.sort(np.concatenate([feed, lone]))
+        if len(at):
+            end = at - ((data[at] == 10) & (at > first) & (data[np.maximum(at - 1, 0)] == 13))
+            yield from zip([begun, *(at[:-1] + 1).tolist()], end.tolist(), strict=True)
+            begun = int(at[-1]) + 1
+    if begun < len(data):
+        yield begun, len(data)
+
+
+def framed(path: str, content: bytes | pa.Buffer, profile: Profile, most_lines: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of one file, in order. Errors name the byte where the file begins to be something else. Beside the file some batch of rows is held."""
+    view = memoryview(content)
+    if bytes(view[:2]) in (b"\xff\xfe", b"\xfe\xff"):
         raise ValueError(f"{path}, byte 0: UTF-16")
-    first = 3 if content.startswith(b"\xef\xbb\xbf") else 0
-    start, end = line_ends(np.frombuffer(content, np.uint8)[first:])
+    first = 3 if bytes(view[:3]) == b"\xef\xbb\xbf" else 0
+    spans = line_ends(np.frombuffer(view, np.uint8), first) if len(view) else iter(())
     header: Header | None = None
     begun, seen, group, row, take = "", 0, -1, 0, 0
     out: list[list] = [[] for _ in ROWS]
@@ -147,9 +159,9 @@ def framed(path: str, content: bytes, profile: Profile, most_lines: int | None)
         maps.update({"attributes": ([0], [], []), "fields": ([0], [], [])})
         return whole
 
-    for number, (a, b) in enumerate(zip((start + first).tolist(), (end + first).tolist(), strict=True), 1):
+    for number, (a, b) in enumerate(spans, 1):
         try:
-            text = content[a:b].decode()
+            text = bytes(view[a:b]).decode()
         except UnicodeDecodeError as e:
             raise ValueError(f"{path}, line {number}: not UTF-8 (byte {a + e.start})") from e
         bare = text.strip(" ")
@@ -246,7 +258,7 @@ def read_rows(spark: SparkSession, paths: str | list[str], profile: Profile = Pr
             for i in range(batch.num_rows):
                 path, error = batch.column(0)[i].as_py(), None
                 try:
-                    for rows in framed(path, batch.column(1)[i].as_py(), profile, most_lines):
+                    for rows in framed(path, batch.column(1)[i].as_buffer(), profile, most_lines):
                         yield rows.append_column("error", pa.nulls(rows.num_rows, pa.string())) if noted else rows
                 except ValueError as e:
                     if not noted:

@@ -1,6 +1,10 @@
 import math
 import random
+import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +47,24 @@ def test_csv_small_and_large_files_are_framed_alike(spark, tmp_path, monkeypatch
     assert {k for r in rows.collect() for k in r.fields} == {"toa", "level", "level_2", "l_v_l"} and {k for r in rows.collect() for k in r.attributes} == {"name", "nrec", "note", "note_2"}
 
 
+def test_a_file_is_framed_in_little_memory(monkeypatch):
+    body = b"x\nid,n\ntoa,v\n" + b"".join(b"g%d,1000\n" % g + b"1,2\n" * 1000 for g in range(1000))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in pulse_csv.framed("f", body, pulse_csv.Profile(), None))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1_001_000 and most < 48 << 20
+    rnd = random.Random(3)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "bc", "\r", "\n", "\r\n", "\n\r"]) for _ in range(rnd.randint(0, 30))).encode()
+        want = re.split(b"\r\n|\r|\n", text)
+        for size in (1, 2, 3, 7, 1 << 20):
+            monkeypatch.setattr(pulse_csv, "PIECE", size)
+            got = [text[a:b] for a, b in pulse_csv.line_ends(np.frombuffer(text, np.uint8))]
+            assert got == (want if want[-1] else want[:-1])
+    assert list(pulse_csv.framed("f", pa.py_buffer(b""), pulse_csv.Profile(), None)) == []
+
+
 def test_csv_errors_name_the_byte(spark, tmp_path, monkeypatch):
     good = b"x\nid,n\ntoa,v\ng,1\n1,2\n"
     (tmp_path / "a.csv").write_bytes(good + b"g,2\n1,\xff\n")
