@@ -19,20 +19,43 @@ def difference(a: Column, b: Column) -> Column:
     return F.when((a == b) | (F.isnan(a) & F.isnan(b)), 0.0).when(missing, float("inf")).otherwise(F.abs(a - b))
 
 
+#: Neighbouring indexes of a signal that are compared in one task.
+BLOCK = 1 << 16
+
+
 def diff_samples(base: DataFrame, candidate: DataFrame, abs_tol: float, rel_tol: float, by: Sequence[str] = ("group_id", "signal_id")) -> DataFrame:
     """Per signal: samples, max_abs, rms_error, first_beyond and within. The bound is the larger of abs_tol and rel_tol times the rms of the base's finite values.
 
     A sample on one side only, or NaN on one side only, is infinitely off; NaN on both sides agrees. A base without finite
-    values has the bound abs_tol.
+    values has the bound abs_tol. Of an index that a side has more than once each sample is compared with each of the other
+    side. Both sides are shuffled by blocks of indexes, so what leaves a task is a row for each block at most; with rel_tol the
+    differences meet their signals' bounds by another shuffle before.
     """
-    on = [*by, "idx"]
-    a = base.select(*on, F.col("value").cast("double").alias("b"), F.lit(True).alias("_a"))
-    both = a.join(candidate.select(*on, F.col("value").cast("double").alias("c"), F.lit(True).alias("_c")), on, "full")
-    e = F.when(F.col("_a").isNull() | F.col("_c").isNull(), float("inf")).when(F.col("b").isNull() & F.col("c").isNull(), 0.0).otherwise(difference(F.col("b"), F.col("c")))
-    v = F.when(finite(F.col("value")), F.col("value"))
-    bound = base.groupBy(*by).agg(F.greatest(F.lit(abs_tol), F.coalesce(F.sqrt(F.avg(v * v)) * rel_tol, F.lit(0.0))).alias("bound"))
-    d = both.withColumn("e", e).join(bound, list(by), "left").withColumn("bound", F.coalesce("bound", F.lit(abs_tol)))
-    out = d.groupBy(*by).agg(F.count("*").alias("samples"), F.max("e").alias("max_abs"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rms_error"), F.min(F.when(F.col("e") > F.col("bound"), F.col("idx"))).alias("first_beyond"))
+    on = [*by, "_block"]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*by, F.shiftright("idx", BLOCK.bit_length() - 1).alias("_block"), "idx", F.col("value").cast("double").alias("v"), F.lit(name).alias("_side"))
+
+    rows = side(base, "b").unionByName(side(candidate, "c"))
+    b, c = (F.when(F.col("_side") == n, F.col("v")) for n in ("b", "c"))
+    of = lambda x, n: [F.count_if(F.col("_side") == n).alias(f"{n}_rows"), F.min(x).alias(f"{n}_min"), F.max(x).alias(f"{n}_max"), F.avg(x).alias(f"{n}_mean"), F.var_pop(x).alias(f"{n}_var")]
+    d = rows.repartition(*on).groupBy(*on, "idx").agg(*of(b, "b"), *of(c, "c"), F.count_if(F.col("v").isNull()).alias("_nulls"))
+    alone = F.col("idx").isNull() | (F.col("b_rows") == 0) | (F.col("c_rows") == 0)
+    apart = F.greatest(difference(F.col("b_max"), F.col("c_min")), difference(F.col("c_max"), F.col("b_min")))
+    e = F.when(alone, float("inf")).when(F.col("_nulls") == F.col("b_rows") + F.col("c_rows"), 0.0).when(F.col("_nulls") > 0, float("inf")).otherwise(apart)
+    d = d.withColumns({"e": e, "_pairs": F.when(alone, F.col("b_rows") + F.col("c_rows")).otherwise(F.col("b_rows") * F.col("c_rows"))})
+    mean_square = F.col("b_var") + F.col("c_var") + F.pow(F.col("b_mean") - F.col("c_mean"), F.lit(2.0))
+    square = F.when((F.col("_pairs") == 1) | F.col("e").isin(0.0, float("inf")), F.col("e") * F.col("e")).otherwise(mean_square) * F.col("_pairs")
+    bound = F.lit(float(abs_tol))
+    if rel_tol:
+        v = F.when((F.col("_side") == "b") & finite(F.col("v")), F.col("v"))
+        of_blocks = rows.groupBy(*on).agg(F.sum(v * v).alias("_s"), F.count(v).alias("_n"))
+        whole = W.partitionBy(*by)
+        rms = F.sqrt(F.sum("_s").over(whole) / F.nullif(F.sum("_n").over(whole), F.lit(0)))
+        bounds = of_blocks.select(*(F.col(x).alias(f"_{i}") for i, x in enumerate(on)), F.greatest(bound, F.coalesce(rms * rel_tol, F.lit(0.0))).alias("bound"))
+        d = d.join(bounds, [F.col(x).eqNullSafe(F.col(f"_{i}")) for i, x in enumerate(on)])
+        bound = F.col("bound")
+    out = d.groupBy(*by).agg(F.sum("_pairs").alias("samples"), F.max("e").alias("max_abs"), F.sqrt(F.sum(square) / F.sum("_pairs")).alias("rms_error"), F.min(F.when(F.col("e") > bound, F.col("idx"))).alias("first_beyond"))
     return out.withColumn("within", F.col("first_beyond").isNull())
 
 
@@ -310,11 +333,18 @@ def diff_artifacts(base: DataFrame, candidate: DataFrame, fields: list[str], abs
     Both tables have `row`, a number of each key's rows; null on both sides agrees.
     """
 
-    def long(df: DataFrame, name: str) -> DataFrame:
+    def cells(df: DataFrame, name: str) -> DataFrame:
         texts = {c for c, t in df.dtypes if t == "string"}
-        cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.lit(None) if f in texts else F.col(f)).cast("double").alias(name), (F.col(f) if f in texts else F.lit(None)).cast("string").alias(f"{name}_text")) for f in fields])
-        return df.select(*by, "row", F.lit(True).alias(f"in_{name}"), F.explode(cells).alias("c")).select(*by, "row", f"in_{name}", "c.*")
+        numbers = [(F.lit(None) if f in texts else F.col(f)).cast("double").alias(f"{name}{i}") for i, f in enumerate(fields)]
+        return df.select(*by, "row", F.lit(True).alias(f"in_{name}"), *numbers, *((F.col(f) if f in texts else F.lit(None)).cast("string").alias(f"{name}{i}_text") for i, f in enumerate(fields)))
+
+    d = cells(base, "a").join(cells(candidate, "b"), [*by, "row"], "full")
+
+    def off(i: int) -> Column:
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col(f"a{i}_text").eqNullSafe(F.col(f"b{i}_text")) & (a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= abs_tol, F.lit(False)))
+        return ~same
 
-    d = long(base, "a").join(long(candidate, "b"), [*by, "row", "field"], "full")
-    same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col("a_text").eqNullSafe(F.col("b_text")) & (F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= abs_tol, F.lit(False)))
-    return d.groupBy(*by, "field").agg(F.count_if(~same).alias("mismatches"), F.min(F.when(~same, F.col("row"))).alias("first_row"))
+    wide = d.groupBy(*by).agg(*(x for i in range(len(fields)) for x in (F.count_if(off(i)).alias(f"n{i}"), F.min(F.when(off(i), F.col("row"))).alias(f"first{i}"))))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"n{i}").alias("mismatches"), F.col(f"first{i}").alias("first_row")) for i, f in enumerate(fields)))
+    return wide.select(*by, F.explode(each).alias("x")).select(*by, "x.*")

@@ -76,8 +76,9 @@ def compare_runs(spark: SparkSession, path: str, base: str, candidate: str, abs_
     both = a["states"].select(*SIGNAL).join(b["states"].select(*SIGNAL), SIGNAL, "left_semi") if a["states"] is not None else None
     signals = regress.diff_summaries(summed(a, both), summed(b, both), abs_tol, rel_tol, SIGNAL).withColumn("by", F.lit("summary"))
     if both is not None:
-        own = [x["samples"].join(both, SIGNAL, "left_semi") for x in (a, b)]
-        by_samples = regress.diff_samples(*own, abs_tol, rel_tol, SIGNAL).select(*SIGNAL, "max_abs", "within", F.lit("samples").alias("by"))
+        at = a["states"].select("stage_ordinal").distinct().join(b["states"].select("stage_ordinal"), "stage_ordinal", "left_semi")
+        own = [x["samples"].join(F.broadcast(at), "stage_ordinal", "left_semi") for x in (a, b)]  # a few stages; signals are told apart when each is a row
+        by_samples = regress.diff_samples(*own, abs_tol, rel_tol, SIGNAL).select(*SIGNAL, "max_abs", "within", F.lit("samples").alias("by")).join(both, SIGNAL, "left_semi")
         empty = both.join(by_samples, SIGNAL, "left_anti").select(*SIGNAL, F.lit(0.0).alias("max_abs"), F.lit(True).alias("within"), F.lit("samples").alias("by"))
         signals = signals.unionByName(by_samples).unionByName(empty)
     metrics = None

@@ -675,3 +675,45 @@ def test_payload_kinds_come_from_one_pass(spark):
     assert [r for r in got if r[0] != 2] == [(1, "a", "json"), (1, "b", "float"), (1, "c", "float"), (1, "d", "text"), (1, "e", "span"), (1, "f", "float")]
     assert len([r for r in got if r[0] == 2]) == 2
     assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+@pytest.mark.parametrize("rel_tol", [0.0, 0.05])
+def test_samples_are_compared_without_a_join(spark, monkeypatch, rel_tol):
+    """Pairs of two runs' samples against all pairs in Python: missing, repeated, NaN, infinite and null ones, in several blocks and without a group; no sample is joined."""
+    monkeypatch.setattr(regress, "BLOCK", 4, raising=False)
+    rnd, nan, inf = random.Random(8), math.nan, math.inf
+    odd, steps = [None, nan, inf, -inf, 0.0, 1.0], [0.0, 0.01, 0.04, 0.3]
+    value = lambda s: rnd.choice(odd) if s % 3 == 0 and rnd.random() < 0.3 else 1.0 + rnd.choice(steps[: 2 if s % 4 == 3 else 4])
+    rows = [[(None if s > 20 else s % 2, s, i, value(s)) for s in range(24) for i in range(11) for _ in range(rnd.choice([1, 1, 2, 3]) if s % 4 == 1 else s % 4 != 2 or rnd.random() < 0.8)] for _ in "bc"]
+    b, c = (spark.createDataFrame(x, "group_id int, signal_id long, idx long, value double").repartition(5) for x in rows)
+
+    def off(x, y):
+        if x is None or y is None or x != x or y != y:
+            return 0.0 if x is y or x is not None and y is not None and x != x and y != y else inf
+        return 0.0 if x == y else abs(x - y)
+
+    want = {}
+    for g, s in {r[:2] for x in rows for r in x}:
+        own = [[(r[2], r[3]) for r in x if r[:2] == (g, s)] for x in rows]
+        finite = [v for _, v in own[0] if v is not None and math.isfinite(v)]
+        bound = max(0.03, math.sqrt(sum(v * v for v in finite) / len(finite)) * rel_tol)
+        of = [{i: [v for j, v in x if j == i] for i, _ in x} for x in own]
+        e = [(i, off(x, y)) for i in of[0].keys() & of[1].keys() for x in of[0][i] for y in of[1][i]]
+        e += [(i, inf) for k in (0, 1) for i in of[k].keys() - of[1 - k].keys() for _ in of[k][i]]
+        beyond = min((i for i, x in e if x > bound), default=None)
+        want[g, s] = (len(e), max(x for _, x in e), math.sqrt(sum(x * x for _, x in e) / len(e)), beyond, beyond is None)
+    out = regress.diff_samples(b, c, 0.03, rel_tol)
+    got = {(r.group_id, r.signal_id): tuple(r)[2:] for r in out.collect()}
+    assert got.keys() == want.keys() and len({w[4] for w in want.values()}) == 2
+    assert [(k, got[k], w) for k, w in want.items() if (*got[k][:2], *got[k][3:]) != (*w[:2], *w[3:]) or got[k][2] != pytest.approx(w[2], rel=1e-9)] == []
+    if not rel_tol:
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_artifacts_are_joined_by_row_not_by_cell(spark):
+    rows = spark.createDataFrame([(1, 0, 1.0, "a"), (1, 1, None, "b"), (1, 2, 3.0, None), (None, 0, 1.0, "a")], "group_id int, row int, value double, text string")
+    other = spark.createDataFrame([(1, 0, 1.4, "a"), (1, 1, None, "c"), (1, 3, 3.0, None), (2, 0, 1.0, "a")], "group_id int, row int, value double, text string")
+    out = regress.diff_artifacts(rows, other, ["value", "text"], 0.5, "group_id")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "value", 2, 2), (1, "text", 3, 1), (None, "value", 1, 0), (None, "text", 1, 0), (2, "value", 1, 0), (2, "text", 1, 0)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and all("field" not in line for line in plan.splitlines() if "Join" in line)
